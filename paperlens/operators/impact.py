@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlens.functions.coerce import to_bool_flag, to_int_or_null
+from paperlens.functions.coerce import strip_ws, to_bool_flag, to_int_or_null
 
 
 def positive_only(df: DataFrame, enabled: bool = True, label_col: str = "label") -> DataFrame:
@@ -44,7 +44,7 @@ def citation_metrics(df: DataFrame, col: str = "cited_by_count") -> DataFrame:
 
 def journal_counts(df: DataFrame, col: str = "journal", order_col: str = "seq") -> DataFrame:
     """Per journal: count and first-seen position (trimmed; '', 'nan', NULL dropped)."""
-    j = F.trim(F.col(col).cast("string"))
+    j = strip_ws(F.col(col).cast("string"))
     x = df.select(j.alias("journal"), F.col(order_col).alias("seq"))
     x = x.where(F.col("journal").isNotNull() & (F.col("journal") != "") & (F.col("journal") != "nan"))
     return x.groupBy("journal").agg(F.count("*").alias("count"), F.min("seq").alias("first_seen"))

@@ -306,3 +306,209 @@ def q_dict_summary(spark: SparkSession, sf: str) -> DataFrame:
             .select("category", "cat_ord", "n_terms",
                     F.array_join("sample_terms", ", ").alias("sample_terms"),
                     F.coalesce("n", F.lit(0)).alias("n_docs_matched")))
+
+
+# ---------------------------------------------------------------- A1-A5, A11
+
+def _positives(spark, sf):
+    from paperlens.operators.impact import positive_only
+    return positive_only(documents_as_articles(spark, sf, labelled=True))
+
+
+POSITIVES_SQL = f"(SELECT * FROM {LABELLED_ARTICLES_SQL} WHERE label = 1)"
+
+
+def _citation_sql(src: str) -> str:
+    return f"""
+SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS total_citations, round(avg(c), 6) AS mean_citations,
+  round(quantile_cont(c, 0.5), 6) AS median_citations, CAST(max(c) AS BIGINT) AS max_citations,
+  CAST(min(c) AS BIGINT) AS min_citations, round(stddev_samp(c), 6) AS std_citations,
+  count(*) FILTER (WHERE c > 0) AS articles_with_citations,
+  count(*) FILTER (WHERE c = 0) AS articles_without_citations,
+  count(*) FILTER (WHERE c >= 10) AS highly_cited_10plus,
+  count(*) FILTER (WHERE c >= 50) AS highly_cited_50plus
+FROM (SELECT CAST(cited_by_count AS DOUBLE) AS c FROM {src})"""
+
+
+def _round_doubles(df: DataFrame) -> DataFrame:
+    from pyspark.sql import types as T
+    return df.select(*[r6(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+@register("citation_metrics", _citation_sql(POSITIVES_SQL))
+def q_citation_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 (+ P8): citation statistics of the positive articles."""
+    from paperlens.operators.impact import citation_metrics
+    return _round_doubles(citation_metrics(_positives(spark, sf)))
+
+
+@register("citation_metrics_orders", _citation_sql(ORDER_ARTICLES_SQL))
+def q_citation_metrics_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 over the larger dated table."""
+    from paperlens.operators.impact import citation_metrics
+    return _round_doubles(citation_metrics(orders_as_articles(spark, sf)))
+
+
+@register("open_access", f"""
+SELECT count(*) AS total_articles, count(*) FILTER (WHERE is_open_access) AS open_access_count,
+  count(*) - count(*) FILTER (WHERE is_open_access) AS closed_access_count,
+  round(count(*) FILTER (WHERE is_open_access) / greatest(count(*), 1) * 100, 1) AS open_access_rate
+FROM {POSITIVES_SQL}""")
+def q_open_access(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 (+ P11 coercion) on the positive articles."""
+    from paperlens.operators.impact import open_access
+    return open_access(_positives(spark, sf))
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WHITESPACE_RUN}|{WHITESPACE_RUN}$', '', 'g')"
+
+
+@register("journal_spread", f"""
+WITH j AS (SELECT {sql_strip('journal')} AS journal, seq FROM {POSITIVES_SQL}),
+per AS (SELECT journal, count(*) AS count, min(seq) AS first_seen FROM j
+        WHERE journal IS NOT NULL AND journal <> '' AND journal <> 'nan' GROUP BY journal),
+tot AS (SELECT count(*) AS total_journals, CAST(coalesce(sum(count), 0) AS BIGINT)
+        AS total_articles_with_journal FROM per),
+ranked AS (SELECT row_number() OVER (ORDER BY count DESC, first_seen) AS rank, * FROM per)
+SELECT rank, journal, count,
+  round(count / greatest(total_articles_with_journal, 1) * 100, 1) AS percentage,
+  total_journals, total_articles_with_journal
+FROM ranked, tot WHERE rank <= 15""")
+def q_journal_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: top 15 journals of the positives, first-seen order on ties."""
+    from paperlens.operators.impact import journal_spread
+    return journal_spread(_positives(spark, sf), 15).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("yearly_stats", f"""
+SELECT year, count(*) AS count, round(avg(cited_by_count), 6) AS mean_citations,
+  CAST(sum(cited_by_count) AS BIGINT) AS total_citations
+FROM {ORDER_ARTICLES_SQL} WHERE year IS NOT NULL GROUP BY year""")
+def q_yearly_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 on the dated table."""
+    from paperlens.operators.impact import yearly_stats
+    return _round_doubles(yearly_stats(orders_as_articles(spark, sf)))
+
+
+@register("class_counts", f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE label = 1) AS positive,
+  count(*) FILTER (WHERE label = 0) AS negative FROM {LABELLED_ARTICLES_SQL}""")
+def q_class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A11."""
+    from paperlens.operators.impact import class_counts_summary
+    return class_counts_summary(documents_as_articles(spark, sf, labelled=True))
+
+
+@register("impact_summary", f"""
+SELECT (SELECT count(*) FROM {POSITIVES_SQL}) AS dataset_size,
+  (SELECT CAST(sum(cited_by_count) AS BIGINT) FROM {POSITIVES_SQL}) AS total_citations,
+  (SELECT count(DISTINCT journal) FROM {POSITIVES_SQL}) AS total_journals,
+  (SELECT count(*) FILTER (WHERE is_open_access) FROM {POSITIVES_SQL}) AS open_access_count,
+  (SELECT count(DISTINCT year) FROM {POSITIVES_SQL}) AS n_years""")
+def q_impact_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: the nested all-metrics row, flattened to a few of its fields."""
+    from paperlens.operators.impact import all_impact_metrics
+    m = all_impact_metrics(documents_as_articles(spark, sf, labelled=True), positive=True)
+    return m.select("dataset_size", F.col("citations.total_citations").alias("total_citations"),
+                    F.col("journals.total_journals").alias("total_journals"),
+                    F.col("open_access.open_access_count").alias("open_access_count"),
+                    F.size("yearly_stats").alias("n_years"))
+
+
+# ---------------------------------------------------------------- A6-A8, W1, W2, P4-P9
+
+@register("trend_table", f"""
+WITH y AS (SELECT year, count(*) AS count FROM {ORDER_ARTICLES_SQL} WHERE year IS NOT NULL GROUP BY year)
+SELECT year, count,
+  round((CAST(count AS DOUBLE) / lag(count) OVER (ORDER BY year) - 1.0) * 100.0, 6) AS growth_rate,
+  CAST(sum(count) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+    AS cumulative
+FROM y""")
+def q_trend_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 + W1 + W2 (V1, V2): yearly count, growth, cumulative."""
+    from paperlens.operators.trends import trend_table
+    return trend_table(orders_as_articles(spark, sf)).withColumn("growth_rate", r6(F.col("growth_rate")))
+
+
+@register("trend_summary", f"""
+WITH y AS (SELECT year, count(*) AS count FROM {ORDER_ARTICLES_SQL} WHERE year IS NOT NULL GROUP BY year),
+g AS (SELECT year, count, (CAST(count AS DOUBLE) / lag(count) OVER (ORDER BY year) - 1.0) * 100.0 AS gr FROM y)
+SELECT CAST(sum(count) AS BIGINT) AS total_publications,
+  CAST(min(year) AS VARCHAR) || '–' || CAST(max(year) AS VARCHAR) AS year_range,
+  arg_min(year, (-count, year)) AS peak_year, max(count) AS peak_count,
+  round(avg(count), 1) AS average_per_year, round(avg(gr), 1) AS average_growth_rate,
+  count(gr) AS n_growth_rates
+FROM g""")
+def q_trend_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 (scalar part; the maps are checked through trend_table)."""
+    from paperlens.operators.trends import trend_summary
+    s = trend_summary(orders_as_articles(spark, sf))
+    return s.select("total_publications", "year_range", "peak_year", "peak_count",
+                    "average_per_year", "average_growth_rate",
+                    F.size("growth_rates").cast("long").alias("n_growth_rates"))
+
+
+# --- fixed values: phrase rules that hit the driver's invented prose ---
+PROSE_RULES = [
+    LabelRule(rule_text(r), r, lab) for r, lab in [
+        (all_of("the ", " and "), 1),
+        (any_of(" des ", " les "), 0),
+        (all_of(" und ", any_of("nicht", "für")), 1),
+        (all_of("tion the", "ement"), 0),
+    ]]
+GRID_YEARS = list(range(2018, 2026))
+
+
+def _rules_union_sql(src: str, cap: int | None) -> str:
+    lt = "lower(title || ' ' || abstract)"
+    parts = []
+    for i, r in enumerate(PROSE_RULES):
+        sel = (f"SELECT doc_id, seq, year, {i} AS rule_ord, CAST({r.label} AS INTEGER) AS label, "
+               f"{sql_str(r.name)} AS query FROM {src} WHERE {rule_sql(r.rule, lt)}")
+        parts.append(sel)
+    body = " UNION ALL ".join(parts)
+    if cap:
+        body = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_ord ORDER BY seq) AS rn "
+                f"FROM ({body})) WHERE rn <= {cap}")
+    return body
+
+
+NONEMPTY_DOCS_SQL = f"(SELECT * FROM {DOCUMENT_ARTICLES_SQL} WHERE title <> '' AND abstract <> '')"
+
+
+@register("phrase_rules", f"""
+SELECT doc_id, rule_ord, label, query FROM ({_rules_union_sql(NONEMPTY_DOCS_SQL, 100)})""")
+def q_phrase_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """P4, P6, P7, P9 + O4: labelled hits per rule, empty titles/abstracts dropped,
+    first 100 hits per rule."""
+    from paperlens.operators.preprocess import collect_labelled
+    a = documents_as_articles(spark, sf)
+    out = collect_labelled(a, PROSE_RULES, max_per_rule=100, order_col="seq")
+    return out.select("doc_id", F.col("rule_ord").cast("int").alias("rule_ord"), "label", "query")
+
+
+@register("query_year_grid", f"""
+WITH g AS (SELECT * FROM (VALUES {', '.join(f"({sql_str(r.name)}, {i})" for i, r in enumerate(PROSE_RULES))})
+           AS r(query, rule_ord), (SELECT unnest(range(2018, 2026)) AS year)),
+h AS (SELECT query, year, count(*) AS n FROM ({_rules_union_sql(DOCUMENT_ARTICLES_SQL, None)})
+      GROUP BY query, year)
+SELECT g.query, CAST(g.rule_ord AS INTEGER) AS rule_ord, CAST(g.year AS INTEGER) AS year,
+  coalesce(h.n, 0) AS n
+FROM g LEFT JOIN h ON g.query = h.query AND g.year = h.year""")
+def q_query_year_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits per (rule, year), every pair present."""
+    from paperlens.operators.matching import match_article_text
+    from paperlens.operators.trends import query_year_grid
+    a = documents_as_articles(spark, sf).select("year", match_article_text().alias("match_text"))
+    return query_year_grid(a, PROSE_RULES, GRID_YEARS, "match_text", "year")
+
+
+@register("year_filter", f"""
+SELECT id, first_pub_date, year FROM {ORDER_ARTICLES_SQL}
+WHERE first_pub_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""")
+def q_year_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """P5: inclusive publication-date window (pushed into the Parquet scan)."""
+    from paperlens.operators.preprocess import date_window
+    return date_window(orders_as_articles(spark, sf), 1996, 1998).select("id", "first_pub_date", "year")
