@@ -512,3 +512,143 @@ def q_year_filter(spark: SparkSession, sf: str) -> DataFrame:
     """P5: inclusive publication-date window (pushed into the Parquet scan)."""
     from paperlens.operators.preprocess import date_window
     return date_window(orders_as_articles(spark, sf), 1996, 1998).select("id", "first_pub_date", "year")
+
+
+# ---------------------------------------------------------------- D1-D7
+
+def _uid_sql() -> str:
+    title = sql_strip("lower(coalesce(title, ''))")
+    return (f"coalesce('pmid:' || nullif(pmid, ''), 'doi:' || nullif(doi, ''), "
+            f"'pmcid:' || nullif(pmcid, ''), 'title:' || {title})")
+
+
+@register("dedup_keep_first", f"""
+SELECT uid, arg_min(doc_id, seq) AS doc_id, count(*) AS n_copies
+FROM (SELECT *, {_uid_sql()} AS uid FROM {DOCUMENT_ARTICLES_SQL}) GROUP BY uid""")
+def q_dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 + D2: namespaced id key, first row kept; with the number of copies."""
+    from paperlens.operators.curate import dedup_keep_first, with_dedup_key
+    a = with_dedup_key(documents_as_articles(spark, sf))
+    kept = dedup_keep_first(a.select("uid", "doc_id", "seq"), "uid", "seq")
+    copies = a.groupBy("uid").agg(F.count("*").alias("n_copies"))
+    return kept.join(copies, "uid").select("uid", "doc_id", "n_copies")
+
+
+COLLECTED_SQL = f"""(
+  WITH a AS (SELECT *, {_uid_sql()} AS uid FROM {LABELLED_ARTICLES_SQL}),
+  d AS (SELECT label, uid, arg_min(doc_id, seq) AS doc_id FROM a GROUP BY label, uid),
+  r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(uid || ':42'), uid) AS rk FROM d),
+  k AS (SELECT least(coalesce(max(n) FILTER (WHERE label = 0), 0),
+                     coalesce(max(n) FILTER (WHERE label = 1), 0)) AS k
+        FROM (SELECT label, count(*) AS n FROM d GROUP BY label))
+  SELECT label, uid, doc_id FROM r, k WHERE rk <= k.k)"""
+
+
+@register("collect_balance", f"SELECT label, uid, doc_id FROM {COLLECTED_SQL}")
+def q_collect_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """D6 (D1-D3): dedup within each class, then exact down-sampling (seed 42)."""
+    from paperlens.operators.curate import collection_pipeline
+    a = documents_as_articles(spark, sf, labelled=True).select(
+        "doc_id", "seq", "pmid", "doi", "pmcid", "title", "label")
+    return collection_pipeline(a, True, 42).select("label", "uid", "doc_id")
+
+
+def _quota_sql(counts: str, train: float, val: float, test: float) -> str:
+    tf, rel = val + test, test / (val + test)
+    d = lambda x: f"CAST({x!r} AS DOUBLE)"
+    return f"""
+  t1 AS (SELECT *, sum(n) OVER () AS total FROM {counts}),
+  t2 AS (SELECT *, total - CAST(ceil({d(tf)} * total) AS BIGINT) AS draws FROM t1),
+  t3 AS (SELECT *, CASE WHEN total > 0 THEN CAST(n AS DOUBLE) / total * draws ELSE 0.0 END AS cont FROM t2),
+  t4 AS (SELECT *, floor(cont) AS fl, draws - sum(floor(cont)) OVER () AS need FROM t3),
+  t5 AS (SELECT *, row_number() OVER (ORDER BY cont - fl DESC, label) AS rk FROM t4),
+  t6 AS (SELECT label, n, CAST(fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS BIGINT) AS n_train FROM t5),
+  u1 AS (SELECT *, n - n_train AS tmp, sum(n - n_train) OVER () AS m FROM t6),
+  u2 AS (SELECT *, m - CAST(ceil({d(rel)} * m) AS BIGINT) AS draws2 FROM u1),
+  u3 AS (SELECT *, CASE WHEN m > 0 THEN CAST(tmp AS DOUBLE) / m * draws2 ELSE 0.0 END AS cont2 FROM u2),
+  u4 AS (SELECT *, floor(cont2) AS fl2, draws2 - sum(floor(cont2)) OVER () AS need2 FROM u3),
+  u5 AS (SELECT *, row_number() OVER (ORDER BY cont2 - fl2 DESC, label) AS rk2 FROM u4),
+  q AS (SELECT label, n, n_train, CAST(fl2 + CASE WHEN rk2 <= need2 THEN 1 ELSE 0 END AS BIGINT) AS n_val
+        FROM u5)"""
+
+
+SPLIT_SQL = f"""(
+  WITH a AS (SELECT doc_id, label FROM {LABELLED_ARTICLES_SQL}),
+  c AS (SELECT label, count(*) AS n FROM a GROUP BY label),
+  {_quota_sql('c', 0.7, 0.15, 0.15)},
+  r AS (SELECT a.*, row_number() OVER (PARTITION BY label
+          ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS rk FROM a)
+  SELECT r.doc_id, r.label, CASE WHEN rk <= n_train THEN 'train' WHEN rk <= n_train + n_val
+    THEN 'val' ELSE 'test' END AS split
+  FROM r JOIN q USING (label))"""
+
+
+def labelled_splits(spark: SparkSession, sf: str) -> DataFrame:
+    from paperlens.operators.curate import create_splits
+    a = documents_as_articles(spark, sf, labelled=True).select("doc_id", "label")
+    return create_splits(a, 0.7, 0.15, 0.15, seed=42, stratify=True)
+
+
+@register("split", f"SELECT doc_id, label, split FROM {SPLIT_SQL}")
+def q_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Stratified exact 70/15/15 split in md5 order (seed 42)."""
+    return labelled_splits(spark, sf).select("doc_id", "label", "split")
+
+
+@register("split_stats", f"""
+SELECT split, count(*) AS size, CAST(coalesce(sum(label), 0) AS BIGINT) AS positive,
+  count(*) FILTER (WHERE label = 0) AS negative FROM {SPLIT_SQL} GROUP BY split""")
+def q_split_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """D5 + D7: per-split size / positive / negative."""
+    from paperlens.operators.curate import split_stats
+    return split_stats(labelled_splits(spark, sf))
+
+
+@register("split_unstratified", f"""
+WITH a AS (SELECT doc_id, label, 0 AS grp FROM {LABELLED_ARTICLES_SQL}),
+c AS (SELECT 0 AS label, count(*) AS n FROM a),
+{_quota_sql('c', 0.6, 0.2, 0.2)},
+r AS (SELECT a.*, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7'), doc_id) AS rk FROM a)
+SELECT r.doc_id, r.label, CASE WHEN rk <= n_train THEN 'train' WHEN rk <= n_train + n_val THEN 'val'
+  ELSE 'test' END AS split
+FROM r, q""")
+def q_split_unstratified(spark: SparkSession, sf: str) -> DataFrame:
+    """D4 without stratification, 60/20/20, seed 7."""
+    from paperlens.operators.curate import create_splits
+    a = documents_as_articles(spark, sf, labelled=True).select("doc_id", "label")
+    return create_splits(a, 0.6, 0.2, 0.2, seed=7, stratify=False).select("doc_id", "label", "split")
+
+
+# ---------------------------------------------------------------- A9, A10
+
+@register("annotation_types", """
+SELECT user_id AS ext_id, event_type AS type, count(*) AS n,
+  arg_min(props, event_id) AS example_exact,
+  substr(arg_min('evt-' || CAST(event_id AS VARCHAR) || ' ' || props, event_id), 1, 30) AS example_prefix
+FROM events GROUP BY user_id, event_type""")
+def q_annotation_types(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 on events read as annotations: (article=user, type) counts and first example."""
+    from paperlens.operators.annotations import annotation_type_counts_long
+    e = read_table(spark, sf, "events").select(
+        F.col("user_id").alias("ext_id"), F.col("event_id").alias("pos"),
+        F.col("event_type").alias("type"), F.col("props").alias("exact"),
+        F.concat(F.lit("evt-"), F.col("event_id").cast("string"), F.lit(" "), F.col("props"))
+        .alias("prefix"))
+    return annotation_type_counts_long(e, "ext_id", "pos")
+
+
+@register("field_inventory", """
+SELECT * FROM (VALUES ('doc_id', 'bigint'), ('lang', 'string'), ('n_chars', 'bigint'),
+                      ('source', 'string'), ('text', 'string')) AS k(key, type)
+JOIN (
+  SELECT 'doc_id' AS key, count(doc_id) AS non_null,
+         arg_min(substr(CAST(doc_id AS VARCHAR), 1, 80), doc_id) AS preview FROM documents
+  UNION ALL SELECT 'lang', count(lang), arg_min(substr(lang, 1, 80), doc_id) FILTER (WHERE lang IS NOT NULL) FROM documents
+  UNION ALL SELECT 'n_chars', count(n_chars), arg_min(substr(CAST(n_chars AS VARCHAR), 1, 80), doc_id) FILTER (WHERE n_chars IS NOT NULL) FROM documents
+  UNION ALL SELECT 'source', count(source), arg_min(substr(source, 1, 80), doc_id) FILTER (WHERE source IS NOT NULL) FROM documents
+  UNION ALL SELECT 'text', count(text), arg_min(substr(text, 1, 80), doc_id) FILTER (WHERE text IS NOT NULL) FROM documents
+) USING (key)""")
+def q_field_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: per column type, non-null count and a preview of the first value."""
+    from paperlens.operators.annotations import field_inventory
+    return field_inventory(read_table(spark, sf, "documents"), order_col="doc_id")
