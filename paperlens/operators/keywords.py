@@ -49,20 +49,25 @@ def ngram_terms(df: DataFrame, text_col: str, ngram_range: tuple[int, int] = (1,
             .drop("__tok", "__flt", *[f"__ng{n}" for n in range(max(lo, 2), hi + 1)]))
 
 
-def term_frequencies(terms: Column) -> Column:
+def with_term_frequencies(df: DataFrame, terms_col: str, out: str = "tfs") -> DataFrame:
     """array<string> -> array<struct<term, tf>> of distinct terms with counts.
 
     Sorting puts equal terms next to each other; run starts and their lengths
     give the counts in O(n log n) per row, without exploding and re-grouping.
+    The sorted array and the run starts are materialised as their own columns
+    so that every lambda reads them in O(1).
     """
-    s = F.array_sort(terms)
+    s, st = F.col("__sorted"), F.col("__starts")
     n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: F.when(i > n, F.lit(False)).when(i == 1, F.lit(True))
-                      .otherwise(F.element_at(s, i) != F.element_at(s, i - 1)))
-    return F.transform(starts, lambda st, k: F.struct(
-        F.element_at(s, st).alias("term"),
-        (F.coalesce(F.try_element_at(starts, k + 2), n + 1) - st).cast("long").alias("tf")))
+    staged = df.withColumn("__sorted", F.array_sort(F.col(terms_col)))
+    staged = staged.withColumn("__starts", F.filter(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda i: F.when(i > n, F.lit(False)).when(i == 1, F.lit(True))
+        .otherwise(F.element_at(s, i) != F.element_at(s, i - 1))))
+    staged = staged.withColumn(out, F.transform(st, lambda p, k: F.struct(
+        F.element_at(s, p).alias("term"),
+        (F.coalesce(F.try_element_at(st, k + 2), n + 1) - p).cast("long").alias("tf"))))
+    return staged.drop("__sorted", "__starts")
 
 
 def doc_term_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -71,8 +76,8 @@ def doc_term_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """Per document: ``(partition_cols..., doc_id, tfs array<struct<term, tf>>)``."""
     base = docs.select(*partition_cols, F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"))
     with_terms = ngram_terms(base, "__t", ngram_range, stop_words, "__terms")
-    return with_terms.select(*partition_cols, "doc_id",
-                             term_frequencies(F.col("__terms")).alias("tfs"))
+    return with_term_frequencies(with_terms.select(*partition_cols, "doc_id", "__terms"),
+                                 "__terms", "tfs").select(*partition_cols, "doc_id", "tfs")
 
 
 def fit_vocabulary(dtc: DataFrame, max_features: int | None = 5000,

@@ -652,3 +652,66 @@ def q_field_inventory(spark: SparkSession, sf: str) -> DataFrame:
     """A10: per column type, non-null count and a preview of the first value."""
     from paperlens.operators.annotations import field_inventory
     return field_inventory(read_table(spark, sf, "documents"), order_col="doc_id")
+
+
+# ---------------------------------------------------------------- K1, K3, V6
+
+def _tfidf_sql(docs_sql: str, n: int, max_features: int, part: str | None = None) -> str:
+    """TF-IDF keywords in SQL (part = optional class column fitted separately)."""
+    from paperlens.functions.text import TOKEN_PATTERN, english_stop_words
+    sw = ", ".join(sql_str(w) for w in english_stop_words())
+    p = part or "0"
+    return f"""
+WITH sw AS (SELECT unnest([{sw}]) AS w),
+d AS (SELECT {p} AS part, doc_id, text FROM {docs_sql}),
+t AS (SELECT part, doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos
+      FROM (SELECT part, doc_id, regexp_extract_all(lower(coalesce(text, '')), {sql_str(TOKEN_PATTERN)})
+            AS toks FROM d)),
+f AS (SELECT part, doc_id, tok, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p
+      FROM t WHERE tok NOT IN (SELECT w FROM sw)),
+terms AS (SELECT part, doc_id, tok AS term FROM f
+          UNION ALL SELECT a.part, a.doc_id, a.tok || ' ' || b.tok FROM f a JOIN f b
+          ON a.doc_id = b.doc_id AND b.p = a.p + 1),
+tf AS (SELECT part, doc_id, term, count(*) AS tf FROM terms GROUP BY part, doc_id, term),
+nd AS (SELECT part, count(*) AS n FROM d GROUP BY part),
+st AS (SELECT part, term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY part, term),
+voc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY cf DESC, term) AS r
+        FROM st) WHERE r <= {max_features}),
+w AS (SELECT tf.part, tf.doc_id, tf.term,
+        (1 + ln(tf.tf)) * (ln((1.0 + nd.n) / (1.0 + voc.df)) + 1.0) AS w
+      FROM tf JOIN voc ON tf.part = voc.part AND tf.term = voc.term JOIN nd ON nd.part = tf.part),
+nw AS (SELECT part, term, w / sqrt(sum(w * w) OVER (PARTITION BY part, doc_id)) AS x FROM w),
+sc AS (SELECT nw.part, term, sum(x) / min(nd.n) AS score FROM nw JOIN nd ON nd.part = nw.part
+       GROUP BY nw.part, term),
+rk AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, term) AS rank FROM sc)
+SELECT part, rank, term, score FROM rk WHERE rank <= {n}"""
+
+
+@register("tfidf_keywords", f"""
+SELECT rank, term, round(score, 6) AS score FROM ({_tfidf_sql('documents', 50, 5000)})""")
+def q_tfidf_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: top 50 TF-IDF keywords (1-2 grams, sublinear, 5000 features) of all documents."""
+    from paperlens.operators.keywords import tfidf_keywords
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    kw = tfidf_keywords(d, "text", "doc_id", 50, 5000)
+    return kw.select(F.col("rank").cast("long").alias("rank"), "term", r6(F.col("score")).alias("score"))
+
+
+KEYWORD_DOCS_SQL = f"(SELECT doc_id, label, text FROM {PREPROCESS_SQL} WHERE length(text) > 50)"
+
+
+@register("keyword_compare", f"""
+WITH k AS ({_tfidf_sql(KEYWORD_DOCS_SQL, 60, 5000, 'label')}),
+pos AS (SELECT term, score AS pos_score FROM k WHERE part = 1 AND rank <= 30),
+neg AS (SELECT term, score AS neg_score FROM k WHERE part = 0 AND rank <= 30)
+SELECT CASE WHEN neg_score IS NULL THEN 'positive_distinctive'
+            WHEN pos_score IS NULL THEN 'negative_distinctive' ELSE 'shared' END AS kind,
+  coalesce(pos.term, neg.term) AS term, round(pos_score, 6) AS pos_score, round(neg_score, 6) AS neg_score
+FROM pos FULL OUTER JOIN neg ON pos.term = neg.term""")
+def q_keyword_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """K3 (+ U2, U3): per-class keywords on the combined text, distinctive and shared."""
+    from paperlens.operators.keywords import compare_keywords
+    p = preprocessed_articles(spark, sf).select("doc_id", "label", "text")
+    out = compare_keywords(p, "label", "text", "doc_id", 30, 5000)
+    return out.select("kind", "term", r6(F.col("pos_score")).alias("pos_score"),
+                      r6(F.col("neg_score")).alias("neg_score"))
