@@ -715,3 +715,146 @@ def q_keyword_compare(spark: SparkSession, sf: str) -> DataFrame:
     out = compare_keywords(p, "label", "text", "doc_id", 30, 5000)
     return out.select("kind", "term", r6(F.col("pos_score")).alias("pos_score"),
                       r6(F.col("neg_score")).alias("neg_score"))
+
+
+# ---------------------------------------------------------------- M6-M9, M11, M14, V4, V5
+
+# rule-based scorers over the labelled documents: (model name, p1 expression)
+SCORERS = [
+    ("heuristic/length", "n_chars / (n_chars + 2000.0)"),
+    ("heuristic/citations", "cited_by_count / 100.0"),
+    ("heuristic/open_access", "CASE WHEN is_open_access THEN 0.9 ELSE 0.1 END"),
+]
+
+SCORED_SQL = "(" + " UNION ALL ".join(
+    f"SELECT {sql_str(m)} AS model, {i} AS ord, label, CAST({e} AS DOUBLE) AS p1, "
+    f"CASE WHEN CAST({e} AS DOUBLE) >= 0.5 THEN 1 ELSE 0 END AS prediction "
+    f"FROM (SELECT a.*, d.n_chars FROM {LABELLED_ARTICLES_SQL} a JOIN documents d USING (doc_id))"
+    for i, (m, e) in enumerate(SCORERS)) + ")"
+
+
+def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    a = documents_as_articles(spark, sf, labelled=True).join(
+        read_table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    parts = []
+    for i, (m, e) in enumerate(SCORERS):
+        p1 = F.expr(f"CAST({e} AS DOUBLE)")
+        parts.append(a.select(F.lit(m).alias("model"), F.lit(i).alias("ord"), "label",
+                              p1.alias("p1"), F.when(p1 >= 0.5, 1).otherwise(0).alias("prediction")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _eval_sql() -> str:
+    return f"""
+WITH s AS {SCORED_SQL},
+c AS (SELECT model, min(ord) AS ord,
+  count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+  count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp
+  FROM s GROUP BY model),
+per AS (SELECT model, p1, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+        FROM s GROUP BY model, p1),
+cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p1
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per),
+auc AS (SELECT model, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) AS auc_roc
+        FROM cum GROUP BY model)
+SELECT c.*, CASE WHEN tp + tn + fp + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + tn + fp + fn) END AS accuracy,
+  CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+  CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+  CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1, auc.auc_roc
+FROM c JOIN auc USING (model)"""
+
+
+@register("evaluate_scorers", f"""
+SELECT model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1, round(auc_roc, 6) AS auc_roc, tn, fp, fn, tp FROM ({_eval_sql()})""")
+def q_evaluate_scorers(spark: SparkSession, sf: str) -> DataFrame:
+    """M6, M7, M9: metrics, confusion counts and exact AUC per scorer."""
+    from paperlens.operators.evaluation import evaluate
+    e = evaluate(scored_rows(spark, sf), by=["model"])
+    return e.select("model", *[r6(F.col(m)).alias(m) for m in
+                               ("accuracy", "precision", "recall", "f1", "auc_roc")],
+                    "tn", "fp", "fn", "tp")
+
+
+@register("class_report", f"""
+WITH c AS ({_eval_sql()}),
+k AS (SELECT model, tn, fp, fn, tp, tn + fp + fn + tp AS n,
+  CASE WHEN tn + fn = 0 THEN 0.0 ELSE tn / (tn + fn) END AS p0, CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS r0,
+  CASE WHEN 2 * tn + fn + fp = 0 THEN 0.0 ELSE 2 * tn / (2 * tn + fn + fp) END AS f0,
+  precision AS p1, recall AS r1, f1 AS f1_, accuracy, tn + fp AS s0, fn + tp AS s1 FROM c)
+SELECT model, class, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1_score, 6) AS f1_score, support FROM (
+  SELECT model, '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM k
+  UNION ALL SELECT model, '1', p1, r1, f1_, s1 FROM k
+  UNION ALL SELECT model, 'accuracy', NULL, NULL, accuracy, n FROM k
+  UNION ALL SELECT model, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1_) / 2, n FROM k
+  UNION ALL SELECT model, 'weighted avg', CASE WHEN n = 0 THEN 0.0 ELSE (p0 * s0 + p1 * s1) / n END,
+    CASE WHEN n = 0 THEN 0.0 ELSE (r0 * s0 + r1 * s1) / n END,
+    CASE WHEN n = 0 THEN 0.0 ELSE (f0 * s0 + f1_ * s1) / n END, n FROM k)""")
+def q_class_report(spark: SparkSession, sf: str) -> DataFrame:
+    """M8: classification report in long form per scorer."""
+    from paperlens.operators.evaluation import classification_report
+    r = classification_report(scored_rows(spark, sf), by=["model"])
+    return r.select("model", "class", r6(F.col("precision")).alias("precision"),
+                    r6(F.col("recall")).alias("recall"), r6(F.col("f1_score")).alias("f1_score"),
+                    "support")
+
+
+@register("model_compare", f"""
+WITH c AS ({_eval_sql()}),
+t AS (SELECT ord, 'TF-IDF + ' || split_part(model, '/', -1) AS model, 'baseline' AS type,
+  accuracy, precision, recall, f1, auc_roc FROM c),
+b AS (SELECT model FROM t ORDER BY f1 DESC, ord LIMIT 1)
+SELECT t.model, type, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(f1, 6) AS f1, round(coalesce(auc_roc, 0.0), 6) AS auc_roc,
+  t.model = (SELECT model FROM b) AS is_best FROM t""")
+def q_model_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """M11 + O5 + P12: comparison table (missing -> 0) and the best model by F1."""
+    from paperlens.functions.coerce import baseline_model_label, short_model_name
+    from paperlens.operators.evaluation import best_model, comparison_table, evaluate
+    e = evaluate(scored_rows(spark, sf), by=["model", "ord"])
+    res = e.select("ord", baseline_model_label(short_model_name("model")).alias("model"),
+                   F.lit("baseline").alias("type"), "accuracy", "precision", "recall", "f1", "auc_roc")
+    table = comparison_table(res)
+    best = best_model(table).select(F.col("model").alias("best"))
+    return (table.crossJoin(best)  # best: one row
+            .select("model", "type", *[r6(F.col(m)).alias(m) for m in
+                                       ("accuracy", "precision", "recall", "f1", "auc_roc")],
+                    (F.col("model") == F.col("best")).alias("is_best")))
+
+
+@register("log_loss", f"""
+SELECT model, round(avg(-ln(greatest(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END, 1e-15))), 6) AS loss
+FROM {SCORED_SQL} GROUP BY model""")
+def q_log_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean per-row cross-entropy of the scored rows."""
+    from paperlens.operators.evaluation import mean_log_loss
+    return mean_log_loss(scored_rows(spark, sf), by=["model"]).withColumn("loss", r6(F.col("loss")))
+
+
+@register("confusion_cells", f"""
+WITH c AS ({_eval_sql()})
+SELECT model, 0 AS true_label, 0 AS predicted_label, tn AS n FROM c
+UNION ALL SELECT model, 0, 1, fp FROM c UNION ALL SELECT model, 1, 0, fn FROM c
+UNION ALL SELECT model, 1, 1, tp FROM c""")
+def q_confusion_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """V5: confusion-matrix cells per scorer."""
+    from paperlens.operators.evaluation import confusion_cells, evaluate
+    e = evaluate(scored_rows(spark, sf), by=["model"])
+    return confusion_cells(e, ["model"])
+
+
+@register("metrics_long", f"""
+WITH c AS ({_eval_sql()})
+SELECT model, metric_ord, metric, round(value, 6) AS value FROM (
+  SELECT model, 0 AS metric_ord, 'accuracy' AS metric, accuracy AS value FROM c
+  UNION ALL SELECT model, 1, 'precision', precision FROM c UNION ALL SELECT model, 2, 'recall', recall FROM c
+  UNION ALL SELECT model, 3, 'f1', f1 FROM c UNION ALL SELECT model, 4, 'auc_roc', auc_roc FROM c)""")
+def q_metrics_long(spark: SparkSession, sf: str) -> DataFrame:
+    """V4: model x metric long table in fixed metric order."""
+    from paperlens.operators.evaluation import evaluate, metrics_long
+    e = evaluate(scored_rows(spark, sf), by=["model"])
+    return metrics_long(e).withColumn("value", r6(F.col("value")))
