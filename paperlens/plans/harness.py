@@ -858,3 +858,143 @@ def q_metrics_long(spark: SparkSession, sf: str) -> DataFrame:
     from paperlens.operators.evaluation import evaluate, metrics_long
     e = evaluate(scored_rows(spark, sf), by=["model"])
     return metrics_long(e).withColumn("value", r6(F.col("value")))
+
+
+# ---------------------------------------------------------------- S1-S7 on responses derived from the tables
+
+def search_pages_from_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Search-response pages built from ``documents`` and passed through JSON
+    text, as a landing job would store them: query = source, 100 results per
+    page, optional fields left out (journal missing for every fifth document)."""
+    from paperlens.schemas import SEARCH_RESPONSE_SCHEMA
+    a = documents_as_articles(spark, sf)
+    raw = F.struct(
+        F.nullif(F.col("pmid"), F.lit("")).alias("pmid"), F.nullif(F.col("pmcid"), F.lit("")).alias("pmcid"),
+        F.nullif(F.col("doi"), F.lit("")).alias("doi"), F.col("title").alias("title"),
+        F.nullif(F.col("abstract"), F.lit("")).alias("abstractText"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("journal")).alias("journalTitle"),
+        F.col("year").cast("string").alias("pubYear"),
+        F.col("cited_by_count").cast("long").alias("citedByCount"),
+        F.when(F.col("is_open_access"), F.lit("Y")).otherwise(F.lit("N")).alias("isOpenAccess"),
+        F.lit("MED").alias("source"),
+        F.struct(F.col("keywords").alias("keyword")).alias("keywordList"))
+    # one page holds at most 100 results: a bounded group
+    pages = (a.select(F.col("journal").alias("query"), (F.col("doc_id") / 100).cast("long").alias("page"),
+                      F.struct(F.col("doc_id").alias("k"), raw.alias("r")).alias("e"))
+             .groupBy("query", "page")
+             .agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["r"]).alias("result")))
+    js = pages.select(F.to_json(F.struct("query", "page", F.struct("result").alias("resultList")))
+                      .alias("line"))
+    return js.select(F.from_json("line", SEARCH_RESPONSE_SCHEMA).alias("p")).select("p.*")
+
+
+@register("article_extract", f"""
+SELECT query, pmid, doi, title, abstract, journal, year, cited_by_count, is_open_access,
+  array_to_string(keywords, ',') AS keywords, first_pub_date
+FROM (SELECT journal AS query, pmid, doi, title, abstract,
+        CASE WHEN doc_id % 5 <> 0 THEN journal ELSE '' END AS journal,
+        CAST(year AS VARCHAR) AS year, cited_by_count, is_open_access, keywords, '' AS first_pub_date,
+        row_number() OVER (PARTITION BY journal ORDER BY doc_id) AS rn
+      FROM {DOCUMENT_ARTICLES_SQL}) WHERE rn <= 40""")
+def q_article_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + S2: landed pages -> results in page order, first 40 per query ->
+    canonical fields with defaults for missing keys."""
+    from paperlens.sources.landed import articles_from_pages
+    arts = articles_from_pages(search_pages_from_documents(spark, sf), max_results=40)
+    return arts.select("query", "pmid", "doi", "title", "abstract", "journal", "year",
+                       "cited_by_count", "is_open_access",
+                       F.array_join("keywords", ",").alias("keywords"), "first_pub_date")
+
+
+@register("lookup_by_doi", f"""
+WITH ids AS (SELECT DISTINCT doi AS id FROM {LABELLED_ARTICLES_SQL} WHERE doi <> ''
+             UNION SELECT 'doi-missing-' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1),
+a AS (SELECT doi, arg_min(doc_id, seq) AS doc_id FROM {DOCUMENT_ARTICLES_SQL} WHERE doi <> '' GROUP BY doi)
+SELECT ids.id AS requested_id, a.doc_id FROM ids LEFT JOIN a ON a.doi = ids.id""")
+def q_lookup_by_doi(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 in bulk (+ J6): first article per requested DOI, NULL when unknown."""
+    from paperlens.sources.landed import lookup_by_id
+    lab = documents_as_articles(spark, sf, labelled=True)
+    ids = (lab.where(F.col("doi") != "").select(F.col("doi").alias("id"))
+           .unionByName(read_table(spark, sf, "labels").where(F.col("toxic") == 1)
+                        .select(F.concat(F.lit("doi-missing-"), F.col("doc_id").cast("string")).alias("id")))
+           .distinct())
+    arts = documents_as_articles(spark, sf).select("doc_id", "seq", "doi")
+    return lookup_by_id(arts, ids, "doi", "id", ["seq"]).select("requested_id", "doc_id")
+
+
+def link_pages_from_documents(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Citation (``citations``) or reference (``references``) pages per document:
+    document d is cited by d+1..d+3 and references d-1, d-2 (when >= 0)."""
+    from paperlens.schemas import CITATIONS_RESPONSE_SCHEMA, REFERENCES_RESPONSE_SCHEMA
+    d = read_table(spark, sf, "documents").select("doc_id", "source")
+    offs = [1, 2, 3] if kind == "citations" else [-1, -2]
+    ent = lambda k: F.when(F.col("doc_id") + k >= 0, F.struct(
+        (F.col("doc_id") + k).cast("string").alias("id"), F.lit("MED").alias("source"),
+        F.concat(F.lit("linked "), (F.col("doc_id") + k).cast("string")).alias("title")))
+    arr = F.filter(F.array(*[ent(k) for k in offs]), lambda x: x.isNotNull())
+    lst, item = ("citationList", "citation") if kind == "citations" else ("referenceList", "reference")
+    schema = CITATIONS_RESPONSE_SCHEMA if kind == "citations" else REFERENCES_RESPONSE_SCHEMA
+    js = d.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("article_id"),
+                                     F.lit("MED").alias("article_source"), F.lit(1).alias("page"),
+                                     F.struct(arr.alias(item)).alias(lst))).alias("line"))
+    return js.select(F.from_json("line", schema).alias("p")).select("p.*")
+
+
+@register("citation_edges", """
+SELECT CAST(doc_id AS VARCHAR) AS article_id, 'cited_by' AS direction, CAST(doc_id + k AS VARCHAR) AS other_id
+FROM documents, (SELECT unnest([1, 2]) AS k)
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), 'references', CAST(doc_id + k AS VARCHAR)
+FROM documents, (SELECT unnest([-1, -2]) AS k) WHERE doc_id + k >= 0""")
+def q_citation_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 + S5: flattened citation (first 2 per article) and reference edges."""
+    from paperlens.sources.landed import citation_edges, reference_edges
+    c = citation_edges(link_pages_from_documents(spark, sf, "citations"), max_results=2)
+    r = reference_edges(link_pages_from_documents(spark, sf, "references"), max_results=500)
+    return c.unionByName(r).select("article_id", "direction", "other_id")
+
+
+def annotation_records_from_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotation records built from ``events``: one record per user and block
+    of 50 event ids (a bounded list), annotations in event order."""
+    from paperlens.schemas import ANNOTATION_RECORD_SCHEMA
+    e = read_table(spark, sf, "events")
+    ann = F.struct(F.col("event_id").alias("k"), F.struct(
+        F.col("event_type").alias("type"), F.col("props").alias("exact"),
+        F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("prefix")).alias("a"))
+    rec = (e.groupBy("user_id", (F.col("event_id") / 50).cast("long").alias("blk"))
+           .agg(F.transform(F.array_sort(F.collect_list(ann)), lambda x: x["a"]).alias("annotations")))
+    js = rec.select(F.to_json(F.struct(F.lit("MED").alias("source"),
+                                       F.col("user_id").cast("string").alias("extId"),
+                                       "annotations")).alias("line"))
+    return js.select(F.from_json("line", ANNOTATION_RECORD_SCHEMA).alias("p")).select("p.*")
+
+
+@register("annotation_lookup", """
+SELECT CAST(user_id AS VARCHAR) AS ext_id, event_type AS type, props AS exact,
+  'evt-' || CAST(event_id AS VARCHAR) AS prefix
+FROM events WHERE event_type = 'error'
+  AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')""")
+def q_annotation_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 (+ J6 semi join): annotations of the requested ids, filtered by type."""
+    from paperlens.sources.landed import annotations
+    recs = annotation_records_from_events(spark, sf)
+    ids = (read_table(spark, sf, "events").where(F.col("event_type") == "purchase")
+           .select(F.col("user_id").cast("string").alias("id")))
+    out = annotations(recs, ids, "id", annotation_type="error")
+    return out.select(F.col("extId").alias("ext_id"), "type", "exact", "prefix")
+
+
+@register("rule_hit_counts", f"""
+SELECT rule_ord, query, count(*) AS hit_count FROM ({_rules_union_sql(DOCUMENT_ARTICLES_SQL, None)})
+GROUP BY rule_ord, query""")
+def q_rule_hit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Hit count of every rule without materialising the hits (one pass)."""
+    from paperlens.functions.rules import rule_column
+    a = documents_as_articles(spark, sf)
+    lt = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("abstract")))
+    one = a.agg(*[F.count_if(rule_column(r.rule, lt)).alias(f"c{i}") for i, r in enumerate(PROSE_RULES)])
+    rows = F.array(*[F.struct(F.lit(i).alias("rule_ord"), F.lit(r.name).alias("query"),
+                              F.col(f"c{i}").alias("hit_count")) for i, r in enumerate(PROSE_RULES)])
+    return one.select(F.explode(rows).alias("r")).select("r.*").where(F.col("hit_count") > 0)
