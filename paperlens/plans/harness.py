@@ -998,3 +998,57 @@ def q_rule_hit_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(i).alias("rule_ord"), F.lit(r.name).alias("query"),
                               F.col(f"c{i}").alias("hit_count")) for i, r in enumerate(PROSE_RULES)])
     return one.select(F.explode(rows).alias("r")).select("r.*").where(F.col("hit_count") > 0)
+
+
+# ---------------------------------------------------------------- M1-M5, M10, M12, M13 (rows-only)
+
+def _ml_splits(spark: SparkSession, sf: str) -> DataFrame:
+    from paperlens.operators.curate import create_splits
+    p = preprocessed_articles(spark, sf).select("doc_id", "label", "text")
+    return create_splits(p, 0.7, 0.15, 0.15, seed=42, stratify=True)
+
+
+def _model_eval(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    from paperlens.operators.classifiers import BaselineClassifier
+    sp = _ml_splits(spark, sf).cache()
+    clf = BaselineClassifier(name).fit(sp.where(F.col("split") == "train"))
+    ev = [clf.evaluate(sp.where(F.col("split") == s), split=s) for s in ("val", "test")]
+    return ev[0].unionByName(ev[1]).drop("confusion_matrix")
+
+
+@register("logreg_eval")
+def q_logreg_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """M1, M2, M5, M6: TF-IDF + logistic regression, val and test metrics."""
+    return _model_eval(spark, sf, "logistic_regression")
+
+
+@register("svm_eval")
+def q_svm_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """M1, M3, M5, M6: TF-IDF + calibrated linear SVM (3 folds)."""
+    return _model_eval(spark, sf, "svm")
+
+
+@register("forest_eval")
+def q_forest_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """M1, M4, M5, M6: TF-IDF + random forest (200 trees)."""
+    return _model_eval(spark, sf, "random_forest")
+
+
+@register("top_features")
+def q_top_features(spark: SparkSession, sf: str) -> DataFrame:
+    """15 strongest features per class of the logistic regression, rounded to 4."""
+    from paperlens.operators.classifiers import BaselineClassifier
+    sp = _ml_splits(spark, sf)
+    clf = BaselineClassifier("logistic_regression").fit(sp.where(F.col("split") == "train"))
+    return clf.top_features(15).withColumn("value", F.round("value", 4))
+
+
+@register("batch_score")
+def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
+    """M13 + M6 + M14: Arrow-batched scoring with a user model, then evaluation."""
+    from paperlens.operators.evaluation import evaluate, mean_log_loss
+    from paperlens.operators.scoring import batch_score, length_logit_model
+    p = preprocessed_articles(spark, sf).select("doc_id", "label", "text")
+    scored = batch_score(p, length_logit_model(), "text").cache()
+    ev = evaluate(scored)
+    return ev.crossJoin(mean_log_loss(scored)).drop("confusion_matrix")
