@@ -89,7 +89,8 @@ def fit_vocabulary(dtc: DataFrame, max_features: int | None = 5000,
     pc = list(partition_cols)
     n_docs = dtc.groupBy(*pc).agg(F.count("*").alias("n_docs")) if pc else \
         dtc.agg(F.count("*").alias("n_docs"))
-    pairs = dtc.select(*pc, F.explode("tfs").alias("p"))
+    # explode_outer: no inferred size(tfs) > 0 filter re-running the term counting
+    pairs = dtc.select(*pc, F.explode_outer("tfs").alias("p")).where(F.col("p").isNotNull())
     stats = (pairs.groupBy(*pc, F.col("p.term").alias("term"))
              .agg(F.sum("p.tf").alias("cf"), F.count("*").alias("df")))
     if max_features:
@@ -104,7 +105,8 @@ def fit_vocabulary(dtc: DataFrame, max_features: int | None = 5000,
 def weights(dtc: DataFrame, vocab: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:
     """Normalised TF-IDF weights in long form ``(partition_cols..., doc_id, term, weight)``."""
     pc = list(partition_cols)
-    pairs = dtc.select(*pc, "doc_id", F.explode("tfs").alias("p")).select(
+    pairs = dtc.select(*pc, "doc_id", F.explode_outer("tfs").alias("p")).where(
+        F.col("p").isNotNull()).select(
         *pc, "doc_id", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
     # vocabulary: at most max_features rows per partition value -> broadcast
     v = F.broadcast(vocab.select(*pc, "term", "idf"))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from paperlens.functions.text import NON_WORD_CHAR, WORD_CHAR, word_set
 from paperlens.operators.dictionary import SHORT_TERM_MAX_LEN
 
+MATCH_TYPE = "array<struct<category:string,cat_ord:int,ord:int,term:string>>"
 _WORD_RE = re.compile(r"^[^\W]+$")  # only word characters (Python \w = letters, digits, _)
 
 
@@ -128,16 +129,29 @@ def with_matches(df: DataFrame, dictionary, text_col: str = "text",
         staged = staged.withColumn(
             hits, F.array_intersect(word_set(F.col(ltext)), F.array(*[F.lit(s) for s in short])))
     hc = F.col(hits) if short else None
+    # one optional single-element array per term, concatenated: stays in generated code
+    # (a higher-order filter over the whole array would force interpreted evaluation)
+    empty = F.array().cast(MATCH_TYPE)
     elems = [F.when(cd.condition(t, F.col(ltext), hc),
-                    F.struct(F.lit(t.category).alias("category"),
-                             F.lit(t.cat_ord).alias("cat_ord"),
-                             F.lit(t.ord).alias("ord"),
-                             F.lit(t.term).alias("term")))
+                    F.array(F.struct(F.lit(t.category).alias("category"),
+                                     F.lit(t.cat_ord).alias("cat_ord"),
+                                     F.lit(t.ord).alias("ord"),
+                                     F.lit(t.term).alias("term")))).otherwise(empty)
              for t in cd.terms]
-    arr = F.filter(F.array(*elems), lambda x: x.isNotNull()) if elems else F.array()
+    arr = F.concat(*elems) if elems else empty
     return staged.withColumn(out, arr).drop(ltext, hits)
 
 
+def explode_matches(df: DataFrame, matches: str = "matches", out: str = "h") -> DataFrame:
+    """One row per matched term. ``explode_outer`` + a null filter: a plain
+    ``explode`` lets the optimizer infer ``size(matches) > 0`` and push it below
+    the match projection, which would evaluate the whole dictionary expression
+    a second time per row."""
+    cols = [c for c in df.columns if c != matches]
+    return (df.select(*cols, F.explode_outer(matches).alias(out))
+            .where(F.col(out).isNotNull()))
+
+
 def match_article_text(title="title", abstract="abstract") -> Column:
     """The text an article is matched on: ``title + ' ' + abstract`` (uncleaned)."""
     c = lambda x: F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
@@ -210,7 +224,7 @@ def dictionary_keywords(df: DataFrame, dictionary, text_col: str = "text",
     """
     cd = _as_compiled(dictionary)
     staged = with_matches(df.select(order_col, text_col), cd, text_col, "m")
-    hits = staged.select(F.col(order_col).alias("seq"), F.explode("m").alias("h"))
+    hits = explode_matches(staged.select(F.col(order_col).alias("seq"), "m"), "m", "h")
     agg = (hits.groupBy(F.col("h.term").alias("term"))
            .agg(F.count("*").alias("n_docs"),
                 F.min(F.struct(F.col("seq"), F.col("h.cat_ord"), F.col("h.ord"))).alias("first")))

@@ -81,7 +81,8 @@ def label_by_rules(df: DataFrame, rules: Sequence[LabelRule],
                                   F.lit(r.name).alias("query")))
                   for i, r in enumerate(rules)]),
         lambda x: x.isNotNull())
-    return (df.select("*", F.explode(hits).alias("__hit"))
+    # explode_outer + null filter: keeps the optimizer from re-evaluating the rules
+    return (df.select("*", F.explode_outer(hits).alias("__hit")).where(F.col("__hit").isNotNull())
             .select(*[F.col(f"`{c}`") for c in df.columns], "__hit.rule_ord", "__hit.label",
                     "__hit.query"))
 

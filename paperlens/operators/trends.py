@@ -93,7 +93,8 @@ def query_year_grid(df: DataFrame, rules: Sequence[LabelRule], years: Sequence[i
     hits = F.filter(F.array(*[F.when(rule_column(r.rule, lt), F.lit(r.name)) for r in rules]),
                     lambda x: x.isNotNull())
     counted = (df.where(F.col(year_col).isin(list(years)))
-               .select(F.col(year_col).cast("int").alias("year"), F.explode(hits).alias("query"))
+               .select(F.col(year_col).cast("int").alias("year"), F.explode_outer(hits).alias("query"))
+               .where(F.col("query").isNotNull())
                .groupBy("query", "year").agg(F.count("*").alias("n")))
     grid = spark.createDataFrame([(r.name, i, int(y)) for i, r in enumerate(rules) for y in years],
                                  "query string, rule_ord int, year int")

@@ -269,11 +269,12 @@ GROUP BY d.category, d.ord, d.term""")
 def q_dict_term_hits(spark: SparkSession, sf: str) -> DataFrame:
     """T1-T5 + T7: every dictionary term with its document count (0 when unmatched)."""
     from paperlens.operators.dictionary import build_dictionary
-    from paperlens.operators.matching import CompiledDictionary, match_article_text, with_matches
+    from paperlens.operators.matching import (
+        CompiledDictionary, explode_matches, match_article_text, with_matches)
     d = build_dictionary(spark)
     a = documents_as_articles(spark, sf).select(match_article_text().alias("match_text"))
-    hits = (with_matches(a, CompiledDictionary.from_df(d), "match_text", "m")
-            .select(F.explode("m").alias("h"))
+    hits = (explode_matches(with_matches(a, CompiledDictionary.from_df(d), "match_text", "m")
+                            .select("m"), "m", "h")
             .groupBy(F.col("h.category").alias("category"), F.col("h.ord").alias("ord"))
             .agg(F.count("*").alias("n")))
     # d: one row per dictionary term
@@ -294,12 +295,13 @@ FROM s""")
 def q_dict_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Terms per category, first five terms, documents hitting the category."""
     from paperlens.operators.dictionary import build_dictionary, dictionary_summary
-    from paperlens.operators.matching import CompiledDictionary, match_article_text, with_matches
+    from paperlens.operators.matching import (
+        CompiledDictionary, explode_matches, match_article_text, with_matches)
     d = build_dictionary(spark)
     a = documents_as_articles(spark, sf).select(match_article_text().alias("match_text"))
-    per_cat = (with_matches(a, CompiledDictionary.from_df(d), "match_text", "m")
-               .select(F.explode(F.array_distinct(F.transform("m", lambda x: x["category"])))
-                       .alias("category"))
+    cats = with_matches(a, CompiledDictionary.from_df(d), "match_text", "m").select(
+        F.array_distinct(F.transform("m", lambda x: x["category"])).alias("cats"))
+    per_cat = (explode_matches(cats, "cats", "category")
                .groupBy("category").agg(F.count("*").alias("n")))
     summ = dictionary_summary(d)
     return (summ.join(per_cat, "category", "left")
