@@ -10,12 +10,12 @@ Definition (sublinear TF-IDF, L2-normalised rows, averaged over documents):
 4. each document's weights divided by their L2 norm;
 5. keyword score = sum of normalised weights / N (N counts every document).
 
-Plan: per-document term counts are built inside the row (sort + run lengths,
-no shuffle); the vocabulary is a partial aggregation on ``term`` followed by a
-top-k (bounded by ``max_features``, hence safe to broadcast); the per-document
-norm is one window on the document id over vocabulary terms only. With
-``partition_cols`` (e.g. the class label) every class is fitted separately in
-the same pass.
+Plan: documents are hash-partitioned by id once; terms are exploded and
+counted per (document, term) on that partitioning; the vocabulary is a partial
+aggregation on ``term`` followed by a top-k (bounded by ``max_features``, hence
+safe to broadcast); the per-document norm is a window on the document id over
+vocabulary terms only. With ``partition_cols`` (e.g. the class label) every
+class is fitted separately in the same pass.
 """
 
 from __future__ import annotations
@@ -49,70 +49,61 @@ def ngram_terms(df: DataFrame, text_col: str, ngram_range: tuple[int, int] = (1,
             .drop("__tok", "__flt", *[f"__ng{n}" for n in range(max(lo, 2), hi + 1)]))
 
 
-def with_term_frequencies(df: DataFrame, terms_col: str, out: str = "tfs") -> DataFrame:
-    """array<string> -> array<struct<term, tf>> of distinct terms with counts.
-
-    Sorting puts equal terms next to each other; run starts and their lengths
-    give the counts in O(n log n) per row, without exploding and re-grouping.
-    The sorted array and the run starts are materialised as their own columns
-    so that every lambda reads them in O(1).
-    """
-    s, st = F.col("__sorted"), F.col("__starts")
-    n = F.size(s)
-    staged = df.withColumn("__sorted", F.array_sort(F.col(terms_col)))
-    staged = staged.withColumn("__starts", F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.when(i > n, F.lit(False)).when(i == 1, F.lit(True))
-        .otherwise(F.element_at(s, i) != F.element_at(s, i - 1))))
-    staged = staged.withColumn(out, F.transform(st, lambda p, k: F.struct(
-        F.element_at(s, p).alias("term"),
-        (F.coalesce(F.try_element_at(st, k + 2), n + 1) - p).cast("long").alias("tf"))))
-    return staged.drop("__sorted", "__starts")
-
-
 def doc_term_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     partition_cols: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 2),
                     stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Per document: ``(partition_cols..., doc_id, tfs array<struct<term, tf>>)``."""
-    base = docs.select(*partition_cols, F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"))
+    """Long form ``(partition_cols..., doc_id, term, tf)``.
+
+    Documents are hash-partitioned by id once; the (doc, term) aggregation and
+    the later per-document norm window both reuse that partitioning, so the
+    only per-document shuffle is the one of the input rows.
+    """
+    pc = list(partition_cols)
+    base = (docs.select(*pc, F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"))
+            .repartition("doc_id"))
     with_terms = ngram_terms(base, "__t", ngram_range, stop_words, "__terms")
-    return with_term_frequencies(with_terms.select(*partition_cols, "doc_id", "__terms"),
-                                 "__terms", "tfs").select(*partition_cols, "doc_id", "tfs")
+    # explode_outer + null filter: a plain explode would let the optimizer
+    # re-run the tokenisation for an inferred size(terms) > 0 filter
+    flat = (with_terms.select(*pc, "doc_id", F.explode_outer("__terms").alias("term"))
+            .where(F.col("term").isNotNull()))
+    return flat.groupBy("doc_id", *pc, "term").agg(F.count("*").alias("tf"))
+
 
+def document_counts(docs: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:
+    """N per partition value (documents without any term count too)."""
+    pc = list(partition_cols)
+    return docs.groupBy(*pc).agg(F.count("*").alias("n_docs"))
 
-def fit_vocabulary(dtc: DataFrame, max_features: int | None = 5000,
+
+def fit_vocabulary(dtc: DataFrame, n_docs: DataFrame, max_features: int | None = 5000,
                    partition_cols: Sequence[str] = ()) -> DataFrame:
     """Vocabulary with idf: ``(partition_cols..., term, idf, df, cf, n_docs)``.
 
-    The kept table has at most ``max_features`` rows per partition value.
+    At most ``max_features`` rows per partition value: this is the bound that
+    makes the vocabulary safe to broadcast.
     """
     pc = list(partition_cols)
-    n_docs = dtc.groupBy(*pc).agg(F.count("*").alias("n_docs")) if pc else \
-        dtc.agg(F.count("*").alias("n_docs"))
-    # explode_outer: no inferred size(tfs) > 0 filter re-running the term counting
-    pairs = dtc.select(*pc, F.explode_outer("tfs").alias("p")).where(F.col("p").isNotNull())
-    stats = (pairs.groupBy(*pc, F.col("p.term").alias("term"))
-             .agg(F.sum("p.tf").alias("cf"), F.count("*").alias("df")))
+    stats = dtc.groupBy(*pc, "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     if max_features:
         w = Window.partitionBy(*pc).orderBy(F.col("cf").desc(), F.col("term"))
+        # rank filter on a window: Spark limits each partition before the shuffle
         stats = stats.withColumn("__r", F.row_number().over(w)).where(
             F.col("__r") <= max_features).drop("__r")
-    joined = stats.join(n_docs, pc, "inner") if pc else stats.crossJoin(n_docs)
+    # n_docs: one row per partition value
+    joined = stats.join(F.broadcast(n_docs), pc, "inner") if pc else stats.crossJoin(
+        F.broadcast(n_docs))
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return joined.select(*pc, "term", idf.alias("idf"), "df", "cf", "n_docs")
 
 
 def weights(dtc: DataFrame, vocab: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:
-    """Normalised TF-IDF weights in long form ``(partition_cols..., doc_id, term, weight)``."""
+    """Normalised TF-IDF weights ``(partition_cols..., doc_id, term, weight)``."""
     pc = list(partition_cols)
-    pairs = dtc.select(*pc, "doc_id", F.explode_outer("tfs").alias("p")).where(
-        F.col("p").isNotNull()).select(
-        *pc, "doc_id", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
     # vocabulary: at most max_features rows per partition value -> broadcast
     v = F.broadcast(vocab.select(*pc, "term", "idf"))
-    w = pairs.join(v, [*pc, "term"], "inner").withColumn(
+    w = dtc.join(v, [*pc, "term"], "inner").withColumn(
         "w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*pc, "doc_id")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", *pc)))
     return w.select(*pc, "doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
@@ -128,11 +119,12 @@ def tfidf_keywords(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     pc = list(partition_cols)
     dtc = doc_term_counts(docs, text_col, id_col, pc, ngram_range, stop_words)
     if materialize:
+        # read twice (vocabulary, weights): a reliable checkpoint, not a recomputation
         from paperlens.session import cut_lineage
         dtc = cut_lineage(dtc)
-    vocab = fit_vocabulary(dtc, max_features, pc)
+    n_docs = document_counts(docs, pc)
+    vocab = fit_vocabulary(dtc, n_docs, max_features, pc)
     wt = weights(dtc, vocab, pc)
-    n_docs = vocab.select(*pc, "n_docs").distinct()
     sums = wt.groupBy(*pc, "term").agg(F.sum("weight").alias("s"))
     scored = sums.join(F.broadcast(n_docs), pc, "inner") if pc else sums.crossJoin(
         F.broadcast(n_docs))
