@@ -1054,3 +1054,28 @@ def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
     scored = batch_score(p, length_logit_model(), "text").cache()
     ev = evaluate(scored)
     return ev.crossJoin(mean_log_loss(scored)).drop("confusion_matrix")
+
+
+# ---------------------------------------------------------------- V3, V6
+
+@register("word_frequencies", f"""
+SELECT term, round(score, 6) AS score FROM ({_tfidf_sql('documents', 100, 5000)})""")
+def q_word_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    """V6: at most 100 (word, weight) pairs for a word cloud."""
+    from paperlens.operators.keywords import word_frequencies
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    return word_frequencies(d, "text", "doc_id", 100, 5000).withColumn("score", r6(F.col("score")))
+
+
+@register("top_journals_chart", f"""
+WITH per AS (SELECT journal, count(*) AS count, min(seq) AS first_seen FROM {ORDER_ARTICLES_SQL}
+             WHERE journal IS NOT NULL AND journal <> '' GROUP BY journal),
+top AS (SELECT *, row_number() OVER (ORDER BY count DESC, first_seen) AS rank FROM per)
+SELECT CAST(16 - rank AS INTEGER) AS bar, substr(journal, 1, 40) AS label, count FROM top WHERE rank <= 15""")
+def q_top_journals_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """V3 (+ A2, P13): top journals, labels cut to 40 characters, bars in reverse order."""
+    from paperlens.functions.coerce import truncate_label
+    from paperlens.operators.impact import journal_spread
+    j = journal_spread(orders_as_articles(spark, sf), 15)
+    return j.select((F.lit(16) - F.col("rank")).cast("int").alias("bar"),
+                    truncate_label("journal", 40).alias("label"), "count").orderBy("bar")
