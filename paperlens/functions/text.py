@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 TAG_PATTERN = r"<[^>]+>"
 NAMED_ENTITY_PATTERN = r"&[a-zA-Z]+;"
 NUMERIC_ENTITY_PATTERN = r"&#\p{Nd}+;"
+MARKUP_PATTERN = f"{TAG_PATTERN}|{NAMED_ENTITY_PATTERN}|{NUMERIC_ENTITY_PATTERN}"
 # Unicode whitespace as understood by Python's ``str.isspace``; written without
 # \s so that Java regex and RE2 (the SQL oracle) read it the same way.
 WHITESPACE_RUN = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]+"
@@ -42,9 +43,10 @@ def clean_text(c) -> Column:
     NULL becomes ``""``. Entities are removed, not decoded.
     """
     x = F.coalesce(_col(c), F.lit(""))
-    x = F.regexp_replace(x, TAG_PATTERN, " ")
-    x = F.regexp_replace(x, NAMED_ENTITY_PATTERN, " ")
-    x = F.regexp_replace(x, NUMERIC_ENTITY_PATTERN, " ")
+    # one pass for the three removals: an entity cannot contain '<' and every
+    # removal leaves a space, so no match can be created or split by another
+    # kind - leftmost-first alternation equals the three passes in sequence
+    x = F.regexp_replace(x, MARKUP_PATTERN, " ")
     x = F.regexp_replace(x, WHITESPACE_RUN, " ")
     # after squeezing, the only whitespace left is single spaces
     return F.trim(x)
@@ -88,6 +90,23 @@ def combine_fields(title, abstract, journal=None, keywords=None) -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def combine_cleaned(parts) -> Column:
+    """P2 from already-cleaned values: ``parts`` = [(label, raw, cleaned), ...].
+
+    A part is present when its raw value is non-empty (keywords: also not
+    ``[]``); its content is the cleaned column, so callers that keep the
+    cleaned fields anyway do not clean them twice.
+    """
+    out = []
+    for label, raw, cleaned in parts:
+        r = _col(raw)
+        present = _truthy(r)
+        if label == KEYWORDS_LABEL:
+            present = present & (r != F.lit("[]"))
+        out.append(F.when(present, F.concat(F.lit(label), _col(cleaned))))
+    return F.concat_ws(" ", *out)
+
+
 def keywords_text(keywords, is_array: bool) -> Column:
     """Keywords as the string the combined field sees (arrays rendered as a list)."""
     k = _col(keywords)
