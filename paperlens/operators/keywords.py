@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlens.functions.text import english_stop_words, tfidf_tokens
+from paperlens.operators.topk import top_k
 
 
 def ngram_terms(df: DataFrame, text_col: str, ngram_range: tuple[int, int] = (1, 2),
@@ -85,10 +86,9 @@ def fit_vocabulary(dtc: DataFrame, n_docs: DataFrame, max_features: int | None =
     pc = list(partition_cols)
     stats = dtc.groupBy(*pc, "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     if max_features:
-        w = Window.partitionBy(*pc).orderBy(F.col("cf").desc(), F.col("term"))
-        # rank filter on a window: Spark limits each partition before the shuffle
-        stats = stats.withColumn("__r", F.row_number().over(w)).where(
-            F.col("__r") <= max_features).drop("__r")
+        # exact top-k per class in two stages (term-hash salted), never one task
+        stats = top_k(stats, pc, [F.col("cf").desc(), F.col("term")], max_features,
+                      ["term"]).drop("rank")
     # n_docs: one row per partition value
     joined = stats.join(F.broadcast(n_docs), pc, "inner") if pc else stats.crossJoin(
         F.broadcast(n_docs))

@@ -98,15 +98,13 @@ def collect_labelled(df: DataFrame, rules: Sequence[LabelRule], min_year: int |
     """P4-P7 end to end: date window, empty filter, rule labels, cap per rule.
 
     The cap keeps the first ``max_per_rule`` hits of each rule in ``order_col``
-    order (a top-n per group: Spark limits each group before the shuffle).
+    order (``order_col`` unique), ranked in salted sub-groups first.
     """
     x = df
     if min_year is not None and max_year is not None:
         x = date_window(x, min_year, max_year)
     x = label_by_rules(drop_empty(x), rules)
     if max_per_rule:
-        from pyspark.sql import Window
-        w = Window.partitionBy("rule_ord").orderBy(order_col)
-        x = x.withColumn("__r", F.row_number().over(w)).where(
-            F.col("__r") <= max_per_rule).drop("__r")
+        from paperlens.operators.topk import top_k
+        x = top_k(x, ["rule_ord"], [F.col(order_col)], max_per_rule, [order_col]).drop("rank")
     return x

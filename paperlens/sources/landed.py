@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlens.operators.topk import top_k
 from paperlens.schemas import (
     ANNOTATION_RECORD_SCHEMA, CITATIONS_RESPONSE_SCHEMA, REFERENCES_RESPONSE_SCHEMA,
     SEARCH_RESPONSE_SCHEMA)
@@ -33,10 +34,9 @@ def search_results(pages: DataFrame, max_results: int | None = 500) -> DataFrame
     """
     rows = pages.select("query", "page", F.posexplode("resultList.result").alias("pos", "raw"))
     if max_results is not None:
-        # top-n per query: Spark limits every group before the shuffle
-        w = Window.partitionBy("query").orderBy("page", "pos")
-        rows = rows.withColumn("__r", F.row_number().over(w)).where(
-            F.col("__r") <= max_results).drop("__r")
+        # exact first-n per query, ranked in salted sub-groups first (no hot task)
+        rows = top_k(rows, ["query"], [F.col("page"), F.col("pos")], max_results,
+                     ["page", "pos"]).drop("rank")
     return rows
 
 
@@ -98,9 +98,8 @@ def _edges(pages: DataFrame, list_col: str, direction: str, max_results: int | N
     rows = pages.select("article_id", "article_source", "page",
                         F.posexplode(list_col).alias("pos", "e"))
     if max_results is not None:
-        w = Window.partitionBy("article_id", "article_source").orderBy("page", "pos")
-        rows = rows.withColumn("__r", F.row_number().over(w)).where(
-            F.col("__r") <= max_results).drop("__r")
+        rows = top_k(rows, ["article_id", "article_source"], [F.col("page"), F.col("pos")],
+                     max_results, ["page", "pos"]).drop("rank")
     return rows.select("article_id", "article_source", F.lit(direction).alias("direction"),
                        "page", "pos", F.col("e.id").alias("other_id"),
                        F.col("e.source").alias("other_source"), F.col("e.title").alias("title"),
