@@ -47,22 +47,24 @@ def confusion_matrix(counts: DataFrame) -> Column:
 
 
 def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "p1",
-            by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
+            by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """M9: exact ROC AUC (ties count one half), NULL when a class is missing.
 
     AUC = sum over distinct scores of pos * (neg below + neg tied / 2) / (P * N).
+    "neg below" is taken in two levels: the distinct scores are range-partitioned
+    (sampled boundaries, so each range holds about the same number of distinct
+    scores however they cluster); the partition id is then a bucket monotone in
+    the score, its running offsets come from a table with one row per bucket,
+    and the within-bucket running sum is a window over one balanced range.
     """
     pc = list(by)
+    spark = scored.sparkSession
+    nb = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     per = (scored.groupBy(*pc, F.col(score_col).cast("double").alias("s"))
            .agg(F.count_if(F.col(label_col) == 1).alias("pos"),
                 F.count_if(F.col(label_col) == 0).alias("neg")))
-    rng = per.groupBy(*pc).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width > 0, F.least(F.floor((F.col("s") - F.col("lo")) / width * buckets),
-                                  F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    # rng: one row per group (a handful of models / splits)
-    per = per.join(F.broadcast(rng), pc, "inner") if pc else per.crossJoin(F.broadcast(rng))
-    per = per.withColumn("b", b)
+    per = per.repartitionByRange(nb, *[F.col(c) for c in pc], F.col("s")) \
+             .withColumn("b", F.spark_partition_id())
     per_b = per.groupBy(*pc, "b").agg(F.sum("neg").alias("bneg"))
     w_b = Window.partitionBy(*pc).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_b.select(*pc, "b", F.coalesce(F.sum("bneg").over(w_b), F.lit(0)).alias("off"))
