@@ -159,11 +159,36 @@ def split_stats(splits: DataFrame, label_col: str = "label") -> DataFrame:
                  F.count_if(F.col(label_col) == 0).alias("negative")))
 
 
+def label_conflicts(deduped: DataFrame, label_col: str = "label") -> DataFrame:
+    """Ids that carry more than one label after the per-class dedup: ``(uid, n_labels)``."""
+    return (deduped.groupBy("uid").agg(F.countDistinct(label_col).alias("n_labels"))
+            .where(F.col("n_labels") > 1))
+
+
+def resolve_conflicts(deduped: DataFrame, policy: str = "keep", label_col: str = "label",
+                      positive=1) -> DataFrame:
+    """``keep``: an id may appear once per class (the default, as collected);
+    ``drop``: ids with several labels are removed; ``positive``: such ids keep
+    only their positive row."""
+    if policy == "keep":
+        return deduped
+    if policy not in ("drop", "positive"):
+        raise ValueError(f"unknown conflict policy {policy!r}")
+    w = Window.partitionBy("uid")
+    n = F.size(F.collect_set(label_col).over(w))
+    staged = deduped.withColumn("__n", n)
+    if policy == "drop":
+        return staged.where(F.col("__n") == 1).drop("__n")
+    return staged.where((F.col("__n") == 1) | (F.col(label_col) == positive)).drop("__n")
+
+
 def collection_pipeline(articles: DataFrame, balance_classes: bool = True, seed: int = 42,
-                        label_col: str = "label", order_col: str = "seq") -> DataFrame:
-    """Dedup within each class -> balance -> one table (bag union of classes)."""
+                        label_col: str = "label", order_col: str = "seq",
+                        conflict: str = "keep") -> DataFrame:
+    """Dedup within each class -> conflict policy -> balance -> one table."""
     keyed = with_dedup_key(articles)
     deduped = dedup_keep_first(keyed, "uid", order_col, within=[label_col])
+    deduped = resolve_conflicts(deduped, conflict, label_col)
     if not balance_classes:
         return deduped
     return balance(deduped, label_col, ["uid"], seed)

@@ -82,10 +82,16 @@ def open_access(df: DataFrame, col: str = "is_open_access") -> DataFrame:
         .alias("open_access_rate"))
 
 
-def yearly_stats(df: DataFrame, year_col: str = "year", col: str = "cited_by_count") -> DataFrame:
-    """A4: per valid year - count, mean and total citations; ascending."""
+def yearly_stats(df: DataFrame, year_col: str = "year", col: str = "cited_by_count",
+                 drop_year_zero: bool = False) -> DataFrame:
+    """A4: per valid year - count, mean and total citations; ascending.
+
+    Preprocessing turns unreadable years into 0; ``drop_year_zero`` leaves that
+    group out."""
     y = to_int_or_null(year_col)
     x = df.select(y.alias("year"), _citations(col).alias("c")).where(F.col("year").isNotNull())
+    if drop_year_zero:
+        x = x.where(F.col("year") != 0)
     return (x.groupBy("year")
             .agg(F.count("*").alias("count"), F.avg("c").alias("mean_citations"),
                  F.sum("c").cast("long").alias("total_citations"))

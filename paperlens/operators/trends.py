@@ -23,11 +23,14 @@ def _pct_change(cur, prev):
     return (cur.cast("double") / prev.cast("double") - F.lit(1.0)) * F.lit(100.0)
 
 
-def publications_per_year(df: DataFrame, year_col: str = "year") -> DataFrame:
-    """``(year, count)`` for valid years, ascending."""
+def publications_per_year(df: DataFrame, year_col: str = "year",
+                          drop_year_zero: bool = False) -> DataFrame:
+    """``(year, count)`` for valid years, ascending (year 0 optional)."""
     y = to_int_or_null(year_col)
-    return (df.select(y.alias("year")).where(F.col("year").isNotNull())
-            .groupBy("year").agg(F.count("*").alias("count")).orderBy("year"))
+    x = df.select(y.alias("year")).where(F.col("year").isNotNull())
+    if drop_year_zero:
+        x = x.where(F.col("year") != 0)
+    return x.groupBy("year").agg(F.count("*").alias("count")).orderBy("year")
 
 
 def growth_rates(yearly: DataFrame) -> DataFrame:

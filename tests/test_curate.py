@@ -79,3 +79,13 @@ def test_collection_pipeline_dedups_per_class(spark):
     out = collection_pipeline(df, balance_classes=False)
     got = sorted((r["label"], r["seq"]) for r in out.collect())
     assert got == [(0, 2), (0, 4), (1, 1)]
+
+
+def test_conflict_policies(spark):
+    from paperlens.operators.curate import label_conflicts, resolve_conflicts
+    rows = [(1, "p1", 1), (2, "p1", 0), (3, "p2", 0)]
+    df = spark.createDataFrame(rows, "seq int, uid string, label int")
+    assert label_conflicts(df).count() == 1
+    assert sorted(r["seq"] for r in resolve_conflicts(df, "keep").collect()) == [1, 2, 3]
+    assert sorted(r["seq"] for r in resolve_conflicts(df, "drop").collect()) == [3]
+    assert sorted(r["seq"] for r in resolve_conflicts(df, "positive").collect()) == [1, 3]

@@ -98,3 +98,10 @@ def test_chart_tables(spark):
 def test_best_epoch_earliest_on_ties(spark):
     h = spark.createDataFrame([(1, 0.9851), (2, 0.9950), (3, 0.9950)], "epoch int, val_f1 double")
     assert best_epoch(h).first()["epoch"] == 2
+
+
+def test_drop_year_zero(spark):
+    df = spark.createDataFrame([(0, 1), (2020, 2), (2020, 3)], "year int, cited_by_count int")
+    assert [r["year"] for r in yearly_stats(df).collect()] == [0, 2020]
+    assert [r["year"] for r in yearly_stats(df, drop_year_zero=True).collect()] == [2020]
+    assert [r["year"] for r in publications_per_year(df, drop_year_zero=True).collect()] == [2020]
