@@ -40,7 +40,7 @@ def preprocess(df: DataFrame, min_text_length: int = MIN_TEXT_LENGTH,
         parts.append((JOURNAL_LABEL, "journal", clean_text("journal")))
     if kw is not None:
         parts.append((KEYWORDS_LABEL, kw, clean_text(kw)))
-    cols = {"text": combine_cleaned(parts)}
+    cols = {}
     if "year" in df.columns:
         cols["year"] = to_int_or("year")
     if "cited_by_count" in df.columns:
@@ -49,6 +49,10 @@ def preprocess(df: DataFrame, min_text_length: int = MIN_TEXT_LENGTH,
         # a label that is not an integer fails the job, as it should
         cols[label_col] = F.col(label_col).cast("string").cast("int")
     out = staged.withColumns(cols)
+    # The length filter below would otherwise be pushed beneath the projection
+    # and rebuild the whole cleaned text a second time; a filter cannot cross a
+    # generator's output, so the text is produced by a one-element lateral view.
+    out = out.select("*", F.explode_outer(F.array(combine_cleaned(parts))).alias("text"))
     out = out.withColumns({
         "title_length": F.length("title_clean"),
         "abstract_length": F.length("abstract_clean"),
