@@ -195,7 +195,8 @@ def _as_compiled(dictionary) -> CompiledDictionary:
 
 
 def with_matches(df: DataFrame, dictionary, text_col: str = "text",
-                 out: str = "matches", strategy: str = "auto") -> DataFrame:
+                 out: str = "matches", strategy: str = "auto",
+                 category_prefix: str | None = None) -> DataFrame:
     """Add ``matches`` = matched terms as array<struct<category,cat_ord,ord,term>>.
 
     ``strategy``: ``expr`` = pure JVM (``contains`` per long term, one word set
@@ -203,6 +204,8 @@ def with_matches(df: DataFrame, dictionary, text_col: str = "text",
     punctuation); ``automaton`` = one Aho-Corasick pass per text for the whole
     dictionary (Arrow batches, cost independent of the dictionary size);
     ``auto`` picks the automaton from ``AC_MIN_TERMS`` terms on.
+    With ``category_prefix`` the per-category match arrays are kept as columns
+    ``<prefix><i>`` (category order), for counts without higher-order functions.
     """
     cd = _as_compiled(dictionary)
     ltext = "__ltext"
@@ -222,17 +225,23 @@ def with_matches(df: DataFrame, dictionary, text_col: str = "text",
             staged = staged.withColumn(
                 hits, F.array_intersect(word_set(F.col(ltext)), F.array(*[F.lit(s) for s in short])))
             hc = F.col(hits)
-    # one optional single-element array per term, concatenated: stays in generated code
-    # (a higher-order filter over the whole array would force interpreted evaluation)
+    # one optional single-element array per term, concatenated per category and
+    # then overall: stays in generated code (a higher-order filter would not)
     empty = F.array().cast(MATCH_TYPE)
-    elems = [F.when(cd.condition(t, F.col(ltext), hc, lc),
-                    F.array(F.struct(F.lit(t.category).alias("category"),
-                                     F.lit(t.cat_ord).alias("cat_ord"),
-                                     F.lit(t.ord).alias("ord"),
-                                     F.lit(t.term).alias("term")))).otherwise(empty)
-             for t in cd.terms]
-    arr = F.concat(*elems) if elems else empty
-    return staged.withColumn(out, arr).drop(ltext, hits, lhits)
+    per_cat: dict[str, list[Column]] = {}
+    for t in cd.terms:
+        per_cat.setdefault(t.category, []).append(
+            F.when(cd.condition(t, F.col(ltext), hc, lc),
+                   F.array(F.struct(F.lit(t.category).alias("category"),
+                                    F.lit(t.cat_ord).alias("cat_ord"),
+                                    F.lit(t.ord).alias("ord"),
+                                    F.lit(t.term).alias("term")))).otherwise(empty))
+    cat_cols = [f"{category_prefix or '__cat_'}{i}" for i in range(len(cd.categories))]
+    staged = staged.withColumns({name: F.concat(*per_cat[c])
+                                 for name, c in zip(cat_cols, cd.categories)})
+    arr = F.concat(*[F.col(n) for n in cat_cols]) if cat_cols else empty
+    out_df = staged.withColumn(out, arr).drop(ltext, hits, lhits)
+    return out_df if category_prefix else out_df.drop(*cat_cols)
 
 
 def explode_matches(df: DataFrame, matches: str = "matches", out: str = "h") -> DataFrame:
@@ -268,14 +277,22 @@ def matches_by_category(matches: str | Column, categories: Sequence[str]) -> Col
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
 
 
-def feature_columns(dictionary, matches: str = "matches") -> list[Column]:
-    """T9-T11 as columns derived from the match array (no second match pass)."""
+def feature_columns(dictionary, matches: str = "matches",
+                    category_prefix: str | None = None) -> list[Column]:
+    """T9-T11 as columns derived from the match array (no second match pass).
+
+    With ``category_prefix`` the counts are sizes of the per-category arrays
+    (plain generated code); otherwise they filter the match array.
+    """
     cd = _as_compiled(dictionary)
     m = F.col(matches)
-    per_cat = [F.size(F.filter(m, _in_category(c))).alias(f"match_{c}")
-               for c in cd.categories]
+    if category_prefix:
+        sizes = [F.size(F.col(f"{category_prefix}{i}")) for i in range(len(cd.categories))]
+    else:
+        sizes = [F.size(F.filter(m, _in_category(c))) for c in cd.categories]
+    per_cat = [sz.alias(f"match_{c}") for sz, c in zip(sizes, cd.categories)]
     total = F.size(m)
-    cats = F.size(F.array_distinct(F.transform(m, lambda x: x["category"])))
+    cats = sum(((sz > 0).cast("int") for sz in sizes), F.lit(0)) if sizes else F.lit(0)
     ncat = max(len(cd.categories), 1)
     coverage = cats.cast("double") / F.lit(float(ncat))
     density = F.least(F.lit(1.0), F.log1p(total.cast("double")) / F.lit(math.log1p(20)))
@@ -293,8 +310,9 @@ def augment_with_dictionary(df: DataFrame, dictionary, text_col: str = "text",
                             keep_matches: bool = False) -> DataFrame:
     """Add the feature vector and the relevance score, matching once per text."""
     cd = _as_compiled(dictionary)
-    staged = with_matches(df, cd, text_col, "__matches")
-    out = staged.select("*", *feature_columns(cd, "__matches"))
+    staged = with_matches(df, cd, text_col, "__matches", category_prefix="__mc")
+    cat_cols = [f"__mc{i}" for i in range(len(cd.categories))]
+    out = staged.select("*", *feature_columns(cd, "__matches", "__mc")).drop(*cat_cols)
     if keep_matches:
         return out.withColumnRenamed("__matches", "matches")
     return out.drop("__matches")
@@ -303,9 +321,9 @@ def augment_with_dictionary(df: DataFrame, dictionary, text_col: str = "text",
 def relevance_score(df: DataFrame, dictionary, text_col: str = "text") -> DataFrame:
     """T11 alone."""
     cd = _as_compiled(dictionary)
-    staged = with_matches(df, cd, text_col, "__matches")
-    rel = [c for c in feature_columns(cd, "__matches")][-1]
-    return staged.select("*", rel).drop("__matches")
+    staged = with_matches(df, cd, text_col, "__matches", category_prefix="__mc")
+    rel = feature_columns(cd, "__matches", "__mc")[-1]
+    return staged.select("*", rel).drop("__matches", *[f"__mc{i}" for i in range(len(cd.categories))])
 
 
 def dictionary_keywords(df: DataFrame, dictionary, text_col: str = "text",
