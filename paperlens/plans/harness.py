@@ -268,10 +268,12 @@ FROM d LEFT JOIN a ON (CASE WHEN length(d.term) <= 4 THEN regexp_matches(a.lt, d
 GROUP BY d.category, d.ord, d.term""")
 def q_dict_term_hits(spark: SparkSession, sf: str) -> DataFrame:
     """T1-T5 + T7: every dictionary term with its document count (0 when unmatched)."""
-    from paperlens.operators.dictionary import build_dictionary
+    from paperlens.operators.dictionary import (
+        build_dictionary, dictionary_to_mapping, raw_dictionary_df)
     from paperlens.operators.matching import (
         CompiledDictionary, explode_matches, match_article_text, with_matches)
-    d = build_dictionary(spark)
+    # built (T1-T3) by Spark once; the small result is reused as a local table
+    d = raw_dictionary_df(spark, dictionary_to_mapping(build_dictionary(spark)))
     a = documents_as_articles(spark, sf).select(match_article_text().alias("match_text"))
     hits = (explode_matches(with_matches(a, CompiledDictionary.from_df(d), "match_text", "m")
                             .select("m"), "m", "h")
@@ -294,10 +296,11 @@ SELECT s.category, s.cat_ord, s.n_terms, s.sample_terms,
 FROM s""")
 def q_dict_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Terms per category, first five terms, documents hitting the category."""
-    from paperlens.operators.dictionary import build_dictionary, dictionary_summary
+    from paperlens.operators.dictionary import (
+        build_dictionary, dictionary_summary, dictionary_to_mapping, raw_dictionary_df)
     from paperlens.operators.matching import (
         CompiledDictionary, explode_matches, match_article_text, with_matches)
-    d = build_dictionary(spark)
+    d = raw_dictionary_df(spark, dictionary_to_mapping(build_dictionary(spark)))
     a = documents_as_articles(spark, sf).select(match_article_text().alias("match_text"))
     cats = with_matches(a, CompiledDictionary.from_df(d), "match_text", "m").select(
         F.array_distinct(F.transform("m", lambda x: x["category"])).alias("cats"))
