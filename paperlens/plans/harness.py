@@ -163,10 +163,11 @@ def sql_features(cd, lt: str) -> str:
     return ",\n  ".join(cols)
 
 
-def matched_features(df: DataFrame, mapping, text: str = "match_text") -> DataFrame:
+def matched_features(df: DataFrame, mapping, text: str = "match_text",
+                     strategy: str = "auto") -> DataFrame:
     from paperlens.operators.matching import augment_with_dictionary
     cd = _compiled(mapping)
-    out = augment_with_dictionary(df, cd, text, keep_matches=True)
+    out = augment_with_dictionary(df, cd, text, keep_matches=True, strategy=strategy)
     return out.withColumn("matched_terms",
                           F.array_join(F.transform("matches", lambda m: m["term"]), "|")) \
               .withColumn("match_score", r6(F.col("match_score"))).drop("matches")
@@ -187,6 +188,15 @@ def q_match_features(spark: SparkSession, sf: str) -> DataFrame:
     return matched_features(a, PROSE_DICTIONARY).select("doc_id", *_feature_cols(PROSE_DICTIONARY))
 
 
+@register("match_features_jvm", ORACLES["match_features"])
+def q_match_features_jvm(spark: SparkSession, sf: str) -> DataFrame:
+    """T7-T11 on the pure-JVM expression path (contains / word set / literal regex)."""
+    from paperlens.operators.matching import match_article_text
+    a = documents_as_articles(spark, sf).select("doc_id", match_article_text().alias("match_text"))
+    return matched_features(a, PROSE_DICTIONARY, strategy="expr").select(
+        "doc_id", *_feature_cols(PROSE_DICTIONARY))
+
+
 def _builtin_mapping():
     from paperlens.operators.dictionary import collect_terms, dedup_terms
     return dedup_terms(collect_terms())
