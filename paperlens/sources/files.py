@@ -69,24 +69,18 @@ def spark_read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 def load_splits(spark: SparkSession, path: str, fmt: str = "parquet",
                 names: Sequence[str] = SPLITS) -> DataFrame:
-    """Read the split directories that exist; a missing split is skipped
-    with a warning (and simply has no rows). ``split`` is the partition column,
-    so filtering on it prunes directories."""
-    import os
-    present = []
-    for n in names:
-        p = f"{path.rstrip('/')}/split={n}"
-        if path.startswith(("/", "file:")) and not os.path.exists(p.replace("file:", "")):
-            log.warning("Split file not found: %s", p)
-            continue
-        present.append(p)
-    if not present:
-        raise FileNotFoundError(f"no split under {path}")
-    reader = spark.read.option("basePath", path)
-    if fmt == "csv":
-        return reader.option("header", True).option("multiLine", True).option(
-            "escape", '"').csv(present)
-    return reader.format(fmt).load(present)
+    """The split folders under ``path`` (partition discovery on ``split``).
+
+    A split that was never written simply has no rows (and is logged); the
+    filter on the partition column prunes folders instead of reading them.
+    """
+    df = spark_read(spark, path, fmt).where(F.col("split").isin(list(names)))
+    if path.startswith("/"):
+        import os
+        for n in names:
+            if not os.path.exists(f"{path.rstrip('/')}/split={n}"):
+                log.warning("Split not found: %s/split=%s", path, n)
+    return df
 
 
 def load_model_results(spark: SparkSession, baseline_path: str | None,

@@ -4,7 +4,9 @@ New response files in a landing folder are read as a stream, flattened to
 canonical articles (S1/S2, stateless) and de-duplicated on the namespaced id
 (D1/D2: the first arrival of an id is kept; state lives in the checkpoint).
 The per-query cap of the batch reader needs a global order over pages, so the
-stream keeps every result and leaves capping to the batch job.
+stream keeps every result and leaves capping to the batch job. The dedup state
+holds one key per distinct id ever seen (no event time to expire it by); use a
+RocksDB state store on a cluster (``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
