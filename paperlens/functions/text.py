@@ -6,11 +6,6 @@ expressions stay inside whole-stage codegen and scale with the executors.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,18 +119,23 @@ def word_set(lower_text) -> Column:
     return F.array_distinct(F.regexp_extract_all(_col(lower_text), F.lit(WORD_CHAR + "+"), 0))
 
 
-@functools.lru_cache(maxsize=None)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the MLlib jar.
+# --- fixed values: Spark ML's default English stop words, in its order -------------
+ENGLISH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
+she her hers herself it its itself they them their theirs themselves what which who whom
+this that these those am is are was were be been being have has had having do does did doing
+a an the and but if or because as until while of at by for with about against between into
+through during before after above below to from up down in out on off over under again
+further then once here there when where why how all any both each few more most other some
+such no nor not only own same so than too very s t can will just don should now i'll you'll
+he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're
+they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't
+doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's
+how's let's ought that's there's what's when's where's who's why's would
+"""
 
-    Same list ``StopWordsRemover.loadDefaultStopWords("english")`` returns, but
-    available without a running JVM (the SQL oracle needs it as literal rows).
-    """
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars",
-                                  "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            data = z.read("org/apache/spark/ml/feature/stopwords/english.txt")
-            return tuple(w for w in data.decode("utf-8").split() if w)
-    raise FileNotFoundError("spark-mllib jar with stop words not found")
+
+def english_stop_words() -> tuple[str, ...]:
+    """The list ``StopWordsRemover.loadDefaultStopWords("english")`` returns, as a
+    constant: the SQL oracle needs it as literal rows, without a JVM or a file."""
+    return tuple(ENGLISH_STOP_WORDS.split())

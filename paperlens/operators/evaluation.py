@@ -51,11 +51,12 @@ def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "p1",
     """M9: exact ROC AUC (ties count one half), NULL when a class is missing.
 
     AUC = sum over distinct scores of pos * (neg below + neg tied / 2) / (P * N).
-    "neg below" is taken in two levels: the distinct scores are range-partitioned
-    (sampled boundaries, so each range holds about the same number of distinct
-    scores however they cluster); the partition id is then a bucket monotone in
-    the score, its running offsets come from a table with one row per bucket,
-    and the within-bucket running sum is a window over one balanced range.
+    "neg below" is taken in two levels. The bucket of a score is the number of
+    cut points at or below it; the cut points are approximate percentiles of the
+    distinct scores, fetched once as one small array of literals, so that every
+    reader sees the same cuts whatever the partitioning. Only balance
+    depends on them: running offsets come from a table with one row per bucket,
+    and the within-bucket running sum is a window over one bucket.
     """
     pc = list(by)
     spark = scored.sparkSession
@@ -63,8 +64,11 @@ def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "p1",
     per = (scored.groupBy(*pc, F.col(score_col).cast("double").alias("s"))
            .agg(F.count_if(F.col(label_col) == 1).alias("pos"),
                 F.count_if(F.col(label_col) == 0).alias("neg")))
-    per = per.repartitionByRange(nb, *[F.col(c) for c in pc], F.col("s")) \
-             .withColumn("b", F.spark_partition_id())
+    cuts = per.agg(F.percentile_approx("s", [i / nb for i in range(1, nb)], 10 * nb)
+                   .alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))  # at most nb - 1 numbers
+    bucket = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("s"))) if cuts else F.lit(0)
+    per = per.withColumn("b", bucket)
     per_b = per.groupBy(*pc, "b").agg(F.sum("neg").alias("bneg"))
     w_b = Window.partitionBy(*pc).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_b.select(*pc, "b", F.coalesce(F.sum("bneg").over(w_b), F.lit(0)).alias("off"))

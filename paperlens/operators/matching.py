@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -76,69 +76,45 @@ def whole_word_pattern(term: str) -> str:
     return left + body + right
 
 
-# From this many terms on, one Aho-Corasick pass per text beats one scan per
-# term (sf0.1, 10k texts: 236 terms 25 s -> 2.4 s; 16 terms 5.0 s -> 3.4 s).
-AC_MIN_TERMS = 8
-
-
-def _automaton(terms: tuple[str, ...]):
-    """Aho-Corasick automaton over lower-cased terms, built once per Python worker."""
-    cache = _automaton.__dict__.setdefault("cache", {})
-    if terms not in cache:
-        import ahocorasick
-        a = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            a.add_word(t, i)
-        a.make_automaton()
-        cache[terms] = a
-    return cache[terms]
-
-
-def _has_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-        return True
-    except ImportError:  # fall back to the pure-JVM expressions
-        return False
-
-
-def _is_word(ch: str | None) -> bool:
-    return ch is not None and (ch.isalnum() or ch == "_")
-
-
 def term_hits_udf(terms: Sequence[str], whole_word: Sequence[bool]):
     """Pandas UDF: lower-cased text -> sorted distinct indexes of ``terms`` present.
 
-    The automaton reports every occurrence (overlapping ones included); a
-    whole-word term only counts where a word boundary (``\\b``) lies on both
-    sides of the occurrence.
+    One Aho-Corasick pass per text (needs ``pyahocorasick`` on the executors),
+    which reports every occurrence, overlapping ones included; a whole-word term
+    only counts where a word boundary lies on both sides. Self-contained: it
+    refers to nothing of this package, so the workers need not have it.
     """
     key = tuple(terms)
     whole = tuple(bool(w) for w in whole_word)
 
     @F.pandas_udf("array<int>")
-    def hits(texts: pd.Series) -> pd.Series:
-        auto = _automaton(key)
-        out = []
-        for t in texts:
-            if not t or len(auto) == 0:
-                out.append([])
-                continue
-            found = set()
-            n = len(t)
-            for end, i in auto.iter(t):
-                if i in found:
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        auto = ahocorasick.Automaton()
+        for i, term in enumerate(key):
+            auto.add_word(term, i)
+        if key:
+            auto.make_automaton()
+
+        def word(ch):
+            return ch is not None and (ch.isalnum() or ch == "_")
+
+        def found(t):
+            seen = set()
+            for end, i in (auto.iter(t) if t and key else ()):
+                if i in seen:
                     continue
                 if whole[i]:
-                    term = key[i]
-                    start = end - len(term) + 1
-                    prev = t[start - 1] if start > 0 else None
-                    nxt = t[end + 1] if end + 1 < n else None
-                    if _is_word(prev) == _is_word(term[0]) or _is_word(nxt) == _is_word(term[-1]):
+                    start = end - len(key[i]) + 1
+                    before = t[start - 1] if start > 0 else None
+                    after = t[end + 1] if end + 1 < len(t) else None
+                    if word(before) == word(key[i][0]) or word(after) == word(key[i][-1]):
                         continue
-                found.add(i)
-            out.append(sorted(found))
-        return pd.Series(out)
+                seen.add(i)
+            return sorted(seen)
+
+        for texts in batches:
+            yield pd.Series([found(t) for t in texts])
 
     return hits
 
@@ -195,15 +171,14 @@ def _as_compiled(dictionary) -> CompiledDictionary:
 
 
 def with_matches(df: DataFrame, dictionary, text_col: str = "text",
-                 out: str = "matches", strategy: str = "auto",
+                 out: str = "matches", strategy: str = "expr",
                  category_prefix: str | None = None) -> DataFrame:
     """Add ``matches`` = matched terms as array<struct<category,cat_ord,ord,term>>.
 
     ``strategy``: ``expr`` = pure JVM (``contains`` per long term, one word set
     intersected with the short terms, a literal regex for short terms with
-    punctuation); ``automaton`` = one Aho-Corasick pass per text for the whole
-    dictionary (Arrow batches, cost independent of the dictionary size);
-    ``auto`` picks the automaton from ``AC_MIN_TERMS`` terms on.
+    punctuation), whatever the dictionary's size; ``automaton``, only when asked
+    for by name = one Aho-Corasick pass per text in Arrow batches.
     With ``category_prefix`` the per-category match arrays are kept as columns
     ``<prefix><i>`` (category order), for counts without higher-order functions.
     """
@@ -212,10 +187,10 @@ def with_matches(df: DataFrame, dictionary, text_col: str = "text",
     hits = "__short_hits"
     lhits = "__all_hits"
     staged = df.withColumn(ltext, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    use_ac = (strategy == "automaton" or (strategy == "auto" and cd.n_terms >= AC_MIN_TERMS)) \
-        and _has_automaton()
+    if strategy not in ("expr", "automaton"):
+        raise ValueError(f"unknown matching strategy {strategy!r}")
     hc = lc = None
-    if use_ac:
+    if strategy == "automaton":
         terms, whole = zip(*cd.automaton_terms) if cd.terms else ((), ())
         staged = staged.withColumn(lhits, term_hits_udf(terms, whole)(F.col(ltext)))
         lc = F.col(lhits)
@@ -307,7 +282,7 @@ def feature_columns(dictionary, matches: str = "matches",
 
 
 def augment_with_dictionary(df: DataFrame, dictionary, text_col: str = "text",
-                            keep_matches: bool = False, strategy: str = "auto") -> DataFrame:
+                            keep_matches: bool = False, strategy: str = "expr") -> DataFrame:
     """Add the feature vector and the relevance score, matching once per text."""
     cd = _as_compiled(dictionary)
     staged = with_matches(df, cd, text_col, "__matches", strategy, category_prefix="__mc")

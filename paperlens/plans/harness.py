@@ -164,7 +164,7 @@ def sql_features(cd, lt: str) -> str:
 
 
 def matched_features(df: DataFrame, mapping, text: str = "match_text",
-                     strategy: str = "auto") -> DataFrame:
+                     strategy: str = "expr") -> DataFrame:
     from paperlens.operators.matching import augment_with_dictionary
     cd = _compiled(mapping)
     out = augment_with_dictionary(df, cd, text, keep_matches=True, strategy=strategy)
