@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from paperlens.llm.langid import op4_language_mixture
 from paperlens.llm.mixing import op6_hash_threshold_mix
 from paperlens.llm.packing import op2_best_fit_packing
 from paperlens.llm.sharding import op1_hypergeometric_shuffle
+from paperlens.llm.simhash import op3_simhash_components
 
 QUERIES = {f.__name__: f for f in (
-    op1_hypergeometric_shuffle, op2_best_fit_packing, op6_hash_threshold_mix)}
+    op1_hypergeometric_shuffle, op2_best_fit_packing, op3_simhash_components,
+    op4_language_mixture, op6_hash_threshold_mix)}
 
 ORACLES: dict[str, str] = {}
