@@ -5,14 +5,16 @@ from __future__ import annotations
 from paperlens.llm.langid import op4_language_mixture
 from paperlens.llm.mixing import op6_hash_threshold_mix
 from paperlens.llm.packing import op2_best_fit_packing
+from paperlens.llm.recompress import op5_recompression_dedup
 from paperlens.llm.sharding import op1_hypergeometric_shuffle
 from paperlens.llm.simhash import op3_simhash_components
+from paperlens.llm.suffixes import op10_suffix_family_dedup
 from paperlens.llm.topk import OP7_SQL, op7_block_pruned_search
 from paperlens.llm.weighted import op8_weighted_fingerprints
 
 QUERIES = {f.__name__: f for f in (
     op1_hypergeometric_shuffle, op2_best_fit_packing, op3_simhash_components,
-    op4_language_mixture, op6_hash_threshold_mix, op7_block_pruned_search,
-    op8_weighted_fingerprints)}
+    op4_language_mixture, op5_recompression_dedup, op6_hash_threshold_mix, op7_block_pruned_search,
+    op8_weighted_fingerprints, op10_suffix_family_dedup)}
 
 ORACLES = {"op7_block_pruned_search": OP7_SQL}
