@@ -192,3 +192,20 @@ def op5_recompression_dedup(spark, sf_dir: str) -> DataFrame:
     d = dedup_substrings(documents(spark, sf_dir))
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
                     F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS win FROM s),
+r AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM v),
+g AS (SELECT doc_id, list(DISTINCT i) AS starts FROM r WHERE first < doc_id GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM (
+  SELECT doc_id, unnest(starts) AS i FROM g)),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT u.doc_id, u.word, u.i, c.i IS NOT NULL AS gone FROM u LEFT JOIN c
+  ON c.doc_id = u.doc_id AND c.i = u.i),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+  string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(t.n_removed, 0) AS n_removed,
+  sha256(coalesce(t.kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
