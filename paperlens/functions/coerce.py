@@ -15,22 +15,37 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_int_or(c, default: int = 0) -> Column:
-    """P10: numeric text -> int (fraction truncated), anything invalid -> ``default``.
+#: largest value of each integer type
+_LIMIT = {"int": 2 ** 31 - 1, "long": 2 ** 63 - 1024}
 
-    ``try_cast`` keeps ANSI mode from failing the job on a bad value.
-    """
-    x = _col(c).cast("string")
-    as_double = x.try_cast("double")
-    # NaN/inf are not valid counts; truncate toward zero like int()
-    valid = as_double.isNotNull() & ~F.isnan(as_double) & (F.abs(as_double) < F.lit(9.2e18))
-    return F.when(valid, as_double.cast("long")).otherwise(F.lit(default)).cast("int")
+
+def _truncated(c, kind: str) -> Column:
+    """Numeric text, fraction cut, in range of ``kind``; anything else NULL (never an ANSI error)."""
+    x = _col(c).cast("string").try_cast("double")
+    fits = x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(float(_LIMIT[kind])))
+    # the cast stands behind the range check, in the same conditional
+    return F.when(fits, F.when(fits, x).otherwise(F.lit(0.0)).cast(kind))
+
+
+def to_int_or(c, default: int = 0, kind: str = "int") -> Column:
+    """P10: numeric text -> integer (fraction truncated), anything invalid or out of the range
+    of ``kind`` (``int`` or ``long``) -> ``default``."""
+    return F.coalesce(_truncated(c, kind), F.lit(default).cast(kind))
 
 
-def to_int_or_null(c) -> Column:
+def to_int_or_null(c, kind: str = "int") -> Column:
     """P10, drop variant: invalid -> NULL (callers filter it away)."""
-    x = _col(c).cast("string").try_cast("double")
-    return F.when(x.isNotNull() & ~F.isnan(x), x.cast("long")).cast("int")
+    return _truncated(c, kind)
+
+
+def to_whole(c, what: str = "label") -> Column:
+    """A whole number, also if written ``1.0``; NULL stays NULL, anything else fails the job."""
+    x = _col(c).cast("string")
+    number = x.try_cast("double")
+    whole = (number == F.floor(number)) & (F.abs(number) <= F.lit(float(_LIMIT["int"])))
+    bad = F.raise_error(F.concat(F.lit(f"{what} is not a whole number: "), x)).cast("int")
+    return F.when(x.isNull(), F.lit(None).cast("int")).when(
+        F.coalesce(whole, F.lit(False)), F.when(whole, number).otherwise(F.lit(0.0)).cast("int")).otherwise(bad)
 
 
 def to_bool_flag(c) -> Column:

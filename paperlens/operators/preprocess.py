@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlens.functions.coerce import to_int_or
+from paperlens.functions.coerce import to_int_or, to_whole
 from paperlens.functions.rules import LabelRule, rule_column
 from paperlens.functions.text import (
     ABSTRACT_LABEL, JOURNAL_LABEL, KEYWORDS_LABEL, TITLE_LABEL, clean_text, combine_cleaned,
@@ -44,10 +44,10 @@ def preprocess(df: DataFrame, min_text_length: int = MIN_TEXT_LENGTH,
     if "year" in df.columns:
         cols["year"] = to_int_or("year")
     if "cited_by_count" in df.columns:
-        cols["cited_by_count"] = to_int_or("cited_by_count")
+        cols["cited_by_count"] = to_int_or("cited_by_count", kind="long")
     if label_col and label_col in df.columns:
         # a label that is not an integer fails the job, as it should
-        cols[label_col] = F.col(label_col).cast("string").cast("int")
+        cols[label_col] = to_whole(label_col)
     out = staged.withColumns(cols)
     # The length filter below would otherwise be pushed beneath the projection
     # and rebuild the whole cleaned text a second time; a filter cannot cross a
@@ -69,8 +69,11 @@ def drop_empty(df: DataFrame) -> DataFrame:
 
 def date_window(df: DataFrame, min_year: int, max_year: int,
                 date_col: str = "first_pub_date") -> DataFrame:
-    """P5: inclusive [min_year-01-01, max_year-12-31] on the first publication date."""
-    d = F.col(date_col).cast("date")
+    """P5: inclusive [min_year-01-01, max_year-12-31] on the first publication date; a missing
+    or unreadable date lies outside any window."""
+    d = F.col(date_col)
+    if not isinstance(df.schema[date_col].dataType, T.DateType):
+        d = d.try_cast("date")
     return df.where(d.between(F.lit(f"{min_year}-01-01").cast("date"),
                               F.lit(f"{max_year}-12-31").cast("date")))
 

@@ -198,18 +198,17 @@ def q_match_features_jvm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _builtin_mapping():
-    from paperlens.operators.dictionary import collect_terms, dedup_terms
-    return dedup_terms(collect_terms())
+    from paperlens.operators.dictionary import distinct_builtin_terms
+    return distinct_builtin_terms()
 
 
 @register("match_builtin", f"""
 SELECT doc_id, {sql_features(_compiled(_builtin_mapping()), "lower(title || ' ' || abstract)")}
 FROM {DOCUMENT_ARTICLES_SQL}""")
 def q_match_builtin(spark: SparkSession, sf: str) -> DataFrame:
-    """T1-T12 with the built-in 236-term dictionary (built and deduplicated by Spark)."""
-    from paperlens.operators.dictionary import build_dictionary, dictionary_to_mapping
+    """T1-T12 with the built-in 236-term dictionary."""
     from paperlens.operators.matching import match_article_text
-    mapping = dictionary_to_mapping(build_dictionary(spark))
+    mapping = _builtin_mapping()
     a = documents_as_articles(spark, sf).select("doc_id", match_article_text().alias("match_text"))
     return matched_features(a, mapping).select("doc_id", *_feature_cols(mapping))
 

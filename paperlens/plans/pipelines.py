@@ -16,34 +16,42 @@ from paperlens.functions.rules import LabelRule
 from paperlens.operators.curate import collection_pipeline, create_splits, split_stats
 from paperlens.operators.impact import all_impact_metrics, class_counts_summary
 from paperlens.operators.keywords import tfidf_keywords
+from paperlens.operators.topk import top_k
 from paperlens.operators.preprocess import collect_labelled, date_window, drop_empty, preprocess
 from paperlens.operators.trends import trend_summary
 from paperlens.sources.landed import articles_from_pages
 
 
 def collect_from_landed(pages: DataFrame, query_labels: Mapping[str, int],
-                        max_per_query: int | None = 500, min_year: int | None = None,
+                        max_per_query: int | None = None, min_year: int | None = None,
                         max_year: int | None = None, balance: bool = True,
                         seed: int = 42) -> DataFrame:
     """D6 over landed search pages whose ``query`` field names the query that
-    produced them: cap per query, date window, empty filter, label, dedup per
-    class, exact balance."""
-    arts = articles_from_pages(pages, max_per_query)
+    produced them: date window, cap per query, empty filter, label, dedup per
+    class, exact balance. The window is part of what a query asks for, so only
+    rows inside it count towards the cap. Of copies the first by configured query
+    order, page and place stays; ``seq`` is that order, ``doc_id`` the dedup key."""
+    arts = articles_from_pages(pages, None)
     if min_year is not None and max_year is not None:
         arts = date_window(arts, min_year, max_year)
-    labels = pages.sparkSession.createDataFrame(list(query_labels.items()), "query string, label int")
+    if max_per_query is not None:
+        arts = top_k(arts, ["query"], [F.col("page"), F.col("pos")], max_per_query, ["page", "pos"]).drop("rank")
+    rows = [(q, label, i) for i, (q, label) in enumerate(query_labels.items())]
+    labels = pages.sparkSession.createDataFrame(rows, "query string, label int, rule_ord int")
     # one row per configured query: a small constant table
     arts = drop_empty(arts).join(F.broadcast(labels), "query", "inner")
-    arts = arts.withColumn("seq", F.struct("query", "page", "pos"))
-    return collection_pipeline(arts, balance, seed, "label", "seq").drop("seq")
+    arts = arts.withColumn("seq", F.struct("rule_ord", "page", "pos"))
+    return collection_pipeline(arts, balance, seed, "label", "seq").withColumn("doc_id", F.col("uid"))
 
 
-def collect_by_rules(articles: DataFrame, rules: Sequence[LabelRule], max_per_rule: int | None = 500,
+def collect_by_rules(articles: DataFrame, rules: Sequence[LabelRule], max_per_rule: int | None = None,
                      min_year: int | None = None, max_year: int | None = None,
                      balance: bool = True, seed: int = 42, order_col: str = "seq") -> DataFrame:
-    """D6 over an article table labelled by phrase rules."""
+    """D6 over an article table labelled by phrase rules (P4-P9). Of copies within a class
+    the first by rule, as configured, and ``order_col`` stays."""
     hits = collect_labelled(articles, rules, min_year, max_year, max_per_rule, order_col)
-    return collection_pipeline(hits, balance, seed, "label", order_col)
+    hits = hits.withColumn("__order", F.struct("rule_ord", order_col))
+    return collection_pipeline(hits, balance, seed, "label", "__order").drop("__order")
 
 
 def prepare_splits(articles: DataFrame, seed: int = 42, train: float = 0.7, val: float = 0.15,
@@ -66,7 +74,7 @@ def train_job(splits: DataFrame, models: Sequence[str] = ("logistic_regression",
 
 
 def analysis_report(splits: DataFrame, comparison: DataFrame | None = None,
-                    n_keywords: int = 30, text_col: str = "text") -> DataFrame:
+                    n_keywords: int = 30, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One nested row - dataset sizes, model comparison, impact metrics of
     the positives, trend summary, top keywords of each class (rounded to 4)."""
     full = splits  # D7: the union of the splits is one table already
@@ -75,7 +83,7 @@ def analysis_report(splits: DataFrame, comparison: DataFrame | None = None,
         F.map_from_entries(F.collect_list(F.struct("split", "size"))).alias("splits")))
     impact = all_impact_metrics(full, positive=True).select(F.struct("*").alias("impact_metrics"))
     trend = trend_summary(full.where(F.col("label") == 1)).select(F.struct("*").alias("trend_summary"))
-    kw = tfidf_keywords(full.select("doc_id", "label", text_col), text_col, "doc_id", n_keywords,
+    kw = tfidf_keywords(full.select(id_col, "label", text_col), text_col, id_col, n_keywords,
                         partition_cols=["label"])
     kws = kw.groupBy().agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == lab, F.struct(

@@ -7,8 +7,9 @@ the caller passes (a shared filesystem or object store on a cluster).
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,13 @@ log = logging.getLogger(__name__)
 
 SPLITS = ("train", "val", "test")
 
+# One dialect for writing and reading: quotes are doubled, blanks at the ends of a
+# value and line breaks in it are kept, '' is written quoted and NULL as nothing.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False}
+CSV_WRITE = {**_CSV, "emptyValue": '""', "nullValue": ""}
+CSV_READ = {**_CSV, "multiLine": True, "emptyValue": "", "nullValue": "\u0000"}
+
 
 def to_csv_ready(df: DataFrame) -> DataFrame:
     """Arrays rendered like Python lists (``['a', 'b']``), structs / maps as JSON."""
@@ -36,12 +44,12 @@ def to_csv_ready(df: DataFrame) -> DataFrame:
 
 def write_articles_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header, no index column."""
-    to_csv_ready(df).write.mode(mode).option("header", True).csv(path)
+    to_csv_ready(df).write.mode(mode).options(**CSV_WRITE).csv(path)
 
 
 def read_articles_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None
                       ) -> DataFrame:
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = spark.read.options(**CSV_READ)
     return (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(path)
 
 
@@ -51,8 +59,8 @@ def save_splits(splits: DataFrame, path: str, fmt: str = "parquet", label_col: s
     from paperlens.operators.curate import split_stats
     w = splits.write.mode("overwrite").partitionBy("split")
     if fmt == "csv":
-        to_csv_ready(splits).write.mode("overwrite").partitionBy("split").option(
-            "header", True).csv(path)
+        to_csv_ready(splits).write.mode("overwrite").partitionBy("split").options(
+            **CSV_WRITE).csv(path)
     else:
         w.format(fmt).save(path)
     stats = split_stats(spark_read(splits.sparkSession, path, fmt), label_col)
@@ -62,8 +70,7 @@ def save_splits(splits: DataFrame, path: str, fmt: str = "parquet", label_col: s
 
 def spark_read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "csv":
-        return spark.read.option("header", True).option("multiLine", True).option(
-            "escape", '"').csv(path)
+        return spark.read.options(**CSV_READ).csv(path)
     return spark.read.format(fmt).load(path)
 
 
@@ -75,32 +82,40 @@ def load_splits(spark: SparkSession, path: str, fmt: str = "parquet",
     filter on the partition column prunes folders instead of reading them.
     """
     df = spark_read(spark, path, fmt).where(F.col("split").isin(list(names)))
-    if path.startswith("/"):
-        import os
-        for n in names:
-            if not os.path.exists(f"{path.rstrip('/')}/split={n}"):
-                log.warning("Split not found: %s/split=%s", path, n)
+    for n in names:
+        folder = f"{path.rstrip('/')}/split={n}"
+        if if_present(lambda: spark.read.text(folder)) is None:
+            log.warning("Split not found: %s", folder)
     return df
 
 
+def if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """``read()``, or None where its path does not exist (Spark looks, so any file system does)."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def load_model_results(spark: SparkSession, baseline_path: str | None,
                        transformer_path: str | None) -> DataFrame:
     """Both optional report files -> long ``(ord, model, type, split, metrics...)``."""
     metric = T.StructType([T.StructField(m, T.DoubleType()) for m in
                            ("accuracy", "precision", "recall", "f1", "auc_roc", "loss")])
     frames = []
-    import os
-    if baseline_path and os.path.exists(baseline_path):
-        raw = spark.read.option("multiLine", True).text(baseline_path, wholetext=True)
+    raw = if_present(lambda: spark.read.text(baseline_path, wholetext=True)) if baseline_path else None
+    if raw is not None:
         parsed = raw.select(F.from_json("value", T.MapType(T.StringType(), T.StructType([
             T.StructField("val", metric), T.StructField("test", metric)]))).alias("m"))
         frames.append(parsed.select(F.posexplode("m").alias("ord", "model", "r")).select(
             "ord", F.concat(F.lit("TF-IDF + "), "model").alias("model"),
             F.lit("baseline").alias("type"), "r.test.*"))
-    if transformer_path and os.path.exists(transformer_path):
-        tr = spark.read.option("multiLine", True).schema(T.StructType([
-            T.StructField("model", T.StringType()), T.StructField("test_results", metric)])).json(
-            transformer_path)
+    fields = T.StructType([T.StructField("model", T.StringType()), T.StructField("test_results", metric)])
+    tr = if_present(lambda: spark.read.option("multiLine", True).schema(fields).json(transformer_path)) \
+        if transformer_path else None
+    if tr is not None:
         frames.append(tr.select(F.lit(1000).alias("ord"),
                                 F.element_at(F.split(F.coalesce("model", F.lit("SciBERT")), "/"), -1)
                                 .alias("model"),

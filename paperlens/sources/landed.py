@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperlens.operators.topk import top_k
 from paperlens.schemas import (
     ANNOTATION_RECORD_SCHEMA, CITATIONS_RESPONSE_SCHEMA, REFERENCES_RESPONSE_SCHEMA,
     SEARCH_RESPONSE_SCHEMA)
@@ -26,18 +25,33 @@ def read_search_pages(spark: SparkSession, path: str | Sequence[str],
     return spark.read.schema(SEARCH_RESPONSE_SCHEMA).option("multiLine", multiline).json(path)
 
 
-def search_results(pages: DataFrame, max_results: int | None = 500) -> DataFrame:
+def search_results(pages: DataFrame, max_results: int | None = None) -> DataFrame:
     """One row per result in (page, position) order, at most ``max_results``
-    per query; pages with an empty result list contribute nothing.
+    per query if given; pages with an empty result list contribute nothing.
 
     Output: ``query, page, pos, raw`` (raw = the nested result struct).
     """
-    rows = pages.select("query", "page", F.posexplode("resultList.result").alias("pos", "raw"))
-    if max_results is not None:
-        # exact first-n per query, ranked in salted sub-groups first (no hot task)
-        rows = top_k(rows, ["query"], [F.col("page"), F.col("pos")], max_results,
-                     ["page", "pos"]).drop("rank")
-    return rows
+    return _first_of_lists(pages, ["query"], "resultList.result", max_results, "raw")
+
+
+def _first_of_lists(pages: DataFrame, by: Sequence[str], list_col: str, cap: int | None,
+                    out: str) -> DataFrame:
+    """Elements of each page's list as rows ``(by, page, pos, out)``; with a cap, the first
+    of each ``by`` in page order. How much of a page is left under the cap follows from the
+    sizes of the pages before it: one small row a page is ranked, and no record moves for it.
+    (``by``, ``page``) identifies a page; pages repeated under one number share its cap."""
+    items = F.col(list_col)
+    if cap is None:
+        return pages.select(*by, "page", F.posexplode(items).alias("pos", out))
+    sizes = (pages.groupBy(*by, "page")
+             .agg(F.max(F.greatest(F.size(items), F.lit(0))).alias("n")))
+    w = Window.partitionBy(*by).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    room = sizes.select(*[F.col(c).alias(f"__{c}") for c in (*by, "page")],
+                        (F.lit(cap) - F.coalesce(F.sum("n").over(w), F.lit(0))).alias("__room"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, "page")]
+    first = F.slice(items, F.lit(1), F.col("__room").cast("int"))
+    return (pages.join(room.where("__room > 0"), same)
+            .select(*by, "page", F.posexplode(first).alias("pos", out)))
 
 
 def _s(c: Column) -> Column:
@@ -64,7 +78,7 @@ def extract_metadata(raw: Column | str = "raw", journal_paths: Sequence[str] = (
     ]
 
 
-def articles_from_pages(pages: DataFrame, max_results: int | None = 500) -> DataFrame:
+def articles_from_pages(pages: DataFrame, max_results: int | None = None) -> DataFrame:
     """S1 + S2: canonical articles with ``query, page, pos`` kept for ordering."""
     res = search_results(pages, max_results)
     return res.select("query", "page", "pos", *extract_metadata("raw"))
@@ -95,11 +109,7 @@ def read_reference_pages(spark: SparkSession, path, multiline: bool = False) ->
 
 
 def _edges(pages: DataFrame, list_col: str, direction: str, max_results: int | None) -> DataFrame:
-    rows = pages.select("article_id", "article_source", "page",
-                        F.posexplode(list_col).alias("pos", "e"))
-    if max_results is not None:
-        rows = top_k(rows, ["article_id", "article_source"], [F.col("page"), F.col("pos")],
-                     max_results, ["page", "pos"]).drop("rank")
+    rows = _first_of_lists(pages, ["article_id", "article_source"], list_col, max_results, "e")
     return rows.select("article_id", "article_source", F.lit(direction).alias("direction"),
                        "page", "pos", F.col("e.id").alias("other_id"),
                        F.col("e.source").alias("other_source"), F.col("e.title").alias("title"),
@@ -107,12 +117,12 @@ def _edges(pages: DataFrame, list_col: str, direction: str, max_results: int | N
                        F.col("e.citedByCount").alias("cited_by_count"))
 
 
-def citation_edges(pages: DataFrame, max_results: int | None = 500) -> DataFrame:
+def citation_edges(pages: DataFrame, max_results: int | None = None) -> DataFrame:
     """Citing articles per article (capped), as edges ``article <- other``."""
     return _edges(pages, "citationList.citation", "cited_by", max_results)
 
 
-def reference_edges(pages: DataFrame, max_results: int | None = 500) -> DataFrame:
+def reference_edges(pages: DataFrame, max_results: int | None = None) -> DataFrame:
     """Referenced articles per article (capped), as edges ``article -> other``."""
     return _edges(pages, "referenceList.reference", "references", max_results)
 

@@ -1,31 +1,20 @@
-"""M1-M5, M10, M13, S15 on a tiny labelled set."""
+"""M1-M5, M10, M13, S15 on a small labelled set."""
 
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperlens.operators.classifiers import BaselineClassifier
-
-TEXTS = [
-    ("moth genome assembly with PacBio HiFi reads for the Tree of Life", 1),
-    ("reference genome of a beetle species for biodiversity genomics", 1),
-    ("chromosome-level scaffold with high N50 and BUSCO completeness", 1),
-    ("vertebrate genome assembly and annotation for a genome project", 1),
-    ("Hi-C scaffolding and manual genome curation of long-read data", 1),
-    ("genome note on a lepidoptera specimen from a museum", 1),
-    ("randomised drug trial with placebo in diabetic patients", 0),
-    ("cohort study of cardiovascular risk factors in adults", 0),
-    ("cognitive therapy and behaviour in a mental health trial", 0),
-    ("cell culture experiment with protein expression in vitro", 0),
-    ("controlled trial of statins for heart disease prevention", 0),
-    ("hospital patients and medication in a clinical drug study", 0),
-]
-
+from tests.conftest import SF_SMALL
 
 @pytest.fixture(scope="module")
 def data(spark):
-    return spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(TEXTS)],
-                                 "doc_id int, text string, label int")
+    """Labelled documents of the smallest tables."""
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    y = spark.read.parquet(f"{SF_SMALL}/labels.parquet").select(
+        "doc_id", F.col("quality").cast("int").alias("label"))
+    return d.join(y, "doc_id").where("doc_id < 80").persist()
 
 
 def test_unknown_model_and_unfitted():

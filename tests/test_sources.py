@@ -115,3 +115,37 @@ def test_streaming_ingest_dedups(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["pmid"] for r in out.collect()) == ["1", "2", "3"]
+
+
+ODD_TEXTS = ['He said "hi", ok', "two\nlines", "back\\slash \\\" end", "", None, "  blanks  ", ",", '"', "a,b;c\ttab"]
+
+
+def test_csv_round_trip_of_odd_texts(spark, tmp_path):
+    from paperlens.sources.files import read_articles_csv, write_articles_csv
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "i int, text string").withColumn("z", F.lit("end"))
+    write_articles_csv(df, str(tmp_path / "csv"))
+    back = read_articles_csv(spark, str(tmp_path / "csv"), "i int, text string, z string").orderBy("i").collect()
+    assert [(r["i"], r["text"], r["z"]) for r in back] == [(i, t, "end") for i, t in enumerate(ODD_TEXTS)]
+
+
+def test_reports_and_splits_by_uri(spark, tmp_path):
+    from paperlens.sources.files import load_model_results, load_splits
+    (tmp_path / "b.json").write_text(json.dumps({"svm": {"test": {"f1": 0.5}}}))
+    for path in (f"file:{tmp_path}/b.json", f"{tmp_path}/b.json"):
+        assert [r["model"] for r in load_model_results(spark, path, f"file:{tmp_path}/none.json").collect()] == [
+            "TF-IDF + svm"]
+    spark.createDataFrame([(1, "train")], "x int, split string").write.partitionBy("split").parquet(
+        f"file:{tmp_path}/sp")
+    assert load_splits(spark, f"file:{tmp_path}/sp").count() == 1
+
+
+def test_cap_takes_first_results_of_each_query(spark):
+    from paperlens.sources.landed import search_results
+    pages = spark.createDataFrame(
+        [("q", 2, ([(str(i),) for i in range(10, 14)],)), ("q", 1, ([("1",), ("2",)],)), ("q", 3, ([("9",)],)),
+         ("r", 1, ([],)), ("r", 2, (None,)), (None, 1, ([("5",), ("6",)],))],
+        "query string, page int, resultList struct<result:array<struct<pmid:string>>>")
+    pages = pages.repartition(3)
+    got = {(r["query"], r["raw"]["pmid"]) for r in search_results(pages, 4).collect()}
+    assert got == {("q", "1"), ("q", "2"), ("q", "10"), ("q", "11"), (None, "5"), (None, "6")}
+    assert search_results(pages).count() == 9

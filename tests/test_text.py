@@ -74,3 +74,26 @@ def test_preprocess_table(spark):
     first = by_title["A long enough title about genomes"]
     assert first["text"].endswith("KEYWORDS: ['genome']")
     assert first["text_length"] == len(first["text"]) > 50
+
+
+def test_counts_out_of_range_and_odd_labels(spark):
+    import pytest
+
+    from paperlens.functions.coerce import to_int_or, to_int_or_null, to_whole
+    vals = ["3000000000", "inf", "-inf", "nan", "2.9", "-2.9", "x", None, "1e300"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    r = df.select(to_int_or("v", kind="long"), to_int_or("v"), to_int_or_null("v")).collect()
+    assert [x[0] for x in r] == [3000000000, 0, 0, 0, 2, -2, 0, 0, 0]
+    assert [x[1] for x in r] == [0, 0, 0, 0, 2, -2, 0, 0, 0]
+    assert [x[2] for x in r] == [None, None, None, None, 2, -2, None, None, None]
+    ok = spark.createDataFrame([("1.0",), ("0",), (None,)], "v string").select(to_whole("v")).collect()
+    assert [x[0] for x in ok] == [1, 0, None]
+    for bad in ("1.5", "yes", "inf"):
+        with pytest.raises(Exception, match="whole number"):
+            spark.createDataFrame([(bad,)], "v string").select(to_whole("v")).collect()
+
+
+def test_date_window_without_dates(spark):
+    from paperlens.operators.preprocess import date_window
+    df = spark.createDataFrame([("2020-05-01",), ("",), (None,), ("soon",), ("2030-01-01",)], "first_pub_date string")
+    assert [r[0] for r in date_window(df, 2018, 2025).collect()] == ["2020-05-01"]
