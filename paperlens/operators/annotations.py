@@ -23,15 +23,14 @@ def annotation_type_counts(records: DataFrame, id_col: str = "extId",
 
 def annotation_type_counts_long(flat: DataFrame, id_col: str = "ext_id",
                                 order_col: str = "pos", prefix_len: int = 30) -> DataFrame:
-    """A9 on long rows ``(id, order, type, exact, prefix)``; sorted by id, type."""
+    """A9 on long rows ``(id, order, type, exact, prefix)``, in no order (sort at the sink)."""
     first = F.min_by(F.struct(F.coalesce(F.col("exact"), F.lit("N/A")).alias("exact"),
                               F.substring(F.coalesce(F.col("prefix"), F.lit("")), 1, prefix_len)
                               .alias("prefix")), F.col(order_col))
     return (flat.groupBy(F.col(id_col).alias("ext_id"), "type")
             .agg(F.count("*").alias("n"), first.alias("f"))
             .select("ext_id", "type", "n", F.col("f.exact").alias("example_exact"),
-                    F.col("f.prefix").alias("example_prefix"))
-            .orderBy("ext_id", "type"))
+                    F.col("f.prefix").alias("example_prefix")))
 
 
 def field_inventory(df: DataFrame, order_col: str | None = None, preview_len: int = 80) -> DataFrame:

@@ -1,16 +1,13 @@
 """De-duplication, balancing and splitting.
 
 Sampling is exact and reproducible: rows are ordered by ``md5(id || ':' || seed)``
-and cut at exact per-class quotas. The rank is computed in two levels so that
-no class ever lands in a single task:
+and cut at exact per-class quotas. No row is ranked or moved for that. The hash
+of the row at each cut is found from counts, and rows compare with it:
 
 * bucket = first ``digits`` hex characters of the digest (16**digits buckets,
-  uniform because ids are unique);
-* per (class, bucket) row counts -> running offsets over that small table;
-* ``row_number`` inside (class, bucket) + offset = the global rank per class.
-
-The window and the offset join need the same clustering, so the article rows
-are shuffled once; only the small count table moves a second time.
+  uniform because ids are unique); rows per (class, bucket) are counted;
+* running sums over that small table tell in which bucket a quota ends;
+* only the hashes of rows in these buckets are ranked, to find the last one in.
 """
 
 from __future__ import annotations
@@ -31,37 +28,61 @@ def with_dedup_key(df: DataFrame, out: str = "uid") -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, key: str | Column = "uid", order_col: str = "seq",
-                     within: Sequence[str] = ()) -> DataFrame:
-    """Keep the first row (lowest ``order_col``) of every key (optionally per class).
+                     within: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """Keep the first row (lowest ``order_col``) of every key (optionally per class),
+    with the number of its copies in a column ``count`` if named.
 
-    ``min_by`` aggregates partially on the map side, so a key holding a large
-    share of all rows is reduced to one row per input partition before the
-    shuffle.
+    ``min_by`` of the row aggregates partially on the map side (sort-based, as a row is
+    no fixed-width buffer), so a key holding a large share of all rows is reduced to
+    one row per input partition before the shuffle.
     """
     k = F.col(key) if isinstance(key, str) else key
     cols = [c for c in df.columns]
     grouped = df.withColumn("__k", k).groupBy(*within, "__k")
-    kept = grouped.agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("__r"))
-    return kept.select("__r.*")
+    kept = grouped.agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("__r"),
+                       F.count("*").alias("__copies"))
+    return kept.select("__r.*", *([F.col("__copies").alias(count)] if count else []))
 
 
 def hash_key(id_cols: Sequence[str], seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
 
 
-def exact_rank(df: DataFrame, by: Sequence[str], id_cols: Sequence[str], seed: int | str = 42,
-               digits: int = 4, out: str = "rank") -> DataFrame:
-    """1-based rank of every row within ``by`` in ``md5(ids:seed)`` order (ids unique)."""
+def cut_keys(df: DataFrame, by: str, id_cols: Sequence[str], quotas: DataFrame, cuts: Sequence[str],
+             seed: int | str = 42, digits: int = 4) -> DataFrame:
+    """``quotas`` (one row per class ``by``) with each column of ``cuts``, a number of rows, replaced
+    by the key ``struct(hash, ids...)`` of the last row within that number (NULL: no row)."""
     h = hash_key(id_cols, seed)
-    staged = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits))
-    counts = staged.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
-    w_cum = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.select(*by, "__b", (F.sum("__n").over(w_cum) - F.col("__n")).alias("__off"))
-    w_in = Window.partitionBy(*by, "__b").orderBy("__h", *id_cols)
-    ranked = staged.withColumn("__r", F.row_number().over(w_in))
-    return (ranked.join(offsets, [*by, "__b"], "inner")
-            .withColumn(out, F.col("__off") + F.col("__r"))
-            .drop("__h", "__b", "__r", "__off"))
+    keyed = df.select(F.col(by).alias("__class"), F.struct(h.alias("h"), *id_cols).alias("__key"),
+                      F.substring(h, 1, digits).alias("__b"))
+    counts = keyed.groupBy("__class", "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("__class").orderBy("__b")
+    counts = counts.withColumn("__upto", F.sum("__n").over(w))
+    wanted = quotas.select(F.col(by).alias("__c"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("cut"), F.col(c).cast("long").alias("k")) for c in cuts])).alias("__q"))
+    wanted = wanted.select("__c", "__q.cut", F.greatest("__q.k", F.lit(0)).alias("k"))
+    # one row per class and cut: the bucket in which the quota ends, and its place there; a quota
+    # beyond the class ends with the last row
+    sizes = counts.groupBy("__class").agg(F.sum("__n").alias("__all"))
+    ends = (wanted.join(sizes, F.col("__c").eqNullSafe(F.col("__class"))).drop("__class")
+            .withColumn("k", F.least("k", "__all")))
+    ends = ends.join(counts, F.col("__c").eqNullSafe(F.col("__class"))
+                     & (F.col("__upto") >= F.col("k")) & (F.col("__upto") - F.col("__n") < F.col("k")))
+    ends = ends.select("__c", "cut", F.col("__b").alias("__e"),
+                       (F.col("k") - F.col("__upto") + F.col("__n")).alias("place"))
+    # at most one row per class and cut; classes are the values of a label
+    near = keyed.join(F.broadcast(ends), F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__e")))
+    rank = F.row_number().over(Window.partitionBy("__c", "cut").orderBy("__key"))
+    last = near.withColumn("__r", rank).where(F.col("__r") == F.col("place"))
+    found = last.groupBy("__c").agg(*[F.max(F.when(F.col("cut") == c, F.col("__key"))).alias(f"__cut_{c}")
+                                      for c in cuts])
+    out = quotas.join(found, F.col(by).eqNullSafe(F.col("__c")), "left")
+    return out.select(*[F.col(f"__cut_{c}").alias(c) if c in cuts else F.col(c) for c in quotas.columns])
+
+
+def _within(id_cols: Sequence[str], seed: int | str, cut: str) -> Column:
+    """Whether the row's key is at or before the cut's."""
+    return F.coalesce(F.struct(hash_key(id_cols, seed).alias("h"), *id_cols) <= F.col(cut), F.lit(False))
 
 
 def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -79,10 +100,12 @@ def balance(df: DataFrame, label_col: str = "label", id_cols: Sequence[str] = ("
                for lab in labels]
     k = counts.agg(F.least(*present).alias("__k") if len(present) > 1
                    else present[0].alias("__k"))
-    ranked = exact_rank(df, [label_col], id_cols, seed, digits, "__rank")
-    # k is a single row: the cross join is a broadcast of one row
-    return (ranked.crossJoin(F.broadcast(k)).where(F.col("__rank") <= F.col("__k"))
-            .drop("__rank", "__k"))
+    # k is a single row; classes are the values of a label
+    quotas = counts.crossJoin(F.broadcast(k)).select(F.col(label_col), F.col("__k"))
+    cut = cut_keys(df, label_col, id_cols, quotas, ["__k"], seed, digits)
+    cut = cut.select(F.col(label_col).alias("__class"), "__k")
+    return (df.join(F.broadcast(cut), F.col(label_col).eqNullSafe(F.col("__class")))
+            .where(_within(id_cols, seed, "__k")).select(*[df[c] for c in df.columns]))
 
 
 def _largest_remainder(counts: DataFrame, total: Column, draws: Column, label_col: str,
@@ -141,14 +164,14 @@ def create_splits(df: DataFrame, train: float = 0.7, val: float = 0.15, test: fl
     staged = df if stratify else df.withColumn("__all", F.lit(0))
     quotas = split_quotas(class_counts(staged, by_col).withColumnRenamed("n", "__cnt"),
                           train, val, test, by_col, "__cnt")
-    ranked = exact_rank(staged, [by_col], id_cols, seed, digits, "__rank")
-    # quotas hold one row per class
-    out = ranked.join(F.broadcast(quotas.select(by_col, "n_train", "n_val")), by_col)
-    split = (F.when(F.col("__rank") <= F.col("n_train"), F.lit("train"))
-             .when(F.col("__rank") <= F.col("n_train") + F.col("n_val"), F.lit("val"))
-             .otherwise(F.lit("test")))
-    out = out.withColumn("split", split).drop("__rank", "n_train", "n_val")
-    return out if stratify else out.drop("__all")
+    quotas = quotas.select(by_col, "n_train", (F.col("n_train") + F.col("n_val")).alias("n_val"))
+    cuts = cut_keys(staged, by_col, id_cols, quotas, ["n_train", "n_val"], seed, digits)
+    # one row per class
+    cuts = cuts.select(F.col(by_col).alias("__class"), F.col("n_train").alias("__t"), F.col("n_val").alias("__v"))
+    out = staged.join(F.broadcast(cuts), F.col(by_col).eqNullSafe(F.col("__class")))
+    split = (F.when(_within(id_cols, seed, "__t"), F.lit("train"))
+             .when(_within(id_cols, seed, "__v"), F.lit("val")).otherwise(F.lit("test")))
+    return out.select(*[staged[c] for c in df.columns], split.alias("split"))
 
 
 def split_stats(splits: DataFrame, label_col: str = "label") -> DataFrame:

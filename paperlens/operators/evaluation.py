@@ -58,12 +58,26 @@ def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "p1",
     depends on them: running offsets come from a table with one row per bucket,
     and the within-bucket running sum is a window over one bucket.
     """
+    per = _per_score(scored, label_col, None, score_col, by)
+    return _ranked(per, by, scored.sparkSession, buckets).select(*by, "auc_roc")
+
+
+def _per_score(scored: DataFrame, label_col: str, pred_col: str | None, score_col: str,
+               by: Sequence[str]) -> DataFrame:
+    """One row per distinct score: positives, negatives and, with predictions, the four counts."""
+    y = F.col(label_col)
+    counts = [F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")]
+    if pred_col:
+        p = F.col(pred_col)
+        counts += [F.count_if((y == t) & (p == q)).alias(n) for n, t, q in
+                   (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
+    return scored.groupBy(*by, F.col(score_col).cast("double").alias("s")).agg(*counts)
+
+
+def _ranked(per: DataFrame, by: Sequence[str], spark, buckets: int | None) -> DataFrame:
+    """AUC, and the sums of the four counts where ``per`` has them."""
     pc = list(by)
-    spark = scored.sparkSession
     nb = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    per = (scored.groupBy(*pc, F.col(score_col).cast("double").alias("s"))
-           .agg(F.count_if(F.col(label_col) == 1).alias("pos"),
-                F.count_if(F.col(label_col) == 0).alias("neg")))
     cuts = per.agg(F.percentile_approx("s", [i / nb for i in range(1, nb)], 10 * nb)
                    .alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))  # at most nb - 1 numbers
@@ -76,20 +90,19 @@ def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "p1",
     per = per.withColumn("below", F.coalesce(F.sum("neg").over(w_in), F.lit(0)))
     per = per.join(offs, [*pc, "b"], "inner")
     u = F.col("pos").cast("double") * (F.col("off") + F.col("below") + F.col("neg") / 2.0)
-    agg = per.groupBy(*pc).agg(F.sum(u).alias("u"), F.sum("pos").alias("P"),
-                               F.sum("neg").alias("N"))
-    return agg.select(*pc, (F.col("u") / F.nullif(F.col("P") * F.col("N"), F.lit(0)))
-                      .alias("auc_roc"))
+    counts = [c for c in ("tn", "fp", "fn", "tp") if c in per.columns]
+    agg = per.groupBy(*pc).agg(F.sum(u).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                               *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+    return agg.select(*pc, (F.col("u") / F.nullif(F.col("P") * F.col("N"), F.lit(0))).alias("auc_roc"), *counts)
 
 
 def evaluate(scored: DataFrame, label_col: str = "label", pred_col: str = "prediction",
              score_col: str = "p1", by: Sequence[str] = ()) -> DataFrame:
-    """M6: accuracy, precision, recall, f1, auc_roc, confusion matrix per group."""
-    pc = list(by)
-    cc = confusion_counts(scored, label_col, pred_col, pc)
-    auc = roc_auc(scored, label_col, score_col, pc)
-    out = cc.join(auc, pc, "inner") if pc else cc.crossJoin(auc)
-    return out.select(*pc, *metric_columns(), "auc_roc",
+    """M6: accuracy, precision, recall, f1, auc_roc, confusion matrix per group, all from
+    one aggregation of the rows by score."""
+    per = _per_score(scored, label_col, pred_col, score_col, by)
+    out = _ranked(per, by, scored.sparkSession, None)
+    return out.select(*by, *metric_columns(), "auc_roc",
                       F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"),
                       "tn", "fp", "fn", "tp")
 
@@ -153,6 +166,11 @@ def best_model(table: DataFrame) -> DataFrame:
     return table.orderBy(F.col("f1").desc(), F.col("ord")).limit(1)
 
 
+def is_best() -> Column:
+    """O5 as a column of a comparison table, which has one row per model."""
+    return F.row_number().over(Window.orderBy(F.col("f1").desc(), F.col("ord"))) == 1
+
+
 def metrics_long(table: DataFrame) -> DataFrame:
     """V4: model x metric long table in fixed metric order."""
     return table.select("model", F.posexplode(F.array(*[F.struct(F.lit(m).alias("metric"),

@@ -10,12 +10,13 @@ Definition (sublinear TF-IDF, L2-normalised rows, averaged over documents):
 4. each document's weights divided by their L2 norm;
 5. keyword score = sum of normalised weights / N (N counts every document).
 
-Plan: documents are hash-partitioned by id once; terms are exploded and
-counted per (document, term) on that partitioning; the vocabulary is a partial
-aggregation on ``term`` followed by a top-k (bounded by ``max_features``, hence
-safe to broadcast); the per-document norm is a window on the document id over
-vocabulary terms only. With ``partition_cols`` (e.g. the class label) every
-class is fitted separately in the same pass.
+Plan, two passes over the texts and nothing written in between. The first counts
+every term's occurrences and documents by one partial aggregation on ``term``
+(each document gives its terms, and its distinct terms, as one exploded list) and
+keeps the top terms, at most ``max_features`` rows, hence safe to broadcast. The
+second partitions documents by id, drops terms outside the vocabulary as they
+are exploded, and counts, normalises and sums the rest on that partitioning.
+With ``partition_cols`` (e.g. the class label) every class is fitted separately.
 """
 
 from __future__ import annotations
@@ -50,24 +51,41 @@ def ngram_terms(df: DataFrame, text_col: str, ngram_range: tuple[int, int] = (1,
             .drop("__tok", "__flt", *[f"__ng{n}" for n in range(max(lo, 2), hi + 1)]))
 
 
-def doc_term_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+def _terms(docs: DataFrame, text_col: str, id_col: str, pc: list[str], ngram_range, stop_words) -> DataFrame:
+    base = docs.select(*pc, F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"))
+    return ngram_terms(base, "__t", ngram_range, stop_words, "__terms")
+
+
+def term_totals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                partition_cols: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 2),
+                stop_words: Sequence[str] | None = None) -> DataFrame:
+    """``(partition_cols..., term, cf, df)``: occurrences and documents of every term."""
+    pc = list(partition_cols)
+    t = _terms(docs, text_col, id_col, pc, ngram_range, stop_words)
+    each = F.concat(F.transform("__terms", lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"))),
+                    F.transform(F.array_distinct("__terms"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"))))
+    # explode_outer + null filter: a plain explode would let the optimizer
+    # re-run the tokenisation for an inferred size(terms) > 0 filter
+    flat = t.select(*pc, F.explode_outer(each).alias("e")).where(F.col("e").isNotNull())
+    return flat.groupBy(*pc, F.col("e.term").alias("term")).agg(
+        F.count_if(F.col("e.d") == 0).alias("cf"), F.count_if(F.col("e.d") == 1).alias("df"))
+
+
+def doc_term_counts(docs: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     partition_cols: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 2),
                     stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Long form ``(partition_cols..., doc_id, term, tf)``.
+    """Long form ``(partition_cols..., doc_id, term, idf, tf)`` over vocabulary terms.
 
-    Documents are hash-partitioned by id once; the (doc, term) aggregation and
-    the later per-document norm window both reuse that partitioning, so the
-    only per-document shuffle is the one of the input rows.
+    Documents are hash-partitioned by id once; the counts here and the norm of
+    ``weights`` reuse that partitioning.
     """
     pc = list(partition_cols)
-    base = (docs.select(*pc, F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"))
-            .repartition("doc_id"))
-    with_terms = ngram_terms(base, "__t", ngram_range, stop_words, "__terms")
-    # explode_outer + null filter: a plain explode would let the optimizer
-    # re-run the tokenisation for an inferred size(terms) > 0 filter
-    flat = (with_terms.select(*pc, "doc_id", F.explode_outer("__terms").alias("term"))
+    t = _terms(docs.repartition(F.col(id_col)), text_col, id_col, pc, ngram_range, stop_words)
+    flat = (t.select(*pc, "doc_id", F.explode_outer("__terms").alias("term"))
             .where(F.col("term").isNotNull()))
-    return flat.groupBy("doc_id", *pc, "term").agg(F.count("*").alias("tf"))
+    # vocabulary: at most max_features rows per partition value -> broadcast
+    flat = flat.join(F.broadcast(vocab.select(*pc, "term", "idf")), [*pc, "term"])
+    return flat.groupBy("doc_id", *pc, "term").agg(F.first("idf").alias("idf"), F.count("*").alias("tf"))
 
 
 def document_counts(docs: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +94,7 @@ def document_counts(docs: DataFrame, partition_cols: Sequence[str] = ()) -> Data
     return docs.groupBy(*pc).agg(F.count("*").alias("n_docs"))
 
 
-def fit_vocabulary(dtc: DataFrame, n_docs: DataFrame, max_features: int | None = 5000,
+def fit_vocabulary(totals: DataFrame, n_docs: DataFrame, max_features: int | None = 5000,
                    partition_cols: Sequence[str] = ()) -> DataFrame:
     """Vocabulary with idf: ``(partition_cols..., term, idf, df, cf, n_docs)``.
 
@@ -84,11 +102,11 @@ def fit_vocabulary(dtc: DataFrame, n_docs: DataFrame, max_features: int | None =
     makes the vocabulary safe to broadcast.
     """
     pc = list(partition_cols)
-    stats = dtc.groupBy(*pc, "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    stats = totals
     if max_features:
-        # exact top-k per class in two stages (term-hash salted), never one task
-        stats = top_k(stats, pc, [F.col("cf").desc(), F.col("term")], max_features,
-                      ["term"]).drop("rank")
+        order = [F.col("cf").desc(), F.col("term")]
+        stats = (top_k(stats, pc, order, max_features, ["term"]).drop("rank") if pc
+                 else stats.orderBy(*order).limit(max_features))
     # n_docs: one row per partition value
     joined = stats.join(F.broadcast(n_docs), pc, "inner") if pc else stats.crossJoin(
         F.broadcast(n_docs))
@@ -96,13 +114,10 @@ def fit_vocabulary(dtc: DataFrame, n_docs: DataFrame, max_features: int | None =
     return joined.select(*pc, "term", idf.alias("idf"), "df", "cf", "n_docs")
 
 
-def weights(dtc: DataFrame, vocab: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:
+def weights(dtc: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:
     """Normalised TF-IDF weights ``(partition_cols..., doc_id, term, weight)``."""
     pc = list(partition_cols)
-    # vocabulary: at most max_features rows per partition value -> broadcast
-    v = F.broadcast(vocab.select(*pc, "term", "idf"))
-    w = dtc.join(v, [*pc, "term"], "inner").withColumn(
-        "w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    w = dtc.withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", *pc)))
     return w.select(*pc, "doc_id", "term", (F.col("w") / norm).alias("weight"))
 
@@ -110,21 +125,17 @@ def weights(dtc: DataFrame, vocab: DataFrame, partition_cols: Sequence[str] = ()
 def tfidf_keywords(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                    n: int = 50, max_features: int | None = 5000,
                    ngram_range: tuple[int, int] = (1, 2), partition_cols: Sequence[str] = (),
-                   stop_words: Sequence[str] | None = None,
-                   materialize: bool = True) -> DataFrame:
+                   stop_words: Sequence[str] | None = None) -> DataFrame:
     """K1: top ``n`` terms by mean normalised weight over all documents.
 
     Returns ``(partition_cols..., rank, term, score)``.
     """
     pc = list(partition_cols)
-    dtc = doc_term_counts(docs, text_col, id_col, pc, ngram_range, stop_words)
-    if materialize:
-        # read twice (vocabulary, weights): a reliable checkpoint, not a recomputation
-        from paperlens.session import cut_lineage
-        dtc = cut_lineage(dtc)
     n_docs = document_counts(docs, pc)
-    vocab = fit_vocabulary(dtc, n_docs, max_features, pc)
-    wt = weights(dtc, vocab, pc)
+    totals = term_totals(docs, text_col, id_col, pc, ngram_range, stop_words)
+    vocab = fit_vocabulary(totals, n_docs, max_features, pc)
+    dtc = doc_term_counts(docs, vocab, text_col, id_col, pc, ngram_range, stop_words)
+    wt = weights(dtc, pc)
     sums = wt.groupBy(*pc, "term").agg(F.sum("weight").alias("s"))
     scored = sums.join(F.broadcast(n_docs), pc, "inner") if pc else sums.crossJoin(
         F.broadcast(n_docs))

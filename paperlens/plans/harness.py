@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlens.functions.rules import LabelRule, all_of, any_of, rule_sql, rule_text
@@ -293,6 +293,30 @@ def q_dict_term_hits(spark: SparkSession, sf: str) -> DataFrame:
             .select("category", "ord", "term", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs")))
 
 
+@register("dict_flat_hits", f"""
+WITH d AS {DEDUP_TERMS_SQL},
+f AS (SELECT row_number() OVER (ORDER BY cat_ord, ord) - 1 AS pos, * FROM d),
+a AS (SELECT lower(title || ' ' || abstract) AS lt FROM {DOCUMENT_ARTICLES_SQL})
+SELECT f.pos, f.term, count(a.lt) AS n_docs
+FROM f LEFT JOIN a ON (CASE WHEN length(f.term) <= 4 THEN regexp_matches(a.lt, f.pat)
+                            ELSE contains(a.lt, lower(f.term)) END)
+GROUP BY f.pos, f.term""")
+def q_dict_flat_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: the flat term list, each term's place in it with the documents it occurs in."""
+    from paperlens.operators.dictionary import build_dictionary, flat_terms
+    from paperlens.operators.matching import explode_matches, match_article_text, with_matches
+    d = build_dictionary(spark)
+    flat = flat_terms(d).select(F.posexplode("terms").alias("pos", "term"))
+    a = documents_as_articles(spark, sf).select(match_article_text().alias("match_text"))
+    hits = (explode_matches(with_matches(a, _builtin_mapping(), "match_text", "m").select("m"), "m", "h")
+            .groupBy("h.category", F.col("h.term").alias("t")).agg(F.count("*").alias("n")))
+    # a term may stand in two categories: its places are matched one by one
+    at = d.select("category", F.col("term").alias("t"),
+                  (F.row_number().over(Window.orderBy("cat_ord", "ord")) - 1).alias("pos"))
+    return (flat.join(at, "pos").join(hits, ["category", "t"], "left")
+            .select(F.col("pos").cast("long").alias("pos"), "term", F.coalesce("n", F.lit(0)).alias("n_docs")))
+
+
 @register("dict_summary", f"""
 WITH d AS {DEDUP_TERMS_SQL},
 a AS (SELECT doc_id, lower(title || ' ' || abstract) AS lt FROM {DOCUMENT_ARTICLES_SQL}),
@@ -543,9 +567,8 @@ def q_dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
     """D1 + D2: namespaced id key, first row kept; with the number of copies."""
     from paperlens.operators.curate import dedup_keep_first, with_dedup_key
     a = with_dedup_key(documents_as_articles(spark, sf))
-    kept = dedup_keep_first(a.select("uid", "doc_id", "seq"), "uid", "seq")
-    copies = a.groupBy("uid").agg(F.count("*").alias("n_copies"))
-    return kept.join(copies, "uid").select("uid", "doc_id", "n_copies")
+    kept = dedup_keep_first(a.select("uid", "doc_id", "seq"), "uid", "seq", count="n_copies")
+    return kept.select("uid", "doc_id", "n_copies")
 
 
 COLLECTED_SQL = f"""(
@@ -633,6 +656,27 @@ def q_split_unstratified(spark: SparkSession, sf: str) -> DataFrame:
     return create_splits(a, 0.6, 0.2, 0.2, seed=7, stratify=False).select("doc_id", "label", "split")
 
 
+@register("split_union", f"SELECT doc_id, label, split FROM {SPLIT_SQL} WHERE split <> 'val'")
+def q_split_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Bag union of two splits; columns by name, whatever their order."""
+    from paperlens.operators.curate import union_splits
+    s = labelled_splits(spark, sf)
+    train = s.where(F.col("split") == "train").select("doc_id", "label", "split")
+    return union_splits(train, s.where(F.col("split") == "test").select("split", "label", "doc_id"))
+
+
+@register("collect_by_rules", f"""
+WITH h AS (SELECT a.*, {_uid_sql()} AS uid, r.rule_ord, r.label, r.query
+  FROM {NONEMPTY_DOCS_SQL} a JOIN ({_rules_union_sql(NONEMPTY_DOCS_SQL, None)}) r USING (doc_id))
+SELECT label, uid, arg_min(doc_id, (rule_ord, h.seq)) AS doc_id, arg_min(query, (rule_ord, h.seq)) AS query
+FROM h GROUP BY label, uid""")
+def q_collect_by_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """D6 over rules: of copies within a class the first by rule, then by row, stays."""
+    from paperlens.plans.pipelines import collect_by_rules
+    a = documents_as_articles(spark, sf).select("doc_id", "seq", "pmid", "doi", "pmcid", "title", "abstract")
+    return collect_by_rules(a, PROSE_RULES, balance=False).select("label", "uid", "doc_id", "query")
+
+
 # ---------------------------------------------------------------- A9, A10
 
 @register("annotation_types", """
@@ -748,17 +792,12 @@ SCORED_SQL = "(" + " UNION ALL ".join(
 
 
 def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
-    a = documents_as_articles(spark, sf, labelled=True).join(
-        read_table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    parts = []
-    for i, (m, e) in enumerate(SCORERS):
-        p1 = F.expr(f"CAST({e} AS DOUBLE)")
-        parts.append(a.select(F.lit(m).alias("model"), F.lit(i).alias("ord"), "label",
-                              p1.alias("p1"), F.when(p1 >= 0.5, 1).otherwise(0).alias("prediction")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every labelled document once for each scorer, from one pass over the tables."""
+    a = documents_as_articles(spark, sf, labelled=True)
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("ord"),
+                              F.expr(f"CAST({e} AS DOUBLE)").alias("p1")) for i, (m, e) in enumerate(SCORERS)])
+    return a.select("label", F.explode(each).alias("s")).select(
+        "s.model", "s.ord", "label", "s.p1", F.when(F.col("s.p1") >= 0.5, 1).otherwise(0).alias("prediction"))
 
 
 def _eval_sql() -> str:
@@ -828,16 +867,14 @@ SELECT t.model, type, round(accuracy, 6) AS accuracy, round(precision, 6) AS pre
 def q_model_compare(spark: SparkSession, sf: str) -> DataFrame:
     """M11 + O5 + P12: comparison table (missing -> 0) and the best model by F1."""
     from paperlens.functions.coerce import baseline_model_label, short_model_name
-    from paperlens.operators.evaluation import best_model, comparison_table, evaluate
+    from paperlens.operators.evaluation import comparison_table, evaluate, is_best
     e = evaluate(scored_rows(spark, sf), by=["model", "ord"])
     res = e.select("ord", baseline_model_label(short_model_name("model")).alias("model"),
                    F.lit("baseline").alias("type"), "accuracy", "precision", "recall", "f1", "auc_roc")
     table = comparison_table(res)
-    best = best_model(table).select(F.col("model").alias("best"))
-    return (table.crossJoin(best)  # best: one row
-            .select("model", "type", *[r6(F.col(m)).alias(m) for m in
-                                       ("accuracy", "precision", "recall", "f1", "auc_roc")],
-                    (F.col("model") == F.col("best")).alias("is_best")))
+    return table.select("model", "type", *[r6(F.col(m)).alias(m) for m in
+                                           ("accuracy", "precision", "recall", "f1", "auc_roc")],
+                        is_best().alias("is_best"))
 
 
 @register("log_loss", f"""
@@ -874,6 +911,39 @@ def q_metrics_long(spark: SparkSession, sf: str) -> DataFrame:
     return metrics_long(e).withColumn("value", r6(F.col("value")))
 
 
+@register("auc_many_scores", f"""
+WITH per AS (SELECT score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+  FROM (SELECT CAST(o_totalprice AS DOUBLE) AS score, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS y
+        FROM orders) GROUP BY score),
+cum AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS below FROM per)
+SELECT round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc_roc FROM cum""")
+def q_auc_many_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """M9 / W5 over as many distinct scores as the orders have prices."""
+    from paperlens.operators.evaluation import roc_auc
+    o = read_table(spark, sf, "orders").select(
+        F.col("o_totalprice").cast("double").alias("p1"), (F.col("o_orderstatus") == "O").cast("int").alias("label"))
+    return roc_auc(o).select(r6(F.col("auc_roc")).alias("auc_roc"))
+
+
+@register("best_epoch", f"""
+WITH s AS (SELECT doc_id % 3 AS epoch, label, CASE WHEN n_chars / (n_chars + 2000.0) >= 0.5 THEN 1 ELSE 0 END AS p
+  FROM {LABELLED_ARTICLES_SQL} JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)),
+e AS (SELECT epoch, count(*) FILTER (WHERE label = 1 AND p = 1) AS tp, count(*) FILTER (WHERE label = 0 AND p = 1) AS fp,
+  count(*) FILTER (WHERE label = 1 AND p = 0) AS fn FROM s GROUP BY epoch),
+h AS (SELECT epoch, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS val_f1 FROM e)
+SELECT epoch, round(val_f1, 6) AS val_f1 FROM h WHERE val_f1 > 0 ORDER BY val_f1 DESC, epoch LIMIT 1""")
+def q_best_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    """Three epochs (doc_id % 3) of one scorer, the one with the best F1."""
+    from paperlens.operators.evaluation import best_epoch, evaluate
+    a = documents_as_articles(spark, sf, labelled=True)
+    p1 = F.col("n_chars") / (F.col("n_chars") + 2000.0)
+    scored = a.select((F.col("doc_id") % 3).alias("epoch"), "label", p1.alias("p1"),
+                      F.when(p1 >= 0.5, 1).otherwise(0).alias("prediction"))
+    history = evaluate(scored, by=["epoch"]).select("epoch", F.col("f1").alias("val_f1"))
+    return best_epoch(history).select("epoch", r6(F.col("val_f1")).alias("val_f1"))
+
+
 # ---------------------------------------------------------------- S1-S7 on responses derived from the tables
 
 def search_pages_from_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -920,6 +990,21 @@ def q_article_extract(spark: SparkSession, sf: str) -> DataFrame:
                        F.array_join("keywords", ",").alias("keywords"), "first_pub_date")
 
 
+@register("article_extract_all", f"""
+SELECT journal AS query, pmid, doi, title, abstract,
+  CASE WHEN doc_id % 5 <> 0 THEN journal ELSE '' END AS journal,
+  CAST(year AS VARCHAR) AS year, cited_by_count, is_open_access,
+  array_to_string(keywords, ',') AS keywords, '' AS first_pub_date
+FROM {DOCUMENT_ARTICLES_SQL}""")
+def q_article_extract_all(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + S2 without a cap: every landed result."""
+    from paperlens.sources.landed import articles_from_pages
+    arts = articles_from_pages(search_pages_from_documents(spark, sf))
+    return arts.select("query", "pmid", "doi", "title", "abstract", "journal", "year",
+                       "cited_by_count", "is_open_access",
+                       F.array_join("keywords", ",").alias("keywords"), "first_pub_date")
+
+
 @register("lookup_by_doi", f"""
 WITH ids AS (SELECT DISTINCT doi AS id FROM {LABELLED_ARTICLES_SQL} WHERE doi <> ''
              UNION SELECT 'doi-missing-' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1),
@@ -965,7 +1050,21 @@ def q_citation_edges(spark: SparkSession, sf: str) -> DataFrame:
     """S4 + S5: flattened citation (first 2 per article) and reference edges."""
     from paperlens.sources.landed import citation_edges, reference_edges
     c = citation_edges(link_pages_from_documents(spark, sf, "citations"), max_results=2)
-    r = reference_edges(link_pages_from_documents(spark, sf, "references"), max_results=500)
+    r = reference_edges(link_pages_from_documents(spark, sf, "references"), max_results=None)
+    return c.unionByName(r).select("article_id", "direction", "other_id")
+
+
+@register("citation_edges_all", """
+SELECT CAST(doc_id AS VARCHAR) AS article_id, 'cited_by' AS direction, CAST(doc_id + k AS VARCHAR) AS other_id
+FROM documents, (SELECT unnest([1, 2, 3]) AS k)
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), 'references', CAST(doc_id + k AS VARCHAR)
+FROM documents, (SELECT unnest([-1, -2]) AS k) WHERE doc_id + k >= 0""")
+def q_citation_edges_all(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 + S5 without a cap."""
+    from paperlens.sources.landed import citation_edges, reference_edges
+    c = citation_edges(link_pages_from_documents(spark, sf, "citations"))
+    r = reference_edges(link_pages_from_documents(spark, sf, "references"))
     return c.unionByName(r).select("article_id", "direction", "other_id")
 
 
@@ -1024,7 +1123,8 @@ def _ml_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def _model_eval(spark: SparkSession, sf: str, name: str) -> DataFrame:
     from paperlens.operators.classifiers import BaselineClassifier
-    sp = _ml_splits(spark, sf).cache()
+    from paperlens.session import cut_lineage
+    sp = cut_lineage(_ml_splits(spark, sf))  # read by the fit and two evaluations
     clf = BaselineClassifier(name).fit(sp.where(F.col("split") == "train"))
     ev = [clf.evaluate(sp.where(F.col("split") == s), split=s) for s in ("val", "test")]
     return ev[0].unionByName(ev[1]).drop("confusion_matrix")
@@ -1063,7 +1163,8 @@ def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
     from paperlens.operators.evaluation import evaluate, mean_log_loss
     from paperlens.operators.scoring import batch_score, length_logit_model
     p = preprocessed_articles(spark, sf).select("doc_id", "label", "text")
-    scored = batch_score(p, length_logit_model(), "text").cache()
+    from paperlens.session import cut_lineage
+    scored = cut_lineage(batch_score(p, length_logit_model(), "text").select("label", "prediction", "p1"))
     ev = evaluate(scored)
     return ev.crossJoin(mean_log_loss(scored)).drop("confusion_matrix")
 

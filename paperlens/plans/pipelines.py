@@ -62,10 +62,10 @@ def prepare_splits(articles: DataFrame, seed: int = 42, train: float = 0.7, val:
 
 def train_job(splits: DataFrame, models: Sequence[str] = ("logistic_regression", "svm", "random_forest"),
               out_dir: str | None = None, top_n: int = 15, id_col: str = "doc_id") -> DataFrame:
-    """Every model fitted on train, evaluated on val and test; results and
-    top features (rounded to 4) written as JSON when ``out_dir`` is given."""
+    """Every model fitted on train, evaluated on val and test; models, results,
+    reports by class and top features (rounded to 4) written when ``out_dir`` is given."""
     from paperlens.operators.classifiers import train_and_evaluate
-    metrics, features = train_and_evaluate(splits, models, "text", "label", id_col, top_n)
+    metrics, features = train_and_evaluate(splits, models, "text", "label", id_col, top_n, out_dir=out_dir)
     if out_dir:
         metrics.coalesce(1).write.mode("overwrite").json(f"{out_dir}/metrics")
         for name, f in features.items():

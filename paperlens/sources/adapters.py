@@ -48,6 +48,7 @@ def documents_as_articles(spark: SparkSession, sf_dir: str,
         (F.col("lang") == "en").alias("is_open_access"),
         F.col("lang"),
         F.col("text").alias("raw_text"),
+        F.col("n_chars"),
     )
     if labelled:
         lab = read_table(spark, sf_dir, "labels").select(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperlens.operators.curate import (
-    balance, collection_pipeline, create_splits, dedup_keep_first, exact_rank, split_quotas,
+    balance, collection_pipeline, create_splits, cut_keys, dedup_keep_first, split_quotas,
     split_stats, with_dedup_key)
 
 
@@ -51,15 +52,22 @@ def test_split_is_reproducible_and_seeded(spark):
     assert a == b and a != c
 
 
-def test_exact_rank_equals_global_row_number(spark):
+@pytest.mark.parametrize("digits", [1, 3])
+def test_cut_keys_are_those_of_a_global_row_number(spark, digits):
     from pyspark.sql import Window
-    df = _split_fixture(spark, 500)
-    r1 = exact_rank(df, ["label"], ["doc_id"], 42, digits=1)
+    df = _split_fixture(spark, 500).withColumn("label", F.when(F.col("doc_id") % 50 > 0, F.col("label")))
+    quotas = df.groupBy("label").agg(F.floor(F.count("*") * 0.3).alias("a"), F.count("*").alias("all"),
+                                     F.lit(0).alias("none"), F.lit(10 ** 6).alias("more"))
+    cuts = cut_keys(df, "label", ["doc_id"], quotas, ["a", "all", "none", "more"], 42, digits)
     h = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("42")))
-    r2 = df.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(h, "doc_id")))
-    a = sorted(tuple(r) for r in r1.select("doc_id", "rank").collect())
-    b = sorted(tuple(r) for r in r2.select("doc_id", "rank").collect())
-    assert a == b
+    rank = df.withColumn("h", h).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(h, "doc_id")))
+    want = {(r["label"], r["r"]): (r["h"], r["doc_id"]) for r in rank.collect()}
+    n = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    got = cuts.collect()
+    assert len(got) == len(n) == 3
+    for r in got:
+        assert tuple(r["a"]) == want[(r["label"], int(n[r["label"]] * 0.3))]
+        assert tuple(r["all"]) == tuple(r["more"]) == want[(r["label"], n[r["label"]])] and r["none"] is None
 
 
 def test_balance_exact(spark):
