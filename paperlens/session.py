@@ -33,7 +33,7 @@ def get_spark(master: str | None = None, app: str = "paperlens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """The cluster's ``spark.checkpoint.dir``; only on a single machine one is made if unset."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
@@ -41,7 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # unset: this is a local/test session, a private scratch folder is fine
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine, as in tests: a private scratch folder is shared enough
         conf_dir = tempfile.mkdtemp(prefix="paperlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

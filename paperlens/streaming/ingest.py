@@ -5,8 +5,8 @@ canonical articles (S1/S2, stateless) and de-duplicated on the namespaced id
 (D1/D2: the first arrival of an id is kept; state lives in the checkpoint).
 The per-query cap of the batch reader needs a global order over pages, so the
 stream keeps every result and leaves capping to the batch job. The dedup state
-holds one key per distinct id ever seen (no event time to expire it by); use a
-RocksDB state store on a cluster (``spark.sql.streaming.stateStore.providerClass``).
+is bounded: an id is remembered for ``remember`` after it was last read, so a
+copy that arrives later passes, and the batch job removes it.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from paperlens.sources.landed import extract_metadata
 
 
 def stream_articles(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000,
-                    dedup: bool = True) -> DataFrame:
-    """Streaming DataFrame of canonical articles from landed response pages."""
+                    dedup: bool = True, remember: str = "7 days") -> DataFrame:
+    """Streaming DataFrame of canonical articles from landed response pages; ``read_at`` is
+    when a page was read."""
     pages = (spark.readStream.schema(SEARCH_RESPONSE_SCHEMA)
              .option("maxFilesPerTrigger", max_files_per_trigger).json(landing_dir))
     rows = pages.select("query", "page", F.posexplode("resultList.result").alias("pos", "raw"))
     arts = rows.select("query", "page", "pos", *extract_metadata("raw"))
-    arts = arts.withColumn("uid", dedup_key())
-    return arts.dropDuplicates(["uid"]) if dedup else arts
+    arts = arts.withColumn("uid", dedup_key()).withColumn("read_at", F.current_timestamp())
+    return arts.withWatermark("read_at", remember).dropDuplicatesWithinWatermark(["uid"]) if dedup else arts
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
