@@ -106,25 +106,54 @@ def class_counts_summary(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def all_impact_metrics(df: DataFrame, positive: bool = True, top_n: int = 15) -> DataFrame:
-    """A5: one row with dataset size and nested A1-A4 results.
+    """A5: one row with dataset size and nested A1-A4 results, from one pass over ``df``.
 
-    The filtered input is read by four small aggregations; each is a partial
-    aggregate over the same scan, so nothing large is cached or collected.
+    Journals, years, access, citation counts and the whole are grouping sets of one
+    partial aggregation; what is left is a row per distinct journal, year or count,
+    of which the journals are ranked by one window and the rest folded into one row.
     """
     x = positive_only(df, positive)
-    size = x.agg(F.count("*").alias("dataset_size"))
-    cit = citation_metrics(x).select(F.struct("*").alias("citations"))
-    jr = journal_spread(x, top_n)
-    journals = jr.agg(
-        F.struct(F.coalesce(F.first("total_journals"), F.lit(0)).alias("total_journals"),
-                 F.coalesce(F.first("total_articles_with_journal"), F.lit(0))
-                 .alias("total_articles_with_journal"),
-                 F.transform(F.array_sort(F.collect_list(F.struct("rank", "journal", "count",
-                                                                  "percentage"))),
-                             lambda s: F.struct(s["journal"], s["count"], s["percentage"]))
-                 .alias("top_journals")).alias("journals"))
-    oa = open_access(x).select(F.struct("*").alias("open_access"))
-    ys = yearly_stats(x).agg(F.array_sort(F.collect_list(F.struct("year", "count", "mean_citations",
-                                                                  "total_citations")))
-                             .alias("yearly_stats"))
-    return size.crossJoin(cit).crossJoin(journals).crossJoin(oa).crossJoin(ys)
+    j = strip_ws(F.col("journal").cast("string"))
+    base = x.select(F.when((j != "") & (j != "nan"), j).alias("journal"), to_int_or_null("year").alias("year"),
+                    to_bool_flag("is_open_access").alias("open"), _citations().alias("c"), "seq")
+    c = F.col("c")
+    sets = base.withColumn("times", c).groupingSets(
+        [["journal"], ["year"], ["open"], ["times"], []], "journal", "year", "open", "times")
+    t = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.sum(c).alias("sum"), F.avg(c).alias("mean"),
+                 F.max(c).alias("max"), F.min(c).alias("min"), F.stddev_samp(c).alias("std"),
+                 F.count_if(c > 0).alias("cited"), F.count_if(c == 0).alias("uncited"),
+                 F.count_if(c >= 10).alias("ten"), F.count_if(c >= 50).alias("fifty"), F.min("seq").alias("first"))
+    # one bit for each column that is not in the set: journal, year, open, times
+    journals, years, access, times, whole = (F.col("g") == g for g in (0b0111, 0b1011, 0b1101, 0b1110, 0b1111))
+    named = journals & F.col("journal").isNotNull()
+    order = Window.partitionBy("g").orderBy(F.col("journal").isNull(), F.col("n").desc(), "first")
+    t = t.withColumn("rank", F.when(named, F.row_number().over(order)))
+    pick = lambda name: F.max(F.when(whole, F.col(name)))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+    out = t.agg(
+        total(whole).alias("size"), F.count_if(named).alias("journals"), total(named).alias("in_journals"),
+        total(access & F.col("open")).alias("opened"),
+        F.percentile(F.when(times, F.col("times")), F.lit(0.5), F.when(times, F.col("n")).otherwise(F.lit(0))).alias("median"),
+        *[pick(k).alias(k) for k in ("sum", "mean", "max", "min", "std", "cited", "uncited", "ten", "fifty")],
+        F.array_sort(F.collect_list(F.when(named & (F.col("rank") <= top_n), F.struct(
+            "rank", "journal", F.col("n").alias("count"))))).alias("top"),
+        F.array_sort(F.collect_list(F.when(years & F.col("year").isNotNull(), F.struct(
+            "year", F.col("n").alias("count"), F.col("mean").alias("mean_citations"),
+            F.col("sum").cast("long").alias("total_citations"))))).alias("by_year"))
+    count = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
+    return out.select(
+        F.col("size").alias("dataset_size"),
+        F.struct(count("sum").alias("total_citations"), F.col("mean").alias("mean_citations"),
+                 F.col("median").alias("median_citations"), F.col("max").cast("long").alias("max_citations"),
+                 F.col("min").cast("long").alias("min_citations"), F.col("std").alias("std_citations"),
+                 count("cited").alias("articles_with_citations"), count("uncited").alias("articles_without_citations"),
+                 count("ten").alias("highly_cited_10plus"), count("fifty").alias("highly_cited_50plus")).alias("citations"),
+        F.struct(F.col("journals").alias("total_journals"), F.col("in_journals").alias("total_articles_with_journal"),
+                 F.transform("top", lambda r: F.struct(
+                     r["journal"], r["count"], F.round(r["count"] / F.greatest("in_journals", F.lit(1)) * 100, 1)
+                     .alias("percentage"))).alias("top_journals")).alias("journals"),
+        F.struct(F.col("size").alias("total_articles"), F.col("opened").alias("open_access_count"),
+                 (F.col("size") - F.col("opened")).alias("closed_access_count"),
+                 F.round(F.col("opened") / F.greatest("size", F.lit(1)) * 100, 1).alias("open_access_rate"))
+        .alias("open_access"),
+        F.col("by_year").alias("yearly_stats"))

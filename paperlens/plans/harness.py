@@ -440,19 +440,35 @@ def q_class_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("impact_summary", f"""
-SELECT (SELECT count(*) FROM {POSITIVES_SQL}) AS dataset_size,
-  (SELECT CAST(sum(cited_by_count) AS BIGINT) FROM {POSITIVES_SQL}) AS total_citations,
-  (SELECT count(DISTINCT journal) FROM {POSITIVES_SQL}) AS total_journals,
-  (SELECT count(*) FILTER (WHERE is_open_access) FROM {POSITIVES_SQL}) AS open_access_count,
-  (SELECT count(DISTINCT year) FROM {POSITIVES_SQL}) AS n_years""")
+WITH p AS (SELECT * FROM {POSITIVES_SQL}),
+j AS (SELECT {sql_strip('journal')} AS journal, seq FROM p),
+per AS (SELECT journal, count(*) AS n, min(seq) AS first_seen FROM j
+        WHERE journal IS NOT NULL AND journal <> '' AND journal <> 'nan' GROUP BY journal),
+tot AS (SELECT count(*) AS total_journals, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_articles_with_journal FROM per),
+rk AS (SELECT row_number() OVER (ORDER BY n DESC, first_seen) AS rank, * FROM per),
+tj AS (SELECT string_agg(journal || ':' || n || ':' || CAST(round(round(n / total_articles_with_journal * 100, 1) * 10) AS BIGINT),
+       ',' ORDER BY rank) AS top_journals FROM rk, tot WHERE rank <= 15),
+oa AS (SELECT count(*) AS total_articles, count(*) FILTER (WHERE is_open_access) AS open_access_count,
+  count(*) - count(*) FILTER (WHERE is_open_access) AS closed_access_count,
+  round(count(*) FILTER (WHERE is_open_access) / greatest(count(*), 1) * 100, 1) AS open_access_rate FROM p),
+y AS (SELECT year, count(*) AS n, sum(cited_by_count) AS s FROM p WHERE year IS NOT NULL GROUP BY year),
+ys AS (SELECT string_agg(year || ':' || n || ':' || s || ':' || CAST(round(s / n * 1000) AS BIGINT), ',' ORDER BY year)
+       AS yearly FROM y)
+SELECT (SELECT count(*) FROM p) AS dataset_size, c.*, tot.*, tj.top_journals, oa.*, ys.yearly
+FROM ({_citation_sql('p')}) c, tot, tj, oa, ys""")
 def q_impact_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """A5: the nested all-metrics row, flattened to a few of its fields."""
+    """A5: every field of the nested all-metrics row, lists as text."""
     from paperlens.operators.impact import all_impact_metrics
     m = all_impact_metrics(documents_as_articles(spark, sf, labelled=True), positive=True)
-    return m.select("dataset_size", F.col("citations.total_citations").alias("total_citations"),
-                    F.col("journals.total_journals").alias("total_journals"),
-                    F.col("open_access.open_access_count").alias("open_access_count"),
-                    F.size("yearly_stats").alias("n_years"))
+    whole = lambda x: F.round(x).cast("long").cast("string")
+    top = F.transform("journals.top_journals", lambda r: F.concat_ws(
+        ":", r["journal"], r["count"].cast("string"), whole(r["percentage"] * 10)))
+    years = F.transform("yearly_stats", lambda r: F.concat_ws(
+        ":", r["year"].cast("string"), r["count"].cast("string"), r["total_citations"].cast("string"),
+        whole(r["mean_citations"] * 1000)))
+    return _round_doubles(m.select(
+        "dataset_size", "citations.*", "journals.total_journals", "journals.total_articles_with_journal",
+        F.array_join(top, ",").alias("top_journals"), "open_access.*", F.array_join(years, ",").alias("yearly")))
 
 
 # ---------------------------------------------------------------- A6-A8, W1, W2, P4-P9
