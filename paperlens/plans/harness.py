@@ -488,20 +488,28 @@ def q_trend_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("trend_summary", f"""
 WITH y AS (SELECT year, count(*) AS count FROM {ORDER_ARTICLES_SQL} WHERE year IS NOT NULL GROUP BY year),
-g AS (SELECT year, count, (CAST(count AS DOUBLE) / lag(count) OVER (ORDER BY year) - 1.0) * 100.0 AS gr FROM y)
+g AS (SELECT year, count, (CAST(count AS DOUBLE) / lag(count) OVER (ORDER BY year) - 1.0) * 100.0 AS gr,
+  CAST(sum(count) OVER (ORDER BY year) AS BIGINT) AS cum FROM y)
 SELECT CAST(sum(count) AS BIGINT) AS total_publications,
   CAST(min(year) AS VARCHAR) || '–' || CAST(max(year) AS VARCHAR) AS year_range,
   arg_min(year, (-count, year)) AS peak_year, max(count) AS peak_count,
   round(avg(count), 1) AS average_per_year, round(avg(gr), 1) AS average_growth_rate,
-  count(gr) AS n_growth_rates
+  string_agg(year || ':' || count, ',' ORDER BY year) AS yearly_counts,
+  string_agg(year || ':' || CAST(round(gr * 10) AS BIGINT), ',' ORDER BY year) FILTER (gr IS NOT NULL) AS growth_rates,
+  string_agg(year || ':' || cum, ',' ORDER BY year) AS cumulative
 FROM g""")
 def q_trend_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """A7 (scalar part; the maps are checked through trend_table)."""
+    """Every field, maps as text."""
     from paperlens.operators.trends import trend_summary
     s = trend_summary(orders_as_articles(spark, sf))
+
+    def text(name, value=lambda v: v):
+        return F.array_join(F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat_ws(
+            ":", e["key"].cast("string"), value(e["value"]).cast("string"))), ",").alias(name)
+
     return s.select("total_publications", "year_range", "peak_year", "peak_count",
-                    "average_per_year", "average_growth_rate",
-                    F.size("growth_rates").cast("long").alias("n_growth_rates"))
+                    "average_per_year", "average_growth_rate", text("yearly_counts"),
+                    text("growth_rates", lambda v: F.round(v * 10).cast("long")), text("cumulative"))
 
 
 # --- fixed values: phrase rules that hit the driver's invented prose ---
