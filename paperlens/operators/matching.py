@@ -12,9 +12,10 @@ Plan shape (one narrow projection, no shuffle, no Python):
    (one hash-set operation instead of one regex per short term);
 3. long terms: ``contains`` on the lower-cased text; short terms with inner
    punctuation (``hi-c``): one literal regex with an explicit word boundary;
-4. ``matches`` = array of ``struct(category, cat_ord, ord, term)`` in dictionary
-   order; every count and score is derived from that one array, so each text
-   is matched once (the features and the relevance share it).
+4. per category one ``filter`` of the constant array of its terms; ``matches`` =
+   their concatenation, ``struct(category, cat_ord, ord, term)`` in dictionary
+   order; every count and score is derived from these arrays, so each text is
+   matched once (the features and the relevance share it).
 
 The dictionary is a user-sized constant (hundreds of terms), compiled into the
 expression on the driver; it never grows with the article data.
@@ -150,17 +151,6 @@ class CompiledDictionary:
         """Distinct (lower-cased term, whole-word) pairs, in a fixed order."""
         return sorted({(t.lower, t.is_short) for t in self.terms})
 
-    def condition(self, t: Term, ltext: Column, short_hits: Column | None,
-                  all_hits: Column | None = None) -> Column:
-        if all_hits is not None:
-            idx = self.automaton_terms.index((t.lower, t.is_short))
-            return F.array_contains(all_hits, F.lit(idx))
-        if not t.is_short:
-            return F.contains(ltext, F.lit(t.lower))
-        if t.word_only:
-            return F.array_contains(short_hits, F.lit(t.lower))
-        return ltext.rlike(whole_word_pattern(t.term))
-
 
 def _as_compiled(dictionary) -> CompiledDictionary:
     if isinstance(dictionary, CompiledDictionary):
@@ -184,38 +174,45 @@ def with_matches(df: DataFrame, dictionary, text_col: str = "text",
     """
     cd = _as_compiled(dictionary)
     ltext = "__ltext"
-    hits = "__short_hits"
-    lhits = "__all_hits"
+    hits = "__hits"
     staged = df.withColumn(ltext, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     if strategy not in ("expr", "automaton"):
         raise ValueError(f"unknown matching strategy {strategy!r}")
-    hc = lc = None
     if strategy == "automaton":
         terms, whole = zip(*cd.automaton_terms) if cd.terms else ((), ())
-        staged = staged.withColumn(lhits, term_hits_udf(terms, whole)(F.col(ltext)))
-        lc = F.col(lhits)
+        staged = staged.withColumn(hits, term_hits_udf(terms, whole)(F.col(ltext)))
+        number = {t: i for i, t in enumerate(cd.automaton_terms)}
     else:
-        short = cd.short_word_terms
-        if short:
-            staged = staged.withColumn(
-                hits, F.array_intersect(word_set(F.col(ltext)), F.array(*[F.lit(s) for s in short])))
-            hc = F.col(hits)
-    # one optional single-element array per term, concatenated per category and
-    # then overall: stays in generated code (a higher-order filter would not)
-    empty = F.array().cast(MATCH_TYPE)
-    per_cat: dict[str, list[Column]] = {}
-    for t in cd.terms:
-        per_cat.setdefault(t.category, []).append(
-            F.when(cd.condition(t, F.col(ltext), hc, lc),
-                   F.array(F.struct(F.lit(t.category).alias("category"),
-                                    F.lit(t.cat_ord).alias("cat_ord"),
-                                    F.lit(t.ord).alias("ord"),
-                                    F.lit(t.term).alias("term")))).otherwise(empty))
+        # short terms: plain words through the set of the text's words, the few with
+        # punctuation by a literal regex each; both end up in one array
+        odd = {t.lower: t for t in cd.terms if t.is_short and not t.word_only}
+        found = [F.when(F.col(ltext).rlike(whole_word_pattern(t.term)), F.lit(lower))
+                 for lower, t in sorted(odd.items())]
+        words = (F.array_intersect(word_set(F.col(ltext)), F.array(*[F.lit(w) for w in cd.short_word_terms]))
+                 if cd.short_word_terms else F.array().cast("array<string>"))
+        staged = staged.withColumn(hits, F.concat(words, F.array_compact(F.array(*found))) if found else words)
+
+    def present(x: Column) -> Column:
+        if strategy == "automaton":
+            return F.array_contains(hits, x["number"])
+        return F.when(x["short"], F.array_contains(hits, x["lower"])).otherwise(
+            F.contains(F.col(ltext), x["lower"]))
+
+    def term(t: Term) -> Column:
+        n = number[(t.lower, t.is_short)] if strategy == "automaton" else 0
+        return F.struct(F.lit(t.category).alias("category"), F.lit(t.cat_ord).alias("cat_ord"),
+                        F.lit(t.ord).alias("ord"), F.lit(t.term).alias("term"), F.lit(t.lower).alias("lower"),
+                        F.lit(t.is_short).alias("short"), F.lit(n).alias("number"))
+
+    # a category's terms are one constant array, filtered by one condition: the expression
+    # does not grow with the dictionary
     cat_cols = [f"{category_prefix or '__cat_'}{i}" for i in range(len(cd.categories))]
-    staged = staged.withColumns({name: F.concat(*per_cat[c])
-                                 for name, c in zip(cat_cols, cd.categories)})
-    arr = F.concat(*[F.col(n) for n in cat_cols]) if cat_cols else empty
-    out_df = staged.withColumn(out, arr).drop(ltext, hits, lhits)
+    staged = staged.withColumns({
+        name: F.transform(F.filter(F.array(*[term(t) for t in cd.terms if t.category == c]), present),
+                          lambda x: F.struct(x["category"], x["cat_ord"], x["ord"], x["term"]))
+        for name, c in zip(cat_cols, cd.categories)})
+    arr = F.concat(*[F.col(n) for n in cat_cols]) if cat_cols else F.array().cast(MATCH_TYPE)
+    out_df = staged.withColumn(out, arr).drop(ltext, hits)
     return out_df if category_prefix else out_df.drop(*cat_cols)
 
 
