@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -25,9 +26,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more: its
+    cleaner acts when the driver collects garbage, which a job of many steps can't await."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A hint to broadcast ``df``, a written table of a few columns, if it has at most ``rows``."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

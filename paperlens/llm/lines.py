@@ -34,12 +34,12 @@ def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def winnowed(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple:
-    """(text, key, span, start, n): each window of ``width`` lines with its selected line."""
+    """(text, key, span, at, start, n): each window of ``width`` lines with its selected line."""
     first = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
     windows = np.maximum(0, counts - width + 1)
     empty = np.empty(0, np.int64)
     if not windows.sum():
-        return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     text = np.repeat(np.arange(len(counts)), windows)
     starts = np.arange(windows.sum()) + np.repeat(first - (np.cumsum(windows) - windows), windows)
     window = np.lib.stride_tricks.sliding_window_view(hashes, width)[starts]
@@ -49,7 +49,8 @@ def winnowed(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple:
     spans = Spans(mix64(hashes))
     span = mix64(spans.hash(begin, begin + n - 1 + width) + (own - begin).astype(np.uint64)
                  * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64))
-    return text[at], hashes[own], span, begin - first[text[at]], n
+    of = first[text[at]]
+    return text[at], hashes[own], span, own - of, begin - of, n
 
 
 def without_lines(text: str, gone: np.ndarray) -> str:
@@ -83,12 +84,11 @@ def dedup_lines(df: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id
     def find(texts):
         return winnowed(*line_hashes(texts), min_lines)
 
-    def window_hashes(texts):
-        spans = Spans(line_hashes(texts)[0])
-        return lambda starts: spans.hash(starts, starts + min_lines)
+    def spans_of(texts):
+        return Spans(line_hashes(texts)[0])
 
     found = written(anchors(docs, find), "winnowed")
-    ranges = repeated(docs, found, keys_seen_again(found), "earlier", window_hashes, "winnowed")
+    ranges = repeated(docs, found, keys_seen_again(found), "earlier", min_lines, spans_of, "winnowed")
     counts = ["n_lines", "n_removed", "n_runs"]
     keep = [c for c in df.columns if c not in counts and c != text_col]
 

@@ -96,13 +96,13 @@ def least_of(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.nda
 
 
 def anchors_of(words: Words, width: int, rounds: int = ROUNDS) -> tuple:
-    """(text, key, span, start, n) for all windows of ``width`` words."""
+    """(text, key, span, at, start, n) for all windows of ``width`` words."""
     counts = np.diff(words.first)
     starts = np.concatenate([np.arange(a, a + max(0, c - width + 1)) for a, c in zip(words.first, counts)]
                             or [np.empty(0, np.int64)]).astype(np.int64)
     empty = np.empty(0, np.int64)
     if not len(starts):
-        return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     spans = Spans(words.hash)
     place = np.arange(len(words.hash), dtype=np.int64)
     s = Symbols(words.hash, np.repeat(np.arange(len(counts)), counts), place, place + 1)
@@ -137,7 +137,7 @@ def anchors_of(words: Words, width: int, rounds: int = ROUNDS) -> tuple:
     offset = (key_low - first_word).astype(np.uint64)
     span = mix64(spans.hash(first_word, end) + offset * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64))
     text = np.searchsorted(words.first, first_word, side="right") - 1
-    return text, key, span, first_word - words.first[text], n
+    return text, key, span, key_low - words.first[text], first_word - words.first[text], n
 
 
 def repeated_words(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,12 +147,11 @@ def repeated_words(df: DataFrame, width: int, id_col: str, text_col: str) -> Dat
     def find(texts):
         return anchors_of(Words(texts), width)
 
-    def window_hashes(texts):
-        spans = Spans(Words(texts, salt=3).hash)  # other hashes than the anchors'
-        return lambda starts: spans.hash(starts, starts + width)
+    def spans_of(texts):
+        return Spans(Words(texts, salt=3).hash)  # other hashes than the anchors'
 
     found = written(anchors(docs, find), "recompressed")
-    return repeated(docs, found, keys_seen_again(found), "smaller", window_hashes, "recompressed")
+    return repeated(docs, found, keys_seen_again(found), "smaller", width, spans_of, "recompressed")
 
 
 def dedup_substrings(df: DataFrame, width: int = 50, id_col: str = "doc_id",

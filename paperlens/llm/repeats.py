@@ -6,14 +6,17 @@ anchors of equal key, wherever they stand. An anchor is a row
 
     key, span: hashes of what all its windows share and of all they cover
     id, doc:   document (its order, its identity)
+    at:        place that the windows' tokens fix, the same in equal windows
     start, n:  its windows begin at start, ..., start + n - 1
 
 Only anchors whose key occurs again can have repeated windows. Among those, rows
-of one span have the same windows, so one row stands for all: which rows repeat
-as a whole is a matter of an aggregate by span. Windows are hashed one by one
-only where a key has several spans, that is at the ends of repeats, and only for
-one row a span. All steps are aggregates by key and joins against them: no pairs
-of a group are listed, and groups aggregate before they are shuffled.
+of one span have the same windows, so which rows repeat as a whole is a matter of
+an aggregate by span. Where a key has several spans, that is at the ends of
+repeats, one row a span is cut into finer anchors, blocks of windows and in the
+end single windows, whose keys and spans are again hashes of what their windows
+share and cover. All steps are aggregates by key and joins against their written
+results, which Spark can split: no pairs of a group are listed, and groups
+aggregate before they are shuffled.
 
 A rule says which occurrences are repeats: ``earlier`` (all but the first by
 document and place), ``smaller`` (all in documents with more than the least id)
@@ -74,15 +77,15 @@ def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      text.alias("text"))
 
 
-ANCHOR_SCHEMA = "key long, span long, id long, doc long, start int, n int"
+ANCHOR_SCHEMA = "key long, span long, id long, doc long, at int, start int, n int"
 
 
 def anchors(docs: DataFrame, find: Callable[[list[str]], tuple], most_chars: int = 2_000_000) -> DataFrame:
-    """Anchors of all documents. ``find(texts)`` gives arrays: text number, key, span, start, n."""
+    """Anchors of all documents. ``find(texts)`` gives arrays: text number, key, span, at, start, n."""
     def run(batches):
         import pyarrow as pa
         kinds = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("id", pa.int64()),
-                           ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+                           ("doc", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
         for b in batches:
             ids, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = b.column(2).to_pylist()
@@ -92,12 +95,13 @@ def anchors(docs: DataFrame, find: Callable[[list[str]], tuple], most_chars: int
                 while end < len(texts) and (end == at or size + len(texts[end]) <= most_chars):
                     size += len(texts[end])
                     end += 1
-                who, key, span, start, n = find(texts[at:end])
+                who, key, span, place, start, n = find(texts[at:end])
                 if len(who):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)),
                          pa.array(ids[at:end][who]), pa.array(doc[at:end][who]),
-                         pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], schema=kinds)
+                         pa.array(place.astype(np.int32)), pa.array(start.astype(np.int32)),
+                         pa.array(n.astype(np.int32))], schema=kinds)
                 at = end
 
     return docs.select("id", "doc", "text").mapInArrow(run, ANCHOR_SCHEMA)
@@ -108,40 +112,36 @@ def keys_seen_again(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
 
 
-def repeated(docs: DataFrame, found: DataFrame, shared: DataFrame, rule: str,
-             window_hashes: Callable[[list[str]], Callable], what: str) -> DataFrame:
-    """(doc, ranges): for documents with repeated windows, ranges of their starts, each
-    (start, n, which): all n from start on, or those at the given offsets.
+def repeated(docs: DataFrame, found: DataFrame, shared: DataFrame, rule: str, width: int,
+             spans_of: Callable[[list[str]], Spans], what: str, steps: tuple[int, ...] = (1,)) -> DataFrame:
+    """(doc, ranges): for documents with repeated windows, ranges (start, n) of their starts.
 
     ``found``: anchors; ``shared``: keys among which all repeated ones are (distinct);
-    ``window_hashes(texts)`` gives a function of text number and starts to window hashes.
+    ``steps``: windows in a block of each finer round, the last 1.
     """
-    if rule not in ("earlier", "smaller", "elsewhere"):
-        raise ValueError(f"unknown rule {rule!r}")
-    again = written(found.join(shared, "key"), f"{what}-shared")
-    place = F.struct("id", "start") if rule == "earlier" else F.struct("id")
-    spans = written(
-        again.groupBy("key", "span").agg(
-            F.count("*").alias("c"), F.min(place).alias("first"),
-            F.min(F.struct("id", "start", "doc", "n")).alias("rep")), f"{what}-spans")
-    several = spans.groupBy("key").agg(F.count("*").alias("spans")).where("spans > 1").select("key")
-    reps = spans.join(several, "key").select("key", "span", "rep.id", "rep.doc", "rep.start", "rep.n")
-    wanted = reps.groupBy("doc").agg(F.collect_set(F.struct("key", "span", "id", "start", "n")).alias("wanted"))
-    hashed = written(_hashed(docs, wanted, window_hashes), f"{what}-windows")
-    here = F.struct("id", "start") if rule == "earlier" else F.struct("id")
-    totals = hashed.groupBy("key", "window").agg(F.count("*").alias("c"), F.min(here).alias("first"))
-    # of one window in one place, only one is a row here: rows of a span have one rep
-    totals = totals.where("c > 1")
-    hit = hashed.join(totals, ["key", "window"])
-    hit = hit if rule == "elsewhere" else hit.where(here > F.col("first"))
-    which = hit.groupBy("key", "span").agg(F.collect_set("offset").alias("which"))
-    s = spans.select("key", "span", "c", "first").join(which, ["key", "span"], "left")
-    out = again.join(s, ["key", "span"])
-    own = F.struct("id", "start") if rule == "earlier" else F.struct("id")
-    whole = F.col("c") > 1 if rule == "elsewhere" else own > F.col("first")
-    out = out.where(whole | F.col("which").isNotNull()).select(
-        "doc", F.struct("start", "n", F.when(~whole, F.col("which")).alias("which")).alias("range"))
-    return out.groupBy("doc").agg(F.collect_set("range").alias("ranges"))
+    place = {"earlier": F.struct("id", "start"), "smaller": F.struct("id"),
+             "elsewhere": F.struct("doc", "start")}[rule]
+    rows = written(found.join(written(shared, f"{what}-keys"), "key"), f"{what}-0")
+    parts = []
+    for i, step in enumerate((*steps, 0), 1):
+        spans = rows.groupBy("key", "span").agg(F.count("*").alias("c"), F.min(place).alias("first"))
+        spans = written(spans, f"{what}-spans")
+        judged = rows.join(spans, ["key", "span"])
+        whole = F.col("c") > 1 if rule == "elsewhere" else place > F.col("first")
+        if not step:  # single windows: a key has one span
+            parts.append(judged.where(whole).select("doc", "start", "n"))
+            break
+        judged = written(judged.select(*rows.columns, whole.alias("whole"), (place == F.col("first")).alias("is_first")),
+                         f"{what}-judged")
+        parts.append(judged.where("whole").select("doc", "start", "n"))
+        several = spans.groupBy("key").agg(F.count("*").alias("spans")).where("spans > 1").select("key")
+        # of a span only its first row; those of other documents repeat it
+        finer = judged.where("is_first").join(written(several, f"{what}-several"), "key")
+        rows = written(_cut(docs, finer, step, width, spans_of), f"{what}-{i}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return written(out.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("ranges")), f"{what}-ranges")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -158,43 +158,53 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, packed binary")
 
 
-def _hashed(docs: DataFrame, wanted: DataFrame, window_hashes) -> DataFrame:
+def cut_anchors(spans: Spans, key: np.ndarray, at: np.ndarray, start: np.ndarray, n: np.ndarray,
+                step: int, width: int) -> tuple:
+    """(row, key, span, start, n) of the blocks of rows. A window lies ``at - its start`` tokens
+    before ``at``; a block holds the windows of ``step`` consecutive distances."""
+    far, near = at - start, at - start - n + 1
+    blocks = far // step - near // step + 1
+    row = np.repeat(np.arange(len(key)), blocks)
+    block = far[row] // step - (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    first = at[row] - np.minimum(far[row], block * step + step - 1)
+    last = at[row] - np.maximum(near[row], block * step)
+    # what all windows of the block share, whichever of them the row has
+    core = spans.hash(at[row] - block * step, at[row] - block * step - step + 1 + width)
+    finer = mix64(mix64(key[row] + block.astype(np.uint64)) ^ core)
+    return row, finer, mix64(spans.hash(first, last + width) + (at[row] - first).astype(np.uint64)), first, last - first + 1
+
+
+def _cut(docs: DataFrame, rows: DataFrame, step: int, width: int, spans_of) -> DataFrame:
+    """Rows as finer anchors, from the texts of their documents."""
+    wanted = rows.groupBy("doc", "id").agg(F.collect_set(F.struct("key", "at", "start", "n")).alias("wanted"))
+
     def run(batches):
         import pyarrow as pa
         import zstandard
         z = zstandard.ZstdDecompressor()
-        kinds = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("offset", pa.int32()),
-                           ("window", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
         for b in batches:
-            for packed, rows in zip(b.column(0), b.column(1)):
-                rows = rows.as_py()
-                n = np.array([r["n"] for r in rows])
-                first = np.repeat(np.array([r["start"] for r in rows]), n)
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                h = window_hashes([z.decompress(packed.as_py()).decode()])(first + offset)
-                col = lambda name: np.repeat(np.array([r[name] for r in rows], np.int64), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(col("key")), pa.array(col("span")), pa.array(offset.astype(np.int32)),
-                     pa.array(h.view(np.int64)), pa.array(col("id")),
-                     pa.array((first + offset).astype(np.int64))], schema=kinds)
-
-    # rows that agree in id and text are one document: hash it once
+            for doc, i, packed, rows in zip(*(c.to_pylist() for c in b.columns)):
+                key, at, start, n = (np.array([r[c] for r in rows], np.int64) for c in ("key", "at", "start", "n"))
+                row, key, span, first, n = cut_anchors(
+                    spans_of([z.decompress(packed).decode()]), key.view(np.uint64), at, start, n, step, width)
+                cols = (key.view(np.int64), span.view(np.int64), np.full(len(row), i), np.full(len(row), doc),
+                        at[row], first, n)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                                 ["key", "span", "id", "doc", "at", "start", "n"])
+
+    # rows that agree in id and text are one document: cut it once
     once = packed_texts(docs).join(wanted, "doc").dropDuplicates(["doc"])
-    return once.select("packed", "wanted").mapInArrow(
-        run, "key long, span long, offset int, window long, id long, start long")
+    return once.select("doc", "id", "packed", "wanted").mapInArrow(run, ANCHOR_SCHEMA)
 
 
 def covered(ranges: list[dict] | None, width: int, n: int) -> np.ndarray:
     """Which of n tokens lie in a repeated window of ``width``."""
     step = np.zeros(n + 1, np.int32)
-    for r in ranges or ():
-        if r["which"] is None:
-            step[r["start"]] += 1
-            step[r["start"] + r["n"] - 1 + width] -= 1
-        else:
-            starts = r["start"] + np.array(r["which"])
-            np.add.at(step, starts, 1)
-            np.add.at(step, starts + width, -1)
+    if ranges:
+        start = np.array([r["start"] for r in ranges])
+        np.add.at(step, start, 1)
+        np.add.at(step, start + np.array([r["n"] for r in ranges]) - 1 + width, -1)
     return np.cumsum(step[:-1]) > 0
 
 

@@ -20,14 +20,16 @@ from paperlens.llm.common import documents, mix64, written
 from paperlens.llm.repeats import Spans, anchors, covered, identified, repeated, runs, unpacked, with_ranges
 
 PREFIX = 32
-BATCHES = 4
+#: batches that the query adds one after the other, windows in a block of anchors
+BATCHES = 3
+BLOCK = 16
 
 
 class SuffixFamily:
     """Suffix arrays of levels of growing size over what ``add`` was given so far.
 
-    An array is a table (key, id, start), sorted by key within its partitions: one entry a
-    distinct prefix, the first place it was seen.
+    An array is a table of the distinct prefixes' hashes, sorted within its partitions; the
+    suffixes of a prefix are the anchors that carry it.
     """
 
     def __init__(self):
@@ -36,15 +38,15 @@ class SuffixFamily:
 
     def add(self, batch: DataFrame) -> None:
         """Indexes the anchors of a batch and collects prefixes found again."""
-        array = batch.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+        array = batch.groupBy("key").agg((F.count("*") > 1).alias("again"))
         array = written(array.sortWithinPartitions("key"), "suffix-array")
-        self.hits.append(array.where("c > 1").select("key"))
+        self.hits.append(array.where("again").select("key"))
         for _, level in self.levels:
-            self.hits.append(array.join(level.select("key"), "key").select("key"))
-        size, array = 1, array.select("key", "id")
+            self.hits.append(array.select("key").join(level, "key"))
+        size, array = 1, array.select("key")
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
-            array = array.union(level).groupBy("key").agg(F.min("id").alias("id"))
+            array = array.union(level).distinct()
             size *= 2
         if size > 1:
             array = written(array.sortWithinPartitions("key"), "suffix-level")
@@ -79,12 +81,12 @@ def byte_values(raw: np.ndarray, salt: int) -> np.ndarray:
 
 
 def anchors_of(texts: list[str], width: int, prefix: int = PREFIX) -> tuple:
-    """(text, key, span, start, n) for all windows of ``width`` bytes."""
+    """(text, key, span, at, start, n) for all windows of ``width`` bytes."""
     blobs = [t.encode() for t in texts]
     lengths = np.array([len(b) for b in blobs], np.int64)
     empty = np.empty(0, np.int64)
     if not (lengths >= width).any():
-        return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     at = np.concatenate(([0], np.cumsum(lengths)))
     raw = np.frombuffer(b"".join(blobs), np.uint8)
     spans = Spans(byte_values(raw, 1))
@@ -97,25 +99,26 @@ def anchors_of(texts: list[str], width: int, prefix: int = PREFIX) -> tuple:
     offset = (anchor - begin).astype(np.uint64)
     span = mix64(spans.hash(begin, begin + n - 1 + width) + offset * np.uint64(0xC2B2AE3D27D4EB4F)
                  + n.astype(np.uint64))
-    return text[first], grams[anchor], span, begin - at[text[first]], n
+    own = at[text[first]]
+    return text[first], grams[anchor], span, anchor - own, begin - own, n
 
 
 def repeated_bytes(df: DataFrame, width: int, batches: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, ranges) of windows of bytes that start at two places or more."""
-    docs = identified(df, id_col, text_col)
+    docs = identified(df, id_col, text_col).withColumn("id", F.lit(0).cast("long"))  # no order needed
 
     def find(texts):
         return anchors_of(texts, width)
 
-    def window_hashes(texts):
-        spans = Spans(byte_values(np.frombuffer("".join(texts).encode(), np.uint8), 2))
-        return lambda starts: spans.hash(starts, starts + width)
+    def spans_of(texts):
+        return Spans(byte_values(np.frombuffer("".join(texts).encode(), np.uint8), 2))
 
     found = written(anchors(docs, find, 1_000_000), "suffixes")
     family = SuffixFamily()
     for i in range(batches):
         family.add(found.where(F.pmod("doc", F.lit(batches)) == i))
-    return repeated(docs, found, family.found_again(), "elsewhere", window_hashes, "suffixes")
+    return repeated(docs, found, family.found_again(), "elsewhere", width, spans_of, "suffixes",
+                    (BLOCK, 1) if width > 2 * BLOCK else (1,))
 
 
 def dedup_bytes(df: DataFrame, width: int = 200, batches: int = BATCHES, id_col: str = "doc_id",

@@ -125,7 +125,7 @@ def test_symbols_are_the_same_in_equal_contexts():
              for k in rng.integers(0, 12, 40)]
     anchored = defaultdict(set)
     words = Words(texts)
-    text, key, _, start, n = recompress.anchors_of(words, 20)
+    text, key, _, _, start, n = recompress.anchors_of(words, 20)
     for t, k, s, c in zip(text, key, start, n):
         own = words.hash[words.first[t]:words.first[t + 1]]
         for j in range(c):
