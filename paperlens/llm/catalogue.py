@@ -10,7 +10,7 @@ from paperlens.llm.packing import op2_best_fit_packing
 from paperlens.llm.recompress import OP5_SQL, op5_recompression_dedup
 from paperlens.llm.sharding import op1_hypergeometric_shuffle
 from paperlens.llm.simhash import op3_simhash_components
-from paperlens.llm.suffixes import op10_suffix_family_dedup
+from paperlens.llm.suffixes import OP10_SQL, op10_suffix_family_dedup
 from paperlens.llm.topk import OP7_SQL, op7_block_pruned_search
 from paperlens.llm.weighted import op8_weighted_fingerprints
 
@@ -25,6 +25,7 @@ ORACLES = {
     "op5_recompression_dedup": OP5_SQL,
     "op7_block_pruned_search": OP7_SQL,
     "op9_winnowed_lines": OP9_SQL,
+    "op10_suffix_family_dedup": OP10_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -84,11 +84,18 @@ def dedup_lines(df: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id
     def find(texts):
         return winnowed(*line_hashes(texts), min_lines)
 
-    def spans_of(texts):
-        return Spans(line_hashes(texts)[0])
+    def pack(batches):
+        import pyarrow as pa
+        for b in batches:
+            packed = [line_hashes([t.as_py()])[0].tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["doc", "packed"])
+
+    def spans_of(packed):
+        return Spans(mix64(np.frombuffer(packed, np.uint64)))
 
     found = written(anchors(docs, find), "winnowed")
-    ranges = repeated(docs, found, keys_seen_again(found), "earlier", min_lines, spans_of, "winnowed")
+    hashes = docs.select("doc", "text").mapInArrow(pack, "doc long, packed binary")  # 8 bytes a line
+    ranges = repeated(hashes, found, keys_seen_again(found), "earlier", min_lines, spans_of, "winnowed")
     counts = ["n_lines", "n_removed", "n_runs"]
     keep = [c for c in df.columns if c not in counts and c != text_col]
 
@@ -97,7 +104,7 @@ def dedup_lines(df: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id
         for b in batches:
             out = [[], [], [], []]
             for packed, r in zip(b.column(1), b.column(2)):
-                text, r = unpacked(packed), r.as_py()
+                text, r = unpacked(packed.as_py()), r.as_py()
                 n = sum(1 for x in (text or "").encode().split(b"\n") if x.strip())
                 gone = covered(r, min_lines, n)
                 runs_ = int((gone & ~np.concatenate(([False], gone[:-1]))[:n]).sum())

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from paperlens.llm.common import documents, mix64, written
 from paperlens.llm.repeats import (
-    Spans, anchors, covered, identified, keys_seen_again, repeated, runs, unpacked, with_ranges)
+    Spans, anchors, covered, identified, keys_seen_again, packed_texts, repeated, runs, unpacked, with_ranges)
 from paperlens.llm.words import Words
 
 #: rounds of runs and pairs. Each makes symbols longer and contexts wider; after three a window of
@@ -147,11 +147,11 @@ def repeated_words(df: DataFrame, width: int, id_col: str, text_col: str) -> Dat
     def find(texts):
         return anchors_of(Words(texts), width)
 
-    def spans_of(texts):
-        return Spans(Words(texts, salt=3).hash)  # other hashes than the anchors'
+    def spans_of(packed):
+        return Spans(Words([unpacked(packed)], salt=3).hash)  # other hashes than the anchors'
 
     found = written(anchors(docs, find), "recompressed")
-    return repeated(docs, found, keys_seen_again(found), "smaller", width, spans_of, "recompressed")
+    return repeated(packed_texts(docs), found, keys_seen_again(found), "smaller", width, spans_of, "recompressed")
 
 
 def dedup_substrings(df: DataFrame, width: int = 50, id_col: str = "doc_id",
@@ -171,7 +171,7 @@ def dedup_substrings(df: DataFrame, width: int = 50, id_col: str = "doc_id",
         for b in batches:
             out = [[], [], [], []]
             for row, packed, r in zip(b.column(0), b.column(1), b.column(2)):
-                words = (unpacked(packed) or "").encode().split()
+                words = (unpacked(packed.as_py()) or "").encode().split()
                 gone = covered(r.as_py(), width, len(words))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 for col, v in zip(out, (row.as_py()["id"], len(words), int(gone.sum()), kept)):

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from paperlens.llm.common import mix64, written
 
+#: ranges of all documents that are broadcast at most
+MOST_RANGES = 200_000
 #: ids order documents; a null id is before all others
 NULL_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -112,12 +114,13 @@ def keys_seen_again(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
 
 
-def repeated(docs: DataFrame, found: DataFrame, shared: DataFrame, rule: str, width: int,
-             spans_of: Callable[[list[str]], Spans], what: str, steps: tuple[int, ...] = (1,)) -> DataFrame:
+def repeated(packed: DataFrame, found: DataFrame, shared: DataFrame, rule: str, width: int,
+             spans_of: Callable[[bytes], Spans], what: str, steps: tuple[int, ...] = (1,)) -> DataFrame:
     """(doc, ranges): for documents with repeated windows, ranges (start, n) of their starts.
 
-    ``found``: anchors; ``shared``: keys among which all repeated ones are (distinct);
-    ``steps``: windows in a block of each finer round, the last 1.
+    ``packed``: (doc, packed), what ``spans_of`` makes a document's spans from; ``found``:
+    anchors; ``shared``: keys among which all repeated ones are (distinct); ``steps``:
+    windows in a block of each finer round, the last 1.
     """
     place = {"earlier": F.struct("id", "start"), "smaller": F.struct("id"),
              "elsewhere": F.struct("doc", "start")}[rule]
@@ -137,7 +140,7 @@ def repeated(docs: DataFrame, found: DataFrame, shared: DataFrame, rule: str, wi
         several = spans.groupBy("key").agg(F.count("*").alias("spans")).where("spans > 1").select("key")
         # of a span only its first row; those of other documents repeat it
         finer = judged.where("is_first").join(written(several, f"{what}-several"), "key")
-        rows = written(_cut(docs, finer, step, width, spans_of), f"{what}-{i}")
+        rows = written(_cut(packed, finer, step, width, spans_of), f"{what}-{i}")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -175,26 +178,24 @@ def cut_anchors(spans: Spans, key: np.ndarray, at: np.ndarray, start: np.ndarray
 
 
 def _cut(docs: DataFrame, rows: DataFrame, step: int, width: int, spans_of) -> DataFrame:
-    """Rows as finer anchors, from the texts of their documents."""
+    """Rows as finer anchors, from their packed documents."""
     wanted = rows.groupBy("doc", "id").agg(F.collect_set(F.struct("key", "at", "start", "n")).alias("wanted"))
 
     def run(batches):
         import pyarrow as pa
-        import zstandard
-        z = zstandard.ZstdDecompressor()
         kinds = [pa.int64()] * 4 + [pa.int32()] * 3
         for b in batches:
             for doc, i, packed, rows in zip(*(c.to_pylist() for c in b.columns)):
                 key, at, start, n = (np.array([r[c] for r in rows], np.int64) for c in ("key", "at", "start", "n"))
                 row, key, span, first, n = cut_anchors(
-                    spans_of([z.decompress(packed).decode()]), key.view(np.uint64), at, start, n, step, width)
+                    spans_of(packed), key.view(np.uint64), at, start, n, step, width)
                 cols = (key.view(np.int64), span.view(np.int64), np.full(len(row), i), np.full(len(row), doc),
                         at[row], first, n)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                  ["key", "span", "id", "doc", "at", "start", "n"])
 
     # rows that agree in id and text are one document: cut it once
-    once = packed_texts(docs).join(wanted, "doc").dropDuplicates(["doc"])
+    once = docs.join(wanted, "doc").dropDuplicates(["doc"])
     return once.select("doc", "id", "packed", "wanted").mapInArrow(run, ANCHOR_SCHEMA)
 
 
@@ -225,11 +226,12 @@ def with_ranges(df: DataFrame, ranges: DataFrame, id_col: str, text_col: str, ke
                   text.alias("text"))
     from pyspark.sql.types import BinaryType, StructField, StructType
     schema = StructType([d.schema["row"], d.schema["doc"], StructField("packed", BinaryType())])
-    return d.mapInArrow(run, schema).join(ranges, "doc", "left")
+    # broadcast up to MOST_RANGES ranges, a few MB; beyond, both sides are shuffled by document
+    n = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
+    return d.mapInArrow(run, schema).join(F.broadcast(ranges) if n <= MOST_RANGES else ranges, "doc", "left")
 
 
-def unpacked(packed) -> str | None:
-    """A text that ``with_ranges`` packed (an Arrow scalar)."""
+def unpacked(packed: bytes | None) -> str | None:
+    """A text that was packed."""
     import zstandard
-    raw = packed.as_py()
-    return None if raw is None else zstandard.ZstdDecompressor().decompress(raw).decode()
+    return None if packed is None else zstandard.ZstdDecompressor().decompress(packed).decode()

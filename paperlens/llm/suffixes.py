@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlens.llm.common import documents, mix64, written
-from paperlens.llm.repeats import Spans, anchors, covered, identified, repeated, runs, unpacked, with_ranges
+from paperlens.llm.repeats import Spans, anchors, covered, identified, packed_texts, repeated, runs, unpacked, with_ranges
 
 PREFIX = 32
 #: batches that the query adds one after the other, windows in a block of anchors
@@ -110,14 +110,14 @@ def repeated_bytes(df: DataFrame, width: int, batches: int, id_col: str, text_co
     def find(texts):
         return anchors_of(texts, width)
 
-    def spans_of(texts):
-        return Spans(byte_values(np.frombuffer("".join(texts).encode(), np.uint8), 2))
+    def spans_of(packed):
+        return Spans(byte_values(np.frombuffer(unpacked(packed).encode(), np.uint8), 2))
 
     found = written(anchors(docs, find, 1_000_000), "suffixes")
     family = SuffixFamily()
     for i in range(batches):
         family.add(found.where(F.pmod("doc", F.lit(batches)) == i))
-    return repeated(docs, found, family.found_again(), "elsewhere", width, spans_of, "suffixes",
+    return repeated(packed_texts(docs), found, family.found_again(), "elsewhere", width, spans_of, "suffixes",
                     (BLOCK, 1) if width > 2 * BLOCK else (1,))
 
 
@@ -140,7 +140,7 @@ def dedup_bytes(df: DataFrame, width: int = 200, batches: int = BATCHES, id_col:
         for b in batches_:
             out = [[] for _ in kinds]
             for row, packed, r in zip(b.column(0), b.column(1), b.column(2)):
-                raw = np.frombuffer((unpacked(packed) or "").encode(), np.uint8)
+                raw = np.frombuffer((unpacked(packed.as_py()) or "").encode(), np.uint8)
                 gone = covered(r.as_py(), width, len(raw))
                 begins = gone & ~np.concatenate(([False], gone[:-1]))[:len(gone)]
                 for col, v in zip(out, (row.as_py()["id"], len(raw), int(gone.sum()), int(begins.sum()),
@@ -159,3 +159,20 @@ def op10_suffix_family_dedup(spark, sf_dir: str) -> DataFrame:
     d = dedup_bytes(documents(spark, sf_dir))
     return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
                     F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 AS BIGINT) - 199)) AS i FROM d WHERE len(h) >= 400),
+v AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS win FROM s),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS c FROM v),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new
+  FROM r WHERE c > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+m AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM m),
+t AS (SELECT p.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last,
+  string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
