@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import documents, word_count, written
+from paperlens.llm.common import documents, small, word_count, written
 
 #: hash bits that a histogram resolves; four rounds use all 64
 BITS = 16
@@ -67,7 +67,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     for shift in _SHIFTS:
         own = rows
         if last < 64:
-            own = rows.join(state.select(F.col("source").alias("s"), "cell"),
+            own = rows.join(small(state.select(F.col("source").alias("s"), "cell")),
                             F.col("source").eqNullSafe(F.col("s"))
                             & (_bits(last, F.col("h")) == F.col("cell"))).drop("s", "cell")
         hist = own.groupBy("source", _bits(shift, F.col("h")).alias("cell")).agg(F.sum("size").alias("sum"))
@@ -120,14 +120,14 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
                      F.col(source_col).alias("source"), size.alias("size"), h.alias("h"))
     rows = base.select("source", "h", "size")
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    plan = written(targets(sizes, weights, share, most), "mix-targets")
+    plan = written(targets(sizes, weights, share, most), "mix-targets")  # a row a source
     plan = plan.withColumn("k", F.when(F.col("source_size") > 0,
                                        F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     rest = plan.withColumn("rest", F.col("target") - F.col("k") * F.col("source_size"))
     cut = thresholds(rows, rest.where("rest > 0").select("source", "rest"))
     full = rest.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    full = full.select(F.col("source").alias("s"), "source_size", "target", "k", "cut")
-    out = base.join(full, F.col("source").eqNullSafe(F.col("s")), "left")
+    full = written(full.select(F.col("source").alias("s"), "source_size", "target", "k", "cut"), "mix-cuts")
+    out = base.join(small(full), F.col("source").eqNullSafe(F.col("s")), "left")
     below = F.coalesce(F.col("h").bitwiseXOR(F.lit(-(1 << 63))) < F.col("cut"), F.lit(False))
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "source_size", "target",
                       (F.col("k") + below.cast("int")).cast("int").alias("copies"))
