@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import documents
+from paperlens.llm.common import documents, small, written
 
 #: trigram classes, labelled texts a language learns from (about), least count of a trigram
 CLASSES = 1 << 16
@@ -109,7 +109,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     teach nothing; without any labelled text no language is known, and all is ``und``."""
     d = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL")
-    rows = d.groupBy("lang").agg(F.count("*").alias("rows"))
+    rows = small(written(d.groupBy("lang").agg(F.count("*").alias("rows")), "languages"))
     place = F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(1 << 40)) / float(1 << 40)
     sample = d.join(rows, "lang").where(place < texts / F.col("rows")).select("lang", "text")
 
