@@ -16,16 +16,32 @@ from paperlens.session import ensure_checkpoint_dir
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: bytes of an Arrow batch that goes to a Python worker; a worker, and the JVM for it, holds
+#: several times as much
+BATCH_BYTES = 8 << 20
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bound_batches(spark) -> None:
+    """Sets the session's Arrow batches to ``BATCH_BYTES``: whole texts in batches of 64 MB,
+    Spark's default, take gigabytes of an executor. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: cuts the lineage,
     survives lost executors, and every reader sees the same rows."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,6 +58,14 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def in_pieces(batches, rows: int = 256):
+    """The rows of Arrow batches, ``rows`` at a time: what Python makes of a batch takes far
+    more memory than the batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from paperlens.llm.common import documents, mix64, written
+from paperlens.llm.common import documents, in_pieces, mix64, written
 from paperlens.llm.repeats import (
     Spans, anchors, covered, identified, keys_seen_again, repeated, runs, unpacked, with_ranges)
 
@@ -86,7 +86,7 @@ def dedup_lines(df: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id
 
     def pack(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in in_pieces(batches):
             packed = [line_hashes([t.as_py()])[0].tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["doc", "packed"])
 
@@ -101,7 +101,7 @@ def dedup_lines(df: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id
 
     def reduce(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in in_pieces(batches):
             out = [[], [], [], []]
             for packed, r in zip(b.column(1), b.column(2)):
                 text, r = unpacked(packed.as_py()), r.as_py()

@@ -19,10 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import documents, with_fields, written
+from paperlens.llm.common import documents, in_pieces, with_fields, written
 
 #: words kept with their ids in each Python worker
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 600_000
 #: pieces of a lane, bins open in it at a time
 LANE_PIECES = 25_000
 OPEN_BINS = 8192
@@ -125,7 +125,7 @@ def token_pieces(df: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int
     def cut(batches):
         import pyarrow as pa
         tokens = word_tokens(tokenizer)
-        for b in batches:
+        for b in in_pieces(batches, 1024):
             out = [[] for _ in range(5 + with_ids)]
             ids_of = (x for group in text_groups(b.column(1).to_pylist()) for x in tokens.ids(group))
             for doc, ids in zip(b.column(0).to_pylist(), ids_of):

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import documents, mix64, written
+from paperlens.llm.common import documents, in_pieces, mix64, written
 from paperlens.llm.repeats import (
     Spans, anchors, covered, identified, keys_seen_again, packed_texts, repeated, runs, unpacked, with_ranges)
 from paperlens.llm.words import Words
@@ -168,7 +168,7 @@ def dedup_substrings(df: DataFrame, width: int = 50, id_col: str = "doc_id",
 
     def keep(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in in_pieces(batches):
             out = [[], [], [], []]
             for row, packed, r in zip(b.column(0), b.column(1), b.column(2)):
                 words = (unpacked(packed.as_py()) or "").encode().split()

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import mix64, written
+from paperlens.llm.common import in_pieces, mix64, written
 
 #: ranges of all documents that are broadcast at most
 MOST_RANGES = 200_000
@@ -88,7 +88,7 @@ def anchors(docs: DataFrame, find: Callable[[list[str]], tuple], most_chars: int
         import pyarrow as pa
         kinds = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("id", pa.int64()),
                            ("doc", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
-        for b in batches:
+        for b in in_pieces(batches):
             ids, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = b.column(2).to_pylist()
             at = 0
@@ -153,7 +153,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in in_pieces(batches):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([z.compress(t.as_py().encode()) for t in b.column(1)], pa.binary())],
                 ["doc", "packed"])
@@ -184,7 +184,7 @@ def _cut(docs: DataFrame, rows: DataFrame, step: int, width: int, spans_of) -> D
     def run(batches):
         import pyarrow as pa
         kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-        for b in batches:
+        for b in in_pieces(batches):
             for doc, i, packed, rows in zip(*(c.to_pylist() for c in b.columns)):
                 key, at, start, n = (np.array([r[c] for r in rows], np.int64) for c in ("key", "at", "start", "n"))
                 row, key, span, first, n = cut_anchors(
@@ -215,7 +215,7 @@ def with_ranges(df: DataFrame, ranges: DataFrame, id_col: str, text_col: str, ke
         import pyarrow as pa
         import zstandard
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in in_pieces(batches):
             texts = [None if t is None else z.compress(t.encode()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.binary())], ["row", "doc", "packed"])

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import documents, mix64, written
+from paperlens.llm.common import documents, in_pieces, mix64, written
 from paperlens.llm.repeats import Spans, anchors, covered, identified, packed_texts, repeated, runs, unpacked, with_ranges
 
 PREFIX = 32
@@ -137,7 +137,7 @@ def dedup_bytes(df: DataFrame, width: int = 200, batches: int = BATCHES, id_col:
         import pyarrow as pa
         kinds = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                            ("n_spans", pa.int64()), ("kept", pa.binary())])
-        for b in batches_:
+        for b in in_pieces(batches_):
             out = [[] for _ in kinds]
             for row, packed, r in zip(b.column(0), b.column(1), b.column(2)):
                 raw = np.frombuffer((unpacked(packed.as_py()) or "").encode(), np.uint8)
