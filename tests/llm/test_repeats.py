@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 
 from paperlens.llm import lines, recompress, suffixes
 from paperlens.llm.words import Words
-from tests.llm.helpers import empty_docs, odd_docs, odd_rows
+from tests.llm.helpers import empty_docs, odd_docs, odd_rows, prose
 
 LOW = -(1 << 63)
 
@@ -99,6 +100,66 @@ def test_lines(spark, width):
     assert {r["key"] for r in out.select("key").collect()} == {-7}
 
 
+def brute_passages(rows):
+    """Windows of three lines, of one or two lines of 50 words, and whole texts of one or two lines."""
+    docs = [(_id(i), [x for x in (t or "").split("\n") if x.encode().split()]) for i, t, *_ in rows]
+
+    def windows(own):
+        for s in range(len(own)):
+            for width in (1, 2, 3):
+                win = tuple(own[s:s + width])
+                if len(win) == width and (width == 3 or sum(len(x.encode().split()) for x in win) >= 50):
+                    yield s, width, win
+        if 0 < len(own) < 3:
+            yield 0, len(own), ("whole", *own)
+
+    first = {}
+    for i, own in docs:
+        for s, _, win in windows(own):
+            first[win] = min(first.get(win, (i, s)), (i, s))
+    out = Counter()
+    for (i, own), row in zip(docs, rows):
+        gone = [False] * len(own)
+        for s, width, win in windows(own):
+            if first[win] < (i, s):
+                gone[s:s + width] = [True] * width
+        kept = tuple(x for x, g in zip(own, gone) if not g)
+        runs = sum(1 for j, g in enumerate(gone) if g and not (j and gone[j - 1]))
+        out[(row[0], kept, len(own), sum(gone), runs)] += 1
+    return out
+
+
+def passage_rows():
+    rng = random.Random(11)
+    long_, half = prose(rng, 50), [prose(rng, 25), prose(rng, 25)]
+    texts = [f"{prose(rng, 9)}\n{long_}\n{prose(rng, 9)}\n{half[0]}\n\n{half[1]}\nshort one",
+             f"{prose(rng, 9)}\n{long_}\n{prose(rng, 9)}", f"{half[0]}\n{half[1]}\n{prose(rng, 3)}\n{prose(rng, 3)}",
+             f"{half[0]}\n{prose(rng, 4)}\nshort one\n{prose(rng, 4)}", long_, " ".join(long_.split()[:49]),
+             "one line", "one line", "two\nlines", "\ntwo\n\nlines", "short one", f"two\n{prose(rng, 4)}"]
+    return [(1000 + i, t, "en", "s0") for i, t in enumerate(texts)]
+
+
+def test_long_lines_and_short_texts(spark):
+    rows = odd_rows() + passage_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = lines.dedup_lines(df).collect()
+    own = lambda t: tuple(x for x in (t or "").split("\n") if x.encode().split())
+    assert Counter((r["doc_id"], own(r["text"]), r["n_lines"], r["n_removed"], r["n_runs"]) for r in got) \
+        == brute_passages(rows)
+    removed = {r["doc_id"]: r["n_removed"] for r in got if (r["doc_id"] or 0) >= 1000}
+    assert [removed[1000 + i] for i in range(12)] == [0, 1, 2, 0, 1, 0, 0, 1, 0, 2, 0, 0]
+
+
+def test_passages_query_gives_what_its_sql_gives(spark):
+    import duckdb
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.execute(lines.OP9_PASSAGES_SQL).fetchall()
+    got = [tuple(r) for r in lines.op9_winnowed_passages(spark, sf).collect()]
+    assert Counter(got) == Counter(want) and len(got) == 1000
+
+
 def test_nothing_gives_nothing(spark):
     for f in (recompress.dedup_substrings, suffixes.dedup_bytes, lines.dedup_lines):
         assert f(empty_docs(spark)).count() == 0
