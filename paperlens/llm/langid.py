@@ -103,15 +103,19 @@ class Model:
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
           texts: int = TRAIN_TEXTS) -> Model:
-    """Learns from about ``texts`` whole texts of each language: rows whose text hash lies
-    below the share of the language's rows that this is (all, if there are fewer), so the
-    sample is bounded and the same in each run. Null languages and texts without a letter
-    teach nothing; without any labelled text no language is known, and all is ``und``."""
+    """Learns from about ``texts`` different texts of each language: those whose hash lies
+    below the share of the language's different texts that this is (all, if there are
+    fewer), each once however many copies it has, so the sample is bounded and the same in
+    each run. Null languages and texts without a letter teach nothing; without any labelled
+    text no language is known, and all is ``und``."""
     d = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
-        "text IS NOT NULL AND lang IS NOT NULL")
-    rows = small(written(d.groupBy("lang").agg(F.count("*").alias("rows")), "languages"))
-    place = F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = d.join(rows, "lang").where(place < texts / F.col("rows")).select("lang", "text")
+        "text IS NOT NULL AND lang IS NOT NULL").withColumn("hash", F.xxhash64(F.lit(4), "text"))
+    # one row a text hash before anything is counted, by a partial aggregate of the hashes alone
+    different = d.groupBy("lang", "hash").agg(F.lit(1).alias("one"))
+    rows = small(written(different.groupBy("lang").agg(F.count("*").alias("different")), "languages"))
+    place = F.pmod("hash", F.lit(1 << 40)) / float(1 << 40)
+    taken = d.join(rows, "lang").where(place < texts / F.col("different"))
+    sample = taken.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def counts(batches):
         import pyarrow as pa

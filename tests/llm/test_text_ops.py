@@ -138,6 +138,18 @@ def test_training_sample_is_bounded(spark):
     assert few.langs == all_.langs and (few.log_p != all_.log_p).any()
 
 
+def test_training_sample_takes_a_text_once(spark):
+    """One text in many copies beside a language of copies only: copies change nothing."""
+    rows = [(i, t, "aa") for i, t, _ in _languages(random.Random(12), 200)]
+    rows += [(1000 + i, t, "bb") for i, t in enumerate(["kra kro stry stro", "kre kru"])]
+    schema = "doc_id long, text string, lang string"
+    once = langid.train(spark.createDataFrame(rows, schema), texts=20)
+    for hot in rows[:8]:
+        copies = [(2000 + i, hot[1], "aa") for i in range(100)] + [(3000 + i, *rows[-1][1:]) for i in range(300)]
+        model = langid.train(spark.createDataFrame(rows + copies, schema).repartition(3), texts=20)
+        assert model.langs == once.langs == ["aa", "bb"] and (model.log_p == once.log_p).all()
+
+
 def test_language_held_out_accuracy(spark):
     from paperlens.llm.common import documents
     got = langid.op4_language_mixture(spark, SF).join(documents(spark, SF).select("doc_id", "lang"), "doc_id")
