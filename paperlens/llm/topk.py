@@ -29,7 +29,7 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 
 
 def _packed(rows: DataFrame, n_rows: int, name: str) -> DataFrame:
-    """Rows (id, v) as one row for each ``n_rows`` of them: ids, lengths, all components."""
+    """Rows (id, v, row) as one row for each ``n_rows`` of them: ids, lengths, all components."""
     parts = max(1, -(-rows.count() // n_rows))
 
     def pack(batches):
@@ -54,7 +54,7 @@ def _packed(rows: DataFrame, n_rows: int, name: str) -> DataFrame:
         if ids:
             yield made()
 
-    ranged = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    ranged = rows.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
     made = ranged.mapInArrow(pack, "ids binary, dims binary, v binary")
     return written(made.withColumn("unit", F.monotonically_increasing_id()), name)
 
@@ -128,23 +128,29 @@ def scan(best: Best, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, blo
 
 def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: int = 256,
           block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS,
-          chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+          chunk_rows: int = CHUNK_ROWS, every_row: bool = False) -> DataFrame:
     """(query_id, rank, id, score): each query's ``k`` highest integer inner products with
     all rows of other ids, all of them if there are fewer; ties to the smaller id.
 
     Vectors that are null or hold a null, NaN or infinite component, and rows without an id,
     take no part. A shorter vector counts as ending in zeros. Of several vectors under one id
-    the least (in the order of arrays) counts, so repeated rows are one. Other columns are left out. Empty tables give empty results. Scores
-    over 64 bits fail the job.
+    the least (in the order of arrays) counts, so repeated rows are one; with ``every_row``
+    each row is a candidate, and a query where ``is_query`` holds for it. Pairs of a query row
+    and a row of another id are then ranked together for each query id, by score and then id:
+    an id takes as many ranks as it has pairs. Other columns are left out. Empty tables give
+    empty results. Scores over 64 bits fail the job.
 
     Queries are a stated set; each chunk of queries meets each range of rows once, chunk by
     chunk, so that bounds found on one range prune the next.
     """
     d = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
                   F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
-    d = written(d.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "topk-rows")
-    ranges = _packed(d.select("id", "v"), range_rows, "topk-ranges")
-    chunks = _packed(d.where("q").select("id", "v"), chunk_rows, "topk-queries")
+    if not every_row:
+        d = d.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    # rows are numbered as written, so that ranges can part the rows of one id
+    d = written(d, "topk-rows").withColumn("row", F.monotonically_increasing_id())
+    ranges = _packed(d.select("id", "v", "row"), range_rows, "topk-ranges")
+    chunks = _packed(d.where("q").select("id", "v", "row"), chunk_rows, "topk-queries")
     n_ranges = ranges.count()
     # a lane takes several ranges of a chunk in turn; as many lanes as there are ranges / 4
     lanes = max(1, -(-n_ranges // 4))
@@ -185,9 +191,10 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str,
 
 
 def op7_block_pruned_search(spark, sf_dir: str) -> DataFrame:
-    """The 5 highest inner products for every vector whose id is divisible by 50."""
+    """The 5 highest inner products for every vector whose id is divisible by 50, with every
+    row of another id; rows that share an id rank each on their own."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return top_k(e, F.col("vec_id") % 50 == 0, 5, "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+    return top_k(e, F.col("vec_id") % 50 == 0, 5, "vec_id", "embedding", every_row=True).withColumnRenamed("id", "vec_id")
 
 
 #: exact over the whole table; used where DuckDB holds every pair of query and row

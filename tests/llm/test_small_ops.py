@@ -226,6 +226,26 @@ def test_top_k_few_rows_and_none(spark):
     assert topk.top_k(df.where("false"), F.lit(True), 5, "vec_id", "embedding").count() == 0
 
 
+def test_every_row_of_an_id_is_searched(spark, tmp_path):
+    """Different and equal vectors under one id, as candidates and as queries, as the SQL has them."""
+    import duckdb
+    rng = random.Random(13)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(i % 60, [rng.gauss(0, 3) for _ in range(4)]) for i in range(90)]
+    rows += [rows[3], rows[50], rows[50], (7, [-9.0] * 4), (7, [9.0] * 4), (50, [5.0] * 4)]
+    path = str(tmp_path / "embeddings.parquet")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    df.write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = Counter(con.execute(topk.OP7_SQL).fetchall())
+    assert Counter(tuple(r) for r in topk.op7_block_pruned_search(spark, str(tmp_path)).collect()) == want
+    small = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, "vec_id", "embedding", block_rows=4, range_rows=16,
+                       chunk_rows=2, every_row=True)
+    assert Counter(tuple(r[c] for c in ("query_id", "rank", "id", "score")) for r in small.collect()) == want
+    assert len(want) == 15
+
+
 def test_blocks_are_pruned():
     """Blocks whose bound is below the k-th score are not scored."""
     rng = np.random.default_rng(7)
