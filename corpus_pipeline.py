@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 from paperlens.llm import langid, lines, mixing, packing, simhash
 from paperlens.llm.common import documents, word_count, written
 
-#: a document goes if its main language makes up less of it than this
+#: a document goes if its language has less than this score, unless it is a mixture that the
+#: languages found explain better than chance
 MIN_LANGUAGE_SHARE = 0.4
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts without a main language. The labels of
-    ``docs`` teach the model; where there are none, all that has letters is kept."""
+    """Rejects texts without a letter and texts without a language: mixtures without a main
+    one stay if their languages explain them. The labels of ``docs`` teach the model; where
+    there are none, all that has letters is kept."""
     model = langid.train(docs)
     found = langid.identify(docs, model)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    good = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)
+    mixture = (F.size("languages") > 1) & (F.col("fit") > langid.CHANCE)
+    good = (F.col("lang_pred") != "und") & ((F.col("score") >= MIN_LANGUAGE_SHARE) | mixture)
     return found.where(good).select(docs.columns)
 
 

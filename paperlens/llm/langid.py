@@ -21,6 +21,8 @@ from paperlens.llm.common import documents, small, written
 CLASSES = 1 << 16
 TRAIN_TEXTS = 5000
 SMOOTHING = 0.1
+#: log-likelihood a trigram if all classes were equally likely
+CHANCE = -float(np.log(CLASSES))
 #: a run of letters counts in up to three trigrams, so a language costs three times the
 #: usual half of log n
 PENALTY = 1.5
@@ -60,14 +62,15 @@ def _fit(p: np.ndarray, n: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, fl
     return pi, float(n @ np.log(p @ pi))
 
 
-def infer(text: str | None, log_p: np.ndarray) -> tuple[int, float, np.ndarray | None]:
-    """(language, score, proportions): -1, 0, None for a text without a letter.
+def infer(text: str | None, log_p: np.ndarray) -> tuple[int, float, np.ndarray | None, float | None]:
+    """(language, score, proportions, log-likelihood a trigram): -1, 0, None, None for a text
+    without a letter.
 
     ``log_p``: log-likelihood of each trigram class (row) in each language (column).
     """
     grams = trigrams(text)
     if not len(grams) or not log_p.shape[1]:
-        return -1, 0.0, None
+        return -1, 0.0, None, None
     classes, n = np.unique(grams, return_counts=True)
     lp, n = log_p[classes], n.astype(float)
     alone = n @ lp
@@ -76,7 +79,7 @@ def infer(text: str | None, log_p: np.ndarray) -> tuple[int, float, np.ndarray |
     share[best] = 1.0
     posterior = 1 / np.exp(np.maximum((alone - alone[best]) / 3, -700)).sum()
     if len(alone) == 1:
-        return best, 1.0, share
+        return best, 1.0, share, float(alone[best] / n.sum())
     p = np.exp(lp)
     order = np.argsort(-_fit(p, n)[0], kind="stable")
     cost = PENALTY * np.log(max(2.0, n.sum()))
@@ -85,13 +88,13 @@ def infer(text: str | None, log_p: np.ndarray) -> tuple[int, float, np.ndarray |
         pi, fit = _fit(p[:, order[:size]], n)
         if fit - cost * (size - 1) <= top:
             break
-        top, chosen = fit - cost * (size - 1), (order[:size], pi)
+        top, chosen = fit - cost * (size - 1), (order[:size], pi, fit)
     if chosen is None:
-        return best, float(min(1.0, posterior)), share
+        return best, float(min(1.0, posterior)), share, float(alone[best] / n.sum())
     share[:] = 0
     share[chosen[0]] = chosen[1]
     best = int(share.argmax())
-    return best, float(min(1.0, share[best])), share
+    return best, float(min(1.0, share[best])), share, float(chosen[2] / n.sum())
 
 
 class Model:
@@ -143,13 +146,14 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows of ``df`` with ``lang_pred`` (``und`` if the text is null or has no letter),
-    ``score`` and ``languages``, the map of the languages found to their proportions.
+    ``score``, ``languages``, the map of the languages found to their proportions, and
+    ``fit``, the log-likelihood a trigram under these (null if there is no letter).
 
     A single language's score is its probability against the other languages, that of a
     mixture's main language its proportion. Nothing but the text is looked at; equal texts
     get equal results; columns named like the outputs are replaced, others are kept.
     """
-    keep = [c for c in df.columns if c not in ("lang_pred", "score", "languages")]
+    keep = [c for c in df.columns if c not in ("lang_pred", "score", "languages", "fit")]
     sent = df.sparkSession.sparkContext.broadcast((model.langs, model.log_p))  # CLASSES rows
 
     def run(batches):
@@ -157,23 +161,25 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         langs, log_p = sent.value
         kind = pa.map_(pa.string(), pa.float64())
         for b in batches:
-            pred, score, found = [], [], []
+            pred, score, found, fits = [], [], [], []
             for text in b.column(1):
-                k, s, share = infer(text.as_py(), log_p)
+                k, s, share, fit = infer(text.as_py(), log_p)
+                fits.append(fit)
                 pred.append(langs[k] if k >= 0 else "und")
                 score.append(s)
                 found.append([] if share is None else
                              [(langs[i], float(share[i])) for i in np.flatnonzero(share)])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(found, kind)], ["row", "lang_pred", "score", "languages"])
+                 pa.array(found, kind), pa.array(fits, pa.float64())],
+                ["row", "lang_pred", "score", "languages", "fit"])
 
     d = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
     schema = StructType([d.schema["row"], *_parse_datatype_string(
-        "lang_pred string, score double, languages map<string,double>").fields])
+        "lang_pred string, score double, languages map<string,double>, fit double").fields])
     out = d.mapInArrow(run, schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_pred", "score", "languages")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_pred", "score", "languages", "fit")
 
 
 def held_out(doc_id: Column) -> Column:

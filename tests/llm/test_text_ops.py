@@ -150,6 +150,26 @@ def test_training_sample_takes_a_text_once(spark):
         assert model.langs == once.langs == ["aa", "bb"] and (model.log_p == once.log_p).all()
 
 
+def test_pipeline_keeps_mixtures_without_a_main_language(spark):
+    import corpus_pipeline as P
+    rows = list(_languages(random.Random(14), 300))
+    parts = []
+    for lang in ("aa", "bb", "cc"):
+        words, n = [], 0
+        for w in " ".join(t for _, t, x in rows if x == lang).split():
+            if n < 1500:
+                words.append(w)
+                n += len(w)
+        parts.append(" ".join(words))
+    rows += [(1000, " ".join(parts), None), (1001, "123 !?", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    _, score, share, fit = langid.infer(rows[300][1], model.log_p)
+    assert score < P.MIN_LANGUAGE_SHARE and (share > 0.25).all() and fit > langid.CHANCE
+    assert langid.infer("xqzj wvyq jzxw " * 50, model.log_p)[3] < langid.CHANCE
+    assert {r["doc_id"] for r in P.language_id(spark, docs, SF).collect()} == set(range(300)) | {1000}
+
+
 def test_language_held_out_accuracy(spark):
     from paperlens.llm.common import documents
     got = langid.op4_language_mixture(spark, SF).join(documents(spark, SF).select("doc_id", "lang"), "doc_id")
