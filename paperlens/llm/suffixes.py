@@ -1,13 +1,14 @@
-"""Repeated byte strings by a logarithmic family of suffix arrays.
-
-The suffixes indexed are those that start at minimisers: of any run of windows'
-leading bytes, the least hash of PREFIX bytes, so that every window of WIDTH
-bytes holds one at a place that its own bytes fix. A batch of documents gets its
-array (an entry for each distinct suffix prefix, in the order of its 64-bit
-hash), which is merge-scanned against the array of each level for prefixes in
-common; when two levels are of equal size they merge, so there are as many
-levels as the number of batches has binary digits. Prefixes that occur again
-are then verified and extended to exact windows (``paperlens.llm.repeats``).
+"""Repeated byte strings by a logarithmic family of hashed prefixes.
+
+A family of suffix arrays in frame only: entries are hashes, not suffixes in byte
+order, and there are no common-prefix lengths. The places indexed are minimisers:
+of any run of windows' leading bytes, the least hash of PREFIX bytes, so that every
+window of WIDTH bytes holds one at a place that its own bytes fix. A batch of
+documents gets its table (an entry for each distinct prefix, its 64-bit hash),
+which is joined with the table of each level for prefixes in common; when two
+levels are of equal size they merge, so there are as many levels as the number of
+batches has binary digits. Prefixes that occur again are then verified and extended
+to exact windows (``paperlens.llm.repeats``), which finds the long matches.
 """
 
 from __future__ import annotations
