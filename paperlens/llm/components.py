@@ -9,7 +9,7 @@ from paperlens.llm.common import written
 
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, root) for every node of ``edges`` (two long columns, any direction): root is
+    """(node, root) for every node of ``edges`` (two long or binary columns, any direction): root is
     the smallest node reachable. Each round is two joins of the edges with a minimum a
     node; rounds grow with the logarithm of the longest path. Loops and repeated edges
     do no harm; a null end drops the edge; no edges give an empty table."""
