@@ -58,6 +58,14 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or longer, such that no column of ``df`` is so named in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_pieces(batches, rows: int = 256):
     """The rows of Arrow batches, ``rows`` at a time: what Python makes of a batch takes far
     more memory than the batch."""

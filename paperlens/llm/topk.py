@@ -29,33 +29,34 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 
 
 def _packed(rows: DataFrame, n_rows: int, name: str) -> DataFrame:
-    """Rows (id, v, row) as one row for each ``n_rows`` of them: ids, lengths, all components."""
+    """Rows (id, v, row) as one row for each ``n_rows`` of them: ids, rows, lengths, all components."""
     parts = max(1, -(-rows.count() // n_rows))
 
     def pack(batches):
         import pyarrow as pa
-        ids, vectors = [], []
-        kinds = pa.schema([("ids", pa.binary()), ("dims", pa.binary()), ("v", pa.binary())])
+        ids, at, vectors = [], [], []
+        kinds = pa.schema([("ids", pa.binary()), ("at", pa.binary()), ("dims", pa.binary()), ("v", pa.binary())])
 
         def made():
             dims = np.array([len(v) for v in vectors], "<i4")
             flat = np.concatenate(vectors) if vectors else np.empty(0)
             return pa.RecordBatch.from_pydict(
-                {"ids": [np.array(ids, "<i8").tobytes()], "dims": [dims.tobytes()],
-                 "v": [flat.astype("<i8").tobytes()]}, kinds)
+                {"ids": [np.array(ids, "<i8").tobytes()], "at": [np.array(at, "<i8").tobytes()],
+                 "dims": [dims.tobytes()], "v": [flat.astype("<i8").tobytes()]}, kinds)
 
         for b in batches:
-            for i, v in zip(b.column(0), b.column(1)):
+            for i, v, row in zip(b.column(0), b.column(1), b.column(2)):
                 ids.append(i.as_py())
+                at.append(row.as_py())
                 vectors.append(np.array(v.as_py(), np.int64))
                 if len(ids) == n_rows:
                     yield made()
-                    ids, vectors = [], []
+                    ids, at, vectors = [], [], []
         if ids:
             yield made()
 
     ranged = rows.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
-    made = ranged.mapInArrow(pack, "ids binary, dims binary, v binary")
+    made = ranged.mapInArrow(pack, "ids binary, at binary, dims binary, v binary")
     return written(made.withColumn("unit", F.monotonically_increasing_id()), name)
 
 
@@ -83,10 +84,12 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query of a chunk; ties to the smaller id."""
+    """The k best (score, id) of each query of a chunk among all rows but its own (``rows``);
+    ties to the smaller id."""
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.own, self.k, self.scored = ids, k, 0
+    def __init__(self, rows: np.ndarray, k: int):
+        ids = self.own = rows
+        self.k, self.scored = k, 0
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.id = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.found = np.zeros((len(ids), k), bool)
@@ -95,9 +98,9 @@ class Best:
         """Lowest kept score; a bound below it cannot matter."""
         return np.where(self.found[:, -1], self.score[:, -1], np.iinfo(np.int64).min)
 
-    def add(self, which: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+    def add(self, which: np.ndarray, ids: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
         self.scored += score.size
-        other = ids[None, :] != self.own[which][:, None]
+        other = at[None, :] != self.own[which][:, None]
         s = np.concatenate([self.score[which], score], axis=1)
         i = np.concatenate([self.id[which], np.broadcast_to(ids, score.shape)], axis=1)
         f = np.concatenate([self.found[which], other], axis=1)
@@ -106,8 +109,9 @@ class Best:
             getattr(self, name)[which] = np.take_along_axis(x, order, axis=1)
 
 
-def scan(best: Best, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, block_rows: int) -> None:
-    """Adds the rows of a range, block by block as far as bounds demand."""
+def scan(best: Best, queries: np.ndarray, ids: np.ndarray, at: np.ndarray, rows: np.ndarray,
+         block_rows: int) -> None:
+    """Adds the rows of a range (their ids, places and vectors), block by block as far as bounds demand."""
     queries, rows = _same_width(queries, rows)
     starts = np.arange(0, len(rows), block_rows)
     high = np.maximum.reduceat(rows, starts, axis=0)
@@ -123,22 +127,21 @@ def scan(best: Best, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, blo
         for j in np.unique(block[open_]):
             which = open_[block[open_] == j]
             own = slice(starts[j], starts[j] + block_rows)
-            best.add(which, ids[own], _product(queries[which], rows[own]))
+            best.add(which, ids[own], at[own], _product(queries[which], rows[own]))
 
 
 def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: int = 256,
           block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS,
           chunk_rows: int = CHUNK_ROWS, every_row: bool = False) -> DataFrame:
     """(query_id, rank, id, score): each query's ``k`` highest integer inner products with
-    all rows of other ids, all of them if there are fewer; ties to the smaller id.
+    all other rows, all of them if there are fewer; ties to the smaller id.
 
     Vectors that are null or hold a null, NaN or infinite component, and rows without an id,
     take no part. A shorter vector counts as ending in zeros. Of several vectors under one id
     the least (in the order of arrays) counts, so repeated rows are one; with ``every_row``
-    each row is a candidate, and a query where ``is_query`` holds for it. Pairs of a query row
-    and a row of another id are then ranked together for each query id, by score and then id:
-    an id takes as many ranks as it has pairs. Other columns are left out. Empty tables give
-    empty results. Scores over 64 bits fail the job.
+    each row is a candidate, and a query of its own where ``is_query`` holds for it: rows of
+    one id are ranked apart, and meet each other. Other columns are left out. Empty tables
+    give empty results. Scores over 64 bits fail the job.
 
     Queries are a stated set; each chunk of queries meets each range of rows once, chunk by
     chunk, so that bounds found on one range prune the next.
@@ -147,27 +150,27 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str,
                   F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
     if not every_row:
         d = d.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    # rows are numbered as written, so that ranges can part the rows of one id
-    d = written(d, "topk-rows").withColumn("row", F.monotonically_increasing_id())
+    # rows are numbered as they are written: every reader sees the same numbers
+    d = written(d.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
     ranges = _packed(d.select("id", "v", "row"), range_rows, "topk-ranges")
     chunks = _packed(d.where("q").select("id", "v", "row"), chunk_rows, "topk-queries")
     n_ranges = ranges.count()
     # a lane takes several ranges of a chunk in turn; as many lanes as there are ranges / 4
     lanes = max(1, -(-n_ranges // 4))
-    left = chunks.select(F.col("unit").alias("chunk"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"),
+    left = chunks.select(F.col("unit").alias("chunk"), F.col("ids").alias("q_ids"), F.col("at").alias("q_at"), F.col("dims").alias("q_dims"),
                          F.col("v").alias("q_v"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     right = ranges.withColumn("lane", F.pmod(F.xxhash64("unit"), F.lit(lanes)).cast("int"))
     met = left.join(right, "lane")
 
     def search(batches):
         import pyarrow as pa
-        kinds = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-        here, best, q = None, None, None
+        kinds = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+        here, best, q, q_ids = None, None, None, None
 
         def found():
             at = np.nonzero(best.found)
             return pa.RecordBatch.from_arrays(
-                [pa.array(best.own[at[0]]), pa.array(best.id[at]), pa.array(best.score[at])], schema=kinds)
+                [pa.array(q_ids[at[0]]), pa.array(best.own[at[0]]), pa.array(best.id[at]), pa.array(best.score[at])], schema=kinds)
 
         for b in batches:
             for r in b.to_pylist():
@@ -176,34 +179,34 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str,
                         yield found()
                     here = (r["chunk"], r["lane"])
                     q_ids, q = _matrix(r["q_ids"], r["q_dims"], r["q_v"])
-                    best = Best(q_ids, k)
+                    best = Best(np.frombuffer(r["q_at"], "<i8"), k)
                 ids, rows = _matrix(r["ids"], r["dims"], r["v"])
-                scan(best, q, ids, rows, block_rows)
+                scan(best, q, ids, np.frombuffer(r["at"], "<i8"), rows, block_rows)
         if best is not None:
             yield found()
 
     near = (met.repartition("chunk", "lane").sortWithinPartitions("chunk", "lane")
-            .mapInArrow(search, "query_id long, id long, score long"))
+            .mapInArrow(search, "query_id long, query long, id long, score long"))
     # at most k rows a lane and query; Spark drops ranks above k before it shuffles them
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     return (near.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
 
 
 def op7_block_pruned_search(spark, sf_dir: str) -> DataFrame:
-    """The 5 highest inner products for every vector whose id is divisible by 50, with every
-    row of another id; rows that share an id rank each on their own."""
+    """The 5 highest inner products for every row whose id is divisible by 50, with every other row."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(e, F.col("vec_id") % 50 == 0, 5, "vec_id", "embedding", every_row=True).withColumnRenamed("id", "vec_id")
 
 
 #: exact over the whole table; used where DuckDB holds every pair of query and row
 OP7_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE embedding IS NOT NULL
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+  row_number() OVER () AS n
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(
+s AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, CAST(list_inner_product(
     CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.n <> q.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
