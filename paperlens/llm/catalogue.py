@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from paperlens.llm.langid import op4_language_mixture
-from paperlens.llm.lines import OP9_PASSAGES_SQL, OP9_SQL, op9_winnowed_lines, op9_winnowed_passages
+from paperlens.llm.lines import OP9_SQL, op9_winnowed_lines
 from paperlens.llm.minhash import op13_bayesian_minhash
 from paperlens.llm.mixing import op6_hash_threshold_mix
 from paperlens.llm.packing import op2_best_fit_packing
@@ -20,7 +20,7 @@ from paperlens.llm.whitening import op12_shifted_cholesky_whitening
 QUERIES = {f.__name__: f for f in (
     op1_hypergeometric_shuffle, op2_best_fit_packing, op3_simhash_components,
     op4_language_mixture, op5_recompression_dedup, op6_hash_threshold_mix, op7_block_pruned_search,
-    op8_weighted_fingerprints, op9_winnowed_lines, op9_winnowed_passages, op10_suffix_family_dedup,
+    op8_weighted_fingerprints, op9_winnowed_lines, op10_suffix_family_dedup,
     op11_spelling_variants, op12_shifted_cholesky_whitening, op13_bayesian_minhash)}
 
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -29,7 +29,6 @@ ORACLES = {
     "op5_recompression_dedup": OP5_SQL,
     "op7_block_pruned_search": OP7_SQL,
     "op9_winnowed_lines": OP9_SQL,
-    "op9_winnowed_passages": OP9_PASSAGES_SQL,
     "op10_suffix_family_dedup": OP10_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:

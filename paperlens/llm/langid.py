@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import documents, small, written
+from paperlens.llm.common import documents, free_name, small, written
 
 #: trigram classes, labelled texts a language learns from (about), least count of a trigram
 CLASSES = 1 << 16
@@ -144,6 +144,32 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return Model(langs, np.log(n / n.sum(axis=0)))
 
 
+def language(text: Column, model: Model) -> Column:
+    """struct(lang_pred, score, languages, fit) of a text, as ``identify`` says. Only the text
+    goes to Python, once, and only the struct comes back."""
+    from pyspark import SparkContext
+    sent = SparkContext._active_spark_context.broadcast((model.langs, model.log_p))  # CLASSES rows
+
+    @F.arrow_udf("lang_pred string, score double, languages map<string,double>, fit double")
+    def found(texts):
+        import pyarrow as pa
+        langs, log_p = sent.value
+        pred, score, shares, fits = [], [], [], []
+        for text in texts:
+            k, s, share, fit = infer(text.as_py(), log_p)
+            pred.append(langs[k] if k >= 0 else "und")
+            score.append(s)
+            shares.append([] if share is None else [(langs[i], float(share[i])) for i in np.flatnonzero(share)])
+            fits.append(fit)
+        return pa.StructArray.from_arrays(
+            [pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+             pa.array(shares, pa.map_(pa.string(), pa.float64())), pa.array(fits, pa.float64())],
+            ["lang_pred", "score", "languages", "fit"])
+
+    # not to be worked out again by a filter on the result that moves below it
+    return found.asNondeterministic()(text)
+
+
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows of ``df`` with ``lang_pred`` (``und`` if the text is null or has no letter),
     ``score``, ``languages``, the map of the languages found to their proportions, and
@@ -153,33 +179,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     mixture's main language its proportion. Nothing but the text is looked at; equal texts
     get equal results; columns named like the outputs are replaced, others are kept.
     """
-    keep = [c for c in df.columns if c not in ("lang_pred", "score", "languages", "fit")]
-    sent = df.sparkSession.sparkContext.broadcast((model.langs, model.log_p))  # CLASSES rows
-
-    def run(batches):
-        import pyarrow as pa
-        langs, log_p = sent.value
-        kind = pa.map_(pa.string(), pa.float64())
-        for b in batches:
-            pred, score, found, fits = [], [], [], []
-            for text in b.column(1):
-                k, s, share, fit = infer(text.as_py(), log_p)
-                fits.append(fit)
-                pred.append(langs[k] if k >= 0 else "und")
-                score.append(s)
-                found.append([] if share is None else
-                             [(langs[i], float(share[i])) for i in np.flatnonzero(share)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(found, kind), pa.array(fits, pa.float64())],
-                ["row", "lang_pred", "score", "languages", "fit"])
-
-    d = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-    schema = StructType([d.schema["row"], *_parse_datatype_string(
-        "lang_pred string, score double, languages map<string,double>, fit double").fields])
-    out = d.mapInArrow(run, schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_pred", "score", "languages", "fit")
+    outputs = ("lang_pred", "score", "languages", "fit")
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outputs]
+    own = free_name(df, "found")
+    out = df.select(*keep, language(F.col(f"`{text_col}`"), model).alias(own))
+    return out.select(*keep, *[F.col(own).getField(c).alias(c) for c in outputs])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -14,11 +14,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
 
 from paperlens.llm.common import documents, in_pieces, mix64, written
 from paperlens.llm.repeats import (
-    Spans, anchors, covered, identified, keys_seen_again, repeated, runs, unpacked, with_ranges)
+    MOST_RANGES, Spans, anchors, covered, identified, keys_seen_again, repeated, runs)
 
 MIN_LINES = 3
 #: words from which fewer lines than MIN_LINES are a window too
@@ -163,38 +162,38 @@ def dedup_lines(df: DataFrame, min_lines: int | None = None, id_col: str = "doc_
     ranges = repeated(hashes, found, keys_seen_again(found), "earlier", min_lines, spans_of, "winnowed")
     ranges = merged(ranges, min_lines)
     counts = ["n_lines", "n_removed", "n_runs"]
-    keep = [c for c in df.columns if c not in counts and c != text_col]
+    keep = [c for c in df.columns if c.lower() not in counts]
 
-    def reduce(batches):
+    @F.arrow_udf("text string, n_lines long, n_removed long, n_runs long")
+    def reduced(texts, ranges):
+        """Counts of a text, and what is left of it if anything goes (else null)."""
         import pyarrow as pa
-        for b in in_pieces(batches):
-            out = [[], [], [], []]
-            for packed, r in zip(b.column(1), b.column(2)):
-                text, r = unpacked(packed.as_py()), r.as_py()
-                n = sum(1 for x in (text or "").encode().split(b"\n") if x.strip())
-                gone = covered(r, min_lines, n)
-                runs_ = int((gone & ~np.concatenate(([False], gone[:-1]))[:n]).sum())
-                for col, v in zip(out, (text if r is None else without_lines(text, gone), n,
-                                        int(gone.sum()), runs_)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])],
-                ["row", "text", *counts])
-
-    joined = with_ranges(df, ranges, id_col, text_col, keep).select("row", "packed", "ranges")
-    schema = StructType([joined.schema["row"], *_parse_datatype_string(
-        "text string, n_lines long, n_removed long, n_runs long").fields])
-    out = joined.mapInArrow(reduce, schema)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
-                        for c in df.columns if c not in counts], *counts)
+        out = [[], [], [], []]
+        for text, r in zip(texts, ranges):
+            text, r = text.as_py(), r.as_py()
+            n = sum(1 for x in (text or "").encode().split(b"\n") if x.strip())
+            gone = covered(r, min_lines, n)
+            runs_ = int((gone & ~np.concatenate(([False], gone[:-1]))[:n]).sum())
+            for col, v in zip(out, (None if r is None else without_lines(text, gone), n, int(gone.sum()), runs_)):
+                col.append(v)
+        return pa.StructArray.from_arrays(
+            [pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])], ["text", *counts])
+
+    text = F.col(f"`{text_col}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    doc = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(text, F.lit(""))).alias("doc")
+    # up to MOST_RANGES ranges are broadcast, a few MB; beyond, both sides are shuffled by document
+    few = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0] <= MOST_RANGES
+    joined = df.select(row, doc).join(F.broadcast(ranges) if few else ranges, "doc", "left")
+    own = F.col("row").getField(text_col)
+    # only the text goes to Python, and a text comes back only where it changes
+    out = joined.select("row", reduced.asNondeterministic()(own, F.col("ranges")).alias("left"))
+    return out.select(*[F.coalesce(F.col("left.text"), own).alias(c) if c == text_col
+                        else F.col("row").getField(c).alias(c) for c in keep],
+                      *[F.col("left").getField(c).alias(c) for c in counts])
 
 
 def op9_winnowed_lines(spark, sf_dir: str) -> DataFrame:
-    """Every document without lines of three-line runs that stand earlier too."""
-    return _hashed(dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), MIN_LINES))
-
-
-def op9_winnowed_passages(spark, sf_dir: str) -> DataFrame:
     """Every document without lines of three-line runs, of one or two lines of 50 words, or of
     whole texts of one or two lines that stand earlier too."""
     return _hashed(dedup_lines(documents(spark, sf_dir).select("doc_id", "text")))
@@ -206,27 +205,6 @@ def _hashed(d: DataFrame) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-l AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS words FROM a),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM l WHERE words),
-w AS (SELECT doc_id, i, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS win
-  FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM w WHERE win IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, i + o AS i FROM r, (VALUES (0), (1), (2)) AS t(o) WHERE k > 1),
-m AS (SELECT n.doc_id, n.pos, g.i IS NOT NULL AS gone FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.i = n.i),
-x AS (SELECT l.doc_id, l.pos, l.line, l.words, m.gone,
-  coalesce(last_value(m.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos), false) AS out
-  FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.pos = l.pos),
-b AS (SELECT doc_id, pos, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins
-  FROM m)
-SELECT x.doc_id, count(*) FILTER (words) AS n_lines, count(*) FILTER (x.gone) AS n_removed,
-  count(*) FILTER (b.begins) AS n_runs,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY x.pos) FILTER (NOT out), '')) AS kept_sha256
-FROM x LEFT JOIN b ON b.doc_id = x.doc_id AND b.pos = x.pos GROUP BY x.doc_id"""
-
-
-OP9_PASSAGES_SQL = r"""
 WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 l AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS c, c > 0 AS words FROM a),

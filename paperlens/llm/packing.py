@@ -38,8 +38,9 @@ class WordTokens:
     and a plain punctuation tail is one token group each, which keeps fewer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int | None = None):
         from tokenizers import Tokenizer
+        self.cached = cached or CACHED_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         # how byte-level models write a byte: itself where it prints, else from 256 on
@@ -55,7 +56,7 @@ class WordTokens:
         return np.array(ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes], docs: list[list[bytes]]) -> None:
-        if len(self.words) + len(words) > CACHED_WORDS:  # begin anew
+        if len(self.words) + len(words) > self.cached:  # begin anew
             self.words, self.parts = {b"": b""}, {"": b""}
             words = set().union(*docs)
         parts, letters_ids = self.parts, self.letters_ids
@@ -103,28 +104,31 @@ def text_groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[list
         yield group
 
 
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, cached: int | None = None) -> WordTokens:
     """The one of this Python worker; it outlives a task, as workers do."""
     kept = sys.modules.setdefault("_llm_word_tokens", types.ModuleType("_llm_word_tokens"))
     if getattr(kept, "path", None) != path:
-        kept.path, kept.tokens = path, WordTokens(path)
+        kept.path, kept.tokens = path, WordTokens(path, cached)
+    kept.tokens.cached = cached or CACHED_WORDS
     return kept.tokens
 
 
 def token_pieces(df: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 0,
-                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+                 cached: int | None = None) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of every text.
 
     A document is its ids, then ``end_id``; a null or empty text is ``end_id``
     alone. Only documents over ``max_len`` are cut, into pieces of that length
     and a last one that may be shorter. ``tokenizer``: path of the file, the same
-    on all machines. Other columns of ``df`` are left out, whatever their names.
+    on all machines. ``cached``: words that a Python worker keeps with their ids, a
+    matter of memory and time alone. Other columns of ``df`` are left out, whatever their names.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         import pyarrow as pa
-        tokens = word_tokens(tokenizer)
+        tokens = word_tokens(tokenizer, cached)
         for b in in_pieces(batches, 1024):
             out = [[] for _ in range(5 + with_ids)]
             ids_of = (x for group in text_groups(b.column(1).to_pylist()) for x in tokens.ids(group))
@@ -141,7 +145,7 @@ def token_pieces(df: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int
                 [pa.array(c, t) for c, t in zip(out, types_)], names[:len(out)])
 
     schema = _PIECE_SCHEMA + (", ids binary" if with_ids else "")
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, schema)
+    return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(cut, schema)
 
 
 class OpenBins:

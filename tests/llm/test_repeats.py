@@ -155,8 +155,8 @@ def test_passages_query_gives_what_its_sql_gives(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
-    want = con.execute(lines.OP9_PASSAGES_SQL).fetchall()
-    got = [tuple(r) for r in lines.op9_winnowed_passages(spark, sf).collect()]
+    want = con.execute(lines.OP9_SQL).fetchall()
+    got = [tuple(r) for r in lines.op9_winnowed_lines(spark, sf).collect()]
     assert Counter(got) == Counter(want) and len(got) == 1000
 
 
