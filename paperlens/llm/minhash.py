@@ -13,7 +13,8 @@ are verified on their full sets.
 No bucket lists its pairs. First every member is compared with one of its bucket, the set
 that has most company in all its buckets, the centre of a group of copies. Links so found
 make components, and only buckets that still hold several are looked at again: there the
-members of different components are compared in blocks, exactly as before.
+members of different components are compared in blocks and verified in place, so that only
+links leave a block, and of these no more than it takes to connect what they connect.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from paperlens.llm.components import components
 
 SHINGLE, SIMILARITY, MISS = 5, 80, 1e-7
 BAND_ROWS, BATCH, BATCHES = 4, 32, 6
-#: members of one block of a bucket; shingles hashed at once
-BLOCK, CHUNK = 256, 1024
+#: members, and shingles of members, of one block of a bucket; shingles hashed at once
+BLOCK, BLOCK_SHINGLES, CHUNK = 1024, 1 << 19, 1024
 
 
 def bands_for(similarity: int, miss: float = MISS, rows: int = BAND_ROWS) -> int:
@@ -112,7 +113,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, bands: int)
                 for i in range(BAND_ROWS):
                     name = mix64(name ^ band[:, i]) + np.uint64(i)
                 hashed.append(mix64(name).view(np.int64))
-                sig.append(values[bands * BAND_ROWS:].tobytes())
+                # a byte a value: unequal values may seem equal, which only adds candidates
+                sig.append(values[bands * BAND_ROWS:].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(key, pa.binary()), pa.array(n, pa.int64()),
                  pa.array(hashed, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
@@ -137,7 +139,7 @@ def survivors(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, simi
 
 
 def _unpacked(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -160,10 +162,8 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, df: DataFrame, sets: DataFrame, text_col: str, size: int,
-             similarity: int) -> DataFrame:
-    """The (a, b) of ``pairs``, a written table, that are links by their full sets. Only the
-    texts of sets in ``pairs`` are read into sets again, one text a set."""
+def full_sets(keys: DataFrame, df: DataFrame, sets: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(key, hashes), written, of the sets in ``keys``: only their texts are read again, one a set."""
     def full(batches):
         import pyarrow as pa
         for b in in_pieces(batches):
@@ -172,6 +172,17 @@ def verified(pairs: DataFrame, df: DataFrame, sets: DataFrame, text_col: str, si
                 [pa.array([_set_key(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())],
                 ["key", "hashes"])
 
+    needed = small(written(sets.join(keys.distinct(), "key", "left_semi").select("text_hash"), "minhash-texts"))
+    texts = df.select(F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("text_hash"))
+    # copies meet in a partial aggregate before anything is shuffled or read into sets
+    once = texts.join(needed, "text_hash", "left_semi").select("text").distinct()
+    rows = once.mapInArrow(full, "key binary, hashes binary")
+    return written(rows.groupBy("key").agg(F.first("hashes").alias("hashes")), "minhash-sets")
+
+
+def verified(pairs: DataFrame, df: DataFrame, sets: DataFrame, text_col: str, size: int,
+             similarity: int) -> DataFrame:
+    """The (a, b) of ``pairs``, a written table, that are links by their full sets."""
     def check(batches):
         import pyarrow as pa
         for b in in_pieces(batches):
@@ -184,13 +195,8 @@ def verified(pairs: DataFrame, df: DataFrame, sets: DataFrame, text_col: str, si
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    needed = small(written(sets.join(named, "key", "left_semi").select("text_hash"), "minhash-texts"))
-    texts = df.select(F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("text_hash"))
-    # copies meet in a partial aggregate before anything is shuffled or read into sets
-    once = texts.join(needed, "text_hash", "left_semi").select("text").distinct()
-    rows = once.mapInArrow(full, "key binary, hashes binary")
-    hashes = written(rows.groupBy("key").agg(F.first("hashes").alias("hashes")), "minhash-sets")
+    named = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+    hashes = full_sets(named, df, sets, text_col, size)
     wide = (pairs.join(hashes.withColumnsRenamed({"key": "a", "hashes": "ha"}), "a")
             .join(hashes.withColumnsRenamed({"key": "b", "hashes": "hb"}), "b"))
     return wide.select("a", "b", "ha", "hb").mapInArrow(check, "a binary, b binary")
@@ -213,20 +219,49 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
             .select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct())
 
 
-def block_pairs(buckets: DataFrame, found: DataFrame, sets: DataFrame, similarity: int,
-                block: int) -> DataFrame:
-    """(a, b): pairs in a bucket, but of different components so far, that the comparison of
-    signatures doesn't rule out. ``found``: (key, root). Buckets of the same members are one;
-    a bucket is cut into blocks, and each two of them meet in one group of 2 ``block`` rows."""
+def block_links(sig: np.ndarray, sets: list[np.ndarray], root: np.ndarray, left: np.ndarray,
+                right: np.ndarray, similarity: int, least: list[int]) -> list[tuple[int, int]]:
+    """Links between members of ``left`` and ``right`` that are of different components
+    (``root``, which the links found then join): compared by signatures, survivors verified."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    # places of the members' shingles among all of the block's
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    end = np.cumsum(n)
+    mark = np.zeros(place.max(initial=-1) + 1, np.int64)
+    links = []
+    for x in left:
+        y = right[root[right] != root[x]]
+        if not len(y):
+            continue
+        y = y[survivors(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y],
+                        np.full(len(y), n[x]), n[y], similarity, least)]
+        if not len(y):
+            continue
+        own = place[end[x] - n[x]:end[x]]
+        mark[own] = 1
+        at = np.concatenate([place[end[i] - n[i]:end[i]] for i in y])
+        common = np.add.reduceat(mark[at], np.cumsum(n[y]) - n[y])
+        mark[own] = 0
+        for i in y[100 * common >= similarity * (n[x] + n[y] - common)]:
+            if root[i] != root[x]:
+                links.append((int(x), int(i)))
+                root[root == root[i]] = root[x]
+    return links
+
+
+def open_links(buckets: DataFrame, found: DataFrame, df: DataFrame, sets: DataFrame, text_col: str, size: int,
+               similarity: int, block: int, most_shingles: int) -> DataFrame:
+    """(a, b): links in a bucket between members that are of different components so far, as
+    many as it takes to connect these. ``found``: (key, root). Buckets of the same members
+    are one; a bucket is cut into blocks, and each two of them meet in one group."""
     least = least_matches(similarity)
     d = buckets.select("bucket", "key").join(found, "key")
-    open_ = d.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+    each = d.join(sets.select("key", "n"), "key").groupBy("bucket").agg(
+        F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("lo"), F.max("root").alias("hi"),
         F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("y"))
-    open_ = open_.where("lo != hi").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket"))
-    parts = F.ceil(F.col("size") / block).cast("int")
-    rows = written(d.join(open_.select("bucket", "size"), "bucket").select("bucket", "key", "root", parts.alias("parts")),
-                   "minhash-open")
+    parts = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / most_shingles)).cast("int").alias("parts")
+    once = each.where("lo != hi").groupBy("size", "x", "y", parts).agg(F.min("bucket").alias("bucket"))
+    rows = written(d.join(once.select("bucket", "parts"), "bucket"), "minhash-open")
     own = F.pmod(F.xxhash64(F.lit(7), "key"), F.col("parts")).cast("int")
     # a block meets itself and every other
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -235,29 +270,19 @@ def block_pairs(buckets: DataFrame, found: DataFrame, sets: DataFrame, similarit
 
     def run(table):
         import pyarrow as pa
-        sig, n = _unpacked(table.column("sig")), table.column("n").to_numpy()
-        own_, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
+        hashes = [np.frombuffer(h.as_py(), np.uint64) for h in table.column("hashes")]
+        own_, i, j = (table.column(c)[0].as_py() if c != "own" else table.column(c).to_numpy()
+                      for c in ("own", "i", "j"))
         root = table.column("root").to_pylist()
         number = {r: at for at, r in enumerate(sorted(set(root)))}
-        root = np.array([number[r] for r in root])
-        left = np.flatnonzero(own_ == i)
-        right = np.flatnonzero(own_ == j)
-        u, v = [], []
-        for x in left:
-            y = right[root[right] != root[x]]
-            if i[0] == j[0]:
-                y = y[y > x]
-            if len(y):
-                keep = survivors(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y],
-                                 np.full(len(y), n[x]), n[y], similarity, least)
-                u += [x] * len(keep)
-                v += y[keep].tolist()
+        links = block_links(_unpacked(table.column("sig")), hashes, np.array([number[r] for r in root]),
+                            np.flatnonzero(own_ == i), np.flatnonzero(own_ == j), similarity, least)
         key = table.column("key")
-        return pa.table({"a": key.take(pa.array(u, pa.int64())), "b": key.take(pa.array(v, pa.int64()))})
+        return pa.table({c: key.take(pa.array([x[at] for x in links], pa.int64())) for at, c in enumerate("ab")})
 
-    wide = met.join(sets.select("key", "n", "sig"), "key")
-    out = wide.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hashes = full_sets(rows.select("key"), df, sets, text_col, size)
+    wide = met.join(sets.select("key", "sig").join(hashes, "key"), "key")
+    return wide.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -289,10 +314,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = written(verified(stars, df, sets, text_col, shingle, similarity), "minhash-links")
     reached = components(links, "a", "b").withColumnRenamed("node", "key")
     found = sets.select("key").join(reached, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
-    more = written(block_pairs(buckets, written(found, "minhash-found"), sets, similarity, BLOCK), "minhash-blocks")
+    found = written(found, "minhash-found")
+    more = written(open_links(buckets, found, df, sets, text_col, shingle, similarity, BLOCK, BLOCK_SHINGLES),
+                   "minhash-open-links")
     if not more.isEmpty():
-        links = links.union(written(verified(more, df, sets, text_col, shingle, similarity), "minhash-links"))
-        reached = components(links, "a", "b").withColumnRenamed("node", "key")
+        reached = components(links.union(more), "a", "b").withColumnRenamed("node", "key")
     label = sets.select("key", "least").join(reached, "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), "least")
     label = written(label, "minhash-roots")
