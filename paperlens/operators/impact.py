@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlens.functions.coerce import strip_ws, to_bool_flag, to_int_or_null
+from paperlens.operators.selection import exact_median, value_counts
+from paperlens.operators.topk import top_k
+from paperlens.session import cut_lineage
 
 
 def positive_only(df: DataFrame, enabled: bool = True, label_col: str = "label") -> DataFrame:
@@ -25,13 +28,16 @@ def _citations(col: str = "cited_by_count") -> Column:
 
 
 def citation_metrics(df: DataFrame, col: str = "cited_by_count") -> DataFrame:
-    """A1: sum, mean, exact median, max, min, sample std, cited / uncited / >=10 / >=50."""
+    """A1: sum, mean, exact median, max, min, sample std, cited / uncited / >=10 / >=50.
+
+    The median is selected by histograms (``selection``); all else is one aggregation."""
     c = _citations(col)
     x = df.select(c.alias("c"))
+    median = exact_median(value_counts(x, "c"))
     return x.agg(
         F.coalesce(F.sum("c"), F.lit(0.0)).cast("long").alias("total_citations"),
         F.avg("c").alias("mean_citations"),
-        F.median("c").alias("median_citations"),
+        F.lit(median).cast("double").alias("median_citations"),
         F.max("c").cast("long").alias("max_citations"),
         F.min("c").cast("long").alias("min_citations"),
         F.stddev_samp("c").alias("std_citations"),
@@ -126,20 +132,23 @@ def all_impact_metrics(df: DataFrame, positive: bool = True, top_n: int = 15) ->
     # one bit for each column that is not in the set: journal, year, open, times
     journals, years, access, times, whole = (F.col("g") == g for g in (0b0111, 0b1011, 0b1101, 0b1110, 0b1111))
     named = journals & F.col("journal").isNotNull()
-    order = Window.partitionBy("g").orderBy(F.col("journal").isNull(), F.col("n").desc(), "first")
-    t = t.withColumn("rank", F.when(named, F.row_number().over(order)))
+    t = cut_lineage(t)  # several readers
+    ranked = top_k(t.where(named).select(F.lit(0).alias("all"), "journal", "n", "first"), ["all"],
+                   [F.col("n").desc(), F.col("first")], top_n, ["journal"])
+    top = ranked.agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "journal", F.col("n").alias("count")))).alias("top"))  # top_n entries
+    median = exact_median(t.where(times & F.col("times").isNotNull()).select(F.col("times").alias("value"), "n"))
     pick = lambda name: F.max(F.when(whole, F.col(name)))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
     out = t.agg(
         total(whole).alias("size"), F.count_if(named).alias("journals"), total(named).alias("in_journals"),
         total(access & F.col("open")).alias("opened"),
-        F.percentile(F.when(times, F.col("times")), F.lit(0.5), F.when(times, F.col("n")).otherwise(F.lit(0))).alias("median"),
+        F.lit(median).cast("double").alias("median"),
         *[pick(k).alias(k) for k in ("sum", "mean", "max", "min", "std", "cited", "uncited", "ten", "fifty")],
-        F.array_sort(F.collect_list(F.when(named & (F.col("rank") <= top_n), F.struct(
-            "rank", "journal", F.col("n").alias("count"))))).alias("top"),
         F.array_sort(F.collect_list(F.when(years & F.col("year").isNotNull(), F.struct(
             "year", F.col("n").alias("count"), F.col("mean").alias("mean_citations"),
             F.col("sum").cast("long").alias("total_citations"))))).alias("by_year"))
+    out = out.crossJoin(F.broadcast(top))  # one row each
     count = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
     return out.select(
         F.col("size").alias("dataset_size"),

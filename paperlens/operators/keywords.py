@@ -10,25 +10,33 @@ Definition (sublinear TF-IDF, L2-normalised rows, averaged over documents):
 4. each document's weights divided by their L2 norm;
 5. keyword score = sum of normalised weights / N (N counts every document).
 
-Plan, two passes over the texts and nothing written in between. The first counts
-every term's occurrences and documents by one partial aggregation on ``term``
-(each document gives its terms, and its distinct terms, as one exploded list) and
-keeps the top terms, at most ``max_features`` rows, hence safe to broadcast. The
-second partitions documents by id, drops terms outside the vocabulary as they
-are exploded, and counts, normalises and sums the rest on that partitioning.
-With ``partition_cols`` (e.g. the class label) every class is fitted separately.
+Plan. Which terms make the vocabulary is told by a sketch: occurrences are summed by
+hash bucket, and a bucket's sum is an upper bound for each of its terms. Only terms of
+buckets that may reach the vocabulary are counted one by one; the count of the last one
+in is a lower bound, and where a bucket left out still exceeds it, these are counted too.
+So the bulk of the terms, which occur a few times each, is never shuffled, and the result
+is exact. The vocabulary (at most ``max_features`` terms) then turns every document into
+a short array of term numbers and counts on its own row (Spark ML's count vectors), kept
+as a narrow table; document frequencies, norms and scores are sums over it. No text and
+no (document, term) pair is shuffled. With ``partition_cols`` (e.g. the class label) every
+class has its own vocabulary. Without ``max_features`` all terms are counted and joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import NGram, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlens.functions.text import english_stop_words, tfidf_tokens
 from paperlens.operators.topk import top_k
+from paperlens.session import cut_lineage, stored
+
+#: hash buckets of the sketch of term counts, and most of them that are broadcast
+BUCKETS = 1 << 20
+MOST_BUCKETS = 200_000
 
 
 def ngram_terms(df: DataFrame, text_col: str, ngram_range: tuple[int, int] = (1, 2),
@@ -122,27 +130,113 @@ def weights(dtc: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:
     return w.select(*pc, "doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
+def heavy_terms(terms: DataFrame, k: int, partition_cols: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """``(partition_cols..., term, cf)``: the ``k`` most frequent of ``terms`` (one row with an
+    array column ``__terms`` a document), ties by term; exact, by a sketch of bounds."""
+    pc = list(partition_cols)
+    # explode_outer + null filter: a plain explode would let the optimizer
+    # re-run the tokenisation for an inferred size(terms) > 0 filter
+    flat = terms.select(*pc, F.explode_outer("__terms").alias("term")).where(F.col("term").isNotNull())
+    flat = flat.withColumn("__b", F.xxhash64("term").bitwiseAND(F.lit(buckets - 1)))
+    # at most ``buckets`` rows a task and class
+    bounds = cut_lineage(flat.groupBy(*pc, "__b").agg(F.count("*").alias("bound")))
+
+    def counted(above: DataFrame) -> DataFrame:
+        """Exact counts of the terms in buckets whose bound reaches that of their class."""
+        own = bounds.join(F.broadcast(above), pc) if pc else bounds.crossJoin(F.broadcast(above))  # a row a class
+        own = own.where("bound >= least").select(*pc, "__b")
+        few = own.limit(MOST_BUCKETS + 1).count() <= MOST_BUCKETS
+        found = flat.join(F.broadcast(own) if few else own, [*pc, "__b"], "left_semi")
+        return found.groupBy(*pc, "term").agg(F.count("*").alias("cf"))
+
+    def kth(df: DataFrame, n: int, by: str, key: str) -> DataFrame:
+        """(pc..., least): the n-th largest of ``by`` in each class (0 if there are fewer)."""
+        if pc:
+            top = top_k(df, pc, [F.col(by).desc(), F.col(key)], n, [key])
+        else:
+            top = df.orderBy(F.col(by).desc(), F.col(key)).limit(n)
+        return top.groupBy(*pc).agg(F.when(F.count("*") >= n, F.min(by)).otherwise(F.lit(0)).alias("least"))
+
+    first = cut_lineage(kth(bounds, 2 * k, "bound", "__b"))
+    exact = cut_lineage(counted(first))
+    order = [F.col("cf").desc(), F.col("term")]
+    # the k-th exact count bounds the vocabulary from below; buckets left out may still exceed it
+    least = cut_lineage(kth(exact, k, "cf", "term"))
+    lower = least.withColumnRenamed("least", "now")
+    both = first.join(lower, pc, "left") if pc else first.crossJoin(lower)
+    if not both.where(F.coalesce("now", F.lit(0)) < F.col("least")).isEmpty():
+        exact = cut_lineage(counted(both.select(*pc, F.coalesce("now", F.lit(0)).alias("least"))))
+    if pc:
+        return top_k(exact, pc, order, k, ["term"]).drop("rank")
+    return exact.orderBy(*order).limit(k)
+
+
+def count_vectors(terms: DataFrame, vocab: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``(keep..., idx, tf)``: numbers of the vocabulary terms of each document and how often
+    they occur in it."""
+    model = CountVectorizerModel.from_vocabulary(list(vocab), inputCol="__terms", outputCol="__v")
+    u = F.unwrap_udt(F.col("__v"))
+    return (model.transform(terms).select(*keep, u.alias("__u"))
+            .select(*keep, F.col("__u.indices").alias("idx"), F.col("__u.values").alias("tf")))
+
+
 def tfidf_keywords(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                    n: int = 50, max_features: int | None = 5000,
                    ngram_range: tuple[int, int] = (1, 2), partition_cols: Sequence[str] = (),
                    stop_words: Sequence[str] | None = None) -> DataFrame:
     """K1: top ``n`` terms by mean normalised weight over all documents.
 
-    Returns ``(partition_cols..., rank, term, score)``.
+    Returns ``(partition_cols..., rank, term, score)``. ``partition_cols`` are meant for a
+    handful of classes: the driver holds their vocabularies.
     """
     pc = list(partition_cols)
     n_docs = document_counts(docs, pc)
-    totals = term_totals(docs, text_col, id_col, pc, ngram_range, stop_words)
-    vocab = fit_vocabulary(totals, n_docs, max_features, pc)
-    dtc = doc_term_counts(docs, vocab, text_col, id_col, pc, ngram_range, stop_words)
-    wt = weights(dtc, pc)
-    sums = wt.groupBy(*pc, "term").agg(F.sum("weight").alias("s"))
+    if max_features:
+        sums, n_docs = _vector_sums(docs, n_docs, text_col, id_col, max_features, ngram_range, pc, stop_words)
+    else:
+        totals = term_totals(docs, text_col, id_col, pc, ngram_range, stop_words)
+        vocab = fit_vocabulary(totals, n_docs, None, pc)
+        dtc = doc_term_counts(docs, vocab, text_col, id_col, pc, ngram_range, stop_words)
+        sums = weights(dtc, pc).groupBy(*pc, "term").agg(F.sum("weight").alias("s"))
     scored = sums.join(F.broadcast(n_docs), pc, "inner") if pc else sums.crossJoin(
         F.broadcast(n_docs))
     scored = scored.select(*pc, "term", (F.col("s") / F.col("n_docs")).alias("score"))
-    w = Window.partitionBy(*pc).orderBy(F.col("score").desc(), F.col("term"))
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .select(*pc, "rank", "term", "score"))
+    order = [F.col("score").desc(), F.col("term")]
+    # at most max_features rows a class, salted where there is no such bound
+    return top_k(scored.withColumn("__all", F.lit(0)), pc or ["__all"], order, n, ["term"]).select(
+        *pc, "rank", "term", "score")
+
+
+def _vector_sums(docs: DataFrame, n_docs: DataFrame, text_col: str, id_col: str, max_features: int, ngram_range,
+                 pc: list[str], stop_words) -> tuple[DataFrame, DataFrame]:
+    """(pc..., term, s): sums of the normalised weights; and ``n_docs``, written."""
+    spark = docs.sparkSession
+    terms = _terms(docs, text_col, id_col, pc, ngram_range, stop_words)
+    heavy = cut_lineage(heavy_terms(terms, max_features, pc))  # max_features rows a class
+    vocab = [r["term"] for r in heavy.select("term").distinct().orderBy("term").collect()]
+    if not vocab:
+        return heavy.select(*pc, "term", F.lit(0.0).alias("s")), n_docs
+    number = spark.createDataFrame(list(enumerate(vocab)), "i int, term string")
+    own = heavy.join(F.broadcast(number), "term").select(*pc, "i")
+    vectors = stored(count_vectors(terms, vocab, pc), "vectors")
+    df = vectors.select(*pc, F.explode_outer("idx").alias("i")).groupBy(*pc, "i").agg(F.count("*").alias("df"))
+    n_docs = cut_lineage(n_docs)
+    stats = df.join(F.broadcast(own), [*pc, "i"])
+    stats = stats.join(F.broadcast(n_docs), pc) if pc else stats.crossJoin(F.broadcast(n_docs))
+    idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    # one row a class: the idf of every number of the vocabulary, 0 where it is not of the class
+    every = n_docs.select(*pc).crossJoin(F.broadcast(number.select("i")))  # classes x vocabulary
+    table = (every.join(stats.select(*pc, "i", idf.alias("idf")), [*pc, "i"], "left").groupBy(*pc)
+             .agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("idf", F.lit(0.0)).alias("idf")))).alias("all")))
+    table = cut_lineage(table.select(*pc, F.col("all.idf").alias("idf")))
+    rows = vectors.join(F.broadcast(table), pc) if pc else vectors.crossJoin(F.broadcast(table))
+    w = F.zip_with("idx", "tf", lambda i, x: (F.lit(1.0) + F.log(x)) * F.get("idf", i))  # 0: not of the class
+    rows = rows.select(*pc, "idx", w.alias("w"))
+    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
+    each = rows.select(*pc, F.arrays_zip("idx", "w").alias("e"), norm.alias("norm"))
+    flat = each.select(*pc, "norm", F.explode_outer("e").alias("e")).where(F.col("e.w") > 0)
+    sums = flat.groupBy(*pc, F.col("e.idx").alias("i")).agg(F.sum(F.col("e.w") / F.col("norm")).alias("s"))
+    return sums.join(F.broadcast(number), "i").select(*pc, "term", "s"), n_docs
 
 
 def compare_keywords(docs: DataFrame, label_col: str = "label", text_col: str = "text",

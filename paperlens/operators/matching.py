@@ -12,13 +12,14 @@ Plan shape (one narrow projection, no shuffle, no Python):
    (one hash-set operation instead of one regex per short term);
 3. long terms: ``contains`` on the lower-cased text; short terms with inner
    punctuation (``hi-c``): one literal regex with an explicit word boundary;
-4. per category one ``filter`` of the constant array of its terms; ``matches`` =
-   their concatenation, ``struct(category, cat_ord, ord, term)`` in dictionary
-   order; every count and score is derived from these arrays, so each text is
-   matched once (the features and the relevance share it).
-
-The dictionary is a user-sized constant (hundreds of terms), compiled into the
-expression on the driver; it never grows with the article data.
+4. per category one array of ``when(condition, term)``, in generated code, without its
+   nulls; ``matches`` = their concatenation, ``struct(category, cat_ord, ord, term)``
+   in dictionary order; every count and score is derived from these arrays, so
+   each text is matched once (the features and the relevance share it).
+
+Such a dictionary is a user-sized constant (hundreds of terms), compiled into the
+expression on the driver; it never grows with the article data. For dictionaries of
+tens of thousands of terms, themselves a table, see ``paperlens.operators.term_index``.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from paperlens.functions.text import NON_WORD_CHAR, WORD_CHAR, word_set
 from paperlens.operators.dictionary import SHORT_TERM_MAX_LEN
 
 MATCH_TYPE = "array<struct<category:string,cat_ord:int,ord:int,term:string>>"
+#: terms of one array in the generated code
+TERMS_A_PIECE = 64
 _WORD_RE = re.compile(r"^[^\W]+$")  # only word characters (Python \w = letters, digits, _)
 
 
@@ -192,25 +195,23 @@ def with_matches(df: DataFrame, dictionary, text_col: str = "text",
                  if cd.short_word_terms else F.array().cast("array<string>"))
         staged = staged.withColumn(hits, F.concat(words, F.array_compact(F.array(*found))) if found else words)
 
-    def present(x: Column) -> Column:
+    def present(t: Term) -> Column:
         if strategy == "automaton":
-            return F.array_contains(hits, x["number"])
-        return F.when(x["short"], F.array_contains(hits, x["lower"])).otherwise(
-            F.contains(F.col(ltext), x["lower"]))
+            return F.array_contains(hits, F.lit(number[t.lower, t.is_short]))
+        return F.array_contains(hits, F.lit(t.lower)) if t.is_short else F.contains(F.col(ltext), F.lit(t.lower))
 
     def term(t: Term) -> Column:
-        n = number[(t.lower, t.is_short)] if strategy == "automaton" else 0
         return F.struct(F.lit(t.category).alias("category"), F.lit(t.cat_ord).alias("cat_ord"),
-                        F.lit(t.ord).alias("ord"), F.lit(t.term).alias("term"), F.lit(t.lower).alias("lower"),
-                        F.lit(t.is_short).alias("short"), F.lit(n).alias("number"))
+                        F.lit(t.ord).alias("ord"), F.lit(t.term).alias("term"))
+
+    # one generated expression a category, in pieces that keep its methods small
+    def category(c: str) -> Column:
+        own = [F.when(present(t), term(t)) for t in cd.terms if t.category == c]
+        return F.concat(*[F.array_compact(F.array(*own[i:i + TERMS_A_PIECE]))
+                          for i in range(0, len(own), TERMS_A_PIECE)])
 
-    # a category's terms are one constant array, filtered by one condition: the expression
-    # does not grow with the dictionary
     cat_cols = [f"{category_prefix or '__cat_'}{i}" for i in range(len(cd.categories))]
-    staged = staged.withColumns({
-        name: F.transform(F.filter(F.array(*[term(t) for t in cd.terms if t.category == c]), present),
-                          lambda x: F.struct(x["category"], x["cat_ord"], x["ord"], x["term"]))
-        for name, c in zip(cat_cols, cd.categories)})
+    staged = staged.withColumns({name: category(c) for name, c in zip(cat_cols, cd.categories)})
     arr = F.concat(*[F.col(n) for n in cat_cols]) if cat_cols else F.array().cast(MATCH_TYPE)
     out_df = staged.withColumn(out, arr).drop(ltext, hits)
     return out_df if category_prefix else out_df.drop(*cat_cols)

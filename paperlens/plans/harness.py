@@ -19,7 +19,7 @@ from paperlens.functions.text import (
     clean_text)
 from paperlens.sources.adapters import (
     DOCUMENT_ARTICLES_SQL, LABELLED_ARTICLES_SQL, ORDER_ARTICLES_SQL,
-    documents_as_articles, orders_as_articles, read_table)
+    documents_as_articles, orders_as_articles, read_table, spread)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -774,7 +774,7 @@ SELECT rank, term, round(score, 6) AS score FROM ({_tfidf_sql('documents', 50, 5
 def q_tfidf_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """K1: top 50 TF-IDF keywords (1-2 grams, sublinear, 5000 features) of all documents."""
     from paperlens.operators.keywords import tfidf_keywords
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     kw = tfidf_keywords(d, "text", "doc_id", 50, 5000)
     return kw.select(F.col("rank").cast("long").alias("rank"), "term", r6(F.col("score")).alias("score"))
 
@@ -1200,7 +1200,7 @@ SELECT term, round(score, 6) AS score FROM ({_tfidf_sql('documents', 100, 5000)}
 def q_word_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     """V6: at most 100 (word, weight) pairs for a word cloud."""
     from paperlens.operators.keywords import word_frequencies
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     return word_frequencies(d, "text", "doc_id", 100, 5000).withColumn("score", r6(F.col("score")))
 
 

@@ -8,6 +8,7 @@ on a cluster the session already exists and carries ``spark.checkpoint.dir``
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder, for tables that several jobs read by
+    columns: smaller than a checkpoint, and as safe from lost executors."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) for tables reused by several passes."""
     ensure_checkpoint_dir(df.sparkSession)

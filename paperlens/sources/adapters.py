@@ -26,9 +26,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan of wide texts, dealt out to all cores where its files make fewer
+    partitions (one row group is one task, however much work its texts are)."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def documents_as_articles(spark: SparkSession, sf_dir: str,
                           labelled: bool = False) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     nl_pos = F.instr(F.col("text"), NL)
     digest = F.md5(F.col("text"))
     kind = F.col("doc_id") % 3
