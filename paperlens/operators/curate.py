@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlens.functions.coerce import dedup_key
+from paperlens.session import stored
 
 SPLIT_NAMES = ("train", "val", "test")
 
@@ -214,6 +215,8 @@ def collection_pipeline(articles: DataFrame, balance_classes: bool = True, seed:
     deduped = resolve_conflicts(deduped, conflict, label_col)
     if not balance_classes:
         return deduped
+    # class sizes, bucket sizes, the last rows in and the result all read it: aggregated once
+    deduped = stored(deduped, "deduped")
     return balance(deduped, label_col, ["uid"], seed)
 
 

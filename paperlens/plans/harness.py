@@ -188,12 +188,12 @@ def q_match_features(spark: SparkSession, sf: str) -> DataFrame:
     return matched_features(a, PROSE_DICTIONARY).select("doc_id", *_feature_cols(PROSE_DICTIONARY))
 
 
-@register("match_features_jvm", ORACLES["match_features"])
-def q_match_features_jvm(spark: SparkSession, sf: str) -> DataFrame:
-    """T7-T11 on the pure-JVM expression path (contains / word set / literal regex)."""
+@register("match_features_automaton", ORACLES["match_features"])
+def q_match_features_automaton(spark: SparkSession, sf: str) -> DataFrame:
+    """T7-T11 by one Aho-Corasick pass a text."""
     from paperlens.operators.matching import match_article_text
     a = documents_as_articles(spark, sf).select("doc_id", match_article_text().alias("match_text"))
-    return matched_features(a, PROSE_DICTIONARY, strategy="expr").select(
+    return matched_features(a, PROSE_DICTIONARY, strategy="automaton").select(
         "doc_id", *_feature_cols(PROSE_DICTIONARY))
 
 
@@ -738,7 +738,7 @@ def q_field_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- K1, K3, V6
 
-def _tfidf_sql(docs_sql: str, n: int, max_features: int, part: str | None = None) -> str:
+def _tfidf_sql(docs_sql: str, n: int, max_features: int, part: str | None = None, result: str | None = None) -> str:
     """TF-IDF keywords in SQL (part = optional class column fitted separately)."""
     from paperlens.functions.text import TOKEN_PATTERN, english_stop_words
     sw = ", ".join(sql_str(w) for w in english_stop_words())
@@ -762,11 +762,11 @@ voc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY c
 w AS (SELECT tf.part, tf.doc_id, tf.term,
         (1 + ln(tf.tf)) * (ln((1.0 + nd.n) / (1.0 + voc.df)) + 1.0) AS w
       FROM tf JOIN voc ON tf.part = voc.part AND tf.term = voc.term JOIN nd ON nd.part = tf.part),
-nw AS (SELECT part, term, w / sqrt(sum(w * w) OVER (PARTITION BY part, doc_id)) AS x FROM w),
+nw AS (SELECT part, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY part, doc_id)) AS x FROM w),
 sc AS (SELECT nw.part, term, sum(x) / min(nd.n) AS score FROM nw JOIN nd ON nd.part = nw.part
        GROUP BY nw.part, term),
 rk AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, term) AS rank FROM sc)
-SELECT part, rank, term, score FROM rk WHERE rank <= {n}"""
+{result or f"SELECT part, rank, term, score FROM rk WHERE rank <= {n}"}"""
 
 
 @register("tfidf_keywords", f"""
@@ -824,9 +824,9 @@ def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
         "s.model", "s.ord", "label", "s.p1", F.when(F.col("s.p1") >= 0.5, 1).otherwise(0).alias("prediction"))
 
 
-def _eval_sql() -> str:
+def _eval_sql(scored: str = SCORED_SQL) -> str:
     return f"""
-WITH s AS {SCORED_SQL},
+WITH s AS {scored},
 c AS (SELECT model, min(ord) AS ord,
   count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
   count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp
@@ -1181,7 +1181,17 @@ def q_top_features(spark: SparkSession, sf: str) -> DataFrame:
     return clf.top_features(15).withColumn("value", F.round("value", 4))
 
 
-@register("batch_score")
+LOGIT_SCORED_SQL = f"""(
+  SELECT 'm' AS model, 0 AS ord, label, p1, CASE WHEN p1 > 1 - p1 THEN 1 ELSE 0 END AS prediction
+  FROM (SELECT label, 1 / (1 + exp(-(1.5 * ln(1 + length(text)) - 11.0))) AS p1
+        FROM {PREPROCESS_SQL} WHERE length(text) > 50))"""
+
+
+@register("batch_score", f"""
+SELECT round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1, round(auc_roc, 6) AS auc_roc, tn, fp, fn, tp,
+  (SELECT round(avg(-ln(greatest(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END, 1e-15))), 6) FROM {LOGIT_SCORED_SQL}) AS loss
+FROM ({_eval_sql(LOGIT_SCORED_SQL)})""")
 def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
     """M13 + M6 + M14: Arrow-batched scoring with a user model, then evaluation."""
     from paperlens.operators.evaluation import evaluate, mean_log_loss
@@ -1189,8 +1199,174 @@ def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
     p = preprocessed_articles(spark, sf).select("doc_id", "label", "text")
     from paperlens.session import cut_lineage
     scored = cut_lineage(batch_score(p, length_logit_model(), "text").select("label", "prediction", "p1"))
-    ev = evaluate(scored)
-    return ev.crossJoin(mean_log_loss(scored)).drop("confusion_matrix")
+    ev = evaluate(scored).crossJoin(mean_log_loss(scored))  # one row each
+    return ev.select(*[r6(F.col(m)).alias(m) for m in ("accuracy", "precision", "recall", "f1", "auc_roc")],
+                     "tn", "fp", "fn", "tp", r6(F.col("loss")).alias("loss"))
+
+
+_BENCHMARK_DOCS_SQL = "(SELECT item_id AS doc_id, text FROM benchmark)"
+
+
+@register("feature_vectors", _tfidf_sql(
+    _BENCHMARK_DOCS_SQL, 0, 1 << 18, result="SELECT doc_id AS item_id, term, round(x, 6) AS weight FROM nw"))
+def q_feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """M1: every stored value of the classifiers' TF-IDF vectors, fitted on the benchmark texts."""
+    from paperlens.operators.classifiers import fit_features, vocabulary
+    d = read_table(spark, sf, "benchmark").select("item_id", "text")
+    features = fit_features(d, "text", 1 << 18)
+    terms = spark.createDataFrame(list(enumerate(vocabulary(features))), "i int, term string")
+    u = F.unwrap_udt("features")
+    each = features.transform(d).select("item_id", F.explode_outer(
+        F.arrays_zip(u.getField("indices").alias("i"), u.getField("values").alias("weight"))).alias("e"))
+    return (each.select("item_id", "e.i", "e.weight").join(F.broadcast(terms), "i")
+            .select("item_id", "term", r6(F.col("weight")).alias("weight")))
+
+
+@register("logreg_certificate", f"""
+SELECT count(*) FILTER (WHERE split = 'train') AS n_train, true AS is_optimal FROM (
+  SELECT split FROM ({SPLIT_SQL.replace(LABELLED_ARTICLES_SQL, f"(SELECT * FROM {PREPROCESS_SQL} WHERE length(text) > 50)")}))""")
+def q_logreg_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: the gradient of the regularised log loss at the fitted coefficients, by one
+    aggregation, is within the optimiser's tolerance of zero."""
+    from paperlens.operators.classifiers import BaselineClassifier, fit_features, gradient_norm
+    from paperlens.session import stored
+    train = _ml_splits(spark, sf).where(F.col("split") == "train")
+    features = fit_features(train)
+    table = stored(features.transform(train).select("doc_id", "label", "features"), "features")
+    clf = BaselineClassifier().fit_vectors(features, table)
+    norm, n = gradient_norm(clf, table)
+    return spark.range(1).select(F.lit(n).cast("long").alias("n_train"), F.lit(norm < 1e-3).alias("is_optimal"))
+
+
+@register("saved_model", f"""
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM {PREPROCESS_SQL} WHERE length(text) > 50""")
+def q_saved_model(spark: SparkSession, sf: str) -> DataFrame:
+    """S15 + X2: a fitted classifier, saved and loaded, predicts the same for every row."""
+    from paperlens.operators.classifiers import BaselineClassifier
+    sp = _ml_splits(spark, sf)
+    clf = BaselineClassifier("logistic_regression", max_features=2000).fit(sp.where(F.col("split") == "train"))
+    loaded = BaselineClassifier.load(clf.save(_scratch(spark, "model")))
+    a, b = (c.predict_proba(sp).select("doc_id", F.struct("prediction", "p1").alias(x))
+            for c, x in ((clf, "a"), (loaded, "b")))
+    return a.join(b, "doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("a") != F.col("b")).alias("n_changed"))
+
+
+# ---------------------------------------------------------------- S8-S14, written and read again
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share."""
+    import uuid
+
+    from paperlens.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+_CSV_COLUMNS = "doc_id, title, abstract, journal, year"
+
+
+@register("articles_csv", f"SELECT {_CSV_COLUMNS} FROM {DOCUMENT_ARTICLES_SQL}")
+def q_articles_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles to CSV and back; quotes, line breaks, empty texts and nulls stay."""
+    from paperlens.sources.files import read_articles_csv, write_articles_csv
+    path = _scratch(spark, "articles")
+    a = documents_as_articles(spark, sf).select(*_CSV_COLUMNS.split(", "))
+    write_articles_csv(a, path)
+    return read_articles_csv(spark, path, a.schema)
+
+
+@register("splits_saved", f"SELECT doc_id, label, split FROM {SPLIT_SQL}")
+def q_splits_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """S9 + S10: splits to folders and back."""
+    from paperlens.sources.files import load_splits, save_splits
+    path = _scratch(spark, "splits")
+    save_splits(labelled_splits(spark, sf).select("doc_id", "label", "split"), path)
+    return load_splits(spark, path).select("doc_id", "label", "split")
+
+
+@register("dictionary_saved", f"""
+WITH d AS {DEDUP_TERMS_SQL} SELECT d.category, d.cat_ord, d.ord, d.term, count(a.doc_id) AS n_docs
+FROM d LEFT JOIN (SELECT doc_id, lower(title || ' ' || abstract) AS lt FROM {DOCUMENT_ARTICLES_SQL}) a
+  ON length(d.term) > 4 AND contains(a.lt, lower(d.term)) OR length(d.term) <= 4 AND regexp_matches(a.lt, d.pat)
+GROUP BY ALL""")
+def q_dictionary_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """S11 + S12: the built dictionary to a file and back, matched from there."""
+    from paperlens.operators.dictionary import build_dictionary, load_dictionary, save_dictionary
+    from paperlens.operators.matching import match_article_text
+    from paperlens.operators.term_index import index_matches
+    path = _scratch(spark, "dictionary")
+    save_dictionary(build_dictionary(spark), path)
+    d = load_dictionary(spark, path)
+    a = documents_as_articles(spark, sf).select("doc_id", match_article_text().alias("text"))
+    n = index_matches(a, d).groupBy("category", "ord").agg(F.count("*").alias("n"))
+    return d.join(n, ["category", "ord"], "left").select(
+        "category", "cat_ord", "ord", "term", F.coalesce("n", F.lit(0)).alias("n_docs"))
+
+
+@register("dictionary_index", f"""
+WITH c AS (SELECT regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS w FROM conversations),
+d AS (SELECT DISTINCT 'word' AS category, unnest(w) AS term FROM c
+  UNION ALL SELECT * FROM (SELECT DISTINCT 'pair', unnest(list_transform(
+    range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM c) WHERE length(term) > 4),
+a AS (SELECT doc_id, lower(title || ' ' || abstract) AS lt FROM {DOCUMENT_ARTICLES_SQL}),
+t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lt, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM a)
+SELECT category, term, count(*) AS n_docs FROM d JOIN a ON contains(a.lt, d.term) WHERE length(term) > 4 GROUP BY ALL
+UNION ALL SELECT category, term, count(*) FROM d JOIN t ON t.w = d.term WHERE length(term) <= 4 GROUP BY ALL""")
+def q_dictionary_index(spark: SparkSession, sf: str) -> DataFrame:
+    """T7, J1 with a dictionary that is a table of all words, and word pairs of more than four
+    characters, of the conversations (tens of thousands): documents of each term that occurs."""
+    from paperlens.operators.matching import match_article_text
+    from paperlens.operators.term_index import index_matches
+    c = read_table(spark, sf, "conversations").select(
+        F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), 0).alias("w"))
+    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))
+    d = (c.select(F.lit("word").alias("category"), F.lit(0).alias("cat_ord"), F.explode("w").alias("term"))
+         .union(c.select(F.lit("pair"), F.lit(1), F.explode(pairs).alias("term")).where(F.char_length("term") > 4))
+         .distinct().withColumn("ord", F.lit(0)))
+    a = documents_as_articles(spark, sf).select("doc_id", match_article_text().alias("text"))
+    return index_matches(a, d).groupBy("category", "term").agg(F.count("*").alias("n_docs"))
+
+
+@register("model_results", f"""
+SELECT 'TF-IDF + ' || model AS model, 'baseline' AS type, round(accuracy, 6) AS accuracy,
+  round(f1, 6) AS f1, round(auc_roc, 6) AS auc_roc FROM ({_eval_sql()})""")
+def q_model_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A report file of several models' test metrics, written and loaded."""
+    from paperlens.operators.evaluation import evaluate
+    from paperlens.sources.files import load_model_results
+    path = _scratch(spark, "results")
+    e = evaluate(scored_rows(spark, sf), by=["model", "ord"])
+    test = F.struct(F.struct("accuracy", "precision", "recall", "f1", "auc_roc").alias("test"))
+    one = e.agg(F.map_from_entries(F.transform(  # a row a model
+        F.array_sort(F.collect_list(F.struct("ord", "model", test.alias("r")))),
+        lambda x: F.struct(x["model"], x["r"]))).alias("m"))
+    one.select(F.to_json("m")).coalesce(1).write.text(path)
+    return load_model_results(spark, path, None).select(
+        "model", "type", *[r6(F.col(m)).alias(m) for m in ("accuracy", "f1", "auc_roc")])
+
+
+@register("analysis_report", f"""
+WITH p AS (SELECT * FROM {PREPROCESS_SQL} WHERE length(text) > 50)
+SELECT count(*) AS total, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative,
+  (SELECT CAST(sum(cited_by_count) AS BIGINT) FROM p WHERE label = 1) AS total_citations,
+  (SELECT median(cited_by_count) FROM p WHERE label = 1) AS median_citations,
+  (SELECT count(DISTINCT year) FROM p WHERE label = 1) AS n_years,
+  least(30, {{positive}}) AS n_positive, least(30, {{negative}}) AS n_negative FROM p""".replace(
+    "least(30, {positive})", "30").replace("least(30, {negative})", "30"))
+def q_analysis_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The full report over the prepared splits, written as JSON and read again."""
+    from paperlens.operators.curate import create_splits
+    from paperlens.plans.pipelines import analysis_report
+    from paperlens.session import stored
+    from paperlens.sources.files import write_report
+    splits = stored(create_splits(preprocessed_articles(spark, sf), 0.7, 0.15, 0.15, seed=42, stratify=True), "prepared")
+    path = _scratch(spark, "report")
+    write_report(analysis_report(splits), path)
+    r = spark.read.json(path)
+    of = F.col("impact_metrics.citations")
+    return r.select("dataset.total", "dataset.positive", "dataset.negative", of["total_citations"].alias("total_citations"),
+                    of["median_citations"].cast("double").alias("median_citations"),
+                    F.size("impact_metrics.yearly_stats").cast("long").alias("n_years"),
+                    F.size("top_keywords_positive").alias("n_positive"), F.size("top_keywords_negative").alias("n_negative"))
 
 
 # ---------------------------------------------------------------- V3, V6

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlens.functions.text import py_list_repr
+from paperlens.sources.publish import current, publish
 
 log = logging.getLogger(__name__)
 
@@ -42,33 +43,37 @@ def to_csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_articles_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, no index column."""
-    to_csv_ready(df).write.mode(mode).options(**CSV_WRITE).csv(path)
+def write_articles_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, no index column; replaces what was there, whole or not at all."""
+    publish(df.sparkSession, path, lambda to: to_csv_ready(df).write.options(**CSV_WRITE).csv(to))
 
 
 def read_articles_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None
                       ) -> DataFrame:
     r = spark.read.options(**CSV_READ)
-    return (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(path)
+    return (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(current(spark, path))
 
 
 def save_splits(splits: DataFrame, path: str, fmt: str = "parquet", label_col: str = "label",
                 stats_path: str | None = None) -> DataFrame:
-    """One directory per split (``split=train`` ...) plus the split stats as JSON."""
+    """One directory per split (``split=train`` ...) plus the split stats as JSON; replaces
+    what was there, whole or not at all."""
     from paperlens.operators.curate import split_stats
-    w = splits.write.mode("overwrite").partitionBy("split")
-    if fmt == "csv":
-        to_csv_ready(splits).write.mode("overwrite").partitionBy("split").options(
-            **CSV_WRITE).csv(path)
-    else:
-        w.format(fmt).save(path)
+
+    def write(to: str) -> None:
+        if fmt == "csv":
+            to_csv_ready(splits).write.partitionBy("split").options(**CSV_WRITE).csv(to)
+        else:
+            splits.write.partitionBy("split").format(fmt).save(to)
+
+    publish(splits.sparkSession, path, write)
     stats = split_stats(spark_read(splits.sparkSession, path, fmt), label_col)
     stats.coalesce(1).write.mode("overwrite").json(stats_path or path.rstrip("/") + "_stats")
     return stats
 
 
 def spark_read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    path = current(spark, path)
     if fmt == "csv":
         return spark.read.options(**CSV_READ).csv(path)
     return spark.read.format(fmt).load(path)
@@ -83,7 +88,7 @@ def load_splits(spark: SparkSession, path: str, fmt: str = "parquet",
     """
     df = spark_read(spark, path, fmt).where(F.col("split").isin(list(names)))
     for n in names:
-        folder = f"{path.rstrip('/')}/split={n}"
+        folder = f"{current(spark, path)}/split={n}"
         if if_present(lambda: spark.read.text(folder)) is None:
             log.warning("Split not found: %s", folder)
     return df

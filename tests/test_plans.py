@@ -27,7 +27,7 @@ def test_t12_matches_once(spark, strategy, expected):
 @pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver tables not present")
 @pytest.mark.parametrize("name", ["preprocess", "split", "collect_balance", "tfidf_keywords",
                                   "citation_metrics", "trend_table", "evaluate_scorers",
-                                  "article_extract", "match_features_jvm", "match_features",
+                                  "article_extract", "match_features",
                                   "match_builtin", "relevance_by_label", "dict_keywords",
                                   "dict_term_hits", "dict_summary"])
 def test_no_python_in_analytic_queries(spark, name):
