@@ -22,16 +22,18 @@ from paperlens.session import stored
 
 Q = SHORT_TERM_MAX_LEN + 1  # every long term has a q-gram
 #: longs of the bit set at most (more keys only make it let more pass), rows broadcast at most
-MOST_WORDS = 1 << 16
+MOST_WORDS = 1 << 14
 MOST_ROWS = 500_000
 
 
 def grams(text: Column, q: int = Q) -> Column:
-    """All runs of ``q`` characters of a text, in order (none in a shorter text)."""
-    chars = F.split(text, "")
-    n = F.char_length(text)
-    at = F.when(n >= q, F.sequence(F.lit(1), n - F.lit(q - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat_ws("", F.slice(chars, i, q)))
+    """All runs of ``q`` characters of a text, in order (none in a shorter text): the text's
+    characters, zipped with themselves shifted, so that the text is taken apart once a shift."""
+    chars, n = F.split(text, ""), F.char_length(text) - F.lit(q - 1)
+    out = F.slice(chars, 1, n)
+    for shift in range(2, q + 1):
+        out = F.zip_with(out, F.slice(chars, shift, n), lambda x, y: F.concat(x, y))
+    return F.when(n > 0, out).otherwise(F.array().cast("array<string>"))
 
 
 def _word_and_bit(gram: Column, words: int) -> tuple[Column, Column]:
@@ -39,6 +41,10 @@ def _word_and_bit(gram: Column, words: int) -> tuple[Column, Column]:
     return h.bitwiseAND(F.lit(words - 1)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
 
 
+def _long(x: int) -> str:
+    return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
+
+
 class GramFilter:
     """A bit set of the hashes of grams: what it says no to is none of them."""
 
@@ -51,10 +57,12 @@ class GramFilter:
         self.bits = [0] * self.words
         for r in rows.collect():  # at most ``words`` rows
             self.bits[r["w"]] = r["m"]
+        # as text: one literal, where a call for each number would take seconds
+        self.literal = F.expr(f"array({', '.join(map(_long, self.bits))})")
 
     def passes(self, gram: Column) -> Column:
         word, bit = _word_and_bit(gram, self.words)
-        return F.getbit(F.get(F.lit(self.bits).cast("array<bigint>"), word), bit) == 1
+        return F.getbit(F.get(self.literal, word), bit) == 1
 
 
 def _small(df: DataFrame) -> DataFrame:
