@@ -254,6 +254,83 @@ def test_pipeline_stages_against_plain_python(spark):
     assert Counter(tuple(r)[:5] for r in packed) == Counter(tuple(r) for r in pieces)
 
 
+def test_pipeline_stages_keep_clashing_columns(spark):
+    """Columns named like results, in any case or with dots, keep their values in every stage."""
+    import corpus_pipeline as P
+    extra = {c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+             for c in ("Score", "n_removed", "a.b", "copies", "found", "rest", "size", "row_of_stage", "lang_pred", "doc")}
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.select("*", *[v.alias(k) for k, v in extra.items()])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            own = "none" if r["doc_id"] is None else r["doc_id"]
+            assert all(r[c] == f"{c}-{own}" for c in extra), name
+    assert P.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_near_dedup_outlives_other_partitions(spark, monkeypatch):
+    """Files are read in another number of partitions from step to step; the same rows stay."""
+    import corpus_pipeline as P
+    from paperlens.llm import simhash
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    rows = docs.select("doc_id", "text").collect()
+    fp = [brute_fingerprint(r["text"]) for r in rows]
+    root, groups = brute_components(fp), defaultdict(list)
+    for r, f in zip(rows, fp):
+        groups[root[f]].append(r["doc_id"])
+    key, change = "spark.sql.leafNodeDefaultParallelism", iter([2, 7, 1, 3, 5, 2, 9, 4] * 20)
+    for module in (P, simhash):
+        real = module.written
+
+        def written(df, what, real=real):
+            out = real(df, what)
+            spark.conf.set(key, next(change))
+            return out
+
+        monkeypatch.setattr(module, "written", written)
+    try:
+        kept = [r["doc_id"] for r in P.near_dedup(spark, docs, SF).collect()]
+    finally:
+        spark.conf.unset(key)
+    assert Counter(kept) == Counter(min(g) for g in groups.values())
+
+
+def test_em_against_a_plain_one():
+    """Proportions and likelihood of the mixture, against EM word for word without arrays; the
+    penalised choice against all sets of languages."""
+    import itertools
+    import math
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.full(40, .3), 3).T + 1e-6
+    p /= p.sum(axis=0)
+    share = [.6, .4, 0]
+    n = rng.multinomial(400, p @ share).astype(float)
+
+    def em(cols):
+        pi = [1 / len(cols)] * len(cols)
+        for _ in range(3000):
+            new = [0.0] * len(cols)
+            for c, count in enumerate(n):
+                total = sum(w * p[c, k] for w, k in zip(pi, cols))
+                for j, k in enumerate(cols):
+                    new[j] += count * pi[j] * p[c, k] / total / n.sum()
+            if max(abs(a - b) for a, b in zip(pi, new)) < 1e-7:
+                break
+            pi = new
+        return pi, sum(count * math.log(sum(w * p[c, k] for w, k in zip(pi, cols))) for c, count in enumerate(n))
+
+    want, fit = em([0, 1, 2])
+    got, got_fit = langid._fit(p, n, 3000)
+    assert np.abs(got - want).max() < 5e-3 and abs(got_fit - fit) < .1
+    cost = langid.PENALTY * math.log(n.sum())
+    sets = [list(c) for size in (1, 2, 3) for c in itertools.combinations(range(3), size)]
+    assert max(sets, key=lambda c: em(c)[1] - cost * (len(c) - 1)) == [0, 1]
+
+
 def test_pipeline_stages_on_nothing(spark):
     import corpus_pipeline as P
     docs = empty_docs(spark).withColumn("n_chars", F.lit(1).cast("long"))
