@@ -1228,14 +1228,14 @@ SELECT count(*) FILTER (WHERE split = 'train') AS n_train, true AS is_optimal FR
 def q_logreg_certificate(spark: SparkSession, sf: str) -> DataFrame:
     """M2: the gradient of the regularised log loss at the fitted coefficients, by one
     aggregation, is within the optimiser's tolerance of zero."""
-    from paperlens.operators.classifiers import BaselineClassifier, fit_features, gradient_norm
+    from paperlens.operators.classifiers import LR_TOL, BaselineClassifier, fit_features, gradient_norm
     from paperlens.session import stored
     train = _ml_splits(spark, sf).where(F.col("split") == "train")
     features = fit_features(train)
     table = stored(features.transform(train).select("doc_id", "label", "features"), "features")
     clf = BaselineClassifier().fit_vectors(features, table)
     norm, n = gradient_norm(clf, table)
-    return spark.range(1).select(F.lit(n).cast("long").alias("n_train"), F.lit(norm < 1e-3).alias("is_optimal"))
+    return spark.range(1).select(F.lit(n).cast("long").alias("n_train"), F.lit(norm <= LR_TOL).alias("is_optimal"))
 
 
 @register("saved_model", f"""
