@@ -1037,13 +1037,27 @@ SELECT ids.id AS requested_id, a.doc_id FROM ids LEFT JOIN a ON a.doi = ids.id""
 def q_lookup_by_doi(spark: SparkSession, sf: str) -> DataFrame:
     """S3 in bulk (+ J6): first article per requested DOI, NULL when unknown."""
     from paperlens.sources.landed import lookup_by_id
-    lab = documents_as_articles(spark, sf, labelled=True)
-    ids = (lab.where(F.col("doi") != "").select(F.col("doi").alias("id"))
-           .unionByName(read_table(spark, sf, "labels").where(F.col("toxic") == 1)
-                        .select(F.concat(F.lit("doi-missing-"), F.col("doc_id").cast("string")).alias("id")))
-           .distinct())
     arts = documents_as_articles(spark, sf).select("doc_id", "seq", "doi")
-    return lookup_by_id(arts, ids, "doi", "id", ["seq"]).select("requested_id", "doc_id")
+    return lookup_by_id(arts, requested_dois(spark, sf), "doi", "id", ["seq"]).select("requested_id", "doc_id")
+
+
+def requested_dois(spark: SparkSession, sf: str) -> DataFrame:
+    """DOIs of the labelled articles, and some that no article has."""
+    lab = documents_as_articles(spark, sf, labelled=True)
+    return (lab.where(F.col("doi") != "").select(F.col("doi").alias("id"))
+            .unionByName(read_table(spark, sf, "labels").where(F.col("toxic") == 1)
+                         .select(F.concat(F.lit("doi-missing-"), F.col("doc_id").cast("string")).alias("id")))
+            .distinct())
+
+
+@register("lookup_indexed", ORACLES["lookup_by_doi"])
+def q_lookup_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 + J6 by an index: the articles laid out by id once, then read by folder."""
+    from paperlens.sources.id_index import lookup_indexed, write_id_index
+    path = _scratch(spark, "id-index")
+    write_id_index(documents_as_articles(spark, sf).select("doc_id", "seq", "doi"), path, "doi", ["seq"])
+    ids = requested_dois(spark, sf)
+    return lookup_indexed(spark, path, ids).select("requested_id", "doc_id")
 
 
 def link_pages_from_documents(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -1238,6 +1252,21 @@ def q_logreg_certificate(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("long").alias("n_train"), F.lit(norm <= LR_TOL).alias("is_optimal"))
 
 
+@register("forest_votes", f"""
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM {PREPROCESS_SQL} WHERE length(text) > 50""")
+def q_forest_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: the class shares that the saved trees give each row, walked node by node, are the forest's."""
+    from paperlens.operators.classifiers import BaselineClassifier, fit_features, forest_shares
+    from paperlens.session import stored
+    sp = _ml_splits(spark, sf)
+    features = fit_features(sp.where(F.col("split") == "train"))
+    table = stored(features.transform(sp).select("doc_id", "label", "split", "features"), "features")
+    clf = BaselineClassifier("random_forest", num_trees=20).fit_vectors(features, table.where(F.col("split") == "train"))
+    walked = forest_shares(table, f"{clf.save(_scratch(spark, 'forest'))}/model", "doc_id")
+    both = clf.predict_proba(table).select("doc_id", "p1").join(walked, "doc_id")
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("p1") - F.col("share")) > 1e-9).alias("n_changed"))
+
+
 @register("saved_model", f"""
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM {PREPROCESS_SQL} WHERE length(text) > 50""")
 def q_saved_model(spark: SparkSession, sf: str) -> DataFrame:
