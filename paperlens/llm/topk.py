@@ -1,11 +1,13 @@
 """Exact top-k inner products with block-at-a-time pruning.
 
-Rows are dealt into ranges of ids, and ranges into blocks. A block keeps a
+Rows are dealt into ranges in order of the signs of their components, so that rows of
+one direction, copies above all, lie together, and ranges into blocks. A block keeps a
 forward index (the integer vectors of its rows) and, a dimension, the largest
 and smallest component. A query's bound for a block is the sum over dimensions
 of the larger of its component times either. For each query the blocks of a
 range are taken in the order of their bounds and scored through the forward
-index until the next bound falls below the query's k-th score so far.
+index until the next bound falls below the query's k-th score so far. That begins, in
+every task, with the k-th score among the rows of the query's own range.
 """
 
 from __future__ import annotations
@@ -28,35 +30,44 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(good, F.transform(x, lambda v: F.floor(v)))
 
 
+def signs(v: Column) -> Column:
+    """The signs of the first 63 components as the bits of a long, the first one highest."""
+    return F.aggregate(F.slice(v, 1, 63), F.lit(0).cast("long"), lambda bits, x: bits * 2 + (x > 0).cast("long"))
+
+
 def _packed(rows: DataFrame, n_rows: int, name: str) -> DataFrame:
-    """Rows (id, v, row) as one row for each ``n_rows`` of them: ids, rows, lengths, all components."""
+    """Rows (id, v, row, more) as one row for each ``n_rows`` of them that lie together by
+    direction: ids, rows, lengths, all components, and the numbers ``more``."""
     parts = max(1, -(-rows.count() // n_rows))
 
     def pack(batches):
         import pyarrow as pa
-        ids, at, vectors = [], [], []
-        kinds = pa.schema([("ids", pa.binary()), ("at", pa.binary()), ("dims", pa.binary()), ("v", pa.binary())])
+        ids, at, vectors, more = [], [], [], []
+        kinds = pa.schema([(c, pa.binary()) for c in ("ids", "at", "dims", "v", "more")])
 
         def made():
             dims = np.array([len(v) for v in vectors], "<i4")
             flat = np.concatenate(vectors) if vectors else np.empty(0)
             return pa.RecordBatch.from_pydict(
                 {"ids": [np.array(ids, "<i8").tobytes()], "at": [np.array(at, "<i8").tobytes()],
-                 "dims": [dims.tobytes()], "v": [flat.astype("<i8").tobytes()]}, kinds)
+                 "dims": [dims.tobytes()], "v": [flat.astype("<i8").tobytes()],
+                 "more": [np.array(more, "<i8").tobytes()]}, kinds)
 
         for b in batches:
-            for i, v, row in zip(b.column(0), b.column(1), b.column(2)):
+            for i, v, row, m in zip(*(b.column(c) for c in range(4))):
                 ids.append(i.as_py())
                 at.append(row.as_py())
                 vectors.append(np.array(v.as_py(), np.int64))
+                more.append(m.as_py())
                 if len(ids) == n_rows:
                     yield made()
-                    ids, at, vectors = [], [], []
+                    ids, at, vectors, more = [], [], [], []
         if ids:
             yield made()
 
-    ranged = rows.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
-    made = ranged.mapInArrow(pack, "ids binary, at binary, dims binary, v binary")
+    keyed = rows.select("id", "v", "row", "more", signs(F.col("v")).alias("code"))
+    ranged = keyed.repartitionByRange(parts, "code", "id", "row").sortWithinPartitions("code", "id", "row")
+    made = ranged.mapInArrow(pack, "ids binary, at binary, dims binary, v binary, more binary")
     return written(made.withColumn("unit", F.monotonically_increasing_id()), name)
 
 
@@ -87,16 +98,17 @@ class Best:
     """The k best (score, id) of each query of a chunk among all rows but its own (``rows``);
     ties to the smaller id."""
 
-    def __init__(self, rows: np.ndarray, k: int):
+    def __init__(self, rows: np.ndarray, k: int, floor: np.ndarray | None = None):
         ids = self.own = rows
+        self.floor = np.full(len(rows), np.iinfo(np.int64).min) if floor is None else floor
         self.k, self.scored = k, 0
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.id = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.found = np.zeros((len(ids), k), bool)
 
     def kth(self) -> np.ndarray:
-        """Lowest kept score; a bound below it cannot matter."""
-        return np.where(self.found[:, -1], self.score[:, -1], np.iinfo(np.int64).min)
+        """A score that k rows reach, as far as is known; a bound below it cannot matter."""
+        return np.maximum(self.floor, np.where(self.found[:, -1], self.score[:, -1], np.iinfo(np.int64).min))
 
     def add(self, which: np.ndarray, ids: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
         self.scored += score.size
@@ -130,6 +142,28 @@ def scan(best: Best, queries: np.ndarray, ids: np.ndarray, at: np.ndarray, rows:
             best.add(which, ids[own], at[own], _product(queries[which], rows[own]))
 
 
+def floors(rows: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Of the rows numbered ``own``, the k-th score among the other rows."""
+    score = _product(rows[own], rows)
+    score[np.arange(len(own)), own] = np.iinfo(np.int64).min
+    return np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k]
+
+
+def _floors_of(ranges: DataFrame, k: int, chunk_rows: int) -> DataFrame:
+    """(row, floor): of each query the k-th score among its range, where that has k other rows."""
+    def seed(batches):
+        import pyarrow as pa
+        for b in batches:
+            for r in b.to_pylist():
+                _, rows = _matrix(r["ids"], r["dims"], r["v"])
+                at, asked = np.frombuffer(r["at"], "<i8"), np.flatnonzero(np.frombuffer(r["more"], "<i8"))
+                for first in range(0, len(asked) if len(rows) > k else 0, chunk_rows):
+                    own = asked[first:first + chunk_rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(at[own]), pa.array(floors(rows, own, k))], ["row", "floor"])
+
+    return ranges.mapInArrow(seed, "row long, floor long")
+
+
 def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: int = 256,
           block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS,
           chunk_rows: int = CHUNK_ROWS, every_row: bool = False) -> DataFrame:
@@ -144,7 +178,8 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str,
     give empty results. Scores over 64 bits fail the job.
 
     Queries are a stated set; each chunk of queries meets each range of rows once, chunk by
-    chunk, so that bounds found on one range prune the next.
+    chunk, so that bounds found on one range prune the next. Ahead of that, each query is
+    scored with the rows of its own range, which gives all chunks a k-th score to begin with.
     """
     d = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
                   F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -152,13 +187,15 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str,
         d = d.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     # rows are numbered as they are written: every reader sees the same numbers
     d = written(d.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
-    ranges = _packed(d.select("id", "v", "row"), range_rows, "topk-ranges")
-    chunks = _packed(d.where("q").select("id", "v", "row"), chunk_rows, "topk-queries")
+    ranges = _packed(d.select("id", "v", "row", F.col("q").cast("long").alias("more")), range_rows, "topk-ranges")
+    known = d.where("q").join(_floors_of(ranges, k, chunk_rows), "row", "left")
+    least = F.lit(int(np.iinfo(np.int64).min))
+    chunks = _packed(known.select("id", "v", "row", F.coalesce("floor", least).alias("more")), chunk_rows, "topk-queries")
     n_ranges = ranges.count()
     # a lane takes several ranges of a chunk in turn; as many lanes as there are ranges / 4
     lanes = max(1, -(-n_ranges // 4))
     left = chunks.select(F.col("unit").alias("chunk"), F.col("ids").alias("q_ids"), F.col("at").alias("q_at"), F.col("dims").alias("q_dims"),
-                         F.col("v").alias("q_v"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+                         F.col("v").alias("q_v"), F.col("more").alias("q_floor"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     right = ranges.withColumn("lane", F.pmod(F.xxhash64("unit"), F.lit(lanes)).cast("int"))
     met = left.join(right, "lane")
 
@@ -179,7 +216,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str,
                         yield found()
                     here = (r["chunk"], r["lane"])
                     q_ids, q = _matrix(r["q_ids"], r["q_dims"], r["q_v"])
-                    best = Best(np.frombuffer(r["q_at"], "<i8"), k)
+                    best = Best(np.frombuffer(r["q_at"], "<i8"), k, np.frombuffer(r["q_floor"], "<i8"))
                 ids, rows = _matrix(r["ids"], r["dims"], r["v"])
                 scan(best, q, ids, np.frombuffer(r["at"], "<i8"), rows, block_rows)
         if best is not None:
