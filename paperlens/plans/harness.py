@@ -1252,6 +1252,28 @@ def q_logreg_certificate(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("long").alias("n_train"), F.lit(norm <= LR_TOL).alias("is_optimal"))
 
 
+_ML_SPLIT_SQL = SPLIT_SQL.replace(LABELLED_ARTICLES_SQL, f"(SELECT * FROM {PREPROCESS_SQL} WHERE length(text) > 50)")
+
+
+@register("svm_certificate", f"""
+WITH c AS (SELECT label, count(*) AS n FROM {_ML_SPLIT_SQL} WHERE split = 'train' GROUP BY label),
+f AS (SELECT k AS fold, n - (CAST(floor(n * (k + 1) / 3) AS BIGINT) - CAST(floor(n * k / 3) AS BIGINT)) AS n
+  FROM c, (SELECT unnest([0, 1, 2]) AS k))
+SELECT CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n_train, true AS is_optimal FROM f GROUP BY fold""")
+def q_svm_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """M3: for each fold's SVM, the bound of the distance to the optimum, half the squared
+    gradient at the fitted weights, is within the tolerance; sums by SQL functions."""
+    from paperlens.operators.classifiers import SVM_TOL, BaselineClassifier, fit_features, svm_certificates
+    from paperlens.session import stored
+    train = stored(_ml_splits(spark, sf).where(F.col("split") == "train"), "train")
+    features = fit_features(train)
+    table = stored(features.transform(train).select("doc_id", "label", "features"), "features")
+    clf = BaselineClassifier("svm").fit_vectors(features, table)
+    # one row a fold; the last digits of sums depend on their order
+    rows = [(k, n, gap <= SVM_TOL * value * (1 + 1e-6)) for k, (n, value, gap) in enumerate(svm_certificates(clf, table))]
+    return spark.createDataFrame(rows, "fold int, n_train long, is_optimal boolean")
+
+
 @register("forest_votes", f"""
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM {PREPROCESS_SQL} WHERE length(text) > 50""")
 def q_forest_votes(spark: SparkSession, sf: str) -> DataFrame:
