@@ -2,11 +2,13 @@
 
 A 64-bit fingerprint is split into four blocks of 16 bits. Two fingerprints
 with at most two differing bits agree in two blocks at least, so they share one
-of the six pairs of blocks. Distinct fingerprints are joined on block pairs;
-where a pair is shared, each fingerprint also names its one-bit variants in the
-other blocks. Two fingerprints differ in at most two bits exactly if they have a
-variant in common, so the star around each variant, of 65 fingerprints at most,
-gives every link as a path without listing the pairs of a group.
+of the six pairs of blocks. Distinct fingerprints are joined on block pairs and
+the members of a group compared by their Hamming distance. Groups of more than
+``COMPARED`` members aren't compared, as the work would grow with their square:
+there each fingerprint names its one-bit variants in the other blocks. Two
+fingerprints that share the group differ in at most two bits exactly if they have
+a variant in common, so the star around each variant, of 65 fingerprints at most,
+gives every link as a path without listing pairs.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlens.llm.common import documents, written
+from paperlens.llm.common import documents, small, written
 from paperlens.llm.components import components
 
 MAX_BITS = 2
+#: members of a group that are compared with one another; of more, the 33 variants of each are fewer
+COMPARED = 32
 _BLOCKS, _WIDTH = 4, 16
 _PAIRS = list(combinations(range(_BLOCKS), _BLOCKS - MAX_BITS))
 
@@ -62,24 +66,34 @@ def _masks(pair: tuple[int, ...]) -> list[int]:
     return [0, *(np.array([1 << b for b in free], np.uint64).view(np.int64).tolist())]
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, compared: int = COMPARED) -> DataFrame:
     """(fp, other): links among distinct fingerprints whose paths join all that differ in at
-    most two bits; each link itself is of two bits at most. ``fps``: distinct (fp)."""
+    most two bits; each link itself is of two bits at most. ``fps``: distinct (fp). No
+    group above ``compared`` members is ever gathered."""
     block = [F.shiftrightunsigned("fp", _WIDTH * i).bitwiseAND(F.lit((1 << _WIDTH) - 1))
              for i in range(_BLOCKS)]
     keys = [F.lit(n << 32) + F.shiftleft(block[i], _WIDTH) + block[j] for n, (i, j) in enumerate(_PAIRS)]
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = (keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-              .where("lo != hi").select("key"))
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "simhash-groups")
+    small_groups = sizes.where(F.col("c") <= compared).select("key")
+    large_groups = sizes.where(F.col("c") > compared).select("key")
+
+    groups = keyed.join(small_groups, "key").groupBy("key").agg(F.collect_list("fp").alias("all"))
+    near = F.flatten(F.transform("all", lambda a: F.transform(
+        F.filter("all", lambda b: (b < a) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)),
+        lambda b: F.struct(a.alias("fp"), b.alias("other")))))
+    # not explode: a filter on the array's size would work it out twice
+    pairs = groups.select(F.explode_outer(near).alias("link")).where("link is not null").select("link.*")
+
     masks = F.lit([_masks(p) for p in _PAIRS])[F.shiftright("key", 32).cast("int")]
-    near = (keyed.join(shared, "key").select("fp", masks.alias("masks"))
-            .select("fp", F.explode("masks").alias("mask"))
-            .select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")))
-    stars = near.groupBy("variant").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return (stars.select(F.array_min("all").alias("other"), F.explode("all").alias("fp"))
-            .where("fp != other")
-            .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_BITS)
-            .select("fp", "other").distinct())
+    variants = (keyed.join(small(large_groups), "key").select("fp", masks.alias("masks"))
+                .select("fp", F.explode("masks").alias("mask"))
+                .select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")))
+    stars = variants.groupBy("variant").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
+    spokes = (stars.select(F.array_min("all").alias("other"), F.explode("all").alias("fp"))
+              .where("fp != other")
+              .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_BITS))
+    return pairs.union(spokes.select("fp", "other")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -94,7 +108,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names. An empty table gives an empty result.
     """
     docs = written(fingerprints(df, id_col, text_col, shingle), "simhash")
-    each = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    each = written(docs.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     found = components(links(each.select("fp")), "fp", "other")
     rooted = (each.join(found.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", F.coalesce("root", "fp").alias("root"), "least"))

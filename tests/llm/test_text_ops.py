@@ -53,7 +53,8 @@ def test_fingerprints(spark):
     assert one & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
-def test_components_of_near_fingerprints(spark):
+@pytest.mark.parametrize("compared", [1, 6, simhash.COMPARED, 10_000])  # 1: variants alone; 10,000: pairs alone
+def test_components_of_near_fingerprints(spark, compared):
     rng = random.Random(8)
     fps = [0]
     for _ in range(12):
@@ -62,9 +63,11 @@ def test_components_of_near_fingerprints(spark):
             fps.append(f)
             for b in rng.sample(range(64), rng.randint(1, 3)):
                 f ^= 1 << b
+    crowd = rng.getrandbits(64)  # many that share two blocks, some of them near each other
+    fps += [crowd ^ rng.getrandbits(9) << 16 * rng.choice([0, 1]) for _ in range(90)]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in set(signed)], "fp long")
-    edges = simhash.links(df).collect()
+    edges = simhash.links(df, compared).collect()
     assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in edges)
     found = {r["node"]: r["root"] for r in components.components(
         spark.createDataFrame(edges, "fp long, other long"), "fp", "other").collect()}
