@@ -1,18 +1,18 @@
-"""Matching with dictionaries of tens of thousands of terms (T7, J1 at scale).
-
-The dictionary is a table, not a constant of the expression. Every long term (matched as
-a substring) is keyed by the rarest of its q-grams, by the number of texts that hold it;
-a term one of whose q-grams occurs nowhere is gone at once. Texts give the q-grams that
-may be keys - a bit set of hashes, sent as a constant, tells - and an equi-join with the
-keys gives candidate terms, which ``contains`` verifies on the row's own text. Short
-terms (matched as whole words) are an equi-join with the text's distinct words. Nothing
-compares a text with all terms, and where the keys are small enough to be broadcast, no
-text is shuffled.
+"""Matching with dictionaries of any number of terms (T7, J1 at scale).
+
+The dictionary is a table, not a constant of the expression. A long term (matched as a
+substring) is looked for where it may be: a bit set of the hashes of all long terms, and of
+their beginnings of some lengths, goes to every task, and a text gives the substrings that
+it lets pass, each once. Batches of texts give ``(substring, ids)``, and an equi-join with
+the terms tells which of them are some. Short terms (matched as whole words) are an
+equi-join with the text's distinct words. Nothing compares a text with all terms, and no
+text is shuffled: what moves is a substring once a batch, and the ids of its texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlens.functions.text import WORD_CHAR, word_set
@@ -20,49 +20,156 @@ from paperlens.operators.dictionary import SHORT_TERM_MAX_LEN
 from paperlens.operators.matching import whole_word_pattern
 from paperlens.session import stored
 
-Q = SHORT_TERM_MAX_LEN + 1  # every long term has a q-gram
 #: longs of the bit set at most (more keys only make it let more pass), rows broadcast at most
-MOST_WORDS = 1 << 14
+MOST_WORDS = 1 << 23
 MOST_ROWS = 500_000
-
-
-def grams(text: Column, q: int = Q) -> Column:
-    """All runs of ``q`` characters of a text, in order (none in a shorter text): the text's
-    characters, zipped with themselves shifted, so that the text is taken apart once a shift."""
-    chars, n = F.split(text, ""), F.char_length(text) - F.lit(q - 1)
-    out = F.slice(chars, 1, n)
-    for shift in range(2, q + 1):
-        out = F.zip_with(out, F.slice(chars, shift, n), lambda x, y: F.concat(x, y))
-    return F.when(n > 0, out).otherwise(F.array().cast("array<string>"))
-
-
-def _word_and_bit(gram: Column, words: int) -> tuple[Column, Column]:
-    h = F.xxhash64(gram)
-    return h.bitwiseAND(F.lit(words - 1)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
-
-
-def _long(x: int) -> str:
-    return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
-
-
-class GramFilter:
-    """A bit set of the hashes of grams: what it says no to is none of them."""
-
-    def __init__(self, keys: DataFrame, column: str = "gram"):
-        n = keys.count()
-        self.words = min(MOST_WORDS, 1 << max(4, (n - 1).bit_length() if n else 0))
-        word, bit = _word_and_bit(F.col(column), self.words)
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-        rows = keys.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-        self.bits = [0] * self.words
-        for r in rows.collect():  # at most ``words`` rows
-            self.bits[r["w"]] = r["m"]
-        # as text: one literal, where a call for each number would take seconds
-        self.literal = F.expr(f"array({', '.join(map(_long, self.bits))})")
-
-    def passes(self, gram: Column) -> Column:
-        word, bit = _word_and_bit(gram, self.words)
-        return F.getbit(F.get(self.literal, word), bit) == 1
+#: bytes of text whose substrings are gathered at once, positions whose hashes are made at once
+BLOCK, WINDOW = 1 << 22, 1 << 18
+#: a beginning is hashed at every so manieth length of a term
+STEP = 3
+_BASE, _PROBES = 0x9E3779B97F4A7C15, 3
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)  # modulo 2^64
+
+
+class _Hashes:
+    """Hashes of the substrings of some bytes: of each, from the sums of its bytes times powers of a number."""
+
+    def __init__(self, data: np.ndarray):
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * _powers(_BASE, len(data)), out=self.sums[1:])
+
+    def of(self, start: np.ndarray, length, whole: bool) -> np.ndarray:
+        """Of the substrings at ``start``, as terms or as beginnings of terms."""
+        h = (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+        h = (h + (np.asarray(length) * 2 + whole).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
+
+
+def _bit(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """Number of a hash's bit: the low half plus ``probe`` times the high one."""
+    return (((h & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((h >> np.uint64(32)) | np.uint64(1)))
+            & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of an Arrow array of strings, and where each begins (and the last ends)."""
+    import pyarrow as pa
+    _, offsets, data = column.cast(pa.large_string()).buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]], at - at[0]
+
+
+class SubstringFilter:
+    """A bit set of the hashes of terms and of some of their beginnings: what it says no to is
+    no term. ``terms``: (lower), distinct; lengths are of UTF-8."""
+
+    def __init__(self, terms: DataFrame):
+        sizes = terms.groupBy(F.octet_length("lower").alias("size")).agg(F.count("*").alias("n")).collect()
+        self.lengths = sorted(r["size"] for r in sizes)
+        self.starts = starts = self.lengths[::STEP]
+        n = sum(r["n"] for r in sizes)
+        self.words = min(MOST_WORDS, 1 << max(4, (n // 2).bit_length()))
+        bits = self.words * 64
+
+        def keys(batches):
+            import pyarrow as pa
+            for b in batches:
+                data, at = _bytes(b.column("lower"))
+                hashes, size = _Hashes(data), np.diff(at)
+                of = [hashes.of(at[:-1], size, True)]
+                of += [hashes.of(at[:-1][size >= k], k, False) for k in starts]
+                h = np.unique(np.concatenate(of))
+                bit = np.unique(np.concatenate([_bit(h, p, bits) for p in range(_PROBES)]))
+                yield pa.RecordBatch.from_arrays([pa.array(bit)], ["bit"])
+
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+        rows = (terms.select("lower").mapInArrow(keys, "bit long")
+                .select(F.shiftright("bit", 6).cast("int").alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")))
+        got = rows.toArrow()  # at most ``words`` rows
+        bitset = np.zeros(self.words, np.int64)
+        bitset[got.column("w").to_numpy()] = got.column("m").to_numpy()
+        self.bits = terms.sparkSession.sparkContext.broadcast(bitset.tobytes())
+
+
+def _passing(data: np.ndarray, at: np.ndarray, first: int, last: int, bits: np.ndarray, lengths: list[int],
+             starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and lengths of substrings of ``data``, begun from ``first`` to ``last`` and inside one
+    text, that the bit set lets pass."""
+    part = data[first:last + lengths[-1]]
+    hashes = _Hashes(part)
+
+    def known(place, length, whole):
+        h = hashes.of(place, length, whole)
+        for probe in range(_PROBES):
+            bit = _bit(h, probe, len(bits) * 8)
+            on = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+            place, h = place[on], h[on]
+        return place
+
+    live = np.flatnonzero(part[:last - first] & 0xC0 != 0x80)  # a character's first byte
+    ends = at[np.searchsorted(at, live + first, side="right")] - first
+    end = np.zeros(len(part) + 1, np.int64)
+    end[live] = ends
+    places, sizes = [], []
+    for k in lengths:
+        live = live[end[live] - live >= k]
+        if k in starts:
+            live = known(live, k, False)
+        if not len(live):
+            break
+        found = known(live, k, True)
+        places.append(found + first)
+        sizes.append(np.full(len(found), k))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, size = np.concatenate(places), np.concatenate(sizes)
+    after = np.minimum(place + size, len(data) - 1)
+    whole = (place + size == len(data)) | (data[after] & 0xC0 != 0x80)
+    return place[whole], size[whole]
+
+
+def _substrings(texts: DataFrame, among: SubstringFilter) -> DataFrame:
+    """``(lower, ids)``: substrings of texts that may be terms, with the ids of texts that hold
+    them, each row's once. ``texts``: (id, lt); a substring has a row for each block of texts."""
+    bitset, lengths, starts = among.bits, among.lengths, frozenset(among.starts)
+
+    def found(batches):
+        import pyarrow as pa
+        bits = np.frombuffer(bitset.value, np.uint8)
+        for b in batches:
+            data, at = _bytes(b.column("lt"))
+            # rows of a block: whole texts
+            row = 0
+            while row < b.num_rows:
+                to = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, side="right")) - 1)
+                inside = at[row:to + 1] - at[row]
+                text = data[at[row]:at[to]]
+                parts = [_passing(text, inside, i, min(i + WINDOW, len(text)), bits, lengths, starts)
+                         for i in range(0, len(text), WINDOW)]
+                place, size = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+                if len(place):
+                    offsets = np.concatenate([[0], np.cumsum(size)])
+                    held = text[np.repeat(place - offsets[:-1], size) + np.arange(offsets[-1])]
+                    strings = pa.Array.from_buffers(pa.large_string(), len(place), [
+                        None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode()
+                    of = np.searchsorted(inside, place, side="right") - 1
+                    pair = np.unique(strings.indices.to_numpy().astype(np.int64) * (to - row) + of)
+                    code, of = np.divmod(pair, to - row)
+                    counts = np.bincount(code, minlength=len(strings.dictionary))
+                    ids = b.column("id").take(pa.array(row + of))
+                    yield pa.RecordBatch.from_arrays([
+                        strings.dictionary.cast(pa.string()),
+                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), ids)], ["lower", "ids"])
+                row = to
+
+    return texts.mapInArrow(found, f"lower string, ids array<{texts.schema['id'].dataType.simpleString()}>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -70,24 +177,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df
 
 
-def _given(lower_text: Column, keys: GramFilter) -> Column:
-    return F.array_distinct(F.filter(grams(lower_text), keys.passes))
-
-
-def rarest_grams(lower_texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(gram, lower, n_texts)``: of each distinct long term the q-gram that fewest texts hold
-    (of several the first), for terms whose q-grams all occur. ``lower_texts``: (lt)."""
-    of = terms.select("lower", F.explode(F.array_distinct(grams(F.col("lower")))).alias("gram"))
-    of = stored(of, "term-grams")
-    distinct = of.select("gram").distinct()
-    # explode_outer + null filter keeps the optimizer from cutting the texts twice
-    held = (lower_texts.select(F.explode_outer(_given(F.col("lt"), GramFilter(distinct))).alias("gram"))
-            .where(F.col("gram").isNotNull()).groupBy("gram").agg(F.count("*").alias("n_texts")))
-    best = F.min(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n_texts"), "gram")).alias("best")
-    keyed = of.join(held, "gram", "left").groupBy("lower").agg(best)
-    return keyed.where("best.n_texts > 0").select("best.gram", "lower", "best.n_texts")
-
-
 def index_matches(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, category, cat_ord, ord, term)``: one row for each term a row's text matches,
     by the rules of ``matching``. ``terms``: (category, cat_ord, ord, term), any number.
@@ -101,21 +190,21 @@ def index_matches(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     t = stored(t, "terms")
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`")).alias("lt")).where(
         F.col("lt").isNotNull())
+    names = [F.col(c) for c in ("category", "cat_ord", "ord", "term")]
     # words
     words = texts.select("id", F.explode_outer(word_set("lt")).alias("lower")).where(F.col("lower").isNotNull())
-    by_word = _small(stored(t.where("short AND plain").select("lower").distinct(), "short-terms"))
-    found = words.join(by_word, "lower")
-    # substrings
-    long = t.where("NOT short").select("lower").distinct()
-    keys = stored(rarest_grams(texts.select("lt"), long), "term-keys")
-    given = texts.select("id", "lt", F.explode_outer(_given(F.col("lt"), GramFilter(keys))).alias("gram"))
-    hits = given.where(F.col("gram").isNotNull()).join(_small(keys.select("gram", "lower")), "gram")
-    found = found.select("id", "lower").union(hits.where(F.contains("lt", "lower")).select("id", "lower"))
+    by_word = _small(t.where("short AND plain").select("lower").distinct())
+    found = words.join(by_word, "lower").select("id", "lower")
     # short terms with punctuation
     odd = [r["lower"] for r in t.where("short AND NOT plain").select("lower").distinct().orderBy("lower").collect()]
     if odd:
         tried = F.array_compact(F.array(*[F.when(F.col("lt").rlike(whole_word_pattern(x)), F.lit(x)) for x in odd]))
         more = texts.select("id", F.explode_outer(tried).alias("lower")).where(F.col("lower").isNotNull())
         found = found.union(more)
-    named = _small(t.select("lower", "category", "cat_ord", "ord", "term"))
-    return found.join(named, "lower").select(F.col("id").alias(id_col), "category", "cat_ord", "ord", "term")
+    out = found.join(_small(t.where("short").select("lower", *names)), "lower").select("id", *names)
+    # substrings
+    among = SubstringFilter(t.where("NOT short").select("lower").distinct())
+    if among.lengths:
+        named = _small(t.where("NOT short").select("lower", *names))
+        out = out.union(_substrings(texts, among).join(named, "lower").select(F.explode("ids").alias("id"), *names))
+    return out.withColumnRenamed("id", id_col)

@@ -59,3 +59,30 @@ def test_nothing(spark):
     some = spark.createDataFrame([("c", 0, 0, "texts"), ("c", 0, 1, "text")], d.schema)
     assert [r["term"] for r in term_index.index_matches(df, some).collect()] == ["text"]
     assert term_index.index_matches(df.where("false"), some).count() == 0
+
+
+def test_no_text_is_shuffled(spark, monkeypatch):
+    """Of a dictionary too large to broadcast, too: what moves is substrings and ids."""
+    monkeypatch.setattr(term_index, "MOST_ROWS", 1)
+    d = spark.createDataFrame([("c", 0, i, f"term{i:03d}") for i in range(300)],
+                              "category string, cat_ord int, ord int, term string")
+    df = spark.createDataFrame([(i, f"xterm{i:03d}y") for i in range(100)], "doc_id long, text string")
+    plan = term_index.index_matches(df, d)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert moved and not [m for m in moved if re.search(r"\b(lt|text)#", m)]
+
+
+def test_blocks_and_windows(spark, plain_text, monkeypatch):
+    """Terms across the windows of a text are found, those across two texts are not."""
+    monkeypatch.setattr(term_index, "BLOCK", 90)
+    monkeypatch.setattr(term_index, "WINDOW", 7)
+    low = "éÉ日本 ".lower() + plain_text[:150].lower()
+    rows = [(None, low), (1, low[:40]), (1, low[40:]), (2, "x" * 30), (3, low)]
+    terms = sorted({low[i:i + n] for i in range(0, 120, 3) for n in (5, 6, 11, 30)} | {"x" * n for n in (5, 29, 31)})
+    d = spark.createDataFrame([("c", 0, i, t) for i, t in enumerate(terms)], "category string, cat_ord int, ord int, term string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["term"]) for r in term_index.index_matches(df, d).collect()]
+    want = [(i, t) for i, text in rows for t in terms if t in text]
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
