@@ -86,3 +86,10 @@ def test_blocks_and_windows(spark, plain_text, monkeypatch):
     want = [(i, t) for i, text in rows for t in terms if t in text]
     key = lambda x: (x[0] or 0, x[1])
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_texts_are_read_with_the_result(spark):
+    """Making the result reads the terms alone: the texts are not gone through for the terms' keys first."""
+    d = spark.createDataFrame([("c", 0, 0, "a term")], "category string, cat_ord int, ord int, term string")
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.raise_error(F.lit("read")).cast("string").alias("text"))
+    assert term_index.index_matches(df, d).columns == ["doc_id", "category", "cat_ord", "ord", "term"]
