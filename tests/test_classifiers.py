@@ -47,3 +47,10 @@ def test_batch_score(spark, data):
     from paperlens.operators.scoring import batch_score, length_logit_model
     out = batch_score(data, length_logit_model(), "text").collect()
     assert all(abs(r["p0"] + r["p1"] - 1) < 1e-9 and r["prediction"] in (0, 1) for r in out)
+
+
+@pytest.mark.parametrize("n,parts", [(0, 1), (300, 1), (14_000, 7), (40_000, 12), (860_000, 86)])
+def test_rows_of_a_forest_are_dealt_out(n, parts):
+    """A task holds its rows as dense ones, 40 KB each: 50,000 in one are 2 GB."""
+    from paperlens.operators.classifiers import forest_parts
+    assert forest_parts(n) == parts
