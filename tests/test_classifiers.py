@@ -54,3 +54,10 @@ def test_rows_of_a_forest_are_dealt_out(n, parts):
     """A task holds its rows as dense ones, 40 KB each: 50,000 in one are 2 GB."""
     from paperlens.operators.classifiers import forest_parts
     assert forest_parts(n) == parts
+
+
+def test_splits_are_written_once(spark):
+    """What fits and evaluations read again and again is a table, no plan of joins and sorts."""
+    from paperlens.plans.harness import _ml_splits
+    plan = _ml_splits(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Exchange" not in plan and "Join" not in plan
