@@ -1,23 +1,22 @@
 """Matching with dictionaries of any number of terms (T7, J1 at scale).
 
-The dictionary is a table, not a constant of the expression. A long term (matched as a
-substring) is looked for where it may be: a bit set of the hashes of all long terms, and of
-their beginnings of some lengths, goes to every task, and a text gives the substrings that
-it lets pass, each once. Batches of texts give ``(substring, ids)``, and an equi-join with
-the terms tells which of them are some. Short terms (matched as whole words) are an
-equi-join with the text's distinct words. Nothing compares a text with all terms, and no
-text is shuffled: what moves is a substring once a batch, and the ids of its texts.
+The dictionary is a table, not a constant of the expression. A term is looked for where it
+may be: a bit set of the hashes of all terms, and of beginnings of some lengths of the long
+ones (matched as substrings), goes to every task, and a text gives the substrings that it
+lets pass, each once; of short terms (matched as whole words) only those between edges of
+words. Batches of texts give ``(substring, ids)``, and an equi-join with the terms tells
+which of them are some. Nothing compares a text with all terms, each text is read once, and
+none is shuffled: what moves is a substring once a batch, and the ids of its texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlens.functions.text import WORD_CHAR, word_set
+from paperlens.functions.text import WORD_CHAR
 from paperlens.operators.dictionary import SHORT_TERM_MAX_LEN
-from paperlens.operators.matching import whole_word_pattern
 from paperlens.session import stored
 
 #: longs of the bit set at most (more keys only make it let more pass), rows broadcast at most
@@ -28,6 +27,11 @@ BLOCK, WINDOW = 1 << 22, 1 << 18
 #: a beginning is hashed at every so manieth length of a term
 STEP = 3
 _BASE, _PROBES = 0x9E3779B97F4A7C15, 3
+#: what a hash is of
+BEGINNING, LONG, SHORT = range(3)
+#: bits that the first four bytes of long terms have of their own
+FOUR_BITS = 1 << 20
+CODE_POINTS = 0x110000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -44,10 +48,10 @@ class _Hashes:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data + np.uint64(1)) * _powers(_BASE, len(data)), out=self.sums[1:])
 
-    def of(self, start: np.ndarray, length, whole: bool) -> np.ndarray:
+    def of(self, start: np.ndarray, length, kind: int) -> np.ndarray:
         """Of the substrings at ``start``, as terms or as beginnings of terms."""
         h = (self.sums[start + length] - self.sums[start]) * self.inverse[start]
-        h = (h + (np.asarray(length) * 2 + whole).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h + (np.asarray(length) * 4 + kind).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(32))
 
@@ -66,83 +70,155 @@ def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]], at - at[0]
 
 
+def _four(data: np.ndarray) -> np.ndarray:
+    """Of each place, the number of the bit of its four bytes (zeros after the last)."""
+    padded = np.zeros(len(data) + 3, np.uint8)
+    padded[:len(data)] = data
+    x = np.ndarray((len(data),), "<u4", padded, 0, (1,))
+    return (x * np.uint32(0x9E3779B1)) >> np.uint32(12)
+
+
+def _bitset(rows: DataFrame, words: int) -> np.ndarray:
+    """Longs that hold the bits numbered in the column ``bit``; the driver gets a row for each at most."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    got = (rows.select(F.shiftright("bit", 6).cast("int").alias("w"), mask.alias("m"))
+           .groupBy("w").agg(F.bit_or("m").alias("m"))).toArrow()
+    out = np.zeros(words, np.int64)
+    out[got.column("w").to_numpy()] = got.column("m").to_numpy()
+    return out
+
+
+def word_characters(spark: SparkSession) -> np.ndarray:
+    """A bit for each code point: whether Spark's patterns take it for a word character."""
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    points = spark.range(CODE_POINTS).where(~F.col("id").between(0xD800, 0xDFFF))  # halves of pairs are no characters
+    return _bitset(points.where(c.rlike(WORD_CHAR)).select(F.col("id").alias("bit")), CODE_POINTS // 64)
+
+
 class SubstringFilter:
-    """A bit set of the hashes of terms and of some of their beginnings: what it says no to is
-    no term. ``terms``: (lower), distinct; lengths are of UTF-8."""
+    """A bit set of the hashes of terms and of some beginnings of the long ones: what it says no
+    to is no term. ``terms``: (lower, short), distinct; lengths are of UTF-8."""
 
     def __init__(self, terms: DataFrame):
-        sizes = terms.groupBy(F.octet_length("lower").alias("size")).agg(F.count("*").alias("n")).collect()
-        self.lengths = sorted(r["size"] for r in sizes)
+        sizes = terms.groupBy("short", F.octet_length("lower").alias("size")).agg(F.count("*").alias("n")).collect()
+        self.lengths = sorted(r["size"] for r in sizes if not r["short"])
+        self.short_lengths = sorted(r["size"] for r in sizes if r["short"])
+        self.longest = max((r["size"] for r in sizes), default=0)
         self.starts = starts = self.lengths[::STEP]
         n = sum(r["n"] for r in sizes)
-        self.words = min(MOST_WORDS, 1 << max(4, (n // 2).bit_length()))
-        bits = self.words * 64
+        words = min(MOST_WORDS, 1 << max(4, (n // 2).bit_length()))
+        self.size = bits = words * 64
 
         def keys(batches):
             import pyarrow as pa
             for b in batches:
                 data, at = _bytes(b.column("lower"))
-                hashes, size = _Hashes(data), np.diff(at)
-                of = [hashes.of(at[:-1], size, True)]
-                of += [hashes.of(at[:-1][size >= k], k, False) for k in starts]
+                short = b.column("short").to_numpy(zero_copy_only=False).astype(bool)
+                hashes, size, at = _Hashes(data), np.diff(at), at[:-1]
+                of = [hashes.of(at[short], size[short], SHORT), hashes.of(at[~short], size[~short], LONG)]
+                of += [hashes.of(at[~short & (size >= k)], k, BEGINNING) for k in starts]
                 h = np.unique(np.concatenate(of))
-                bit = np.unique(np.concatenate([_bit(h, p, bits) for p in range(_PROBES)]))
-                yield pa.RecordBatch.from_arrays([pa.array(bit)], ["bit"])
-
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
-        rows = (terms.select("lower").mapInArrow(keys, "bit long")
-                .select(F.shiftright("bit", 6).cast("int").alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")))
-        got = rows.toArrow()  # at most ``words`` rows
-        bitset = np.zeros(self.words, np.int64)
-        bitset[got.column("w").to_numpy()] = got.column("m").to_numpy()
-        self.bits = terms.sparkSession.sparkContext.broadcast(bitset.tobytes())
-
-
-def _passing(data: np.ndarray, at: np.ndarray, first: int, last: int, bits: np.ndarray, lengths: list[int],
-             starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and lengths of substrings of ``data``, begun from ``first`` to ``last`` and inside one
-    text, that the bit set lets pass."""
-    part = data[first:last + lengths[-1]]
-    hashes = _Hashes(part)
-
-    def known(place, length, whole):
-        h = hashes.of(place, length, whole)
+                bit = [_bit(h, p, bits) for p in range(_PROBES)] + [_four(data)[at[~short]] + np.int64(bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(bit)))], ["bit"])
+
+        spark = terms.sparkSession
+        rows = terms.select("lower", "short").mapInArrow(keys, "bit long")
+        # at most a row for each of the set's longs
+        self.bits = spark.sparkContext.broadcast(_bitset(rows, words + FOUR_BITS // 64).tobytes())
+        self.word = spark.sparkContext.broadcast(word_characters(spark).tobytes() if self.short_lengths else b"")
+
+
+def _edges(data: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an edge of a word is before each byte of texts, as a start and as an end of what is
+    matched: one of the characters beside it is a word character, the other is none or not there."""
+    inside = np.concatenate([word[:128], np.zeros(128, bool)])[data]
+    for size, least, most in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        place = np.flatnonzero((data >= least) & (data < most))
+        if len(place):
+            point = data[place].astype(np.int64) & (0x7F >> size)
+            for k in range(1, size):
+                point = point << 6 | data[place + k] & 0x3F
+            place = place[word[point]]
+            for k in range(size):
+                inside[place + k] = True
+    begins, ends = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    begins[1:-1] = ends[1:-1] = inside[1:] != inside[:-1]
+    first, last = at[:-1][np.diff(at) > 0], at[1:][np.diff(at) > 0]
+    begins[first], ends[last] = inside[first], inside[last - 1]
+    return begins, ends
+
+
+class _Finder:
+    """Looks for the keys of a filter in the bytes of texts."""
+
+    def __init__(self, among: dict, bits: bytes, word: bytes):
+        self.__dict__ |= among
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.four = np.unpackbits(self.bits[self.size // 8:], bitorder="little").astype(bool)
+        self.word = np.unpackbits(np.frombuffer(word, np.uint8), bitorder="little").astype(bool)
+
+    def known(self, hashes: _Hashes, place: np.ndarray, length: int, kind: int) -> np.ndarray:
+        """Numbers of the places whose substrings the bit set lets pass."""
+        h, kept = hashes.of(place, length, kind), np.arange(len(place))
         for probe in range(_PROBES):
-            bit = _bit(h, probe, len(bits) * 8)
-            on = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
-            place, h = place[on], h[on]
-        return place
-
-    live = np.flatnonzero(part[:last - first] & 0xC0 != 0x80)  # a character's first byte
-    ends = at[np.searchsorted(at, live + first, side="right")] - first
-    end = np.zeros(len(part) + 1, np.int64)
-    end[live] = ends
-    places, sizes = [], []
-    for k in lengths:
-        live = live[end[live] - live >= k]
-        if k in starts:
-            live = known(live, k, False)
-        if not len(live):
-            break
-        found = known(live, k, True)
-        places.append(found + first)
-        sizes.append(np.full(len(found), k))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place, size = np.concatenate(places), np.concatenate(sizes)
-    after = np.minimum(place + size, len(data) - 1)
-    whole = (place + size == len(data)) | (data[after] & 0xC0 != 0x80)
-    return place[whole], size[whole]
+            bit = _bit(h, probe, self.size)
+            on = self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+            kept, h = kept[on], h[on]
+        return kept
+
+    def passing(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, lengths and kinds (short or not) of substrings inside a text that may be terms."""
+        edges = _edges(data, at, self.word) if self.short_lengths else None
+        found = [(np.zeros(0, np.int64), 0, False)]
+        for first in range(0, len(data), WINDOW):
+            found += self._window(data, at, edges, first, min(first + WINDOW, len(data)))
+        place = np.concatenate([p for p, _, _ in found])
+        count = [len(p) for p, _, _ in found]
+        return place, np.repeat([k for _, k, _ in found], count), np.repeat([s for _, _, s in found], count)
+
+    def _window(self, data: np.ndarray, at: np.ndarray, edges: tuple | None, first: int, last: int) -> list[tuple]:
+        part = data[first:last + self.longest]
+        hashes, found = _Hashes(part), []
+
+        def end(live):  # of the text
+            return at[np.searchsorted(at, live + first, side="right")] - first
+
+        if self.lengths:
+            live = np.flatnonzero(self.four[_four(part)[:last - first]])
+            live = live[part[live] & 0xC0 != 0x80]  # a character's first byte
+            room = end(live) - live
+            for k in self.lengths:
+                fits = room >= k
+                live, room = live[fits], room[fits]
+                if k in self.starts:
+                    kept = self.known(hashes, live, k, BEGINNING)
+                    live, room = live[kept], room[kept]
+                if not len(live):
+                    break
+                place = live[self.known(hashes, live, k, LONG)]
+                after = part[np.minimum(place + k, len(part) - 1)]
+                place = place[(place + k == len(part)) | (after & 0xC0 != 0x80)]
+                found.append((place + first, k, False))
+        if self.short_lengths:
+            begins = np.flatnonzero(edges[0][first:last])
+            ends = edges[1][first:first + len(part) + 1]
+            for k in self.short_lengths:
+                live = begins[:np.searchsorted(begins, len(part) - k, side="right")]
+                live = live[ends[live + k]]
+                place = live[self.known(hashes, live, k, SHORT)]
+                found.append((place[end(place) - place >= k] + first, k, True))
+        return found
 
 
 def _substrings(texts: DataFrame, among: SubstringFilter) -> DataFrame:
-    """``(lower, ids)``: substrings of texts that may be terms, with the ids of texts that hold
+    """``(lower, short, ids)``: substrings of texts that may be terms, with the ids of texts that hold
     them, each row's once. ``texts``: (id, lt); a substring has a row for each block of texts."""
-    bitset, lengths, starts = among.bits, among.lengths, frozenset(among.starts)
+    bitset, word = among.bits, among.word
+    own = {k: getattr(among, k) for k in ("lengths", "short_lengths", "longest", "starts", "size")}
 
     def found(batches):
         import pyarrow as pa
-        bits = np.frombuffer(bitset.value, np.uint8)
+        finder = _Finder(own, bitset.value, word.value)
         for b in batches:
             data, at = _bytes(b.column("lt"))
             # rows of a block: whole texts
@@ -151,60 +227,46 @@ def _substrings(texts: DataFrame, among: SubstringFilter) -> DataFrame:
                 to = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, side="right")) - 1)
                 inside = at[row:to + 1] - at[row]
                 text = data[at[row]:at[to]]
-                parts = [_passing(text, inside, i, min(i + WINDOW, len(text)), bits, lengths, starts)
-                         for i in range(0, len(text), WINDOW)]
-                place, size = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+                place, size, short = finder.passing(text, inside)
                 if len(place):
                     offsets = np.concatenate([[0], np.cumsum(size)])
                     held = text[np.repeat(place - offsets[:-1], size) + np.arange(offsets[-1])]
                     strings = pa.Array.from_buffers(pa.large_string(), len(place), [
                         None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode()
                     of = np.searchsorted(inside, place, side="right") - 1
-                    pair = np.unique(strings.indices.to_numpy().astype(np.int64) * (to - row) + of)
-                    code, of = np.divmod(pair, to - row)
-                    counts = np.bincount(code, minlength=len(strings.dictionary))
+                    code = strings.indices.to_numpy().astype(np.int64) * 2 + short
+                    code, of = np.divmod(np.unique(code * (to - row) + of), to - row)
+                    code, counts = np.unique(code, return_counts=True)
                     ids = b.column("id").take(pa.array(row + of))
                     yield pa.RecordBatch.from_arrays([
-                        strings.dictionary.cast(pa.string()),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), ids)], ["lower", "ids"])
+                        strings.dictionary.take(pa.array(code >> 1)).cast(pa.string()), pa.array(code & 1 == 1),
+                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), ids)],
+                        ["lower", "short", "ids"])
                 row = to
 
-    return texts.mapInArrow(found, f"lower string, ids array<{texts.schema['id'].dataType.simpleString()}>")
+    return texts.mapInArrow(
+        found, f"lower string, short boolean, ids array<{texts.schema['id'].dataType.simpleString()}>")
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast a written table of short strings if it has at most ``MOST_ROWS`` rows."""
-    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df
+    """A hint to broadcast a written table of short strings if it has at most ``MOST_ROWS`` rows, and not
+    to if it has more, however small its files."""
+    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df.hint("merge")
 
 
 def index_matches(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, category, cat_ord, ord, term)``: one row for each term a row's text matches,
     by the rules of ``matching``. ``terms``: (category, cat_ord, ord, term), any number.
 
-    Null texts match nothing; equal terms in several categories match in each. Short terms
-    with punctuation, of which there are few, are tried one by one.
+    Null texts match nothing; equal terms in several categories match in each.
     """
-    t = terms.select("category", "cat_ord", "ord", "term", F.lower("term").alias("lower"),
-                     (F.char_length("term") <= SHORT_TERM_MAX_LEN).alias("short"),
-                     F.col("term").rlike(f"^{WORD_CHAR}+$").alias("plain")).where(F.char_length("term") > 0)
-    t = stored(t, "terms")
+    lower, word = F.lower("term"), f"^{WORD_CHAR}+$"
+    t = terms.select("category", "cat_ord", "ord", "term", lower.alias("lower"),
+                     (F.char_length("term") <= SHORT_TERM_MAX_LEN).alias("short")).where(F.char_length("term") > 0)
+    # a word that lower-casing makes more than a word is none of a text's words
+    t = stored(t.where(~F.col("short") | ~F.col("term").rlike(word) | F.col("lower").rlike(word)), "terms")
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`")).alias("lt")).where(
         F.col("lt").isNotNull())
-    names = [F.col(c) for c in ("category", "cat_ord", "ord", "term")]
-    # words
-    words = texts.select("id", F.explode_outer(word_set("lt")).alias("lower")).where(F.col("lower").isNotNull())
-    by_word = _small(t.where("short AND plain").select("lower").distinct())
-    found = words.join(by_word, "lower").select("id", "lower")
-    # short terms with punctuation
-    odd = [r["lower"] for r in t.where("short AND NOT plain").select("lower").distinct().orderBy("lower").collect()]
-    if odd:
-        tried = F.array_compact(F.array(*[F.when(F.col("lt").rlike(whole_word_pattern(x)), F.lit(x)) for x in odd]))
-        more = texts.select("id", F.explode_outer(tried).alias("lower")).where(F.col("lower").isNotNull())
-        found = found.union(more)
-    out = found.join(_small(t.where("short").select("lower", *names)), "lower").select("id", *names)
-    # substrings
-    among = SubstringFilter(t.where("NOT short").select("lower").distinct())
-    if among.lengths:
-        named = _small(t.where("NOT short").select("lower", *names))
-        out = out.union(_substrings(texts, among).join(named, "lower").select(F.explode("ids").alias("id"), *names))
-    return out.withColumnRenamed("id", id_col)
+    found = _substrings(texts, SubstringFilter(t.select("lower", "short").distinct()))
+    return found.join(_small(t), ["lower", "short"]).select(
+        F.explode("ids").alias(id_col), "category", "cat_ord", "ord", "term")

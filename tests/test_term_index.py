@@ -7,8 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from paperlens.functions.text import word_set
 from paperlens.operators import term_index
-from paperlens.operators.matching import CompiledDictionary, explode_matches, with_matches
+from paperlens.operators.matching import CompiledDictionary, explode_matches, whole_word_pattern, with_matches
 
 
 def test_index_against_every_term(spark, plain_text):
@@ -93,3 +94,35 @@ def test_texts_are_read_with_the_result(spark):
     d = spark.createDataFrame([("c", 0, 0, "a term")], "category string, cat_ord int, ord int, term string")
     df = spark.range(1).select(F.col("id").alias("doc_id"), F.raise_error(F.lit("read")).cast("string").alias("text"))
     assert term_index.index_matches(df, d).columns == ["doc_id", "category", "cat_ord", "ord", "term"]
+
+
+def test_each_text_is_read_once(spark, tmp_path):
+    """Short terms, those with punctuation and long ones are looked for in the same reading of a text."""
+    spark.createDataFrame([(1, "a b-c term text")], "doc_id long, text string").write.parquet(f"{tmp_path}/texts")
+    d = spark.createDataFrame([("c", 0, i, x) for i, x in enumerate(("term", "b-c", "a b-c"))],
+                              "category string, cat_ord int, ord int, term string")
+    got = term_index.index_matches(spark.read.parquet(f"{tmp_path}/texts"), d)
+    plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert len(re.findall(r"Location: [^\n]*/texts\]", plan)) == 1
+    assert sorted(r["term"] for r in got.collect()) == ["a b-c", "b-c", "term"]
+
+
+def test_edges_of_words_are_those_of_sparks_patterns(spark, monkeypatch):
+    """Short terms between characters of one to four bytes, at the ends of texts, blocks and windows."""
+    monkeypatch.setattr(term_index, "BLOCK", 60)
+    monkeypatch.setattr(term_index, "WINDOW", 5)
+    beside = ["", " ", "a", "_", "-", "7", "\u00b2", "\u00e9", "\u00d7", "\u0301", "\u2014", "\u65e5", "\u2167",
+              "\U0001f600", "\U0001d51e", "\n", "\U0001fbf0"]
+    terms = ["ab", "\u00e9", "\u65e5\u672c", "a-b", "+", "-\u00e9", "\u2014a", "\U0001d51e", "\U0001f600", "a\u0301"]
+    texts = [(i, a + t + b) for i, (a, t, b) in enumerate((a, t, b) for a in beside for t in terms for b in beside)]
+    d = spark.createDataFrame([("c", 0, i, t) for i, t in enumerate(terms)], "category string, cat_ord int, ord int, term string")
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    low = F.lower("text")
+
+    def rule(t):
+        return F.array_contains(word_set(low), t) if t.isalnum() else low.rlike(whole_word_pattern(t))
+
+    got = sorted(map(tuple, term_index.index_matches(df, d).select("doc_id", "term").collect()))
+    want = [(r["doc_id"], t) for r in df.select("doc_id", *[rule(t).alias(f"t{i}") for i, t in enumerate(terms)]).collect()
+            for i, t in enumerate(terms) if r[f"t{i}"]]
+    assert got == sorted(want) and len(want) > 700
