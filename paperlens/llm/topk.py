@@ -20,6 +20,9 @@ from paperlens.llm.common import written
 
 #: rows of a block, of a range, queries of a chunk
 BLOCK_ROWS, RANGE_ROWS, CHUNK_ROWS = 128, 4096, 256
+#: chunks that a task keeps the best rows of, partitions that rows are sorted in at most (the driver
+#: gets a sample for each)
+TASK_CHUNKS, MOST_PARTS = 64, 200
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -38,7 +41,7 @@ def signs(v: Column) -> Column:
 def _packed(rows: DataFrame, n_rows: int, name: str) -> DataFrame:
     """Rows (id, v, row, more) as one row for each ``n_rows`` of them that lie together by
     direction: ids, rows, lengths, all components, and the numbers ``more``."""
-    parts = max(1, -(-rows.count() // n_rows))
+    parts = max(1, min(-(-rows.count() // n_rows), MOST_PARTS))
 
     def pack(batches):
         import pyarrow as pa
@@ -47,10 +50,12 @@ def _packed(rows: DataFrame, n_rows: int, name: str) -> DataFrame:
 
         def made():
             dims = np.array([len(v) for v in vectors], "<i4")
-            flat = np.concatenate(vectors) if vectors else np.empty(0)
+            flat = np.concatenate(vectors)
+            least, most = flat.min(initial=0), flat.max(initial=0)
+            kind = next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= least and most <= np.iinfo(t).max)
             return pa.RecordBatch.from_pydict(
                 {"ids": [np.array(ids, "<i8").tobytes()], "at": [np.array(at, "<i8").tobytes()],
-                 "dims": [dims.tobytes()], "v": [flat.astype("<i8").tobytes()],
+                 "dims": [dims.tobytes()], "v": [flat.astype(kind).tobytes()],
                  "more": [np.array(more, "<i8").tobytes()]}, kinds)
 
         for b in batches:
@@ -72,8 +77,10 @@ def _packed(rows: DataFrame, n_rows: int, name: str) -> DataFrame:
 
 
 def _matrix(ids: bytes, dims: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and a matrix, a row a vector; shorter vectors end in zeros."""
-    ids, dims, v = np.frombuffer(ids, "<i8"), np.frombuffer(dims, "<i4"), np.frombuffer(v, "<i8")
+    """Ids and a matrix, a row a vector; shorter vectors end in zeros. Components take as many
+    bytes as their number tells."""
+    ids, dims = np.frombuffer(ids, "<i8"), np.frombuffer(dims, "<i4")
+    v = np.frombuffer(v, f"<i{len(v) // max(1, int(dims.sum())) or 8}")
     out = np.zeros((len(ids), int(dims.max(initial=0))), np.int64)
     out[np.arange(out.shape[1])[None, :] < dims[:, None]] = v
     return ids, out
@@ -112,7 +119,9 @@ class Best:
 
     def add(self, which: np.ndarray, ids: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
         self.scored += score.size
-        other = at[None, :] != self.own[which][:, None]
+        other = (at[None, :] != self.own[which][:, None]) & (score >= self.kth()[which][:, None])
+        some = other.any(axis=1)  # the others' best rows stay
+        which, score, other = which[some], score[some], other[some]
         s = np.concatenate([self.score[which], score], axis=1)
         i = np.concatenate([self.id[which], np.broadcast_to(ids, score.shape)], axis=1)
         f = np.concatenate([self.found[which], other], axis=1)
@@ -129,15 +138,16 @@ def scan(best: Best, queries: np.ndarray, ids: np.ndarray, at: np.ndarray, rows:
     high = np.maximum.reduceat(rows, starts, axis=0)
     low = np.minimum.reduceat(rows, starts, axis=0)
     bound = _product(np.maximum(queries, 0), high) + _product(np.minimum(queries, 0), low)
-    order = np.argsort(-bound, axis=1, kind="stable")
-    for turn in range(len(starts)):
-        block = order[:, turn]
+    first = bound.argmax(axis=1)
+    left = np.ones(bound.shape, bool)
+    # each query's best block, then the others in turn, each for all queries that it is open to
+    turns = [(j, first == j) for j in np.unique(first)]
+    turns += [(j, left[:, j]) for j in np.argsort(-bound.max(axis=0, initial=0), kind="stable")]
+    for j, asked in turns:
         # equal to the k-th score may still win by a smaller id
-        open_ = np.flatnonzero(bound[np.arange(len(block)), block] >= best.kth())
-        if not len(open_):
-            break
-        for j in np.unique(block[open_]):
-            which = open_[block[open_] == j]
+        which = np.flatnonzero(asked & (bound[:, j] >= best.kth()))
+        left[which, j] = False
+        if len(which):
             own = slice(starts[j], starts[j] + block_rows)
             best.add(which, ids[own], at[own], _product(queries[which], rows[own]))
 
@@ -177,8 +187,9 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str,
     one id are ranked apart, and meet each other. Other columns are left out. Empty tables
     give empty results. Scores over 64 bits fail the job.
 
-    Queries are a stated set; each chunk of queries meets each range of rows once, chunk by
-    chunk, so that bounds found on one range prune the next. Ahead of that, each query is
+    Queries are a stated set; each chunk of queries meets each range of rows once. A task keeps
+    the best rows of up to ``TASK_CHUNKS`` chunks while its ranges go by, so that bounds found
+    on one range prune the next. Ahead of that, each query is
     scored with the rows of its own range, which gives all chunks a k-th score to begin with.
     """
     d = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"),
@@ -191,40 +202,33 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str,
     known = d.where("q").join(_floors_of(ranges, k, chunk_rows), "row", "left")
     least = F.lit(int(np.iinfo(np.int64).min))
     chunks = _packed(known.select("id", "v", "row", F.coalesce("floor", least).alias("more")), chunk_rows, "topk-queries")
-    n_ranges = ranges.count()
-    # a lane takes several ranges of a chunk in turn; as many lanes as there are ranges / 4
-    lanes = max(1, -(-n_ranges // 4))
-    left = chunks.select(F.col("unit").alias("chunk"), F.col("ids").alias("q_ids"), F.col("at").alias("q_at"), F.col("dims").alias("q_dims"),
-                         F.col("v").alias("q_v"), F.col("more").alias("q_floor"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    right = ranges.withColumn("lane", F.pmod(F.xxhash64("unit"), F.lit(lanes)).cast("int"))
-    met = left.join(right, "lane")
+    # every pair of range and chunk, without a join key: ranges stream from their files past a group of
+    # chunks, so that neither is copied for the other, nor goes through the driver or a shuffle
+    groups = max(1, -(-chunks.count() // TASK_CHUNKS))
+    asked = chunks.select(F.col("unit").alias("chunk"), F.col("ids").alias("q_ids"), F.col("at").alias("q_at"),
+                          F.col("dims").alias("q_dims"), F.col("v").alias("q_v"), F.col("more").alias("q_floor"))
+    met = ranges.drop("more").hint("shuffle_replicate_nl").crossJoin(asked.repartition(groups))
 
     def search(batches):
         import pyarrow as pa
         kinds = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-        here, best, q, q_ids = None, None, None, None
-
-        def found():
-            at = np.nonzero(best.found)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[at[0]]), pa.array(best.own[at[0]]), pa.array(best.id[at]), pa.array(best.score[at])], schema=kinds)
-
+        at_range, ids, rows, known = None, None, None, {}
         for b in batches:
             for r in b.to_pylist():
-                if (r["chunk"], r["lane"]) != here:
-                    if best is not None:
-                        yield found()
-                    here = (r["chunk"], r["lane"])
+                if r["chunk"] not in known:
                     q_ids, q = _matrix(r["q_ids"], r["q_dims"], r["q_v"])
-                    best = Best(np.frombuffer(r["q_at"], "<i8"), k, np.frombuffer(r["q_floor"], "<i8"))
-                ids, rows = _matrix(r["ids"], r["dims"], r["v"])
+                    known[r["chunk"]] = q_ids, q, Best(np.frombuffer(r["q_at"], "<i8"), k, np.frombuffer(r["q_floor"], "<i8"))
+                if r["unit"] != at_range:
+                    at_range, (ids, rows) = r["unit"], _matrix(r["ids"], r["dims"], r["v"])
+                _, q, best = known[r["chunk"]]
                 scan(best, q, ids, np.frombuffer(r["at"], "<i8"), rows, block_rows)
-        if best is not None:
-            yield found()
+        for q_ids, _, best in known.values():
+            at = np.nonzero(best.found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q_ids[at[0]]), pa.array(best.own[at[0]]), pa.array(best.id[at]), pa.array(best.score[at])], schema=kinds)
 
-    near = (met.repartition("chunk", "lane").sortWithinPartitions("chunk", "lane")
-            .mapInArrow(search, "query_id long, query long, id long, score long"))
-    # at most k rows a lane and query; Spark drops ranks above k before it shuffles them
+    near = met.mapInArrow(search, "query_id long, query long, id long, score long")
+    # at most k rows a task and query; Spark drops ranks above k before it shuffles them
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     return (near.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))

@@ -263,6 +263,25 @@ def test_top_k_is_exact(spark):
     assert {tuple(r) for r in got.collect()} == _brute_top(rows, 5)
 
 
+def test_top_k_copies_no_chunk_for_the_ranges(spark):
+    """Chunks of queries aren't copied to meet the ranges of rows, by a broadcast or a shuffle: both grow with
+    queries times rows. The driver gets no table."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)], "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") % 2 == 0, 5, "vec_id", "embedding", block_rows=4, range_rows=8, chunk_rows=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "explode" not in plan.lower()
+    got.write.format("noop").mode("overwrite").save()
+
+
+def test_packed_components_are_as_wide_as_needed():
+    for v, size in (([3, -4, 5], 2), ([3, 1 << 20, 5], 4), ([1 << 40, 0, -1], 8), ([], 8)):
+        kind = f"<i{size}"
+        dims = np.array([2, 1] if v else [0, 0], "<i4")
+        _, rows = topk._matrix(np.array([7, 8], "<i8").tobytes(), dims.tobytes(), np.array(v, kind).tobytes())
+        assert rows.dtype == np.int64 and rows.tolist() == ([v[:2], [v[2], 0]] if v else [[], []])
+
+
 def test_top_k_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     got = topk.top_k(df, F.col("vec_id") == 0, 5, "vec_id", "embedding").collect()
