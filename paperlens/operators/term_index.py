@@ -6,7 +6,10 @@ ones (matched as substrings), goes to every task, and a text gives the substring
 lets pass, each once; of short terms (matched as whole words) only those between edges of
 words. Batches of texts give ``(substring, ids)``, and an equi-join with the terms tells
 which of them are some. Nothing compares a text with all terms, each text is read once, and
-none is shuffled: what moves is a substring once a batch, and the ids of its texts.
+none is shuffled: what moves is a substring once a batch, and the ids of its texts. With a
+dictionary too large to broadcast they move in compressed pieces, one for each bucket of
+hashes: terms and substrings of a bucket meet in a task that holds its terms, while the pieces
+of substrings go by.
 """
 
 from __future__ import annotations
@@ -17,11 +20,13 @@ from pyspark.sql import functions as F
 
 from paperlens.functions.text import WORD_CHAR
 from paperlens.operators.dictionary import SHORT_TERM_MAX_LEN
-from paperlens.session import stored
+from paperlens.session import release, stored
 
 #: longs of the bit set at most (more keys only make it let more pass), rows broadcast at most
-MOST_WORDS = 1 << 23
+MOST_WORDS = 1 << 24
 MOST_ROWS = 500_000
+#: terms of a bucket, buckets at least, bytes of pieces that are looked up at once
+BUCKET_TERMS, LEAST_BUCKETS, PIECE_BYTES = 1 << 17, 128, 1 << 21
 #: bytes of text whose substrings are gathered at once, positions whose hashes are made at once
 BLOCK, WINDOW = 1 << 22, 1 << 18
 #: a beginning is hashed at every so manieth length of a term
@@ -32,6 +37,8 @@ BEGINNING, LONG, SHORT = range(3)
 #: bits that the first four bytes of long terms have of their own
 FOUR_BITS = 1 << 20
 CODE_POINTS = 0x110000
+#: terms (kind 0) or substrings (kind 1) of a bucket
+PIECE = "bucket int, kind int, piece binary"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -105,7 +112,7 @@ class SubstringFilter:
         self.short_lengths = sorted(r["size"] for r in sizes if r["short"])
         self.longest = max((r["size"] for r in sizes), default=0)
         self.starts = starts = self.lengths[::STEP]
-        n = sum(r["n"] for r in sizes)
+        self.n = n = sum(r["n"] for r in sizes)
         words = min(MOST_WORDS, 1 << max(4, (n // 2).bit_length()))
         self.size = bits = words * 64
 
@@ -210,9 +217,36 @@ class _Finder:
         return found
 
 
-def _substrings(texts: DataFrame, among: SubstringFilter) -> DataFrame:
+def _blocks(finder: _Finder, b):
+    """``(strings, short, counts, rows, ids)`` of each block of a batch of texts: the substrings that may be
+    terms, how many of the block's texts hold each and which, and the ids of its texts."""
+    import pyarrow as pa
+    data, at = _bytes(b.column("lt"))
+    # rows of a block: whole texts
+    row = 0
+    while row < b.num_rows:
+        to = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, side="right")) - 1)
+        inside = at[row:to + 1] - at[row]
+        text = data[at[row]:at[to]]
+        place, size, short = finder.passing(text, inside)
+        if len(place):
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            held = text[np.repeat(place - offsets[:-1], size) + np.arange(offsets[-1])]
+            strings = pa.Array.from_buffers(pa.large_string(), len(place), [
+                None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode()
+            of = np.searchsorted(inside, place, side="right") - 1
+            code = strings.indices.to_numpy().astype(np.int64) * 2 + short
+            code, of = np.divmod(np.unique(code * (to - row) + of), to - row)
+            code, counts = np.unique(code, return_counts=True)
+            yield (strings.dictionary.take(pa.array(code >> 1)).cast(pa.string()), code & 1 == 1, counts, of,
+                   b.column("id").slice(row, to - row))
+        row = to
+
+
+def _substrings(texts: DataFrame, among: SubstringFilter, buckets: int = 0) -> DataFrame:
     """``(lower, short, ids)``: substrings of texts that may be terms, with the ids of texts that hold
-    them, each row's once. ``texts``: (id, lt); a substring has a row for each block of texts."""
+    them, each row's once. ``texts``: (id, lt); a substring has a row for each block of texts. With
+    ``buckets``, the same in pieces ``(bucket, kind 1, piece)``."""
     bitset, word = among.bits, among.word
     own = {k: getattr(among, k) for k in ("lengths", "short_lengths", "longest", "starts", "size")}
 
@@ -220,38 +254,152 @@ def _substrings(texts: DataFrame, among: SubstringFilter) -> DataFrame:
         import pyarrow as pa
         finder = _Finder(own, bitset.value, word.value)
         for b in batches:
-            data, at = _bytes(b.column("lt"))
-            # rows of a block: whole texts
-            row = 0
-            while row < b.num_rows:
-                to = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, side="right")) - 1)
-                inside = at[row:to + 1] - at[row]
-                text = data[at[row]:at[to]]
-                place, size, short = finder.passing(text, inside)
-                if len(place):
-                    offsets = np.concatenate([[0], np.cumsum(size)])
-                    held = text[np.repeat(place - offsets[:-1], size) + np.arange(offsets[-1])]
-                    strings = pa.Array.from_buffers(pa.large_string(), len(place), [
-                        None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode()
-                    of = np.searchsorted(inside, place, side="right") - 1
-                    code = strings.indices.to_numpy().astype(np.int64) * 2 + short
-                    code, of = np.divmod(np.unique(code * (to - row) + of), to - row)
-                    code, counts = np.unique(code, return_counts=True)
-                    ids = b.column("id").take(pa.array(row + of))
-                    yield pa.RecordBatch.from_arrays([
-                        strings.dictionary.take(pa.array(code >> 1)).cast(pa.string()), pa.array(code & 1 == 1),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), ids)],
+            for strings, short, counts, of, ids in _blocks(finder, b):
+                if buckets:
+                    yield from _packed(strings, short, counts, of, ids, buckets)
+                else:
+                    yield pa.RecordBatch.from_arrays([strings, pa.array(short), pa.ListArray.from_arrays(
+                        np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), ids.take(pa.array(of)))],
                         ["lower", "short", "ids"])
-                row = to
 
-    return texts.mapInArrow(
-        found, f"lower string, short boolean, ids array<{texts.schema['id'].dataType.simpleString()}>")
+    return texts.mapInArrow(found, PIECE if buckets else
+                            f"lower string, short boolean, ids array<{texts.schema['id'].dataType.simpleString()}>")
+
+
+def _by_bucket(columns: dict, short: np.ndarray, buckets: int) -> list[tuple]:
+    """``(bucket, table, start, end)``: where in a table of ``columns`` and ``short`` the rows of a bucket of
+    ``lower`` are, in its order there."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    data, at = _bytes(columns["lower"])
+    bucket = _Hashes(data).of(at[:-1], np.diff(at), np.where(short, SHORT, LONG)) % np.uint64(buckets)
+    order = pc.sort_indices(pa.table({"bucket": bucket, "lower": columns["lower"]}),
+                            [("bucket", "ascending"), ("lower", "ascending")])
+    t = pa.table(columns | {"short": pa.array(short)}).take(order)
+    which, first = np.unique(bucket[order.to_numpy()], return_index=True)
+    return [(int(k), t, int(start), int(end)) for k, start, end in zip(which, first, [*first[1:], len(short)])]
+
+
+def _piece(bucket: int, kind: int, *tables):
+    """A row of pieces: compressed Arrow streams, one after the other."""
+    import pyarrow as pa
+    sink = pa.BufferOutputStream()
+    for t in tables:
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(t)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()),
+                                       pa.array([sink.getvalue().to_pybytes()])], ["bucket", "kind", "piece"])
+
+
+def gaps_of(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of runs of rising numbers, ``counts`` long, and where each run's begin: a number is the sum of the
+    run's bytes so far, at each byte that is not 255."""
+    gap = np.diff(rows, prepend=0)
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    gap[starts] = rows[starts]
+    ends = np.cumsum(gap // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gap % 255
+    return out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def rows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``gaps_of`` what it was given: the numbers, and how many a run has."""
+    sums = np.cumsum(data, dtype=np.int64)
+    ends = data != 255
+    before = np.concatenate([[0], sums])[at[:-1]]
+    counts = np.diff(np.concatenate([[0], np.cumsum(ends)])[at])
+    return sums[ends] - np.repeat(before, counts), counts
+
+
+def _packed(strings, short: np.ndarray, counts: np.ndarray, rows: np.ndarray, ids, buckets: int):
+    """Pieces of a block: substrings with the places of their texts in the block, as gaps, and the texts' ids."""
+    import pyarrow as pa
+    whole = pa.types.is_int64(ids.type) and not ids.null_count
+    # as steps, which compress well where ids rise; sums wrap around as differences do
+    named = pa.table({"steps": np.diff(ids.to_numpy(), prepend=0)} if whole else {"ids": ids})
+    data, at = gaps_of(rows, counts)
+    gaps = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+    for bucket, t, start, end in _by_bucket({"lower": strings, "gaps": gaps}, short, buckets):
+        yield _piece(bucket, 1, t.slice(start, end - start), named)
+
+
+def _meet(texts: DataFrame, among: SubstringFilter, terms: DataFrame, buckets: int) -> DataFrame:
+    """``(ids, category, cat_ord, ord, term)``: the equi-join of the substrings of texts with terms, both in pieces."""
+    names = ["category", "cat_ord", "ord", "term"]
 
+    def packed(batches):
+        import pyarrow as pa
+        for b in batches:
+            t = pa.Table.from_batches([b]).combine_chunks()
+            short = t.column("short").to_numpy()
+            columns = {c: t.column(c).combine_chunks() for c in ("lower", *names)}
+            for bucket, rows, start, end in _by_bucket(columns, short, buckets):
+                yield _piece(bucket, 0, rows.slice(start, end - start))
 
-def _small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast a written table of short strings if it has at most ``MOST_ROWS`` rows, and not
-    to if it has more, however small its files."""
-    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df.hint("merge")
+    def matched(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        here, kept, known = None, [], None
+
+        def prepared():
+            """A bucket's terms in the order of their numbers, and the different ``lower`` of them."""
+            t = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in kept])
+            values = pc.unique(t.column("lower"))
+            code = pc.index_in(t.column("lower"), values).to_numpy().astype(np.int64) * 2 + t.column("short").to_numpy()
+            order = np.argsort(code, kind="stable")
+            return t.select(names).take(pa.array(order)).combine_chunks(), values, code[order]
+
+        def looked_up(pieces):
+            t, values, codes = known
+            parts, ids, base = [], [], [0]
+            for piece in pieces:
+                stream = pa.BufferReader(piece)
+                parts.append(pa.ipc.open_stream(stream).read_all())
+                of = pa.ipc.open_stream(stream).read_all()
+                ids.append(of.column(0).combine_chunks() if of.column_names == ["ids"]
+                           else pa.array(np.cumsum(of.column(0).to_numpy())))
+                base.append(base[-1] + len(ids[-1]))
+            f, ids = pa.concat_tables(parts).combine_chunks(), pa.concat_arrays(ids)
+            base = np.repeat(np.array(base[:-1]), [p.num_rows for p in parts])
+            of = pc.fill_null(pc.index_in(f.column("lower"), values), -1).to_numpy().astype(np.int64)
+            code = np.where(of < 0, -1, of * 2 + f.column("short").to_numpy())
+            low = np.searchsorted(codes, code, side="left")
+            n = np.searchsorted(codes, code, side="right") - low
+            row = np.repeat(np.arange(len(code)), n)
+            if not len(row):
+                return
+            term = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            gaps = f.column("gaps").take(pa.array(row)).combine_chunks()
+            _, offsets, data = gaps.buffers()
+            place, counts = rows_of(np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64)[:len(row) + 1])
+            held = ids.take(pa.array(place + np.repeat(base[row], counts)))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), held)
+            out = t.take(pa.array(term))
+            yield from pa.table([lists, *out.columns], ["ids", *names]).combine_chunks().to_batches()
+
+        for b in batches:
+            some, size = [], 0
+            for bucket, kind, piece in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if some and (bucket != here or size >= PIECE_BYTES):
+                    yield from looked_up(some)
+                    some, size = [], 0
+                if bucket != here:
+                    here, kept, known = bucket, [], None
+                if kind == 0:
+                    kept.append(piece)
+                elif kept:
+                    known = known or prepared()
+                    some.append(piece)
+                    size += len(piece)
+            if some:
+                yield from looked_up(some)
+
+    both = terms.select("lower", "short", *names).mapInArrow(packed, PIECE).union(_substrings(texts, among, buckets))
+    types = {f.name: f.dataType.simpleString() for f in (*texts.schema, *terms.schema)}
+    # a bucket's terms are ahead of its substrings
+    return both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
+        matched, f"ids array<{types['id']}>, " + ", ".join(f"`{c}` {types[c]}" for c in names))
 
 
 def index_matches(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,6 +415,10 @@ def index_matches(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     t = stored(t.where(~F.col("short") | ~F.col("term").rlike(word) | F.col("lower").rlike(word)), "terms")
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`")).alias("lt")).where(
         F.col("lt").isNotNull())
-    found = _substrings(texts, SubstringFilter(t.select("lower", "short").distinct()))
-    return found.join(_small(t), ["lower", "short"]).select(
-        F.explode("ids").alias(id_col), "category", "cat_ord", "ord", "term")
+    among = SubstringFilter(t.select("lower", "short").distinct())
+    release(df.sparkSession)  # the shuffle files of the terms' jobs
+    if t.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+        met = _substrings(texts, among).join(F.broadcast(t), ["lower", "short"])
+    else:
+        met = _meet(texts, among, t, max(LEAST_BUCKETS, -(-among.n // BUCKET_TERMS)))
+    return met.select(F.explode("ids").alias(id_col), "category", "cat_ord", "ord", "term")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paperlens.functions.text import word_set
@@ -53,6 +55,47 @@ def test_a_full_bit_set_changes_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in term_index.index_matches(df, d).collect()) == want and len(want) == 200
 
 
+def test_gaps_of_rising_numbers():
+    """Numbers below, at and far above what a byte holds, empty runs too, come back."""
+    rng = random.Random(3)
+    runs = [[0], [], [254], [255], [256, 511, 766], [], [0, 1, 2, 70_000]]
+    runs += [sorted(rng.sample(range(3000), rng.randint(0, 40))) for _ in range(50)]
+    rows, counts = np.array([x for r in runs for x in r]), np.array([len(r) for r in runs])
+    back, n = term_index.rows_of(*term_index.gaps_of(rows, counts))
+    assert back.tolist() == rows.tolist() and n.tolist() == counts.tolist()
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "int"])
+def test_pieces_give_what_a_broadcast_gives(spark, monkeypatch, kind):
+    """Ids of any type, null and repeated ones too, terms of several categories; in pieces of one bucket each."""
+    rng = random.Random(9)
+    words = [f"w{i:03d}" + "x" * (i % 4) for i in range(400)]
+    df = spark.createDataFrame([(rng.choice([None, 7, i, -i * 10**6]), " ".join(rng.choices(words, k=30))) for i in range(200)]
+                               + [(1, None), (2, "")], "doc_id long, text string").repartition(3).withColumn("doc_id", F.col("doc_id").cast(kind))
+    d = spark.createDataFrame([(c, k, i, t) for i, t in enumerate(words[::2] + ["no term"]) for k, c in enumerate("ab"[:1 + i % 2])],
+                              "category string, cat_ord int, ord int, term string")
+    key = lambda r: tuple(map(str, r))
+    want = sorted(term_index.index_matches(df, d).collect(), key=key)
+    monkeypatch.setattr(term_index, "MOST_ROWS", 1)
+    monkeypatch.setattr(term_index, "BUCKET_TERMS", 1)  # a bucket for each term
+    monkeypatch.setattr(term_index, "PIECE_BYTES", 500)
+    monkeypatch.setattr(term_index, "BLOCK", 4000)
+    assert sorted(term_index.index_matches(df, d).collect(), key=key) == want and len(want) > 3000
+
+
+def test_what_moves_is_small(spark, monkeypatch, tmp_path):
+    """Of texts that share most terms, a pair of text and term takes few bytes of the shuffle: no eight for its id."""
+    monkeypatch.setattr(term_index, "MOST_ROWS", 1)
+    rng = random.Random(2)
+    words = [f"word{i:03d}" for i in range(400)]
+    df = spark.createDataFrame([(i * 1000, " ".join(rng.sample(words, 150))) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    d = spark.createDataFrame([("c", 0, i, t) for i, t in enumerate(words)], "category string, cat_ord int, ord int, term string")
+    among = term_index.SubstringFilter(d.select(F.col("term").alias("lower"), F.lit(False).alias("short")))
+    pieces = term_index._substrings(df.select(F.col("doc_id").alias("id"), F.col("text").alias("lt")), among, 4)
+    moved = pieces.agg(F.sum(F.length("piece"))).first()[0]
+    assert term_index.index_matches(df, d).count() == 150_000 and moved < 2 * 150_000
+
+
 def test_nothing(spark):
     d = spark.createDataFrame([], "category string, cat_ord int, ord int, term string")
     df = spark.createDataFrame([(1, "text")], "doc_id long, text string")
